@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from strandloom.llm import exact_dedup, mixing, url_filters
+from strandloom.llm import exact_dedup, mixing, quality_classifier, quality_rules, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +33,16 @@ FROM u LEFT JOIN m ON u.rn = m.rn AND m.k = 1
 """
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.train(docs, _read(spark, sf_dir, "labels")))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(_read(spark, sf_dir, "documents"), keep="largest")
 
@@ -69,5 +78,5 @@ SELECT d.doc_id, d.size, z.source_size, z.target, z.whole + CASE WHEN (d.positio
 FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source
 """
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op5_exact_dedup": op5_exact_dedup, "op7_mixing": op7_mixing}
+QUERIES = {"op1_url_filters": op1_url_filters, "op2_quality_classifier": op2_quality_classifier, "op3_quality_rules": op3_quality_rules, "op5_exact_dedup": op5_exact_dedup, "op7_mixing": op7_mixing}
 ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op7_mixing": OP7_SQL}
