@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandloom.llm import exact_dedup, license_scan, mixing, quality_classifier, quality_rules, secret_scan, token_counts, url_filters
 
-from strandloom.llm import exact_dedup, mixing, quality_classifier, quality_rules, url_filters
+#: Folder of public vocabulary files.
+VOCABULARIES = Path("/opt/tokenizers")
+#: Fixed value: the split pattern that belongs to the byte-level vocabulary.
+BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +51,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str, vocabularies: Path = VOCABULARIES) -> DataFrame:
+    ranks = (vocabularies / "byte_bpe_50k.tiktoken").read_bytes()
+    lengths = token_counts.encoded_lengths(_read(spark, sf_dir, "documents"), ranks, BYTE_PATTERN)
+    return token_counts.suffix_sums(token_counts.length_histogram(lengths))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(_read(spark, sf_dir, "documents"), keep="largest")
 
@@ -78,5 +92,39 @@ SELECT d.doc_id, d.size, z.source_size, z.target, z.whole + CASE WHEN (d.positio
 FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source
 """
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op2_quality_classifier": op2_quality_classifier, "op3_quality_rules": op3_quality_rules, "op5_exact_dedup": op5_exact_dedup, "op7_mixing": op7_mixing}
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op7_mixing": OP7_SQL}
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(repr(x) if isinstance(x, str) else str(x).lower() for x in row) + ")" for row in rows)
+
+
+OP9_SQL = rf"""
+WITH tpl(template, label, is_exact, grams, place, a, b) AS (VALUES {_values(license_scan.templates())}),
+d AS (SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+w AS (SELECT rn, unnest(words) AS a, unnest(range(len(words))) AS pos FROM d),
+g AS (SELECT *, lead(a) OVER (PARTITION BY rn ORDER BY pos) AS b FROM w),
+v AS (SELECT rn, template, label, is_exact, grams, pos - place AS diagonal, count(*) AS votes, min(pos) AS low, max(pos) AS high FROM g JOIN tpl USING (a, b) GROUP BY ALL),
+r AS (SELECT *, CASE WHEN is_exact OR diagonal - lag(diagonal) OVER o > {license_scan.SLACK} THEN 1 ELSE 0 END AS opens FROM v WINDOW o AS (PARTITION BY rn, template ORDER BY diagonal)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY rn, template ORDER BY diagonal) AS run FROM r),
+m AS (SELECT rn, template, label, is_exact, grams, run, sum(votes) AS votes, min(diagonal) AS start, max(high) - min(low) + 2 AS extent FROM s GROUP BY ALL),
+f AS (SELECT *, least(votes / grams, 1.0::DOUBLE) AS share, CASE WHEN is_exact THEN votes = grams ELSE least(votes / grams, 1.0::DOUBLE) >= {license_scan.MIN_SHARE} AND extent <= {license_scan.MAX_STRETCH} * (grams + 1) END AS found FROM m),
+t AS (SELECT rn, count(*) FILTER (WHERE found AND is_exact) AS n_base, min(start) FILTER (WHERE found AND is_exact) AS first_word, max(start) FILTER (WHERE found AND is_exact) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE found AND is_exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE found) AS labels, max(share) AS score FROM f GROUP BY rn)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN t USING (rn)
+"""
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with a digest in place of the string itself."""
+    found = secret_scan.scan(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "is_secret")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_url_filters, op2_quality_classifier, op3_quality_rules, op4_token_counts, op5_exact_dedup, op7_mixing, op9_license_scan, op10_secret_scan)
+}
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op7_mixing": OP7_SQL, "op9_license_scan": OP9_SQL}
