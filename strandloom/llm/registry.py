@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import exact_dedup, license_scan, mixing, quality_classifier, quality_rules, secret_scan, token_counts, url_filters
+from strandloom.llm import exact_dedup, license_scan, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, token_counts, url_filters
 
 #: Folder of public vocabulary files.
 VOCABULARIES = Path("/opt/tokenizers")
@@ -92,6 +92,10 @@ SELECT d.doc_id, d.size, z.source_size, z.target, z.whole + CASE WHEN (d.positio
 FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source
 """
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_read(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_read(spark, sf_dir, "documents"))
 
@@ -125,6 +129,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filters, op2_quality_classifier, op3_quality_rules, op4_token_counts, op5_exact_dedup, op7_mixing, op9_license_scan, op10_secret_scan)
+    for f in (op1_url_filters, op2_quality_classifier, op3_quality_rules, op4_token_counts, op5_exact_dedup, op7_mixing, op8_ngram_join, op9_license_scan, op10_secret_scan)
 }
 ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op7_mixing": OP7_SQL, "op9_license_scan": OP9_SQL}
