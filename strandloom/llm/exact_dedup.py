@@ -25,20 +25,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandloom.llm.common import attach, lower_bytes, saved, shuffle_parts, slices, text_bytes
 
+#: Dropped rows up to which their keys are broadcast (48 bytes each).
+BROADCAST_ROWS = 200_000
+
 _DIGESTED = "doc_id long, digest binary, n_bytes long"
 _RUN = "part int, digest binary, n_bytes long, keep_id long, group_size long"
 
 
+def _sha256(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    view = memoryview(lower_bytes(data))
+    return [hashlib.sha256(view[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in slices(batch):
             data, offsets = text_bytes(piece.column(1))
-            view = memoryview(lower_bytes(data))
-            digests = [hashlib.sha256(view[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(digests, pa.binary()), pa.array(np.diff(offsets))], names=["doc_id", "digest", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(_sha256(data, offsets), pa.binary()), pa.array(np.diff(offsets))], names=["doc_id", "digest", "n_bytes"])
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -115,17 +122,27 @@ def _key():
     return F.concat(F.col("digest"), F.encode(F.col("n_bytes").cast("string"), "UTF-8")).alias("__key")
 
 
+def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in slices(batch):
+            data, offsets = text_bytes(piece.column("text"))
+            yield piece.append_column("__digest", pa.array(_sha256(data, offsets), pa.binary()))
+
+
 def deduplicate(docs: DataFrame, keep: str = "largest", fan_in: int = 4) -> DataFrame:
-    """Rows of ``docs`` that stay, one for each distinct text, all columns unchanged."""
+    """Rows of ``docs`` that stay, one for each distinct text, all columns unchanged.
+
+    The dropped (doc_id, digest) pairs are broadcast while they are few, and joined by a shuffle beyond that."""
     digested = saved(digests(docs))
     groups = saved(merged_runs(digested, keep, fan_in).select(_key(), "keep_id", "group_size"))
-    marked = attach(digested.select("doc_id", "digest", _key()), groups, "__key", "group_size").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    kept = saved(marked.groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).count())
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    once = docs.withColumn("__digest", F.unhex(F.sha2(F.encode(F.translate(text, upper, upper.lower()), "UTF-8"), 256)))
-    keys = kept.select("__id", "__digest")
-    stay = once.join(keys, once["doc_id"].cast("long").eqNullSafe(keys["__id"]) & (once["__digest"] == keys["__digest"]), "left_semi")
-    if not kept.where(F.col("count") > 1).isEmpty():
-        stay = stay.dropDuplicates(["doc_id", "__digest"])
-    return stay.select(*docs.columns)
+    marked = attach(digested.select("doc_id", "digest", _key()), groups, "__key", "group_size")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    marked = saved(marked.where(F.col("group_size") > 1).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), stays.alias("stays")).count())
+    gone = marked.where(~F.col("stays")).select("__id", "__d")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    kinds = T.StructType([*docs.schema.fields, T.StructField("__digest", T.BinaryType())])
+    coded = docs.mapInArrow(_with_digest, kinds)
+    kept = coded.join(gone, coded["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (coded["__digest"] == gone["__d"]), "left_anti")
+    if not marked.where(F.col("stays") & (F.col("count") > 1)).isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "__digest"])
+    return kept.select(*docs.columns)

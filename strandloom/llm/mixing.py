@@ -26,14 +26,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 POSITION_BITS, CELL = 48, 12
 
 
-def sizes(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """doc_id, source, size in words, and the document's seeded position in its source."""
+def position(seed: int):
+    """A document's seeded position in its source."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
+    return F.conv(F.substring(digest, 1, POSITION_BITS // 4), 16, 10).cast("long")
+
+
+def sizes(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """doc_id, source, size in words, and the document's position."""
     return docs.select(
         F.col("doc_id"),
         F.col("source"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(digest, 1, POSITION_BITS // 4), 16, 10).cast("long").alias("position"),
+        position(seed).alias("position"),
     )
 
 
@@ -62,17 +67,13 @@ def water_fill(totals: DataFrame, max_epochs: float = 3) -> DataFrame:
     return totals.withColumn("target", F.least(cap, weight * F.lit(level)))
 
 
-def mix(docs: DataFrame, max_epochs: float = 3, seed: int = 0, weights=cyclic_weights) -> DataFrame:
-    """doc_id, size, source_size, target, repeats, taken for every document.
-
-    ``weights`` maps a frame of (source, source_size) to one with ``weight`` too."""
-    docs = saved(sizes(docs, seed))
+def _plan(docs: DataFrame, max_epochs: float, weights) -> DataFrame:
+    """A row per source: __source, source_size, target, whole and cut; ``docs`` as ``sizes`` gives it."""
     totals = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     filled = water_fill(saved(weights(totals), 1), max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = saved(filled.withColumn("whole", whole).withColumn("part", F.greatest(F.col("target") - whole * F.col("source_size"), F.lit(0.0))), 1)
     plan = plan.withColumnRenamed("source", "__source")
-    same = docs["source"].eqNullSafe(plan["__source"])
 
     fine = POSITION_BITS - 2 * CELL
     top, low = F.shiftright("position", POSITION_BITS - CELL), F.shiftright("position", fine) % (1 << CELL)
@@ -81,25 +82,42 @@ def mix(docs: DataFrame, max_epochs: float = 3, seed: int = 0, weights=cyclic_we
     def boundary(cells: DataFrame, before) -> DataFrame:
         """The first cell of each source by which ``part`` is reached, with what lies below and through it."""
         run = cells.withColumn("through", F.sum("size").over(upto) + before)
-        return run.where(F.col("through") >= F.col("part")).groupBy("source").agg(F.min_by(F.struct("cell", (F.col("through") - F.col("size")).alias("below"), "through"), "cell").alias("at"), F.first("part").alias("part"))
+        reached = run.where(F.col("through") >= F.col("part")).withColumn("below", F.col("through") - F.col("size"))
+        return reached.groupBy("source").agg(F.min_by(F.struct("cell", "below", "through"), "cell").alias("at"), F.first("part").alias("part"))
 
     coarse = docs.groupBy("source", top.alias("cell")).agg(F.sum("size").alias("size"))
     coarse = coarse.join(plan, coarse["source"].eqNullSafe(plan["__source"])).where(F.col("part") > 0).select("source", "cell", "size", "part")
     first = saved(boundary(coarse, F.lit(0)).select(F.col("source").alias("__s"), F.col("at.cell").alias("top"), F.col("at.below").alias("before"), "part"), 1)
     inner = docs.join(first, docs["source"].eqNullSafe(first["__s"]) & (top == first["top"]))
     inner = inner.groupBy("source", "top", "before", "part", low.alias("cell")).agg(F.sum("size").alias("size"))
-    second = boundary(inner.withColumn("size", F.col("size")), F.col("before")).join(first.select("__s", "top"), F.col("source").eqNullSafe(F.col("__s")))
+    second = boundary(inner, F.col("before")).join(first.select("__s", "top"), F.col("source").eqNullSafe(F.col("__s")))
     nearer = F.col("at.through") - F.col("part") < F.col("part") - F.col("at.below")
     cut = F.shiftleft(F.col("top"), POSITION_BITS - CELL) + F.shiftleft(F.col("at.cell") + F.when(nearer, 1).otherwise(0), fine)
     cuts = saved(second.select(F.col("source").alias("__c"), cut.alias("cut")), 1)
-    plan = saved(plan.join(cuts, F.col("__source").eqNullSafe(F.col("__c")), "left").select("__source", "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut")), 1)
-    out = docs.join(plan, docs["source"].eqNullSafe(plan["__source"]))
-    repeats = F.col("whole") + F.when(F.col("position") < F.col("cut"), 1).otherwise(0)
-    return out.select("doc_id", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"))
+    joined = plan.join(cuts, F.col("__source").eqNullSafe(F.col("__c")), "left")
+    return saved(joined.select("__source", "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut")), 1)
+
+
+def _repeats():
+    return F.col("whole") + F.when(F.col("position") < F.col("cut"), 1).otherwise(0)
+
+
+def mix(docs: DataFrame, max_epochs: float = 3, seed: int = 0, weights=cyclic_weights) -> DataFrame:
+    """doc_id, size, source_size, target, repeats, taken for every document.
+
+    ``weights`` maps a frame of (source, source_size) to one with ``weight`` too."""
+    sized = saved(sizes(docs, seed))
+    plan = _plan(sized, max_epochs, weights)
+    out = sized.join(plan, sized["source"].eqNullSafe(plan["__source"]))
+    return out.select("doc_id", "size", "source_size", "target", _repeats().alias("repeats"), (F.col("size") * _repeats()).alias("taken"))
 
 
 def sample(docs: DataFrame, max_epochs: float = 3, seed: int = 0, weights=cyclic_weights) -> DataFrame:
-    """The mix itself: each document as often as it is taken, columns of ``docs`` unchanged."""
-    taken = mix(docs, max_epochs, seed, weights).groupBy(F.col("doc_id").alias("__id")).agg(F.max("repeats").alias("__n")).where(F.col("__n") > 0)
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)
+    """The mix itself: each document as often as it is taken, columns of ``docs`` unchanged.
+
+    The plan has a row per source; documents themselves are not shuffled while it is small."""
+    plan = _plan(saved(sizes(docs, seed)), max_epochs, weights).select("__source", F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
+    joined = docs.withColumn("__position", position(seed)).join(plan, docs["source"].eqNullSafe(plan["__source"]))
+    times = (F.col("__whole") + F.when(F.col("__position") < F.col("__cut"), 1).otherwise(0)).cast("int")
+    taken = joined.withColumn("__times", times).where(F.col("__times") > 0)
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import exact_dedup, license_scan, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, token_counts, url_filters
+from strandloom.llm import exact_dedup, license_scan, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, sentencepiece_lattice, token_counts, url_filters
 
 #: Folder of public vocabulary files.
 VOCABULARIES = Path("/opt/tokenizers")
@@ -68,6 +68,11 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PART
 """
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str, vocabularies: Path = VOCABULARIES) -> DataFrame:
+    vocabulary = sentencepiece_lattice.Vocabulary.load(str(vocabularies / "piece_bpe_32k.model"))
+    return sentencepiece_lattice.round_trip(sentencepiece_lattice.encode(_read(spark, sf_dir, "documents"), vocabulary), vocabulary)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"), max_epochs=3, seed=7)
 
@@ -129,6 +134,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filters, op2_quality_classifier, op3_quality_rules, op4_token_counts, op5_exact_dedup, op7_mixing, op8_ngram_join, op9_license_scan, op10_secret_scan)
+    for f in (op1_url_filters, op2_quality_classifier, op3_quality_rules, op4_token_counts, op5_exact_dedup, op6_sentencepiece, op7_mixing, op8_ngram_join, op9_license_scan, op10_secret_scan)
 }
 ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op7_mixing": OP7_SQL, "op9_license_scan": OP9_SQL}
