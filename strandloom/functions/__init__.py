@@ -1,0 +1 @@
+"""Column functions over sequences, motifs and statistics."""

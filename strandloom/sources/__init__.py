@@ -1,0 +1 @@
+"""Readers and writers of sequence and motif files."""
