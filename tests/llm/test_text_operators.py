@@ -1,0 +1,214 @@
+"""Quality, licence, secret, near-copy and SentencePiece operators against brute force."""
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from conftest_llm import LOWER, SCHEMA, TEXTS, WORD, rows_of
+from pyspark.sql import functions as F
+
+from strandloom.llm import license_scan, ngram_join, quality_classifier, quality_rules, secret_scan
+from strandloom.llm import sentencepiece_lattice as lattice
+from strandloom.llm.components import components
+from strandloom.llm.features import RATIOS
+from strandloom.llm.registry import VOCABULARIES
+
+
+def statistics(text):
+    text = text or ""
+    words = WORD.findall(text)
+    windows = Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
+    covered = {k + j for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for j in range(3)}
+    seen, repeated = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            repeated += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), repeated, len(covered)
+
+
+def check_rules(rows, texts):
+    for r in rows:
+        n_words, *_, covered = want = statistics(texts[r["doc_id"]])
+        assert tuple(r[1:6]) == want
+        assert r["base_failed"] == (n_words < 50 or 100 * covered > 50 * n_words)
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_quality_rules(table, docs, no_docs):
+    documents, labels = table("documents"), table("labels")
+    forest = quality_rules.train(documents, labels)
+    check_rules(quality_rules.judge(documents, forest).collect(), {r["doc_id"]: r["text"] for r in documents.collect()})
+    check_rules(quality_rules.judge(docs, forest).collect(), dict(TEXTS))
+    assert quality_rules.judge(no_docs, forest).collect() == []
+    untaught = quality_rules.train(documents, labels.limit(0))
+    assert all(r["kept"] != r["base_failed"] for r in quality_rules.judge(docs, untaught).collect())
+
+
+def test_trees_are_monotonic():
+    rng = np.random.default_rng(1)
+    x = rng.random((3000, len(RATIOS)))
+    label = ((x[:, 0] < 0.4) ^ (rng.random(3000) < 0.2)).astype(int)
+    forest = quality_rules.fit(x, label)
+    assert ((forest.probability(x) > 0.5) == (x[:, 0] < 0.4)).mean() > 0.95
+    for name in quality_rules.MONOTONE:
+        rising = np.repeat(x[:50], 20, axis=0)
+        rising[:, RATIOS.index(name)] = np.tile(np.linspace(0, 1, 20), 50)
+        assert (np.diff(forest.probability(rising).reshape(50, 20), axis=1) <= 1e-12).all()
+
+
+def test_quality_classifier(spark, docs, no_docs):
+    folder = "/root/testdata/sf0.01"
+    documents, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = quality_classifier.train(documents, labels)
+    scored = quality_classifier.score(documents, model)
+    held = scored.join(labels, "doc_id").where("held_out").toPandas()
+    good, bad = held[held.quality == 1].score.values, held[held.quality == 0].score.values
+    assert (good[:, None] > bad[None, :]).mean() > 0.97
+    assert (held.predicted == held.quality).mean() > 0.95
+    assert ((held.score >= 0.3) == (held.predicted == 1)).all()
+    assert sorted(r["doc_id"] for r in quality_classifier.keep(documents, model).collect()) == sorted(r["doc_id"] for r in scored.where("predicted = 1").collect())
+    odd = quality_classifier.score(docs, model).collect()
+    assert len(odd) == len(TEXTS) and all(0 <= r["score"] <= 1 for r in odd)
+    assert quality_classifier.score(no_docs, model).collect() == [] and quality_classifier.keep(no_docs, model).columns == no_docs.columns
+    untaught = quality_classifier.train(documents, labels.limit(0))
+    assert {round(r["score"], 9) for r in quality_classifier.score(docs, untaught).collect()} == {0.5}
+
+
+def test_license_scan(docs, no_docs):
+    found = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
+    assert license_scan.scan(docs).count() == len(TEXTS)
+    for i, text in TEXTS:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+        places = [(k, label) for label, phrase in license_scan.PHRASES for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        r = found[i]
+        assert (r["n_words"], r["n_base"]) == (len(words), len(places))
+        assert (r["first_word"], r["last_word"]) == (min((p[0] for p in places), default=None), max((p[0] for p in places), default=None))
+        assert r["base_labels"] == ",".join(sorted({p[1] for p in places})) and 0 <= r["score"] <= 1
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
+    assert found[15]["labels"] == "apache,apache-2.0,gpl" and found[None]["labels"] == "mit"
+    assert license_scan.scan(no_docs).collect() == []
+
+
+def test_license_spans_bear_edits(spark):
+    notice = dict(license_scan.NOTICES)["bsd"].split()
+    texts = [(1, " ".join(notice[:6] + ["or", "so"] + notice[6:])), (2, " ".join(notice[::-1])), (3, " ".join(notice[: len(notice) // 2]))]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(texts, "doc_id int, text string")).collect()}
+    assert got == {1: "bsd", 2: "", 3: ""}
+
+
+def test_secret_scan(docs, no_docs):
+    found = secret_scan.scan(docs).collect()
+    want = Counter((i, m.start(), m.group()) for i, t in TEXTS for m in re.finditer(secret_scan.CANDIDATE, t or ""))
+    assert Counter((r["doc_id"], r["start"], r["candidate"]) for r in found) == want
+    assert {r["candidate"][:4]: r["is_secret"] for r in found if r["doc_id"] == 12} == {"24be": True, "4785": False}
+    assert secret_scan.scan(no_docs).collect() == []
+
+
+def brute_components(texts, k, percent):
+    sets = []
+    for i, t in texts:
+        words = WORD.findall((t or "").translate(LOWER))
+        sets.append((i, frozenset(tuple(words[j : j + k]) for j in range(len(words) - k + 1)) or (frozenset([tuple(words)]) if words else frozenset())))
+    up = list(range(len(sets)))
+
+    def root(x):
+        return x if up[x] == x else root(up[x])
+
+    for x in range(len(sets)):
+        for y in range(x):
+            a, b = sets[x][1], sets[y][1]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                up[root(x)] = root(y)
+    least = defaultdict(list)
+    for x, (i, _) in enumerate(sets):
+        if i is not None:
+            least[root(x)].append(i)
+    return Counter((i, len(s), min(least[root(x)], default=None) if s else i) for x, (i, s) in enumerate(sets))
+
+
+@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80), (1, 50)])
+def test_ngram_join(spark, docs, no_docs, k, percent):
+    assert Counter(tuple(r) for r in ngram_join.join(docs, k, percent).collect()) == brute_components(TEXTS, k, percent)
+    rng = np.random.default_rng(3)
+    base = [f"t{j}" for j in range(60)]
+    near = []
+    for i in range(150):
+        words = list(base) if i % 5 else [f"u{i}_{j}" for j in range(40)] + base[:20]
+        for j in rng.integers(0, len(words), rng.integers(0, 4)):
+            words[j] = f"e{rng.integers(0, 50)}"
+        near.append((1000 - i, " ".join(words)))
+    made = spark.createDataFrame(rows_of(near), SCHEMA).repartition(4)
+    assert Counter(tuple(r) for r in ngram_join.join(made, k, percent).collect()) == brute_components(near, k, percent)
+    kept = ngram_join.deduplicate(made, k, percent)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in brute_components(near, k, percent)})
+    assert ngram_join.join(no_docs, k, percent).collect() == []
+
+
+def test_components(spark):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(1000, 1100)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    up = {x: x for e in edges for x in e}
+    for _ in range(len(up)):
+        before = dict(up)
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+        if up == before:
+            break
+    loops = {x for x in up if all(x not in e or e[0] == e[1] for e in edges)}
+    assert got == {x: r for x, r in up.items() if x not in loops}
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 19])
+def test_sentencepiece(docs, no_docs, limit):
+    import sentencepiece
+
+    path = str(VOCABULARIES / "piece_bpe_32k.model")
+    library, vocabulary = sentencepiece.SentencePieceProcessor(model_file=path), lattice.Vocabulary.load(path)
+    encoded = lattice.encode(docs, vocabulary, limit)
+    want = Counter((i, tuple(library.encode(t or ""))) for i, t in TEXTS)
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in encoded.collect()) == want
+    texts = Counter((i, (t or "").replace("▁", " ")) for i, t in TEXTS)
+    assert Counter((r["doc_id"], r["text"]) for r in lattice.decode(encoded, vocabulary).collect()) == texts
+    checked = lattice.round_trip(docs, vocabulary, limit).collect()
+    assert all(r["decodes"] for r in checked)
+    assert Counter(r["ids_sha256"] for r in checked) == Counter(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() for (_, ids), n in want.items() for _ in range(n))
+    assert lattice.encode(no_docs, vocabulary, limit).collect() == []
+
+
+def test_viterbi_of_unigram_scores(spark):
+    pieces = {"a": -2.0, "b": -2.5, "ab": -3.0, "abc": -7.0, "bc": -3.2, "c": -2.0, " ": -1.0, " a": -2.2, "ca": -9.0}
+    byte_ids = {b: b for b in range(256)}
+    names = [f"<{b}>" for b in range(256)] + list(pieces)
+    vocabulary = lattice.Vocabulary(names, [0.0] * 256 + list(pieces.values()), byte_ids, {p: 256 + k for k, p in enumerate(pieces)}, unigram=True)
+    words = [" abc", " abcabc", "ab", " cab", "bca", " b"]
+
+    def best(word):
+        table = [(0.0, [])]
+        for end in range(1, len(word) + 1):
+            table.append(max((table[a][0] + pieces[word[a:end]], table[a][1] + [word[a:end]]) for a in range(end) if word[a:end] in pieces))
+        return [256 + list(pieces).index(p) for p in table[-1][1]]
+
+    frame = spark.createDataFrame([(w,) for w in words], "word string").repartition("word")
+    assert {r["word"]: r["ids"] for r in lattice.word_ids(frame, vocabulary, ["word"], []).collect()} == {w: best(w) for w in words}
+
+
+def test_pipeline_stages(spark, data_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet")
+    assert len(corpus_pipeline.STAGES) == 5
+    frame, seen = docs, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = spark.createDataFrame(stage(spark, frame, data_dir).collect(), docs.schema)
+        assert frame.columns == docs.columns
+        seen.append((name, frame.count()))
+    assert seen[0][1] >= seen[1][1] >= seen[2][1] > 0
+    mixed = Counter(r["doc_id"] for r in frame.collect())
+    assert max(mixed.values()) <= 3
+    last = corpus_pipeline.run(spark, data_dir)
+    assert Counter(r["doc_id"] for r in last.collect()) == mixed
+    assert last.where(F.size("ids") != F.col("n_tokens")).isEmpty()
