@@ -8,20 +8,28 @@ component of words is ever held in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.sequences import canonical, revcomp
-from strandloom.operators.composition import LETTERS, word_pfm
+from strandloom.functions.sequences import IUPAC, canonical, revcomp
+from strandloom.operators.composition import LETTERS
 
 #: Letters of a run that two words must share to be compared.
-SEED = 3
+SEED = 4
+#: Codes and their complements.
+CODES, COMPLEMENTS = "ACGTRYKMSWBDHVN", "TGCAYRMKSWVHDBN"
 #: Distance of a pair of clusters whose members have no edge.
 MISSING = 1.0
 
 
 def seed_pairs(words: DataFrame, seed: int = SEED) -> DataFrame:
-    """id_a < id_b of words that share a run of ``seed`` known letters on either strand."""
+    """id_a < id_b of words that share a run of ``seed`` known letters on either strand.
+
+    Words without such a run are not compared, however alike they are."""
     n = F.length("word")
     runs = words.where(n >= seed).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n - seed + 1), lambda i: canonical(F.substring("word", i, F.lit(seed)))))).alias("run"))
     runs = runs.where(~F.contains("run", F.lit("N")))
@@ -29,19 +37,46 @@ def seed_pairs(words: DataFrame, seed: int = SEED) -> DataFrame:
     return a.join(b, "run").where("id_a < id_b").select("id_a", "id_b").distinct()
 
 
-def _centred(words: DataFrame) -> DataFrame:
-    """id, word and matrix rows centred and scaled to unit length (zero for a flat row)."""
-    m = word_pfm(words.select("word").distinct())
-    mean = sum((F.col(x) for x in LETTERS[1:]), F.col("A")) / 4
-    parts = [F.col(x) - mean for x in LETTERS]
-    norm = F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
-    unit = m.select("word", "pos", F.array(*(F.when(norm > 1e-9, p / norm).otherwise(0.0) for p in parts)).alias("row"))
-    rows = unit.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("pos", "row"))).alias("r"))
-    return words.join(rows.select("word", F.col("r.row").alias("rows")), "word").select("id", "word", "rows")
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return sum((a[k] * b[k] for k in range(1, 4)), a[0] * b[0])
+def _correlations() -> np.ndarray:
+    """Pearson correlation of the columns of any two codes (zero for N)."""
+    rows = np.array([[float(x in IUPAC[code]) / len(IUPAC[code]) for x in LETTERS] for code in CODES])
+    rows = (rows + 0.01) / 1.04
+    rows = rows - rows.mean(axis=1, keepdims=True)
+    norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    unit = np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 1e-9)
+    return unit @ unit.T
+
+
+def _best_offsets(a: np.ndarray, b: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of equal-width words, the best score and its smallest offset."""
+    na, nb = a.shape[1], b.shape[1]
+    best, at = np.full(len(a), -np.inf), np.zeros(len(a), np.int64)
+    for off in range(1 - nb, na):
+        i = np.arange(max(off, 0), min(na, off + nb))
+        score = np.round(table[a[:, i], b[:, i - off]].sum(axis=1) / min(na, nb), 9)
+        better = score > best
+        best, at = np.where(better, score, best), np.where(better, off, at)
+    return best, at
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = _correlations()
+    place = np.zeros(128, np.int64)
+    place[[ord(c) for c in CODES]] = np.arange(len(CODES))
+    other = np.array([CODES.index(c) for c in COMPLEMENTS])
+    for batch in batches:
+        words = [[place[np.frombuffer(w.encode(), np.uint8)] for w in batch.column(k).to_pylist()] for k in (2, 3)]
+        widths: dict[tuple[int, int], list[int]] = {}
+        for r, (x, y) in enumerate(zip(*words, strict=True)):
+            widths.setdefault((len(x), len(y)), []).append(r)
+        sim, off, strand = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, "+", object)
+        for rows in widths.values():
+            a, b = (np.array([side[r] for r in rows]) for side in words)
+            plus, plus_off = _best_offsets(a, b, table)
+            minus, minus_off = _best_offsets(a, other[b[:, ::-1]], table)
+            turned = minus > plus
+            sim[rows], off[rows], strand[rows] = np.where(turned, minus, plus), np.where(turned, minus_off, plus_off), np.where(turned, "-", "+")
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim), pa.array(strand, pa.string()), pa.array(off.astype(np.int32))], names=["id_a", "id_b", "sim", "strand", "off"])
 
 
 def similarities(words: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -49,24 +84,12 @@ def similarities(words: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Columns are summed over the overlap and divided by the shorter width; ``off`` places
     the second word's first column on the first word.  Ties go to the plus strand, then
-    to the smallest offset."""
-    table = _centred(words)
-    a = table.select(F.col("id").alias("id_a"), F.col("rows").alias("ra"))
-    b = table.select(F.col("id").alias("id_b"), F.col("rows").alias("rb"))
-    joined = pairs.join(a, "id_a").join(b, "id_b").withColumns({"na": F.size("ra"), "nb": F.size("rb")})
-    turned = F.reverse(F.transform("rb", lambda r: F.reverse(r)))
-
-    def at(rows: Column, strand: str) -> Column:
-        def score(off: Column) -> Column:
-            begin, end = F.greatest(off, F.lit(0)), F.least(F.col("na"), off + F.col("nb"))
-            inside = F.sequence(begin, end - 1)
-            total = F.aggregate(inside, F.lit(0.0), lambda s, i: s + _dot(F.get("ra", i), F.get(rows, i - off)))
-            return F.struct(F.round(total / F.least("na", "nb"), 9).alias("sim"), F.lit(1 if strand == "+" else 0).alias("plus"), (-off).alias("back"), F.lit(strand).alias("strand"))
-
-        return F.transform(F.sequence(1 - F.col("nb"), F.col("na") - 1), score)
-
-    best = F.array_max(F.concat(at(F.col("rb"), "+"), at(turned, "-")))
-    return joined.select("id_a", "id_b", best.alias("best")).select("id_a", "id_b", "best.sim", "best.strand", (-F.col("best.back")).alias("off"))
+    to the smallest offset.  A column is one of fifteen codes, so its correlation with
+    another is looked up."""
+    a = words.select(F.col("id").alias("id_a"), F.col("word").alias("wa"))
+    b = words.select(F.col("id").alias("id_b"), F.col("word").alias("wb"))
+    joined = pairs.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", "wa", "wb")
+    return joined.mapInArrow(_compare, "id_a long, id_b long, sim double, strand string, off int")
 
 
 def distances(sims: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators.packing import letters, pieces
-from strandloom.operators.scan import window_scores
+from strandloom.operators.scan import TIE, window_scores
 
 #: Weight of the background prior that each step adds to a letter, and where a pass counts as converged.
 PRIOR, CONVERGED = 1e-4, 1e-6
@@ -58,7 +58,7 @@ def responsibilities(code: np.ndarray, model: Model, both_strands: bool = True)
     score = np.maximum(forward, backward) + np.log(model.bias)
     with np.errstate(over="ignore"):
         z = 1 / (1 + np.exp(-(score + np.log(model.rate / (1 - model.rate)))))
-    return z, backward > forward, score
+    return z, backward > forward + TIE, score
 
 
 def _expected(models: list[Model], both_strands: bool):

@@ -14,6 +14,8 @@ from strandloom.operators.ordered import running_totals
 from strandloom.operators.packing import letters, pieces
 
 Matrix = Sequence[Sequence[float]]
+#: Scores of both strands this close are a tie, which the plus strand wins.
+TIE = 1e-9
 
 
 def window_scores(code: np.ndarray, matrix: np.ndarray) -> np.ndarray:
@@ -50,7 +52,7 @@ def _scan(log_odds: Matrix, threshold: float | None, both_strands: bool):
                 whole = owner[: len(one)] == owner[width - 1 :]
                 at = np.flatnonzero(whole & (best > (-np.inf if threshold is None else threshold)))
                 ids = piece.column(0).take(pa.array(owner[at]))
-                strand = np.where(two[at] > one[at], "-", "+")
+                strand = np.where(two[at] > one[at] + TIE, "-", "+")
                 yield pa.RecordBatch.from_arrays([ids, pa.array((at - offsets[owner[at]]).astype(np.int64)), pa.array(strand.astype(object), pa.string()), pa.array(best[at])], names=["seq_id", "start", "strand", "score"])
 
     return run

@@ -240,7 +240,7 @@ def hit_words(spark, sf_dir) -> DataFrame:
 
 
 _FORWARD, _BACKWARD = (_score_sql(motif_odds())[len("greatest(") : -1].split(" END, ", 1)[k] + (" END" if k == 0 else "") for k in (0, 1))
-_ORIENTED = f"{_HITS}, sites AS (SELECT seq_id, start, CASE WHEN ({_BACKWARD}) > ({_FORWARD}) THEN {RC.format('word')} ELSE word END AS word, score FROM hits)"
+_ORIENTED = f"{_HITS}, sites AS (SELECT seq_id, start, CASE WHEN ({_BACKWARD}) > ({_FORWARD}) + 1e-9 THEN {RC.format('word')} ELSE word END AS word, score FROM hits)"
 
 
 @_query(f"WITH {_ORIENTED} SELECT h.seq_id, h.start, round(h.score, 6) AS score, CASE WHEN s.word <> h.word THEN '-' ELSE '+' END AS strand FROM hits h JOIN sites s USING (seq_id, start)")
@@ -394,7 +394,7 @@ def cumulative_background(spark, sf_dir):
     return joined.groupBy("seq_id").agg(F.round(F.sum(F.log("conditional")), 4).alias("log_background"), F.count(F.lit(1)).alias("letters"))
 
 
-_POSTERIOR = f"{_HITS}, z AS (SELECT CASE WHEN ({_BACKWARD}) > ({_FORWARD}) THEN {RC.format('word')} ELSE word END AS word, 1 / (1 + exp(-(score + {math.log(RATE / (1 - RATE))!r}::DOUBLE))) AS z FROM scored)"
+_POSTERIOR = f"{_HITS}, z AS (SELECT CASE WHEN ({_BACKWARD}) > ({_FORWARD}) + 1e-9 THEN {RC.format('word')} ELSE word END AS word, 1 / (1 + exp(-(score + {math.log(RATE / (1 - RATE))!r}::DOUBLE))) AS z FROM scored)"
 
 
 @_query(f"WITH {_POSTERIOR}, l AS (SELECT j::INT AS pos, substr(word, j + 1, 1) AS x, z FROM z, range({len(MOTIF)}) t(j)) SELECT pos, " + ", ".join(f"round(sum(z) FILTER (WHERE x = '{x}'), 3) AS {x}" for x in LETTERS) + " FROM l GROUP BY pos")
@@ -471,11 +471,11 @@ def _lf(x: str) -> str:
     return f"(CASE WHEN ({x}) < 2 THEN 0 WHEN ({x}) < 5 THEN CASE ({x})::INT WHEN 2 THEN ln(2) WHEN 3 THEN ln(6) ELSE ln(24) END ELSE ({x}) * ln({x}) - ({x}) + ln(2 * 3.14159::DOUBLE * ({x})) / 2 END)"
 
 
-_HYPER = f"exp({_lf('K')} + {_lf('N - K')} + {_lf('N - m')} + {_lf('m')} - {_lf('N')} - {_lf('K - i')} - {_lf('i')} - {_lf('N - K - m + i')} - {_lf('m - i')})"
+_HYPER = f"exp({_lf('marked')} + {_lf('pop - marked')} + {_lf('pop - drawn')} + {_lf('drawn')} - {_lf('pop')} - {_lf('marked - i')} - {_lf('i')} - {_lf('pop - marked - drawn + i')} - {_lf('drawn - i')})"
 
 
-@_query(f"""WITH g AS (SELECT source, count(*)::DOUBLE AS m, count(*) FILTER (WHERE quality = 1)::DOUBLE AS k FROM documents JOIN labels USING (doc_id) GROUP BY source), t AS (SELECT *, sum(m) OVER () AS N, sum(k) OVER () AS K FROM (SELECT source, m, k AS hits, k FROM g)),
-e AS (SELECT source, m, hits, N, K, unnest(range(hits::BIGINT, least(m, K)::BIGINT + 1))::DOUBLE AS i FROM t) SELECT source, m::BIGINT AS drawn, hits::BIGINT AS hits, round(sum({_HYPER}), 6) AS p FROM e GROUP BY source, m, hits""")
+@_query(f"""WITH g AS (SELECT source, count(*)::DOUBLE AS drawn, count(*) FILTER (WHERE quality = 1)::DOUBLE AS hits FROM documents JOIN labels USING (doc_id) GROUP BY source), t AS (SELECT *, sum(drawn) OVER () AS pop, sum(hits) OVER () AS marked FROM g),
+e AS (SELECT *, unnest(range(hits::BIGINT, least(drawn, marked)::BIGINT + 1))::DOUBLE AS i FROM t) SELECT source, drawn::BIGINT AS drawn, hits::BIGINT AS hits, round(sum({_HYPER}), 6) AS p FROM e GROUP BY source, drawn, hits""")
 def hypergeom_pvalue(spark, sf_dir):
     """Over-representation of good documents in each source."""
     joined = _read(spark, sf_dir, "documents").select("doc_id", "source").join(_read(spark, sf_dir, "labels"), "doc_id")

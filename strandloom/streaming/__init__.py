@@ -1,0 +1 @@
+"""Structured Streaming forms of word counts and scans."""
