@@ -70,7 +70,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PART
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str, vocabularies: Path = VOCABULARIES) -> DataFrame:
     vocabulary = sentencepiece_lattice.Vocabulary.load(str(vocabularies / "piece_bpe_32k.model"))
-    return sentencepiece_lattice.round_trip(sentencepiece_lattice.encode(_read(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return sentencepiece_lattice.round_trip(_read(spark, sf_dir, "documents"), vocabulary)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

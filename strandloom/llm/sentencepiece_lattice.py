@@ -37,11 +37,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import slices, text_bytes
+from strandloom.llm.common import shuffle_parts, slices, text_bytes
 
 #: Words that are folded ahead and broadcast, at most.
 FREQUENT = 1 << 20
-#: Borders that one fold can hold, and the code of a character that no piece has.
+#: Borders that one fold can hold, and the bits of an id.
 LONGEST, NO_PIECE = 62, (1 << 20) - 1
 #: Rank of edges that merge nothing.
 LAST = (1 << 20) - 1
@@ -80,6 +80,14 @@ class Vocabulary:
     def longest(self) -> int:
         return max(map(len, self.text_ids))
 
+    @cached_property
+    def length_bits(self) -> int:
+        """Bits that hold a piece's length less one."""
+        bits = max(1, (self.longest - 1).bit_length())
+        if bits > 6:
+            raise ValueError("pieces are longer than a fold holds")
+        return bits
+
     @cached_property
     def barriers(self) -> np.ndarray:
         """ASCII bytes that no piece of two or more characters has."""
@@ -109,6 +117,22 @@ class Vocabulary:
             out += [self.text_ids[p]] if p in self.text_ids else [self.byte_ids[b] for b in p.encode()]
         return out
 
+    def ids_at(self, word: str, borders: int) -> list[int]:
+        """Ids of the parts between the borders that a fold left standing."""
+        out, a = [], 0
+        known, rest = self.text_ids, borders >> 1
+        while rest:
+            b = a + (rest & -rest).bit_length()
+            part = word[a:b]
+            i = known.get(part)
+            if i is None:
+                out += [self.byte_ids[x] for x in part.encode()]
+            else:
+                out.append(i)
+            rest >>= b - a
+            a = b
+        return out
+
     def merged(self, word: str) -> list[int]:
         """BPE of one word by a priority queue, for any length."""
         n = len(word)
@@ -198,88 +222,87 @@ def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, rank int, id int, score double")
 
 
-def lattice(words: DataFrame, vocabulary: Vocabulary, keys: list[str]) -> DataFrame:
-    """``keys`` (which include ``word``) and ``edges``, each packed as rank, begin, end, id, sorted.
+def lattice(words: DataFrame, vocabulary: Vocabulary, keys: list[str], carried: list[str]) -> DataFrame:
+    """``keys`` (which include ``word``), ``edges`` and the ``carried`` columns of every row of ``words``.
 
-    ``words`` must be partitioned by a part of ``keys``; then nothing is shuffled."""
-    n = F.length("word")
-    spans = words.withColumn("a", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("l", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), n - F.col("a")))))
-    spans = spans.withColumn("piece", F.substring("word", F.col("a") + 1, F.col("l")))
-    met = spans.join(F.broadcast(piece_table(words.sparkSession, vocabulary)), "piece", "left").where(F.col("id").isNotNull() | (F.col("l") == 1))
-    rank, code = F.coalesce("rank", F.lit(LAST)).cast("long"), F.coalesce("id", F.lit(NO_PIECE)).cast("long")
-    a, b = F.col("a").cast("long"), (F.col("a") + F.col("l")).cast("long")
-    packed = F.shiftleft(rank, 32) + F.shiftleft(a, 26) + F.shiftleft(b, 20) + code
-    return met.groupBy(*keys).agg(F.array_sort(F.collect_set(packed)).alias("edges"))
+    An edge packs rank, begin, length and id; edges are sorted, so the best rank is first.
+    Edges of one character merge nothing and are left out of BPE lattices.  ``words``
+    must be partitioned by a part of ``keys``; then nothing is shuffled here.  Every
+    word keeps at least one row, also the empty one."""
+    n, a = F.length("word"), F.col("a")
+    least = F.lit(1 if vocabulary.unigram else 2)
+    spans = words.withColumn("a", F.explode_outer(F.when(n > 0, F.sequence(F.lit(0), n - 1))))
+    spans = spans.withColumn("l", F.explode_outer(F.when(n - a >= least, F.sequence(least, F.least(F.lit(vocabulary.longest), n - a)))))
+    spans = spans.withColumn("piece", F.substring("word", a + 1, F.col("l")))
+    met = spans.join(F.broadcast(piece_table(words.sparkSession, vocabulary)), "piece", "left")
+    met = met.where(F.col("l").isNull() | F.col("id").isNotNull())
+    rank, code = F.col("rank").cast("long"), F.col("id").cast("long")
+    place = F.shiftleft(a, vocabulary.length_bits) + F.col("l") - 1
+    packed = F.shiftleft(rank, 32) + F.shiftleft(place.cast("long"), 20) + code  # null without a piece
+    return met.groupBy(*keys).agg(F.array_sort(F.collect_list(packed)).alias("edges"), *(F.first(c).alias(c) for c in carried))
 
 
 def _bit(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), k)
 
 
-def _ends(e: Column) -> tuple[Column, Column]:
-    return F.shiftright(e, 26).bitwiseAND(F.lit(63)).cast("int"), F.shiftright(e, 20).bitwiseAND(F.lit(63)).cast("int")
-
+def _ends(e: Column, bits: int) -> tuple[Column, Column]:
+    begin = F.shiftright(e, 20 + bits).bitwiseAND(F.lit(63)).cast("int")
+    return begin, begin + F.shiftright(e, 20).bitwiseAND(F.lit((1 << bits) - 1)).cast("int") + 1
 
-def fold_ranks(edges: Column, word: Column) -> Column:
-    """Borders (as bits) that stand after merging by rank."""
 
-    def step(borders: Column, e: Column) -> Column:
-        a, b = _ends(e)
-        ends = _bit(a) + _bit(b)
-        inside = borders.bitwiseAND(_bit(b) - _bit(a + 1))
-        one = (inside != 0) & (inside.bitwiseAND(inside - 1) == 0)
-        return F.when((borders.bitwiseAND(ends) == ends) & one, borders - inside).otherwise(borders)
-
-    return F.aggregate(F.filter(edges, lambda e: e < F.lit(LAST << 32)), _bit(F.length(word) + 1) - 1, step)
+def fold_ranks(edges: Column, word: Column, bits: int) -> Column:
+    """Borders (as bits) that stand after merging by rank.
 
+    Masks are looked up by an edge's begin and length, since expressions in the fold
+    are interpreted for every edge.  An edge merges if three borders stand from its
+    begin to its end, and both ends are among them."""
+    places = [(a, a + length + 1) for a in range(LONGEST) for length in range(1 << bits)]
 
-def ids_between(edges: Column, borders: Column, word: Column, first_byte: int) -> Column:
-    """Ids of the edges whose ends stand with no border inside, in order; bytes where no piece fits."""
+    def table(mask) -> Column:
+        return F.expr("array(" + ", ".join(f"{mask(a, b) if b <= LONGEST else 0}L" for a, b in places) + ")")
 
-    def stands(e: Column) -> Column:
-        a, b = _ends(e)
-        return borders.bitwiseAND(_bit(b + 1) - _bit(a)) == _bit(a) + _bit(b)
+    span, ends, inside = table(lambda a, b: (2 << b) - (1 << a)), table(lambda a, b: (1 << a) | (1 << b)), table(lambda a, b: (1 << b) - (2 << a))
 
-    def of_bytes(e: Column) -> Column:
-        character = F.hex(F.encode(F.substring(word, _ends(e)[0] + 1, F.lit(1)), "UTF-8"))
-        return F.transform(F.sequence(F.lit(1), F.length(character), F.lit(2)), lambda i: (F.conv(F.substring(character, i, F.lit(2)), 16, 10).cast("int") + first_byte))
+    def step(borders: Column, e: Column) -> Column:
+        k = F.shiftright(e, 20).bitwiseAND(F.lit((1 << (6 + bits)) - 1)).cast("int")
+        three = F.bit_count(borders.bitwiseAND(F.get(span, k))) == 3
+        both = borders.bitwiseAND(F.get(ends, k)) == F.get(ends, k)
+        return F.when(three & both, borders - borders.bitwiseAND(F.get(inside, k))).otherwise(borders)
 
-    code = F.lit(NO_PIECE).cast("long")
-    ordered = F.array_sort(F.transform(F.filter(edges, stands), lambda e: e.bitwiseAND(F.lit((1 << 32) - 1))))
-    plain = F.transform(ordered, lambda e: e.bitwiseAND(code).cast("int"))
-    mixed = F.flatten(F.transform(ordered, lambda e: F.when(e.bitwiseAND(code) == code, of_bytes(e)).otherwise(F.array(e.bitwiseAND(code).cast("int")))))
-    return F.when(F.exists(ordered, lambda e: e.bitwiseAND(code) == code), mixed).otherwise(plain)
+    return F.aggregate(edges, _bit(F.length(word) + 1) - 1, step)
 
 
-def viterbi(edges: Column, scores: Column, word: Column, unknown: float = -100.0) -> Column:
-    """Borders of the best-sum path; ``scores`` maps an edge's id to its score (unigram models).
+def viterbi(edges: Column, scores: Column, word: Column, bits: int, unknown: float = -100.0) -> Column:
+    """Borders (as bits) of the best-sum path; ``scores`` maps an edge's id to its score (unigram models).
 
-    The state holds, for each border reached so far, the best sum and the borders of its path."""
+    The state holds, for each border reached so far, the best sum and the borders of its
+    path.  A character without a piece costs ``unknown``."""
     start = F.array(F.struct(F.lit(0.0).alias("sum"), F.lit(1).cast("long").alias("path")))
 
     def reach(state: Column, end: Column) -> Column:
         def option(e: Column) -> Column:
-            a, _ = _ends(e)
-            prior = F.element_at(state, a + 1)
-            gain = F.coalesce(F.element_at(scores, e.bitwiseAND(F.lit(NO_PIECE)).cast("int")), F.lit(unknown))
+            prior = F.element_at(state, _ends(e, bits)[0] + 1)
+            gain = F.element_at(scores, e.bitwiseAND(F.lit(NO_PIECE)).cast("int"))
             return F.struct((prior["sum"] + gain).alias("sum"), (prior["path"] + _bit(end)).alias("path"))
 
-        here = F.transform(F.filter(edges, lambda e: _ends(e)[1] == end), option)
-        return F.concat(state, F.array(F.array_max(here)))
+        before = F.element_at(state, end)
+        alone = F.struct((before["sum"] + unknown).alias("sum"), (before["path"] + _bit(end)).alias("path"))
+        here = F.transform(F.filter(edges, lambda e: _ends(e, bits)[1] == end), option)
+        return F.concat(state, F.array(F.when(F.size(here) > 0, F.array_max(here)).otherwise(alone)))
 
     return F.element_at(F.aggregate(F.sequence(F.lit(1), F.length(word)), start, reach), -1)["path"]
 
 
-def word_ids(words: DataFrame, vocabulary: Vocabulary, keys: list[str]) -> DataFrame:
-    """``keys`` and ``ids`` for every row of ``words``, by lattice and fold."""
-    first_byte = vocabulary.byte_ids[0]
-    graph = lattice(words, vocabulary, keys)
+def word_borders(words: DataFrame, vocabulary: Vocabulary, keys: list[str], carried: list[str]) -> DataFrame:
+    """``keys`` (which include ``word``), ``carried`` and ``borders`` for every row of ``words``, by lattice and fold."""
+    graph = lattice(words, vocabulary, keys, carried)
     if vocabulary.unigram:
         scores = F.create_map(*(F.lit(x) for i in vocabulary.text_ids.values() for x in (i, float(vocabulary.scores[i]))))
-        graph = graph.withColumn("borders", viterbi(F.col("edges"), scores, F.col("word")))
+        borders = F.when(F.length("word") > 0, viterbi(F.col("edges"), scores, F.col("word"), vocabulary.length_bits))
     else:
-        graph = graph.withColumn("borders", fold_ranks(F.col("edges"), F.col("word")))
-    return graph.select(*keys, ids_between(F.col("edges"), F.col("borders"), F.col("word"), first_byte).alias("ids"))
+        borders = fold_ranks(F.col("edges"), F.col("word"), vocabulary.length_bits)
+    return graph.select(*keys, *carried, borders.alias("borders"))
 
 
 def frequent_words(texts: DataFrame, vocabulary: Vocabulary, shared, limit: int) -> tuple[pa.Array, pa.Array]:
@@ -300,65 +323,61 @@ def frequent_words(texts: DataFrame, vocabulary: Vocabulary, shared, limit: int)
         counted.unpersist()
         return pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
     chosen = counted.where(F.col("step") >= least).select("word").repartition("word")
-    table = word_ids(chosen, vocabulary, ["word"]).toArrow()
+    table = word_borders(chosen, vocabulary, ["word"], []).toArrow()
     counted.unpersist()
-    return table.column("word").combine_chunks(), table.column("ids").combine_chunks()
+    words = table.column("word").combine_chunks()
+    ids = [vocabulary.ids_at(w, b) for w, b in zip(words.to_pylist(), table.column("borders").to_pylist(), strict=True)]
+    return words, pa.array(ids, pa.list_(pa.int32()))
 
 
-#: ``odd`` has the ids of words that no fold takes, ``rare`` the other words to be folded; the other one of the two is null.
-_CODED = "key long, doc_id long, text_sha256 binary, codes binary, odd array<array<int>>, rare array<string>"
+#: Row -1 of a text holds its word codes and the ids of words that no fold takes; rows from 0 hold its rare words.
+_CODED = "row long, place int, word string, doc_id long, text_sha256 binary, codes binary, odd array<array<int>>"
+_KINDS = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.int32()))]
+_NAMES = ["row", "place", "word", "doc_id", "text_sha256", "codes", "odd"]
 
 
 def _code(shared, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, listed = shared.value, _from_ipc(frequent.value).column(0).combine_chunks()
         odd_ids: dict[str, list[int]] = {}
-        salt = 0
         for batch in batches:
             for piece in slices(batch):
-                texts = piece.column(1)
-                words, bounds = cut_words(texts, vocabulary.barriers)
+                words, bounds = cut_words(piece.column(2), vocabulary.barriers)
                 coded = words.dictionary_encode()
                 at, known = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
                 code = pc.fill_null(pc.index_in(known, value_set=listed), -1).to_numpy(zero_copy_only=False)[at] if len(words) else np.zeros(0, np.int32)
                 odd = _odd(known, vocabulary) if len(known) else np.zeros(0, bool)
-                keys, digests, codes, merged, rare = [], [], [], [], []
-                names = known.to_pylist() if len(known) else []
-                for text, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    own = code[a:b].copy()
+                heads: list[tuple] = []
+                rows, places, rare = [], [], []
+                for row, doc_id, text, a, b in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), piece.column(2), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    own = code[a:b].astype(np.int32)
                     scarce = np.flatnonzero(own < 0)
                     local, place = np.unique(at[a:b][scarce], return_inverse=True)
                     own[scarce] = -1 - place
-                    extra, folded = [], []
-                    for w in local.tolist():
-                        word, ids = names[w], None
-                        if odd[w]:
-                            ids = odd_ids.get(word) if len(word) < 1000 else None
-                            if ids is None:
-                                ids = vocabulary.merged(word)
-                                if len(word) < 1000 and len(odd_ids) < 10_000:
-                                    odd_ids[word] = ids
-                        extra.append(ids)
-                        folded.append(None if odd[w] else word)
+                    plain = ~odd[local]
+                    merged = [None] * len(local)
+                    for k in np.flatnonzero(~plain).tolist():
+                        word = known[int(local[k])].as_py()
+                        merged[k] = odd_ids.get(word) or vocabulary.merged(word)
+                        if len(word) < 1000 and len(odd_ids) < 10_000:
+                            odd_ids[word] = merged[k]
+                    picked = np.flatnonzero(plain)
+                    rows.append(np.full(len(picked), row))
+                    places.append(picked)
+                    rare.append(local[picked])
                     raw = (text.as_py() or "").replace(MARK, SPACE).encode()
-                    digest = hashlib.sha256(raw).digest()
-                    salt += 1
-                    # Texts with rare words are keyed by content; all others are spread evenly.
-                    key = digest[:8] if len(local) else hashlib.blake2b(salt.to_bytes(8, "little") + digest, digest_size=8).digest()
-                    keys.append(int.from_bytes(key, "little", signed=True))
-                    digests.append(digest)
-                    codes.append(pa.compress(own.astype(np.int32).tobytes(), codec="zstd", asbytes=True) if len(own) else b"")
-                    merged.append(extra)
-                    rare.append(folded)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), piece.column(0), pa.array(digests, pa.binary()), _with_sizes(codes, bounds), pa.array(merged, pa.list_(pa.list_(pa.int32()))), pa.array(rare, pa.list_(pa.string()))], names=["key", "doc_id", "text_sha256", "codes", "odd", "rare"])
+                    packed = int(b - a).to_bytes(4, "little") + (pa.compress(own.tobytes(), codec="zstd", asbytes=True) if b > a else b"")
+                    heads.append((row, -1, "", doc_id, hashlib.sha256(raw).digest(), packed, merged))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*heads, strict=True), _KINDS, strict=True)], names=_NAMES)
+                scarce = np.concatenate(rare)
+                if len(scarce):
+                    own = [pa.array(np.concatenate(rows)), pa.array(np.concatenate(places).astype(np.int32)), known.take(pa.array(scarce))]
+                    yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(scarce), k) for k in _KINDS[3:])], names=_NAMES)
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _with_sizes(codes: list[bytes], bounds: np.ndarray) -> pa.Array:
-    return pa.array([int(n).to_bytes(4, "little") + c for n, c in zip(np.diff(bounds), codes, strict=True)], pa.binary())
-
-
 def _to_ipc(words: pa.Array, ids: pa.Array) -> bytes:
     sink = pa.BufferOutputStream()
     table = pa.table({"word": words, "ids": ids})
@@ -371,65 +390,80 @@ def _from_ipc(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
-def _assemble(frequent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = _from_ipc(frequent.value).column(1).combine_chunks()
+def _assemble(shared, frequent, finish):
+    """From word codes and folded rare words to ids; ``finish`` maps (doc_id, text_sha256, ids) batches further."""
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, listed = shared.value, _from_ipc(frequent.value).column(1).combine_chunks()
         flat, bounds = listed.flatten().to_numpy(zero_copy_only=False), listed.offsets.to_numpy()
         for batch in batches:
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            rows = []
-            for packed, odd, found in zip(columns["codes"], columns["odd"], columns["found"], strict=True):
-                packed = packed.as_py()
-                n = int.from_bytes(packed[:4], "little")
-                if not n:
-                    rows.append(np.zeros(0, np.int32))
-                    continue
-                codes = np.frombuffer(pa.decompress(packed[4:], decompressed_size=4 * n, codec="zstd"), np.int32)
-                # Rare words of this text follow the frequent ones in one table of ids.
-                extra = dict(zip(*(found.values.field(k).to_pylist() for k in (0, 1)), strict=True)) if found.is_valid else {}
-                own = [ids if ids is not None else extra[i] for i, ids in enumerate(odd.as_py())]
-                at = np.where(codes < 0, 0, codes)
-                begin, length = bounds[at].astype(np.int64), (bounds[at + 1] - bounds[at]).astype(np.int64) if len(bounds) > 1 else np.zeros(n, np.int64)
-                table = flat
-                if own:
-                    sizes = np.array([len(x) for x in own])
-                    tail = np.concatenate([np.array(x, np.int32) for x in own])
-                    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                    scarce = codes < 0
-                    length[scarce], begin[scarce] = sizes[-1 - codes[scarce]], starts[-1 - codes[scarce]]
-                    picked = np.repeat(begin, length) + _ramp(length)
-                    from_tail = np.repeat(scarce, length)
-                    out = np.empty(len(picked), np.int32)
-                    out[from_tail] = tail[picked[from_tail]]
-                    out[~from_tail] = table[picked[~from_tail]]
-                else:
-                    out = table[np.repeat(begin, length) + _ramp(length)]
-                rows.append(out)
-            sizes = np.array([len(r) for r in rows])
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([columns["doc_id"], columns["text_sha256"], ids], names=["doc_id", "text_sha256", "ids"])
+            head = batch.column(0)
+            doc_ids, digests, codes, odds = (head.field(k) for k in range(4))
+            found = batch.column(1)
+            places, words, borders = (found.values.field(k).to_pylist() for k in range(3))
+            folded = [vocabulary.ids_at(w, b) for w, b in zip(words, borders, strict=True)]
+            starts = found.offsets.to_pylist()
+            own = (dict(zip(places[a:b], folded[a:b], strict=True)) for a, b in zip(starts, starts[1:], strict=False))
+            rows = [_ids(c.as_py(), o.as_py(), f, flat, bounds) for c, o, f in zip(codes, odds, own, strict=True)]
+            ends = np.cumsum([0, *map(len, rows)])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32()))
+            yield pa.RecordBatch.from_arrays([doc_ids, digests, ids], names=["doc_id", "text_sha256", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from finish(encoded(batches))
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
+def _ids(packed: bytes, odd: list, folded: dict, flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Ids of one text: frequent words from the common table, the others from its own."""
+    n = int.from_bytes(packed[:4], "little")
+    if not n:
+        return np.zeros(0, np.int32)
+    codes = np.frombuffer(pa.decompress(packed[4:], decompressed_size=4 * n, codec="zstd"), np.int32)
+    scarce = codes < 0
+    at = np.where(scarce, 0, codes)
+    begin, length = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if len(bounds) > 1:
+        begin, length = bounds[at].astype(np.int64), (bounds[at + 1] - bounds[at]).astype(np.int64)
+    if not scarce.any():
+        return flat[np.repeat(begin, length) + _ramp(length)]
+    own = [ids if ids is not None else folded[i] for i, ids in enumerate(odd)]
+    sizes = np.array([len(x) for x in own])
+    tail = np.concatenate([np.array(x, np.int32) for x in own])
+    starts = np.cumsum(sizes) - sizes
+    length[scarce], begin[scarce] = sizes[-1 - codes[scarce]], starts[-1 - codes[scarce]]
+    picked, from_tail = np.repeat(begin, length) + _ramp(length), np.repeat(scarce, length)
+    out = np.empty(len(picked), np.int32)
+    out[from_tail], out[~from_tail] = tail[picked[from_tail]], flat[picked[~from_tail]]
+    return out
+
+
 def _ramp(length: np.ndarray) -> np.ndarray:
     """0, 1, ... within each of the lengths."""
     ends = np.cumsum(length)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length)
 
 
+def _encode(docs: DataFrame, vocabulary: Vocabulary, limit: int, finish, schema: str) -> DataFrame:
+    context = docs.sparkSession.sparkContext
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shared = context.broadcast(vocabulary)
+    frequent = context.broadcast(_to_ipc(*frequent_words(texts, vocabulary, shared, limit)))
+    # All rows of a text meet at this one exchange; folding and gathering keep its partitioning.
+    coded = texts.mapInArrow(_code(shared, frequent), _CODED)
+    coded = coded.repartition(4 * shuffle_parts(docs.sparkSession), "row")  # small tasks, as lattices are many times their words
+    head = F.when(F.col("place") < 0, F.struct("doc_id", "text_sha256", "codes", "odd")).alias("head")
+    folded = word_borders(coded.select("row", "place", "word", head), vocabulary, ["row", "place", "word"], ["head"])
+    pair = F.when(F.col("place") >= 0, F.struct("place", "word", "borders"))
+    gathered = folded.groupBy("row").agg(F.first("head", ignorenulls=True).alias("head"), F.collect_list(pair).alias("found"))
+    return gathered.select("head", "found").mapInArrow(_assemble(shared, frequent, finish), schema)
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, limit: int = FREQUENT) -> DataFrame:
     """doc_id, text_sha256 (of the text as it decodes) and ids (array of int) for every row."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = spark.sparkContext.broadcast(vocabulary)
-    frequent = spark.sparkContext.broadcast(_to_ipc(*frequent_words(texts, vocabulary, shared, limit)))
-    coded = texts.mapInArrow(_code(shared, frequent), _CODED).repartition("key")
-    # Folding and joining keep the partitioning by key, so rare words are shuffled once.
-    rare = coded.select("key", F.posexplode("rare").alias("place", "word")).where(F.col("word").isNotNull())
-    folded = word_ids(rare, vocabulary, ["key", "place", "word"])
-    found = folded.groupBy("key").agg(F.collect_list(F.struct("place", "ids")).alias("found"))
-    return coded.join(found, "key", "left").select("doc_id", "text_sha256", "codes", "odd", "found").mapInArrow(_assemble(frequent), "doc_id long, text_sha256 binary, ids array<int>")
+    return _encode(docs, vocabulary, limit, lambda batches: batches, "doc_id long, text_sha256 binary, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -445,25 +479,30 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def decoded_texts(ids: pa.Array, pieces: pa.Array) -> pa.Array:
-    out = []
-    for row in ids:
-        own = row.values.to_numpy(zero_copy_only=False) if row.is_valid else np.zeros(0, np.int32)
-        own = own[(own >= 0) & (own < len(pieces))]
-        raw = b"".join(pieces.take(pa.array(own)).to_pylist())
-        out.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
-    return pa.array(out, pa.string())
-
-
-def round_trip(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids, comma-joined) and whether decoding gives the text back."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of lists of ids: all their bytes in one row, cut at the lists' ends."""
+    flat = ids.flatten()
+    bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+    known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(pieces)))
+    parts = pieces.take(pc.if_else(known, flat, 0))  # id 0 is the unknown piece and has no bytes
+    ends = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1] if len(parts) else np.zeros(1, np.int32)
+    raw = parts.buffers()[2].to_pybytes() if len(parts) and parts.buffers()[2] is not None else b""
+    at = ends[bounds].tolist()
+    texts = (raw[a:b] for a, b in zip(at, at[1:], strict=False))
+    return pa.array([(t[1:] if t[:1] == b" " else t).decode("utf-8", "replace") for t in texts], pa.string())
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, limit: int = FREQUENT) -> DataFrame:
+    """Encode and decode: doc_id, n_tokens, ids_sha256 (of the ids as 4-byte little-endian numbers), and whether the text comes back."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared.value.decoded
         for batch in batches:
             texts = decoded_texts(batch.column(2), pieces)
             same = [hashlib.sha256(t.as_py().encode()).digest() == d.as_py() for t, d in zip(texts, batch.column(1), strict=True)]
-            digest = [hashlib.sha256(",".join(map(str, row.as_py())).encode()).hexdigest() for row in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pc.cast(pc.list_value_length(batch.column(2)), pa.int64()), pa.array(digest), pa.array(same)], names=["doc_id", "n_tokens", "ids_sha256", "decodes"])
+            ids = batch.column(2)
+            flat, ends = np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<i4"), ids.offsets.to_pylist()
+            digest = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.cast(pc.list_value_length(ids), pa.int64()), pa.array(digest), pa.array(same)], names=["doc_id", "n_tokens", "ids_sha256", "decodes"])
 
-    return encoded.select("doc_id", "text_sha256", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decodes boolean")
+    return _encode(docs, vocabulary, limit, check, "doc_id long, n_tokens long, ids_sha256 string, decodes boolean")
