@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequences import IUPAC, revcomp
-from strandloom.functions.windows import known_windows, windows
+from strandloom.operators.tuples import tuple_counts
 
 LETTERS = "ACGT"
 #: Column of each letter of an aligned word, and of a gap or N.
@@ -27,9 +27,9 @@ def letter_frequencies(seqs: DataFrame, prior: float = 1.0, seq: str = "seq") ->
     return row.select(F.explode(F.array(*(F.struct(F.lit(x).alias("letter"), ((F.col(x) + prior) / total).alias("freq")) for x in LETTERS))).alias("r")).select("r.*")
 
 
-def pair_counts(seqs: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
+def pair_counts(seqs: DataFrame, seq: str = "seq") -> DataFrame:
     """Counts of adjacent pairs of known letters."""
-    return known_windows(seqs, 2, keys, seq).groupBy(F.col("word").alias("pair")).agg(F.count(F.lit(1)).alias("cnt"))
+    return tuple_counts(seqs, [2], seq).withColumnRenamed("word", "pair")
 
 
 def count_matrix(words: DataFrame, keys: list[str], width: int, word: str = "word") -> DataFrame:
@@ -114,16 +114,9 @@ def word_pfm(words: DataFrame, word: str = "word") -> DataFrame:
     return rows.select("word", "pos", *(F.round(((s + 0.01) / 1.04), 4).alias(x) for s, x in zip(share, LETTERS, strict=True)))
 
 
-def markov_counts(seqs: DataFrame, order: int, keys: list[str], both_strands: bool = False, seq: str = "seq") -> DataFrame:
-    """tuple, cnt: tuples of one to ``order`` + 1 known letters, and their reverse complements if asked.
-
-    One pass: every start gives its tuples of all lengths."""
-    width = order + 1
-    padded = seqs.select(*keys, F.concat(F.col(seq), F.repeat(F.lit("-"), F.lit(order))).alias("__padded"))
-    starts = windows(padded, width, keys, "__padded")
-    tuples = starts.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(width)), lambda n: F.substring("word", F.lit(1), n))).alias("tuple"))
-    known = tuples.where(F.translate("tuple", LETTERS, "") == "")
-    counts = known.groupBy("tuple").agg(F.count(F.lit(1)).alias("cnt"))
+def markov_counts(seqs: DataFrame, order: int, both_strands: bool = False, seq: str = "seq") -> DataFrame:
+    """tuple, cnt: tuples of one to ``order`` + 1 known letters, and their reverse complements if asked."""
+    counts = tuple_counts(seqs, list(range(1, order + 2)), seq).withColumnRenamed("word", "tuple")
     if both_strands:
         counts = counts.unionByName(counts.withColumn("tuple", revcomp(F.col("tuple")))).groupBy("tuple").agg(F.sum("cnt").alias("cnt"))
     return counts

@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequences as S
 from strandloom.functions import stats
-from strandloom.functions.windows import known_windows, windows
-from strandloom.operators import composition, em, enrichment, ordered, scan, shuffling, significance
+from strandloom.operators import composition, em, enrichment, ordered, scan, shuffling, significance, tuples
 from strandloom.plans import refinement, seeds
 from strandloom.sources import fasta, motifs
 
@@ -106,8 +105,8 @@ def revcomp(spark, sf_dir):
 
 @_query(f"WITH {_windows(8)} SELECT least(word, {RC.format('word')}) AS word, count(*) AS cnt FROM wins GROUP BY 1")
 def canonical_kmers(spark, sf_dir):
-    words = known_windows(sequences(spark, sf_dir), 8, ["seq_id"])
-    return words.groupBy(S.canonical(F.col("word")).alias("word")).agg(F.count(F.lit(1)).alias("cnt"))
+    words = tuples.tuple_counts(sequences(spark, sf_dir), [8])
+    return words.groupBy(S.canonical(F.col("word")).alias("word")).agg(F.sum("cnt").alias("cnt"))
 
 
 _FULL = 2 * HALF + MAX_GAP
@@ -173,7 +172,7 @@ def iupac_regex(spark, sf_dir):
 @_query(f"WITH {_windows(5)}, l AS (SELECT unnest(['A', 'C', 'G', 'T']) AS x), k AS (SELECT a.x || b.x || c.x || d.x || e.x AS word FROM l a, l b, l c, l d, l e) SELECT k.word, count(wins.word) AS cnt FROM k LEFT JOIN wins ON k.word = wins.word GROUP BY k.word")
 def kmer_catalog(spark, sf_dir):
     """Every 5-mer with its count, also those that do not occur."""
-    counts = known_windows(sequences(spark, sf_dir), 5, ["seq_id"]).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = tuples.tuple_counts(sequences(spark, sf_dir), [5])
     catalog = spark.range(1).select(F.explode(S.concrete_words(F.lit("N" * 5))).alias("word"))
     return catalog.join(counts, "word", "left").select("word", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
@@ -182,12 +181,8 @@ def kmer_catalog(spark, sf_dir):
 codons AS (SELECT aa, substr('{S.CODON_BASES}', (i // 16) + 1, 1) || substr('{S.CODON_BASES}', (i // 4) % 4 + 1, 1) || substr('{S.CODON_BASES}', i % 4 + 1, 1) AS codon FROM t)
 SELECT seqs.seq_id, coalesce(p.protein, '') AS protein FROM seqs LEFT JOIN (SELECT seq_id, string_agg(coalesce(aa, '*'), '' ORDER BY start) AS protein FROM wins LEFT JOIN codons ON word = codon WHERE start % 3 = 0 GROUP BY seq_id) p ON seqs.seq_id = p.seq_id""")
 def codon_translate(spark, sf_dir):
-    """Frame-0 proteins; codons come from blocks, since long strings are costly to cut."""
-    seqs = sequences(spark, sf_dir)
-    cut = seqs.select("seq_id", F.explode_outer(F.when(F.length("seq") >= 3, F.sequence(F.lit(0), F.length("seq") - 1, F.lit(300)))).alias("base"), "seq")
-    parts = cut.select("seq_id", "base", S.translated(F.substring("seq", F.col("base") + 1, F.lit(300))).alias("part"))
-    rows = parts.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("base", "part"))).alias("r"))
-    return rows.select("seq_id", F.coalesce(F.array_join("r.part", ""), F.lit("")).alias("protein"))
+    """Frame-0 proteins."""
+    return tuples.proteins(sequences(spark, sf_dir))
 
 
 def _entropy_sql(counts: list[str]) -> str:
@@ -207,7 +202,7 @@ def seq_entropy_2mer(spark, sf_dir):
 
 @_query(f"WITH {_windows(2)} SELECT word AS pair, count(*) AS cnt FROM wins GROUP BY word")
 def dinuc_counts(spark, sf_dir):
-    return composition.pair_counts(sequences(spark, sf_dir), ["seq_id"])
+    return composition.pair_counts(sequences(spark, sf_dir))
 
 
 @_query(f"WITH {SEQS} SELECT source, min(seq_id) AS seq_id FROM seqs WHERE source IS NOT NULL GROUP BY source")
@@ -372,7 +367,7 @@ _CONDITIONAL = f"{_TUPLES}, mk AS (SELECT tuple, cnt, cnt / sum(cnt) OVER (PARTI
 
 @_query(f"WITH {_TUPLES} SELECT * FROM tuples")
 def markov_counts(spark, sf_dir):
-    return composition.markov_counts(sequences(spark, sf_dir), 2, ["seq_id"])
+    return composition.markov_counts(sequences(spark, sf_dir), 2)
 
 
 @_query(f"WITH {_CONDITIONAL} SELECT tuple, round(prob, 9) AS prob, round(conditional, 9) AS conditional FROM mk")
@@ -386,12 +381,9 @@ SELECT q.seq_id, round(sum(ln(mk.conditional)), 4) AS log_background, count(*) A
 def cumulative_background(spark, sf_dir):
     """Log probability of each sequence under an order-1 background; unknown letters reset the context."""
     seqs = sequences(spark, sf_dir)
-    table = composition.markov_probabilities(composition.markov_counts(seqs, 1, ["seq_id"])).select("tuple", "conditional")
-    pairs = windows(seqs.withColumn("seq", F.concat(F.lit("N"), "seq")), 2, ["seq_id"]).where(~F.col("word").endswith("N"))
-    context = F.when(F.col("word").startswith("N"), F.substring("word", 2, 1)).otherwise(F.col("word"))
-    # Few tuples exist (4 + 16).
-    joined = pairs.withColumn("tuple", context).join(F.broadcast(table), "tuple")
-    return joined.groupBy("seq_id").agg(F.round(F.sum(F.log("conditional")), 4).alias("log_background"), F.count(F.lit(1)).alias("letters"))
+    table = composition.markov_probabilities(composition.markov_counts(seqs, 1))
+    conditionals = {r["tuple"]: r["conditional"] for r in table.collect()}  # 4 + 16 tuples
+    return tuples.log_background(seqs, conditionals, 1).select("seq_id", F.round("log_background", 4).alias("log_background"), "letters")
 
 
 _POSTERIOR = f"{_HITS}, z AS (SELECT CASE WHEN ({_BACKWARD}) > ({_FORWARD}) + 1e-9 THEN {RC.format('word')} ELSE word END AS word, 1 / (1 + exp(-(score + {math.log(RATE / (1 - RATE))!r}::DOUBLE))) AS z FROM scored)"

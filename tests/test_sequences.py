@@ -14,7 +14,7 @@ from strandloom.functions import sequences as S
 from strandloom.functions import stats
 from strandloom.functions.register import register
 from strandloom.functions.windows import known_windows, windows
-from strandloom.operators import composition, enrichment, ordered, shuffling
+from strandloom.operators import composition, enrichment, ordered, shuffling, tuples
 from strandloom.sources import fasta, motifs
 
 
@@ -207,11 +207,40 @@ def test_sql_functions(spark):
 
 
 def test_markov(spark, texts):
-    got = {r["tuple"]: r["cnt"] for r in composition.markov_counts(frame(spark, texts), 2, ["seq_id"]).collect()}
+    got = {r["tuple"]: r["cnt"] for r in composition.markov_counts(frame(spark, texts), 2).collect()}
     want = Counter(t[i : i + n] for t in texts for n in (1, 2, 3) for i in range(len(t) - n + 1) if "N" not in t[i : i + n])
     assert got == dict(want)
-    both = {r["tuple"]: r["cnt"] for r in composition.markov_counts(frame(spark, texts), 1, ["seq_id"], both_strands=True).collect()}
+    both = {r["tuple"]: r["cnt"] for r in composition.markov_counts(frame(spark, texts), 1, both_strands=True).collect()}
     assert all(both[t] == both[rc(t)] for t in both)
     table = composition.markov_probabilities(spark.createDataFrame(list(got.items()), "tuple string, cnt long")).collect()
     for prefix in ("".join(p) for p in product("ACGT", repeat=2)):
         assert sum(r["conditional"] for r in table if len(r["tuple"]) == 3 and r["tuple"].startswith(prefix)) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("order", [0, 1, 2])
+def test_log_background(spark, texts, order):
+    rng = random.Random(order)
+    p = {"".join(t): rng.uniform(0.05, 0.9) for n in range(1, order + 2) for t in product("ACGT", repeat=n)}
+    want = {}
+    for k, t in enumerate(texts):
+        total, count = 0.0, 0
+        for i, x in enumerate(t):
+            if x == "N":
+                continue
+            run = re.search("[ACGT]*$", t[max(0, i - order) : i]).group()
+            total, count = total + math.log(p[run + x]), count + 1
+        if count:
+            want[k] = (pytest.approx(total), count)
+    got = {r["seq_id"]: (r["log_background"], r["letters"]) for r in tuples.log_background(frame(spark, texts), p, order).collect()}
+    assert got == want
+
+
+def test_proteins(spark, texts):
+    rows = frame(spark, texts)
+    got = {r["seq_id"]: r["protein"] for r in tuples.proteins(rows).collect()}
+    assert got == {r["seq_id"]: r["v"] for r in rows.select("seq_id", S.translated(F.col("seq")).alias("v")).collect()}
+
+
+def test_wide_tuples(spark, texts):
+    got = {r["word"]: r["cnt"] for r in tuples.tuple_counts(frame(spark, texts), [3, 12]).collect()}
+    assert got == dict(Counter(t[i : i + n] for t in texts for n in (3, 12) for i in range(len(t) - n + 1) if "N" not in t[i : i + n]))
