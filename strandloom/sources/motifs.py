@@ -61,7 +61,7 @@ def seed_matrix_text(pfm: DataFrame) -> DataFrame:
     return rows.select("motif", F.concat(F.lit(">"), "motif", F.lit("\t"), "consensus", F.lit("\n"), F.array_join("r.line", "\n"), F.lit("\n")).alias("value"))
 
 
-def read_meme(spark: SparkSession, path: str) -> DataFrame:
+def read_motif_file(spark: SparkSession, path: str) -> DataFrame:
     """motif, alt, w, nsites, evalue, pos, A, C, G, T of a motif file's probability matrices."""
     rows = spark.read.option("lineSep", "\nMOTIF").text(path).where(F.contains("value", F.lit("letter-probability matrix")))
     name = F.split(F.trim(F.regexp_extract("value", r"^\s*([^\n]*)", 1)), r"\s+")
@@ -77,7 +77,7 @@ def read_meme(spark: SparkSession, path: str) -> DataFrame:
     return motifs.where((F.col("w").isNull()) | (F.col("pos") < F.col("w"))).select("motif", "alt", "w", "nsites", "evalue", "pos", *(values[k].alias(x) for k, x in enumerate(LETTERS)))
 
 
-def meme_text(pfm: DataFrame) -> DataFrame:
+def motif_block_text(pfm: DataFrame) -> DataFrame:
     """motif and ``value``: a block for each motif (motif, alt, nsites, log_evalue, pos, A..T)."""
     line = F.format_string("%.3f %.3f %.3f %.3f", *LETTERS)
     rows = pfm.groupBy("motif", "alt", "nsites", "log_evalue").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("r"))
@@ -86,7 +86,7 @@ def meme_text(pfm: DataFrame) -> DataFrame:
 
 
 #: Fixed value: what stands before the first motif.
-MEME_HEADER = "MEME version 4.9.0\n\nALPHABET= ACGT\n\nstrands: + -\n\nBackground letter frequencies (from uniform background):\nA 0.25000 C 0.25000 G 0.25000 T 0.25000\n"
+MOTIF_FILE_HEADER = "MEME version 4.9.0\n\nALPHABET= ACGT\n\nstrands: + -\n\nBackground letter frequencies (from uniform background):\nA 0.25000 C 0.25000 G 0.25000 T 0.25000\n"
 
 
 def read_background(spark: SparkSession, path: str) -> DataFrame:

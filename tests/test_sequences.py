@@ -174,13 +174,13 @@ def test_swissprot(spark, tmp_path):
     assert [tuple(r)[1:] for r in fasta.read_swissprot(spark, path).orderBy("seq_id").collect()] == [("P1", "some protein more", "MKVLAGG"), ("P2", "other", "AA")]
 
 
-MEME = "MEME version 4\n\nALPHABET= ACGT\n\nMOTIF one alt1\n\nletter-probability matrix: alength= 4 w= 2 nsites= 17 E= 4.1e-009\n 0.1 0.2 0.3 0.4\n 1.0 0.0 0.0 0.0\n\nMOTIF two\nletter-probability matrix: alength= 4 w= 1 nsites= 5 E= 1e-2\n0.25 0.25 0.25 0.25\n"
+MOTIF_FILE = motifs.MOTIF_FILE_HEADER + "\nMOTIF one alt1\n\nletter-probability matrix: alength= 4 w= 2 nsites= 17 E= 4.1e-009\n 0.1 0.2 0.3 0.4\n 1.0 0.0 0.0 0.0\n\nMOTIF two\nletter-probability matrix: alength= 4 w= 1 nsites= 5 E= 1e-2\n0.25 0.25 0.25 0.25\n"
 
 
 def test_motif_files(spark, tmp_path):
-    path = str(tmp_path / "in.meme")
-    open(path, "w").write(MEME)
-    rows = motifs.read_meme(spark, path).orderBy("motif", "pos").collect()
+    path = str(tmp_path / "in.motifs")
+    open(path, "w").write(MOTIF_FILE)
+    rows = motifs.read_motif_file(spark, path).orderBy("motif", "pos").collect()
     assert [(r["motif"], r["w"], r["nsites"], r["evalue"], r["pos"], r["A"], r["T"]) for r in rows] == [("one", 2, 17, 4.1e-9, 0, 0.1, 0.4), ("one", 2, 17, 4.1e-9, 1, 1.0, 0.0), ("two", 1, 5, 0.01, 0, 0.25, 0.25)]
     words = spark.createDataFrame([("ACGT", 5, 0, 2.5, 8.0), ("ACNGT", 7, 1, 3.5, 9.0)], motifs.WORDS)
     motifs.write_words(words, str(tmp_path / "words"))
