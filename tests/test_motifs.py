@@ -224,3 +224,29 @@ def test_streaming_counts(spark, seqs, tmp_path):
     query.stop()
     got = {r["word"]: r["cnt"] for r in spark.table("counts").collect()}
     assert got == {r["word"]: r["cnt"] for r in streaming.running_counts(seqs, 4).collect()}
+
+
+def gotoh(text, rows, opening, extending, free_ends):
+    """Best global score by the three-table recurrence, cell by cell."""
+    n, w = len(text), len(rows)
+    best = [[-math.inf] * (n + 1) for _ in range(w + 1)]
+    up = [[-math.inf] * (n + 1) for _ in range(w + 1)]
+    for j in range(n + 1):
+        best[0][j] = 0.0 if free_ends or not j else -(opening + extending * j)
+    for i in range(1, w + 1):
+        left = -math.inf
+        for j in range(n + 1):
+            up[i][j] = max(best[i - 1][j] - opening, up[i - 1][j]) - extending
+            both = best[i - 1][j - 1] + (rows[i - 1]["ACGT".index(text[j - 1])] if text[j - 1] != "N" else 0.0) if j else -math.inf
+            if j:
+                left = max(best[i][j - 1] - opening, left) - extending
+            best[i][j] = max(both, up[i][j], left)
+    return max(best[w]) if free_ends else best[w][n]
+
+
+@pytest.mark.parametrize("free_ends", [True, False])
+def test_alignment_scores(spark, seqs, texts, free_ends):
+    from strandloom.operators import alignment
+
+    got = {r["seq_id"]: r["score"] for r in alignment.alignment_scores(seqs, ODDS, 1.3, 0.4, free_ends).collect()}
+    assert got == {k: pytest.approx(gotoh(t, ODDS, 1.3, 0.4, free_ends)) for k, t in enumerate(texts)}
