@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import shuffle_parts, slices, text_bytes
 
-#: Words that are folded ahead and broadcast, at most.
-FREQUENT = 1 << 20
+#: Words that are folded ahead and broadcast, at most, and the occurrences that make one worth it.
+FREQUENT, WORTH = 1 << 20, 4
 #: Borders that one fold can hold, and the bits of an id.
 LONGEST, NO_PIECE = 62, (1 << 20) - 1
 #: Rank of edges that merge nothing.
@@ -306,12 +306,12 @@ def word_borders(words: DataFrame, vocabulary: Vocabulary, keys: list[str], carr
 
 
 def frequent_words(texts: DataFrame, vocabulary: Vocabulary, shared, limit: int) -> tuple[pa.Array, pa.Array]:
-    """The most frequent words of the corpus, at most ``limit``, and their ids.
+    """The most frequent words of the corpus (from ``WORTH`` occurrences), at most ``limit``, and their ids.
 
     Counts cover all texts.  The least count is found from counts by eighths of a
     power of two, of which there are at most a few hundred."""
     counted = texts.select("text").mapInArrow(_count(shared), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = counted.where("n > 1").withColumn("step", F.floor(F.log2("n") * 8).cast("int")).persist()
+    counted = counted.where(F.col("n") >= WORTH).withColumn("step", F.floor(F.log2("n") * 8).cast("int")).persist()
     steps = sorted(((r["step"], r["words"]) for r in counted.groupBy("step").agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
     total, least = 0, None
     for step, words in steps:
