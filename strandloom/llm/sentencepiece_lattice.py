@@ -270,7 +270,9 @@ def fold_ranks(edges: Column, word: Column, bits: int) -> Column:
         both = borders.bitwiseAND(F.get(ends, k)) == F.get(ends, k)
         return F.when(three & both, borders - borders.bitwiseAND(F.get(inside, k))).otherwise(borders)
 
-    return F.aggregate(edges, _bit(F.length(word) + 1) - 1, step)
+    # All borders of the word; 63 of them fill a long, so the mask is shifted down, not counted up.
+    every = F.call_function("shiftrightunsigned", F.lit((1 << (LONGEST + 1)) - 1), LONGEST - F.length(word))
+    return F.aggregate(edges, every, step)
 
 
 def viterbi(edges: Column, scores: Column, word: Column, bits: int, unknown: float = -100.0) -> Column:

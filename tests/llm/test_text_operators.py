@@ -179,6 +179,20 @@ def test_sentencepiece(docs, no_docs, limit):
     assert lattice.encode(no_docs, vocabulary, limit).collect() == []
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 19])
+def test_sentencepiece_at_the_mask_width(spark, limit):
+    import sentencepiece
+
+    path = str(VOCABULARIES / "piece_bpe_32k.model")
+    library, vocabulary = sentencepiece.SentencePieceProcessor(model_file=path), lattice.Vocabulary.load(path)
+    # Words of 60 to 64 characters with their leading space, each as often as a broadcast word must be.
+    words = [(letters * 22)[: n - 1] for n in range(60, 65) for letters in ("information", "日本語", "xqz")]
+    texts = [(k, " ".join([word] * lattice.WORTH + ["end"])) for k, word in enumerate(words)]
+    made = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["ids"] for r in lattice.encode(made, vocabulary, limit).collect()}
+    assert got == {i: library.encode(t) for i, t in texts}
+
+
 def test_viterbi_of_unigram_scores(spark):
     pieces = {"a": -2.0, "b": -2.5, "ab": -3.0, "abc": -7.0, "bc": -3.2, "c": -2.0, " ": -1.0, " a": -2.2, "ca": -9.0}
     byte_ids = {b: b for b in range(256)}
