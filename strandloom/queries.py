@@ -421,7 +421,7 @@ def motif_significance(spark, sf_dir):
     words = hit_words(spark, sf_dir).withColumn("motif", F.lit(MOTIF))
     counts = composition.count_matrix(words, ["motif"], len(MOTIF))
     total = sum((F.col(x) for x in "CGT"), F.col("A"))
-    columns = composition.probability_matrix(counts.withColumn("nsites", F.least(total, F.lit(200))))
+    columns = composition.probability_matrix(counts.withColumn("nsites", total))
     starts = sequences(spark, sf_dir).agg(F.sum(F.greatest(F.length("seq") - len(MOTIF) + 1, F.lit(0))).alias("starts"))
     return significance.motif_significance(columns.join(F.broadcast(starts)), ["motif"], dict.fromkeys(LETTERS, 0.25), F.col("starts"))
 

@@ -155,6 +155,50 @@ def test_ratio_distribution(n, background):
         assert tail[ratio - low] == pytest.approx(math.log(sum(p for r, p in mass.items() if r >= ratio)), abs=1e-9)
 
 
+def exact_tail(n, background):
+    """Ratios (falling) and log tails over all counts of n letters, without a scale."""
+    c = np.stack(np.meshgrid(*[np.arange(n + 1)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    c = c[c.sum(axis=1) <= n]
+    c = np.column_stack([c, n - c.sum(axis=1)])
+    ratio = (c * np.log(np.maximum(c, 1) / (n * np.array(background)))).sum(axis=1)
+    factorial = np.array([math.lgamma(k + 1) for k in range(n + 1)])
+    order = np.argsort(-ratio)
+    return ratio[order], np.logaddexp.accumulate((factorial[n] + (c * np.log(background) - factorial[c]).sum(axis=1))[order])
+
+
+@pytest.mark.parametrize("background", [(0.25,) * 4, (0.4, 0.3, 0.2, 0.1)])
+def test_limit_of_many_sites(background):
+    for n in (50, 100):
+        off = np.array([significance.limit_tail(r) - t for r, t in zip(*(x[::7] for x in exact_tail(n, background)), strict=True)])
+        assert off.min() > -0.7 and off.max() < 2 + math.log(n) / 2
+    assert significance.limit_tail(600.0) == pytest.approx(significance.limit_tail(599.9999), abs=1e-3)
+    # Within a few steps of the scaled distribution, where it is known.
+    n = significance.EXACT
+    step = -n * math.log(min(background)) / significance.RANGE
+    assert all(abs(significance.limit_tail(x) - significance.log_tail(x, n, background)) < 3 * step for x in (0.1 * n, 0.4 * n, 0.9 * n))
+
+
+def test_significance_counts_all_sites(spark):
+    rows = [(m, pos, 0.7, 0.1, 0.1, 0.1, n) for m, n in (("few", 150), ("many", 400), ("most", 3_000_000)) for pos in range(4)]
+    columns = spark.createDataFrame(rows, "motif string, pos int, A double, C double, G double, T double, nsites long")
+    got = {r["motif"]: r for r in significance.motif_significance(columns, ["motif"], dict.fromkeys("ACGT", 0.25), F.lit(10_000_000)).collect()}
+    ratio = {m: r["llr"] / r["nsites"] for m, r in got.items()}
+    assert ratio["many"] == pytest.approx(ratio["few"]) and ratio["most"] == pytest.approx(ratio["few"])
+    for m, n in (("few", 150), ("many", 400), ("most", 3_000_000)):
+        i = np.arange(n)
+        ways = np.log((10_000_000 - i) * 2 // (i + 1)).sum()
+        p = 4 * significance.log_tail(got[m]["llr"] / 4, n, (0.25,) * 4)
+        assert got[m]["log_evalue"] == pytest.approx(ways + p + math.log(sum((-p) ** k / math.factorial(k) for k in range(4))))
+
+
+def test_query_of_significance_counts_all_hits(spark):
+    from strandloom import queries
+
+    folder = "/root/testdata/sf0.1"
+    hits = queries.hit_words(spark, folder).count()
+    assert hits > 200 and queries.motif_significance(spark, folder).first()["nsites"] == hits
+
+
 def test_roc(spark):
     rows = [(3.0, True), (2.0, True), (2.0, False), (1.0, False), (0.5, True), (0.0, False)]
     got = scan.roc(spark.createDataFrame(rows, "score double, positive boolean")).first()
