@@ -9,34 +9,24 @@ component of words is ever held in one task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.sequences import IUPAC, canonical, revcomp
+from strandloom.functions.sequences import IUPAC, revcomp
 from strandloom.operators.composition import LETTERS
 
-#: Letters of a run that two words must share to be compared.
-SEED = 4
+#: Words of a block; blocks are compared with each other.
+BLOCK = 128
 #: Codes and their complements.
 CODES, COMPLEMENTS = "ACGTRYKMSWBDHVN", "TGCAYRMKSWVHDBN"
 #: Distance of a pair of clusters whose members have no edge.
 MISSING = 1.0
 
 
-def seed_pairs(words: DataFrame, seed: int = SEED) -> DataFrame:
-    """id_a < id_b of words that share a run of ``seed`` known letters on either strand.
-
-    Words without such a run are not compared, however alike they are."""
-    n = F.length("word")
-    runs = words.where(n >= seed).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n - seed + 1), lambda i: canonical(F.substring("word", i, F.lit(seed)))))).alias("run"))
-    runs = runs.where(~F.contains("run", F.lit("N")))
-    a, b = runs.withColumnRenamed("id", "id_a"), runs.withColumnRenamed("id", "id_b")
-    return a.join(b, "run").where("id_a < id_b").select("id_a", "id_b").distinct()
-
-
 def _correlations() -> np.ndarray:
     """Pearson correlation of the columns of any two codes (zero for N)."""
     rows = np.array([[float(x in IUPAC[code]) / len(IUPAC[code]) for x in LETTERS] for code in CODES])
@@ -59,26 +49,78 @@ def _best_offsets(a: np.ndarray, b: np.ndarray, table: np.ndarray) -> tuple[np.n
     return best, at
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = _correlations()
+def _coder():
+    """A function of a word to its code numbers, and the code number of each one's complement."""
     place = np.zeros(128, np.int64)
     place[[ord(c) for c in CODES]] = np.arange(len(CODES))
-    other = np.array([CODES.index(c) for c in COMPLEMENTS])
+    return lambda word: place[np.frombuffer(word.encode(), np.uint8)], np.array([CODES.index(c) for c in COMPLEMENTS])
+
+
+def _both_strands(a: np.ndarray, b: np.ndarray, table: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of equal-width words, the best score, its strand and its offset."""
+    plus, plus_off = _best_offsets(a, b, table)
+    minus, minus_off = _best_offsets(a, other[b[:, ::-1]], table)
+    turned = minus > plus
+    return np.where(turned, minus, plus), np.where(turned, "-", "+").astype(object), np.where(turned, minus_off, plus_off)
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = _correlations()
+    coded, other = _coder()
     for batch in batches:
-        words = [[place[np.frombuffer(w.encode(), np.uint8)] for w in batch.column(k).to_pylist()] for k in (2, 3)]
+        words = [[coded(w) for w in batch.column(k).to_pylist()] for k in (2, 3)]
         widths: dict[tuple[int, int], list[int]] = {}
         for r, (x, y) in enumerate(zip(*words, strict=True)):
             widths.setdefault((len(x), len(y)), []).append(r)
         sim, off, strand = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, "+", object)
         for rows in widths.values():
             a, b = (np.array([side[r] for r in rows]) for side in words)
-            plus, plus_off = _best_offsets(a, b, table)
-            minus, minus_off = _best_offsets(a, other[b[:, ::-1]], table)
-            turned = minus > plus
-            sim[rows], off[rows], strand[rows] = np.where(turned, minus, plus), np.where(turned, minus_off, plus_off), np.where(turned, "-", "+")
+            sim[rows], strand[rows], off[rows] = _both_strands(a, b, table, other)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim), pa.array(strand, pa.string()), pa.array(off.astype(np.int32))], names=["id_a", "id_b", "sim", "strand", "off"])
 
 
+def _compare_blocks(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _correlations()
+        coded, other = _coder()
+
+        def by_width(block: pa.ListScalar) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            groups: dict[int, list[tuple[int, np.ndarray]]] = {}
+            for row in block.as_py():
+                groups.setdefault(len(row["word"]), []).append((row["id"], coded(row["word"])))
+            sides = ((n, np.array([i for i, _ in rows], np.int64), np.array([w for _, w in rows])) for n, rows in groups.items())
+            return {n: (ids, codes, (codes != CODES.index("N")).sum(axis=1)) for n, ids, codes in sides}
+
+        for batch in batches:
+            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                ones, others = by_width(left), by_width(right)
+                for (na, (ids_a, a, known_a)), (nb, (ids_b, b, known_b)) in product(ones.items(), others.items()):
+                    # No column scores over 1 and N scores 0, so no pair left out here can reach the least score.
+                    hope = np.minimum(known_a[:, None], known_b) >= least * min(na, nb) - 1e-6
+                    i, j = np.nonzero((ids_a[:, None] < ids_b) & hope)
+                    if not len(i):
+                        continue
+                    sim, strand, off = _both_strands(a[i], b[j], table, other)
+                    near = sim >= least - 1e-6
+                    columns = [pa.array(ids_a[i[near]]), pa.array(ids_b[j[near]]), pa.array(sim[near]), pa.array(strand[near], pa.string()), pa.array(off[near].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id_a", "id_b", "sim", "strand", "off"])
+
+    return run
+
+
+def near_similarities(words: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """``similarities`` of all pairs of ``words`` (id, word) that can be within ``threshold``.
+
+    Every word meets every other: blocks of words are paired and compared inside tasks,
+    so only near pairs leave a task.  Empty words have no columns and no pairs."""
+    words = words.where(F.length("word") > 0).select(F.col("id").cast("long").alias("id"), "word")
+    blocks = max(1, -(-words.count() // BLOCK))
+    block = words.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "word")).alias("rows")).drop("block")
+    left = block.select(F.col("rows").alias("left")).repartition(min(blocks, 2000))
+    both = left.crossJoin(block.select(F.col("rows").alias("right")))
+    return both.mapInArrow(_compare_blocks(1 - threshold), "id_a long, id_b long, sim double, strand string, off int")
+
+
 def similarities(words: DataFrame, pairs: DataFrame) -> DataFrame:
     """id_a, id_b, sim, strand, off: the best mean column correlation over offsets and strands.
 

@@ -34,8 +34,8 @@ def numbered(words: DataFrame) -> DataFrame:
 
 
 def similarity_edges(words: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Edges between words (id, word) that share a run of known letters and are near enough."""
-    return clustering.distances(clustering.similarities(words, clustering.seed_pairs(words)), threshold)
+    """Edges between all words (id, word) that are near enough."""
+    return clustering.distances(clustering.near_similarities(words, threshold), threshold)
 
 
 def clustered(words: DataFrame, threshold: float = 0.3) -> tuple[DataFrame, DataFrame]:

@@ -233,6 +233,30 @@ def test_similarities(spark):
         assert r["sim"] == pytest.approx(best, abs=1e-8)
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.45])
+def test_edges_of_all_pairs(spark, threshold):
+    rng = random.Random(7)
+    words = ["GGATACTG", "AGTGTCCG", "", "ACRTNGCA", "ACG"]
+    for _ in range(100):
+        word = "".join(rng.choice("ACGT") for _ in range(8))
+        words.append(word[:4] + "N" * rng.choice((0, 0, 0, 1, 2, 3, 6)) + word[4:])
+    # Neighbours of a word by one letter and one place, so that many pairs are near.
+    words += [rng.choice("ACGT") + w[:3] + rng.choice("ACGT") + w[4:-1] for w in words[5:65]]
+    table, score = str.maketrans("ACGTR", "TGCAY"), {(x, y): correlation(x, y) for x in "ACGTRYN" for y in "ACGTRYN"}
+    want = {}
+    for i, a in enumerate(words):
+        for j in range(i + 1, len(words)):
+            b = words[j]
+            if a and b:
+                best = max(sum(score[a[k], w[k - off]] for k in range(max(0, off), min(len(a), off + len(w)))) / min(len(a), len(b)) for w in (b, b[::-1].translate(table)) for off in range(1 - len(b), len(a)))
+                if round(1 - round(best, 9), 9) <= threshold:
+                    want[i, j] = 1 - best
+    frame = spark.createDataFrame(list(enumerate(words)), "id long, word string").repartition(3)
+    rows = seeds.similarity_edges(frame, threshold).collect()
+    assert len(rows) == len(want) and (0, 1) in want
+    assert {(r["id_a"], r["id_b"]): r["dist"] for r in rows} == {k: pytest.approx(d, abs=1e-8) for k, d in want.items()}
+
+
 def test_clusters_and_alignment(spark):
     words = spark.createDataFrame([(0, "ACGTTGAC"), (1, "CGTTGACA"), (2, "GTCAACGT"), (3, "TTTTCCCC"), (4, "TTTTCCCA"), (5, "GGGGGGGA")], "id long, word string")
     edges = seeds.stored(seeds.similarity_edges(words, 0.3))
