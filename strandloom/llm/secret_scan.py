@@ -1,7 +1,8 @@
 """Secret scans: a random forest removes false positives among candidates, all in DataFrame functions.
 
-A candidate is a run of at least 16 key characters with a digit in it.  Its
-features are its length, its character transitions, the share of it that
+A candidate is a run of at least 16 key characters with a digit in it, the value after
+a secret word and ``=`` or ``:`` (of any length and characters, quoted or not), or a
+key with a fixed prefix.  Its features are its length, its character transitions, the share of it that
 dictionary words of the corpus cover, hints in its path, and the words beside it.  The
 forest (Spark ML) learns from labelled findings: a frame of (before, candidate,
 after, path, label).  ``seeded_findings`` makes such a frame from known shapes of
@@ -26,35 +27,53 @@ from strandloom.llm.common import saved
 KEY = r"[A-Za-z0-9_+/\-]"
 CANDIDATE = rf"(?<!{KEY})(?=[A-Za-z_+/\-]*+[0-9]){KEY}{{16,}}+={{0,2}}"
 #: Words that name a secret before it, words that name something harmless, and hints in paths.
-SECRET_WORDS = r"(?i)(token|secret|passw(or)?d|passwd|api[_\- ]?key|access[_\- ]?key|auth|bearer|credential|private[_\- ]?key)\W{0,12}$"
+_NAMES = r"(token|secret|passw(or)?d|passwd|api[_\- ]?key|access[_\- ]?key|auth|bearer|credential|private[_\- ]?key)"
+SECRET_WORDS = rf"(?i){_NAMES}\W{{0,12}}$"
 HARMLESS_WORDS = r"(?i)(commit|sha(1|256)?|md5|checksum|digest|uuid|etag|revision|version|isbn|order|card|phone|id)\W{0,12}$"
 HARMLESS_PATHS = r"(?i)(test|example|sample|fixture|docs?/|lock)"
+#: The value after a secret word and = or :, up to its closing quote or, unquoted, to white space; and keys of fixed prefixes, with or without a digit.
+_SIGN = r"[\"'`]?\s{0,4}(?:=>|:=|==?|:)\s{0,4}"
+_NAMED = rf"(?<=(?i:{_NAMES}){_SIGN}"
+VALUE = rf"(?<=[=:>\s\"'`])(?![=>\s\"'`])(?:{_NAMED}\")[^\"\r\n]+(?=\")|{_NAMED}')[^'\r\n]+(?=')|{_NAMED}`)[^`\r\n]+(?=`)|{_NAMED}[\"'`]?)[^\s\"'`]*[^\s\"'`,;])"
+NAMED = rf"(?i){_NAMES}{_SIGN}"
+FIXED = r"(?:(?:AKIA|ASIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9\-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,})"
+PREFIXED = rf"(?<!{KEY}){FIXED}(?!{KEY})"
 #: Words of this many letters or more, seen this often in the corpus, are dictionary words.
 MIN_LETTERS, MIN_COUNT = 4, 5
 #: Characters of context kept on either side.
 BEFORE, AFTER = 40, 20
-FEATURES = ["length", "letter_digit", "case_change", "digit_share", "upper_share", "hex", "distinct_share", "covered", "secret_word", "harmless_word", "assigned", "quoted", "word_before", "word_after", "harmless_path"]
+FEATURES = ["length", "letter_digit", "case_change", "digit_share", "upper_share", "hex", "distinct_share", "covered", "secret_word", "harmless_word", "assigned", "quoted", "fixed", "symbols", "word_before", "word_after", "harmless_path"]
 #: A finding at or above this probability is a secret.
 CUT = 0.5
 
 
+def _findings(pattern: str) -> Column:
+    """An array of (start, found, before, after), one for each match of ``pattern`` in ``text``."""
+    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    between = F.transform(F.split("text", pattern, -1), lambda p: F.length(p))
+    # The i-th piece of the split stands before the i-th match.
+    sizes = F.arrays_zip(found.alias("found"), between.alias("between"))
+    placed = F.aggregate(
+        F.filter(sizes, lambda x: x["found"].isNotNull()),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,found:string>>").alias("all")),
+        lambda acc, x: F.struct(
+            (acc["at"] + x["between"] + F.length(x["found"])).alias("at"), F.concat(acc["all"], F.array(F.struct((acc["at"] + x["between"]).alias("start"), x["found"].alias("found")))).alias("all")
+        ),
+        lambda acc: acc["all"],
+    )
+    return F.when(F.col("text").rlike(NAMED if pattern == VALUE else pattern), placed).otherwise(F.array().cast("array<struct<start:int,found:string>>"))
+
+
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """doc_id, path, start (characters from 0), candidate, before, after: a row for each candidate."""
     text = F.col("text").cast("string")
-    texts = docs.where(text.rlike(CANDIDATE)).select("doc_id", F.col(path).cast("string").alias("path"), text.alias("text"))
-    found = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
-    between = F.transform(F.split("text", CANDIDATE, -1), lambda p: F.struct(F.length(p).alias("n"), F.substring(p, -BEFORE, BEFORE).alias("end"), F.substring(p, 1, AFTER).alias("begin")))
-    # The i-th piece of the split stands before the i-th candidate, the next one after it.
-    rows = texts.select("doc_id", "path", found.alias("found"), between.alias("between"))
-    starts = F.aggregate(
-        F.arrays_zip("found", "between"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda acc, x: F.struct((acc["at"] + x["between"]["n"] + F.coalesce(F.length(x["found"]), F.lit(0))).alias("at"), F.concat(acc["all"], F.array(acc["at"] + x["between"]["n"])).alias("all")),
-        lambda acc: acc["all"],
-    )
-    zipped = F.arrays_zip(F.col("found"), starts.alias("start"), F.col("between").alias("left"), F.slice("between", 2, F.size("between")).alias("right"))
-    return rows.select("doc_id", "path", F.explode(zipped).alias("c")).where(F.col("c.found").isNotNull()).select(
-        "doc_id", "path", F.col("c.start").cast("long").alias("start"), F.col("c.found").alias("candidate"), F.col("c.left.end").alias("before"), F.col("c.right.begin").alias("after")
+    texts = docs.where(text.rlike(CANDIDATE) | text.rlike(NAMED) | text.rlike(PREFIXED)).select("doc_id", F.col(path).cast("string").alias("path"), text.alias("text"))
+    # What two patterns find at the same place is one candidate.
+    every = F.array_distinct(F.concat(*map(_findings, (CANDIDATE, VALUE, PREFIXED))))
+    start, end = F.col("c.start"), F.col("c.start") + F.length("c.found")
+    begin = F.greatest(start - BEFORE, F.lit(0))
+    return texts.withColumn("c", F.explode(every)).select(
+        "doc_id", "path", start.cast("long").alias("start"), F.col("c.found").alias("candidate"), F.substring("text", begin + 1, start - begin).alias("before"), F.substring("text", end + 1, F.lit(AFTER)).alias("after")
     )
 
 
@@ -93,6 +112,8 @@ def featured(found: DataFrame, covered: DataFrame) -> DataFrame:
         "harmless_word": flag(F.col("before").rlike(HARMLESS_WORDS)),
         "assigned": flag(F.col("before").rlike(r"[=:]\s*[\"']?$")),
         "quoted": flag(F.col("before").rlike(r"[\"'`]$") & F.col("after").rlike(r"^[\"'`]")),
+        "fixed": flag(c.rlike(f"^{FIXED}$")),
+        "symbols": share(f"(?!{KEY}|\\s).").cast("double"),
         "word_before": flag(F.col("before").rlike(r"[a-z]{2,}[.,;]?\s+$")),
         "word_after": flag(F.col("after").rlike(r"^[.,;]?\s+[a-z]{2,}")),
         "harmless_path": flag(F.col("path").rlike(HARMLESS_PATHS)),
@@ -118,13 +139,28 @@ def seeded_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
     )
     opening = F.when(side % 2 == 0, F.concat(name, F.lit(' = "'))).otherwise(F.concat(name, F.lit(": '")))
     plain = F.when(side % 2 == 0, F.concat(F.lit("see "), label, F.lit(" "))).otherwise(F.lit("and then with "))
-    return spark.range(rows).select(
+    known = spark.range(rows).select(
         F.when(pick <= 5, opening).otherwise(plain).alias("before"),
         F.when(pick <= 5, key).otherwise(harmless).alias("candidate"),
         F.when(pick <= 5, F.when(side % 2 == 0, F.lit('" the next')).otherwise(F.lit("' and"))).otherwise(F.lit(" of the same")).alias("after"),
         F.when(side == 3, F.lit("src/app.py")).otherwise(F.lit("conf/run")).alias("path"),
         (pick <= 5).cast("double").alias("label"),
     )
+    # Short, letter-only and punctuated values, keys of fixed prefixes, and plain words after the same names.
+    kind = F.pmod(F.xxhash64(F.lit("value"), n), F.lit(10))
+    letters = F.translate(hexes, "0123456789", "ghijklmnop")
+    both = F.concat(F.substring(letters, 1, 5), F.upper(F.substring(letters, 6, 5)), F.substring(digits, 1, 2))
+    value = (
+        F.when(kind == 0, F.substring(mixed, F.lit(1), 6 + F.pmod(n, F.lit(9)).cast("int"))).when(kind == 1, F.substring(letters, F.lit(1), 8 + F.pmod(n, F.lit(25)).cast("int")))
+        .when(kind == 2, F.concat(F.substring(mixed, 1, 5), F.lit("!"), F.substring(mixed, 7, 4), F.lit("@#"), F.substring(mixed, 12, 6))).when(kind == 3, F.concat(F.lit("AKIA"), F.upper(F.substring(letters, 1, 16))))
+        .when(kind == 4, both).when(kind == 5, F.concat(F.substring(letters, 1, 7), F.substring(digits, 1, 1)))
+        .otherwise(F.element_at(F.array(*map(F.lit, ("required", "None", "null", "true", "string", "expired", "the", "must", "is", "${VALUE}", "<value>", "os.environ"))), (F.pmod(n, F.lit(12)) + 1).cast("int")))
+    )
+    bare, loose = side == 2, (kind == 3) & (side == 1)
+    leading = F.when(loose, "and then with ").when((kind > 5) | bare, F.concat(name, F.when(side % 2 == 0, "=").otherwise(": "))).otherwise(opening)
+    trailing = F.when((kind > 5) | bare | loose, " of the same").otherwise(F.when(side % 2 == 0, '" the next').otherwise("' and"))
+    values = spark.range(rows // 2).select(leading.alias("before"), value.alias("candidate"), trailing.alias("after"), F.when(side == 3, "src/app.py").otherwise("conf/run").alias("path"), (kind <= 5).cast("double").alias("label"))
+    return known.unionAll(values)
 
 
 def train(findings: DataFrame, words: DataFrame, trees: int = 24, depth: int = 6, seed: int = 5) -> RandomForestClassificationModel:
