@@ -33,6 +33,7 @@ class Model:
     background: np.ndarray
     rate: float
     bias: float = 1.0
+    rested: bool = False
 
     @property
     def width(self) -> int:
@@ -145,7 +146,7 @@ def batch_em(seqs: DataFrame, models: list[Model], iterations: int = 50, distanc
         if not active:
             break
     seqs.unpersist()
-    return now
+    return [replace(m, rested=i not in active) for i, m in enumerate(now)]
 
 
 def online_em(seqs: DataFrame, models: list[Model], first_step: float = 0.05, decay: float = -0.6, passes: int = 5, batches: int = 8, seed: int = 0, both_strands: bool = True, key: str = "seq_id") -> list[Model]:
@@ -187,4 +188,4 @@ def online_em(seqs: DataFrame, models: list[Model], first_step: float = 0.05, de
                 active.discard(i)
             slopes[i] = (slopes[i] - 1) / 2
     bucketed.unpersist()
-    return now
+    return [replace(m, rested=i not in active) for i, m in enumerate(now)]

@@ -400,19 +400,19 @@ def e_step(spark, sf_dir):
 
 @_query()
 def batch_em(spark, sf_dir):
-    """EM from the scan motif until it rests: matrix, rate."""
-    return _models(spark, em.batch_em(sequences(spark, sf_dir), [em.Model("motif", *_model_arrays(), RATE)], iterations=10))
+    """EM from the scan motif until it rests, over 50 passes at most: matrix, rate, and whether it rests."""
+    return _models(spark, em.batch_em(sequences(spark, sf_dir), [em.Model("motif", *_model_arrays(), RATE)]))
 
 
 @_query()
 def online_em(spark, sf_dir):
-    """Online EM by seeded mini-batches, two passes."""
-    return _models(spark, em.online_em(sequences(spark, sf_dir), [em.Model("motif", *_model_arrays(), RATE)], passes=2, batches=4))
+    """Online EM by seeded mini-batches until it rests, over five passes at most."""
+    return _models(spark, em.online_em(sequences(spark, sf_dir), [em.Model("motif", *_model_arrays(), RATE)]))
 
 
 def _models(spark, models) -> DataFrame:
-    rows = [(m.name, pos, *map(float, row), float(m.rate)) for m in models for pos, row in enumerate(m.theta)]
-    return spark.createDataFrame(rows, "motif string, pos int, A double, C double, G double, T double, rate double")
+    rows = [(m.name, pos, *map(float, row), float(m.rate), m.rested) for m in models for pos, row in enumerate(m.theta)]
+    return spark.createDataFrame(rows, "motif string, pos int, A double, C double, G double, T double, rate double, rested boolean")
 
 
 @_query()

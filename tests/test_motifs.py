@@ -125,6 +125,14 @@ def test_em_recovers_a_planted_motif(spark, fit):
     assert done.theta.max(axis=1).min() > 0.7 and np.allclose(done.theta.sum(axis=1), 1) and np.isclose(done.background.sum(), 1)
 
 
+def test_em_says_whether_it_rests(spark):
+    seqs = planted(spark, sequences=40)
+    theta = np.array([[0.7 if x == y else 0.1 for x in "ACGT"] for y in "TGACGTCA"])
+    start = em.Model("m", theta, np.full(4, 0.25), 0.01)
+    assert not em.batch_em(seqs, [start], iterations=1)[0].rested and em.batch_em(seqs, [start])[0].rested
+    assert not em.online_em(seqs, [start], passes=1, batches=2)[0].rested
+
+
 def test_refinement(spark):
     seqs = planted(spark, sequences=60)
     theta = np.array([[0.7 if x == y else 0.1 for x in "ACGT"] for y in "TGACGTCA"])
