@@ -7,13 +7,16 @@ rows.  Suffix sums run in two levels (blocks of lengths, then lengths in a block
 so no task sees the whole histogram.
 
 Defined cases: a null or empty text has length 0; null doc_ids stay; repeated rows
-count as often as they occur; special-token strings in a text are ordinary text; an
-empty table gives an empty result; other columns are not read.
+count as often as they occur, and texts of one length share its row; special-token strings
+in a text are ordinary text; a very long text is encoded whole by one task, also with runs
+of white space, letters or symbols of any length (``cut_runs``); an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,14 +39,41 @@ def encoding(ranks: bytes, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
+#: White space as the split pattern has it, and the length from which a run of it is cut out.
+_SPACES, LONG_RUN = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", 1000
+_LONG_RUN = re.compile(f"{_SPACES}{{{LONG_RUN},}}")
+
+
+def cut_runs(text: str) -> Iterator[tuple[bool, str]]:
+    """Parts of a text that encode on their own, and whether a part is a single unit of the split pattern.
+
+    The pattern takes a run of white space up to its last character as one unit (the whole
+    run at the text's end), and that last character opens the next unit.  Looking for
+    the end of a very long run would exhaust the pattern engine's stack."""
+    at = 0
+    for run in _LONG_RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        if run.start() > at:
+            yield False, text[at : run.start()]
+        yield True, text[run.start() : end]
+        at = end
+    if at < len(text):
+        yield False, text[at:]
+
+
+def encoded_length(encoder, text: str) -> int:
+    # The encoder takes a single unit by this call only.
+    return sum(len(encoder._encode_single_piece(part) if unit else encoder.encode_ordinary(part)) for unit, part in cut_runs(text))
+
+
 def encoded_lengths(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """doc_id and n_tokens for every row; the vocabulary (under a megabyte) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(shared.value, pattern).encode_ordinary
+        encoder = encoding(shared.value, pattern)
         for batch in batches:
-            lengths = [len(encode(text.as_py() or "")) for text in batch.column(1)]
+            lengths = [encoded_length(encoder, text.as_py() or "") for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64())], names=["doc_id", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -86,18 +116,29 @@ def suffix_sums(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
 def at_limits(sums: DataFrame, limits: DataFrame) -> DataFrame:
     """Answers for any context limits (a frame with ``context_limit``), also lengths that do not occur.
 
-    ``limits`` is a short list of questions.  The largest occurring length up to a
-    limit answers it: nothing lies between the two."""
-    pairs = limits.join(sums, F.col("n_tokens") <= F.col("context_limit"))
-    totals = sums.agg(F.max("total_tokens").alias("t"), F.sum("docs").alias("d"))
-    row = F.max_by(F.struct("docs_over", "tokens_over", "share_within"), "n_tokens")
-    best = limits.join(pairs.groupBy("context_limit").agg(row.alias("r")), "context_limit", "left").join(F.broadcast(totals))
-    over, tokens_over = F.coalesce("r.docs_over", F.col("d")), F.coalesce("r.tokens_over", F.col("t"))
-    return best.select(
-        "context_limit", over.alias("docs_over"), tokens_over.alias("tokens_over"), (F.col("t") - tokens_over + over * F.col("context_limit")).alias("truncated_tokens"), F.coalesce("r.share_within", F.lit(0.0)).alias("share_within")
-    )
+    ``limits`` is a short list of questions, which is broadcast.  The largest occurring
+    length up to a limit answers it: nothing lies between the two.  Each length goes to the
+    limits of its range, found in the sorted list, and the rest is one aggregate."""
+    asked = sorted({r["context_limit"] for r in limits.select("context_limit").where(F.col("context_limit").isNotNull()).distinct().collect()})
+    listed = F.array(*map(F.lit, asked)) if asked else F.array().cast("array<long>")
+    row = F.struct("n_tokens", "docs_over", "tokens_over", "share_within")
+    # The first limit not below a length; later limits without a length of their own look back to it.
+    place = F.size(F.filter(listed, lambda limit: limit < F.col("n_tokens")))
+    best = {r["place"]: r["best"] for r in sums.groupBy(place.alias("place")).agg(F.max(row).alias("best")).collect()}
+    total = sums.agg(F.coalesce(F.max("total_tokens"), F.lit(0)).alias("t"), F.coalesce(F.sum("docs"), F.lit(0)).alias("d")).first()
+    answers, last = [], None
+    for k, limit in enumerate(asked):
+        last = best.get(k, last)
+        over, tokens_over, share = (last["docs_over"], last["tokens_over"], last["share_within"]) if last else (total["d"], total["t"], 0.0)
+        answers.append((limit, over, tokens_over, total["t"] - tokens_over + over * limit, share))
+    table = sums.sparkSession.createDataFrame(answers, "context_limit long, docs_over long, tokens_over long, truncated_tokens long, share_within double")
+    return limits.join(F.broadcast(table), "context_limit")  # a row for each limit
 
 
 def quantiles(sums: DataFrame, shares: DataFrame) -> DataFrame:
-    """For each ``share`` the least length within which at least that share of documents lies."""
-    return shares.join(sums, F.col("share_within") >= F.col("share")).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+    """For each ``share`` (a short list of questions) the least length within which at least that share of documents lies."""
+    asked = sorted({r["share"] for r in shares.select("share").where(F.col("share").isNotNull()).distinct().collect()})
+    least = [F.min(F.when(F.col("share_within") >= share, F.col("n_tokens"))).alias(f"q{k}") for k, share in enumerate(asked)]
+    found = sums.agg(*least).first() if asked else []
+    table = sums.sparkSession.createDataFrame([(share, n) for share, n in zip(asked, found, strict=True) if n is not None], "share double, n_tokens long")
+    return shares.join(F.broadcast(table), "share")
