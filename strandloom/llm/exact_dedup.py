@@ -1,18 +1,21 @@
 """Exact dedup: tree-merge of sorted digest runs.
 
 Every partition sorts its digests and collapses equal ones into a run.  Then
-partitions exchange runs in rounds: in round r each partition hands every one of
-its ``fan_in`` partners the part of its run whose digests fall to that partner,
-so that after ``log(parts) / log(fan_in)`` rounds each partition holds one share of
-the digest space, merged.  Every level merges sorted input and keeps, for each
-verified key (SHA-256 and byte length), one identifier and the number of rows.
-Copies collapse at each level, so a hot text shrinks before it is sent.
+partitions exchange runs in binomial rounds: in round r partitions whose numbers
+differ in bit r hand each other the part of their run whose digests fall to the
+other's side, so that after log2(parts) rounds each partition holds one share of the
+digest space, merged.  (``fan_in`` partners a round make fewer, wider rounds.)  Every
+level merges the sorted runs that it gets and keeps, for each verified key (SHA-256
+and byte length), one row and the number of rows.  Copies collapse at each level, so
+a hot text shrinks before it is sent.  A merging task holds its share of the keys,
+about a hundred bytes each; more shuffle partitions make shares smaller.
 
 Defined cases: a null text counts as empty; null doc_ids never win against
-others; rows that repeat doc_id and text are one document (``duplicates`` marks
-each of them alike, ``deduplicate`` returns one); an empty table gives an empty
-result; further columns are not read by ``duplicates`` and pass unchanged through
-``deduplicate``.
+others; of rows that tie for the identifier that stays (the same doc_id, or nulls only)
+exactly one stays, the first in the stored table for ``duplicates`` and the one of the
+least hash of all columns for ``deduplicate``; a very long text is hashed whole by one
+task; an empty table gives an empty result; further columns are not read by
+``duplicates`` and pass unchanged through ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,9 +35,12 @@ from strandloom.llm.common import attach, lower_bytes, saved, shuffle_parts, sli
 
 #: Dropped rows up to which their keys are broadcast (48 bytes each).
 BROADCAST_ROWS = 200_000
+#: Rows of one batch of a run.
+BATCH = 1 << 16
 
 _DIGESTED = "doc_id long, digest binary, n_bytes long"
-_RUN = "part int, digest binary, n_bytes long, keep_id long, group_size long"
+_RUN = "part int, origin int, digest binary, n_bytes long, keep_id long, keep_row long, group_size long"
+_KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
 
 def _sha256(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -53,45 +60,62 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_digest, _DIGESTED)
 
 
+def collapsed(runs: list[pa.RecordBatch], keep: str) -> pa.RecordBatch | None:
+    """One sorted run of several: a row for each key, with the identifier and row that stay and the number of rows."""
+    table = pa.Table.from_batches(runs)
+    if not table.num_rows:
+        return None
+    digest = np.frombuffer(b"".join(table.column("digest").to_pylist()), "S32")
+    n_bytes, row, size = (table.column(c).to_numpy() for c in ("n_bytes", "keep_row", "group_size"))
+    known = table.column("keep_id").is_valid().to_numpy()
+    ids = table.column("keep_id").fill_null(0).to_numpy()
+    # A stable sort of joined runs finds and merges them.
+    high = digest.view(">u8").reshape(-1, 4)[:, 0].astype(np.uint64)
+    order = np.argsort(high, kind="stable")
+    tied = high[order][1:] == high[order][:-1]
+    if tied.any():  # equal texts, or digests alike in their first bytes: by the whole key, then the row that stays first
+        rank = np.where(known, ids if keep == "smallest" else ~ids, 0)
+        mixed = np.zeros(len(order), bool)
+        mixed[1:] |= tied
+        mixed[:-1] |= tied
+        own = order[mixed]
+        parts = digest.view(">u8").reshape(-1, 4)[own]
+        order[mixed] = own[np.lexsort((row[own], rank[own], ~known[own], n_bytes[own], *parts.T[::-1]))]
+    words = digest.view(">u8").reshape(-1, 4)[order]
+    opens = np.ones(len(order), bool)
+    opens[1:] = (words[1:] != words[:-1]).any(axis=1) | (n_bytes[order][1:] != n_bytes[order][:-1])
+    first = order[opens]
+    sizes = np.add.reduceat(size[order], np.flatnonzero(opens))
+    out = table.take(pa.array(first)).combine_chunks().to_batches()[0]
+    return out.set_column(out.schema.get_field_index("group_size"), "group_size", pa.array(sizes))
+
+
 def _merger(keep: str):
-    """Collapse neighbours of a sorted run; one open key is carried from batch to batch."""
+    """Merge the runs that a task gets, each in its order, and hand on one."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pick = max if keep == "largest" else min
-        held = None
+        runs: dict[int, list[pa.RecordBatch]] = {}
         for batch in batches:
-            out = []
-            for part, digest, n_bytes, keep_id, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held is not None and held[1] == digest and held[2] == n_bytes and held[0] == part:
-                    ids = [x for x in (held[3], keep_id) if x is not None]
-                    held[3] = pick(ids) if ids else None
-                    held[4] += size
-                else:
-                    if held is not None:
-                        out.append(held)
-                    held = [part, digest, n_bytes, keep_id, size]
-            if out:
-                yield _rows(out)
-        if held is not None:
-            yield _rows([held])
+            for origin in set(batch.column("origin").to_pylist()):
+                runs.setdefault(origin, []).append(batch.filter(pc.equal(batch.column("origin"), origin)))
+        merged = collapsed([b for own in runs.values() for b in own], keep) if runs else None
+        for begin in range(0, merged.num_rows if merged else 0, BATCH):
+            yield merged.slice(begin, BATCH)
 
     return merge
 
 
-def _rows(rows: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "digest", "n_bytes", "keep_id", "group_size"])
+def merged_runs(digested: DataFrame, keep: str = "largest", fan_in: int = 2) -> DataFrame:
+    """One row per key: digest, n_bytes, keep_id (the ``largest`` or ``smallest``), keep_row, group_size.
 
-
-def merged_runs(digested: DataFrame, keep: str = "largest", fan_in: int = 4) -> DataFrame:
-    """One row per key: digest, n_bytes, keep_id (the ``largest`` or ``smallest``), group_size."""
+    ``digested`` has doc_id, digest, n_bytes and ``row``, a number of its own for every row."""
     rounds = max(1, math.ceil(math.log(max(2, shuffle_parts(digested.sparkSession)), fan_in)))
     parts = fan_in**rounds
     merge = _merger(keep)
-    first = digested.select(
-        F.pmod(F.spark_partition_id(), F.lit(parts)).cast("int").alias("part"), "digest", "n_bytes", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")
-    )
-    run = first.sortWithinPartitions("digest", "n_bytes").mapInArrow(merge, _RUN)
+    place = F.pmod(F.spark_partition_id(), F.lit(parts)).cast("int")
+    one = F.lit(1).cast("long").alias("group_size")
+    first = digested.select(place.alias("part"), place.alias("origin"), "digest", "n_bytes", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), one)
+    run = first.mapInArrow(merge, _RUN)
     share = F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("long") % parts
     for r in range(rounds):
         unit = fan_in**r
@@ -100,22 +124,24 @@ def merged_runs(digested: DataFrame, keep: str = "largest", fan_in: int = 4) ->
             return F.floor(c / unit) % fan_in
 
         to = (F.col("part") + (digit(share) - digit(F.col("part"))) * unit).cast("int")
-        sent = run.withColumn("part", to).repartitionById(parts, F.col("part"))
-        run = sent.sortWithinPartitions("part", "digest", "n_bytes").mapInArrow(merge, _RUN)
-    return run.drop("part")
+        sent = run.withColumn("origin", F.col("part")).withColumn("part", to).repartitionById(parts, F.col("part"))
+        run = sent.mapInArrow(merge, _RUN)
+    return run.drop("part", "origin")
+
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """A stored table of digests in which every row has a number."""
+    return saved(digests(docs).withColumn("row", F.monotonically_increasing_id()))
 
-def duplicates(docs: DataFrame, keep: str = "largest", fan_in: int = 4) -> DataFrame:
+
+def duplicates(docs: DataFrame, keep: str = "largest", fan_in: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    ``kept`` marks the rows of the identifier that stays; in a group of null
-    identifiers it is every row."""
-    digested = saved(digests(docs))
-    groups = saved(merged_runs(digested, keep, fan_in).select(_key(), "keep_id", "group_size"))
-    rows = digested.select("doc_id", "digest", _key())
-    return attach(rows, groups, "__key", "group_size").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    ``kept`` marks one row of each group."""
+    digested = _numbered(docs)
+    groups = saved(merged_runs(digested, keep, fan_in).select(_key(), "keep_id", "keep_row", "group_size"))
+    rows = digested.select("doc_id", "digest", "row", _key())
+    return attach(rows, groups, "__key", "group_size").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def _key():
@@ -129,20 +155,27 @@ def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield piece.append_column("__digest", pa.array(_sha256(data, offsets), pa.binary()))
 
 
-def deduplicate(docs: DataFrame, keep: str = "largest", fan_in: int = 4) -> DataFrame:
+def deduplicate(docs: DataFrame, keep: str = "largest", fan_in: int = 2) -> DataFrame:
     """Rows of ``docs`` that stay, one for each distinct text, all columns unchanged.
 
-    The dropped (doc_id, digest) pairs are broadcast while they are few, and joined by a shuffle beyond that."""
-    digested = saved(digests(docs))
+    The dropped (doc_id, digest) pairs are broadcast while they are few, and joined by a shuffle beyond that.
+    Rows that tie for the identifier that stays are reduced by an aggregate."""
+    digested = _numbered(docs)
     groups = saved(merged_runs(digested, keep, fan_in).select(_key(), "keep_id", "group_size"))
     marked = attach(digested.select("doc_id", "digest", _key()), groups, "__key", "group_size")
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     marked = saved(marked.where(F.col("group_size") > 1).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), stays.alias("stays")).count())
     gone = marked.where(~F.col("stays")).select("__id", "__d")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    tied = marked.where(F.col("stays") & (F.col("count") > 1)).select("__id", "__d")
     kinds = T.StructType([*docs.schema.fields, T.StructField("__digest", T.BinaryType())])
     coded = docs.mapInArrow(_with_digest, kinds)
-    kept = coded.join(gone, coded["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (coded["__digest"] == gone["__d"]), "left_anti")
-    if not marked.where(F.col("stays") & (F.col("count") > 1)).isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "__digest"])
-    return kept.select(*docs.columns)
+
+    def among(pairs: DataFrame, how: str) -> DataFrame:
+        few = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
+        return coded.join(few, coded["doc_id"].cast("long").eqNullSafe(few["__id"]) & (coded["__digest"] == few["__d"]), how)
+
+    if tied.isEmpty():
+        return among(gone, "left_anti").select(*docs.columns)
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    one = among(tied, "left_semi").groupBy(F.col("doc_id").alias("__id"), "__digest").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("r"))
+    return among(gone.unionByName(tied), "left_anti").select(*docs.columns).unionByName(one.select("r.*"))
