@@ -64,7 +64,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = """
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
-  doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY s) AS kept, sha256(s) AS text_sha256 FROM t
+  row_number() OVER (PARTITION BY s ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(s) AS text_sha256 FROM t
 """
 
 
@@ -79,7 +79,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-  CAST('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 12) AS BIGINT) AS position FROM documents),
+  CAST('0x' || substr(sha256('7:' || key || ':' || (row_number() OVER (PARTITION BY key) - 1)), 1, 12) AS BIGINT) AS position
+  FROM (SELECT *, sha256(concat_ws(':', (doc_id IS NULL)::VARCHAR, (source IS NULL)::VARCHAR, coalesce(doc_id::VARCHAR, ''), coalesce(source, ''), coalesce(text, ''))) AS key FROM documents)),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM d GROUP BY source),
 r AS (SELECT *, 3.0::DOUBLE * source_size AS cap FROM s),
 c AS (SELECT *, coalesce(sum(cap) OVER w, 0) AS held, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS free, sum(source_size) OVER ()::DOUBLE AS all_size
