@@ -13,8 +13,9 @@ before they leave a task, so no group of copies becomes all its pairs.
 Defined cases: a null or empty text has no set, links with nothing and is its own
 component; a text with fewer words than a shingle has one shingle, all its words;
 null doc_ids are never the least of a component with other ids; repeated rows are
-copies of one class; an empty table gives an empty result; other columns are not
-read.  Sets are of 64-bit hashes, classes of 64-bit digests: among a billion
+copies of one class, and ``deduplicate`` keeps one row of a component whatever its ids are;
+a very long text is one task's work, and alone in its group; an empty table gives an
+empty result; other columns are not read.  Sets are of 64-bit hashes, classes of 64-bit digests: among a billion
 documents the chance that any two classes are confused is about three percent.
 """
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import attach, lower_bytes, mix, saved, slices, split_words, text_bytes
@@ -37,12 +38,16 @@ from strandloom.llm.components import components
 COUNTERS, BLOCK = 1 << 21, 1 << 16
 #: Prefix tokens that a linked pair shares (fewer if its sets are smaller).
 SHARED = 4
-#: Classes of one group, about.
-GROUP = 64
+#: Classes of one group and tokens of their sets, about.
+GROUP, GROUP_TOKENS = 64, 1 << 20
+#: Groups of one token that meet in one task; more frequent tokens are split.
+SPLIT = 1000
+#: Tasks that add frequency sketches before the last sum.
+ADDERS = 64
 #: Candidate rows up to which their identifiers are broadcast (16 bytes each).
 BROADCAST_ROWS = 500_000
 
-_SLIM = "doc_id long, n int, key long, label long, block int, counts binary"
+_SLIM = "doc_id long, mark long, n int, key long, label long, block int, counts binary"
 _U = np.uint64
 
 
@@ -88,39 +93,61 @@ def _first_pass(k: int, percent: int):
         sketch = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for piece in slices(batch):
-                sets = shingle_sets(piece.column(1), k)
+                sets = shingle_sets(piece.column(2), k)
                 sketch += np.bincount((np.concatenate(sets) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
                 n = np.array([len(s) for s in sets], np.int32)
                 none = n == 0
                 keys = pa.array([class_key(s) if len(s) else 0 for s in sets], pa.int64(), mask=none)
                 labels = pa.array([group_label(s, percent) if len(s) else 0 for s in sets], pa.int64(), mask=none)
-                yield _slim(piece.column(0), pa.array(n), keys, labels, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary()))
+                yield _slim(piece.column(0), piece.column(1), pa.array(n), keys, labels, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary()))
         if sketch.any():
-            blocks = [zlib.compress(b.astype(np.uint32).tobytes(), 1) for b in sketch.reshape(-1, BLOCK)]
-            m = len(blocks)
-            yield _slim(pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(np.arange(m, dtype=np.int32)), pa.array(blocks, pa.binary()))
+            used = [(k, _squeezed(b)) for k, b in enumerate(sketch.reshape(-1, BLOCK)) if b.any()]
+            m, longs = len(used), pa.nulls(len(used), pa.int64())
+            yield _slim(longs, longs, pa.nulls(m, pa.int32()), longs, longs, pa.array([k for k, _ in used], pa.int32()), pa.array([b for _, b in used], pa.binary()))
 
     return run
 
 
 def _slim(*columns: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(list(columns), names=["doc_id", "n", "key", "label", "block", "counts"])
+    return pa.RecordBatch.from_arrays(list(columns), names=["doc_id", "mark", "n", "key", "label", "block", "counts"])
 
 
-def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _squeezed(counts: np.ndarray) -> bytes:
+    """Counters of a block that are not zero: places, then counts."""
+    at = np.flatnonzero(counts)
+    return zlib.compress(at.astype(np.uint32).tobytes() + counts[at].astype(np.int64).tobytes(), 1)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = np.frombuffer(zlib.decompress(counts.as_py()), np.uint32).astype(np.int64)
-            total[block] = total[block] + own if block in total else own
-    for block, own in total.items():
-        coarse = np.rint(4 * np.log2(1 + own)).astype(np.uint8)  # an order needs no exact counts
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([coarse.tobytes()], pa.binary())], names=["block", "counts"])
+            raw = zlib.decompress(counts.as_py())
+            n = len(raw) // 12
+            own = total.setdefault(block, np.zeros(BLOCK, np.int64))
+            own[np.frombuffer(raw, np.uint32, n)] += np.frombuffer(raw[4 * n :], np.int64)
+    return total
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block, own in _added(batches).items():
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_squeezed(own)], pa.binary())], names=["block", "counts"])
+
+
+def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block, own in _added(batches).items():
+        scaled = np.rint(4 * np.log2(1 + own)).astype(np.uint8)  # an order needs no exact counts
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([scaled.tobytes()], pa.binary())], names=["block", "counts"])
 
 
 def frequency_ranks(sketch: DataFrame) -> np.ndarray:
-    """Log-scaled token frequency by counter; two megabytes, whatever the input."""
-    blocks = sketch.repartition("block").mapInArrow(_add_blocks, "block int, counts binary").collect()
+    """Log-scaled token frequency by counter; two megabytes, whatever the input.
+
+    Sketches are added as a tree: first within ``ADDERS`` times as many tasks as there
+    are blocks, then by block."""
+    schema = "block int, counts binary"
+    near = sketch.withColumn("adder", F.spark_partition_id() % ADDERS).repartition("block", "adder").select("block", "counts").mapInArrow(_counts, schema)
+    blocks = near.repartition("block").mapInArrow(_coarse, schema).collect()
     ranks = np.zeros(COUNTERS, np.uint8)
     for block, counts in blocks:
         ranks[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(counts, np.uint8)
@@ -234,24 +261,38 @@ def _verify(percent: int):
     return run
 
 
+def _meetings(matrix: DataFrame) -> DataFrame:
+    """token, g, h for all groups g <= h of a token.
+
+    A token of many groups is dealt over tasks: its left rows by a hash, its right rows to each."""
+    crowded = saved(matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") > SPLIT))
+    left, right = matrix.withColumnRenamed("group", "g"), matrix.withColumnRenamed("group", "h")
+    if crowded.isEmpty():
+        return left.join(right, "token").where("g <= h")
+    salts = crowded.select("token", F.ceil(F.col("groups") / SPLIT).cast("int").alias("salts"), "groups")
+    left = attach(left, salts, "token", "groups").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("g"), "salts"), F.lit(0).cast("long")))
+    right = attach(right, salts, "token", "groups").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("salts") - 1, F.lit(0)).cast("long"))))
+    return left.select("token", "salt", "g").join(right.select("token", "salt", "h"), ["token", "salt"]).where("g <= h").select("token", "g", "h")
+
+
 def class_links(texts: DataFrame, classes: DataFrame, ranks: np.ndarray, k: int, percent: int) -> DataFrame:
     """Links (a, b) between class keys that connect all classes that similar pairs connect."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
-    prefixes = texts.select("text").mapInArrow(_prefixes(k, percent, shared), "token long, key long").repartition("token")
-    of_token = Window.partitionBy("token")
-    prefixes = prefixes.withColumns({"lo": F.min("key").over(of_token), "hi": F.max("key").over(of_token)})
-    postings = saved(prefixes.where("lo < hi").select("token", "key").distinct())
+    prefixes = saved(texts.select("text").mapInArrow(_prefixes(k, percent, shared), "token long, key long"))
+    ends = prefixes.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("rows"))
+    shared_tokens = saved(ends.where("lo < hi").select("token", "rows"))
+    postings = saved(attach(prefixes, shared_tokens, "token", "rows").where(F.col("rows").isNotNull()).select("token", "key").distinct())
 
     met = classes.join(postings.select("key").distinct(), "key")
-    crowd = met.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
-    member = met.join(crowd, "label").select("key", "n", "rep", F.xxhash64("label", F.pmod(F.xxhash64("key"), "parts")).alias("group"))
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("n") / GROUP_TOKENS))
+    crowd = saved(met.groupBy("label").agg(parts.alias("parts"), F.count(F.lit(1)).alias("rows")))
+    member = attach(met.select("label", "key", "n", "rep"), crowd, "label", "rows").select("key", "n", "rep", F.xxhash64("label", F.pmod(F.xxhash64("key"), "parts")).alias("group"))
     member = saved(member)
     need = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))
     group = member.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min(need).alias("need"), F.count(F.lit(1)).alias("members"))
-    matrix = postings.join(member, "key").select("token", "group").distinct()
-    left, right = matrix.withColumnRenamed("group", "g"), matrix.withColumnRenamed("group", "h")
-    counts = left.join(right, "token").where("g <= h").groupBy("g", "h").agg(F.count(F.lit(1)).alias("common"))
+    matrix = saved(postings.join(member, "key").select("token", "group").distinct())
+    counts = _meetings(matrix).groupBy("g", "h").agg(F.count(F.lit(1)).alias("common"))
     one = group.select(F.col("group").alias("g"), F.col("least").alias("gl"), F.col("most").alias("gm"), F.col("need").alias("gn"), F.col("members").alias("gc"))
     two = group.select(F.col("group").alias("h"), F.col("least").alias("hl"), F.col("most").alias("hm"), F.col("need").alias("hn"))
     near = (F.col("gl") * percent <= F.col("hm") * 100) & (F.col("hl") * percent <= F.col("gm") * 100)
@@ -271,32 +312,53 @@ def class_links(texts: DataFrame, classes: DataFrame, ranks: np.ndarray, k: int,
     return saved(within.unionByName(across).mapInArrow(_verify(percent), "a long, b long"))
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row.
-
-    Documents link when 100 * |A and B| >= percent * |A or B| for their sets of
-    distinct k-word shingles; component_id is the least doc_id reachable by links."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, mark (a hash of the text), n, component (a class key; null without a set) and component_id for every row."""
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     first = saved(texts.mapInArrow(_first_pass(k, percent), _SLIM))
-    slim = first.where(F.col("block").isNull()).select("doc_id", "n", "key", "label")
+    slim = first.where(F.col("block").isNull()).select("doc_id", "mark", "n", "key", "label")
     classes = slim.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("label").alias("label"))
-    classes = saved(classes)
-    links = class_links(texts, classes, frequency_ranks(first.where(F.col("block").isNotNull()).select("block", "counts")), k, percent)
+    classes = saved(classes.withColumn("component", F.col("key")))
+    links = class_links(texts.drop("mark"), classes.drop("component"), frequency_ranks(first.where(F.col("block").isNotNull()).select("block", "counts")), k, percent)
     if not links.isEmpty():
         linked = components(links).join(classes, F.col("node") == F.col("key")).select("key", "root", "rep")
         linked = saved(linked)
         least = saved(linked.groupBy("root").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("classes")))
-        roots = attach(linked.select("key", "root"), least, "root", "classes").select("key", "least")
-        classes = classes.join(roots, "key", "left").withColumn("rep", F.coalesce("least", "rep"))
-    table = saved(classes.select("key", F.col("rep").alias("component_id"), "copies"))
-    out = attach(slim.select("doc_id", "n", "key"), table, "key", "copies")
+        roots = attach(linked.select("key", "root"), least, "root", "classes").select("key", F.col("root").alias("__root"), "least")
+        classes = classes.join(roots, "key", "left").withColumns({"rep": F.coalesce("least", "rep"), "component": F.coalesce("__root", "component")})
+    table = saved(classes.select("key", F.col("rep").alias("component_id"), "component", "copies"))
+    return attach(slim.select("doc_id", "mark", "n", "key"), table, "key", "copies").drop("key", "copies")
+
+
+def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id for every row.
+
+    Documents link when 100 * |A and B| >= percent * |A or B| for their sets of
+    distinct k-word shingles; component_id is the least doc_id reachable by links."""
+    out = _joined(docs, k, percent)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` without those whose component has a lesser doc_id; columns unchanged.
-
-    doc_id must name a document: rows that share one go together."""
-    gone = saved(join(docs, k, percent).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """Rows of ``docs`` without all but one of each component; columns unchanged.
+
+    The row of the least doc_id stays (nulls come last), of several such rows the one
+    whose text and then whose columns hash least.  Documents without a set all stay."""
+    found = saved(_joined(docs, k, percent).where(F.col("component").isNotNull()).select("component", "doc_id", "mark"))
+    pair = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    best = saved(found.groupBy("component").agg(F.min(pair).alias("best"), F.count(F.lit(1)).alias("rows")))
+    marked = attach(found, best.where("rows > 1"), "component", "rows").where(F.col("rows").isNotNull())
+    stays = pair == F.col("best")
+    marked = saved(marked.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), stays.alias("stays")).count())
+    gone, tied = (marked.where(which).select("__id", "__mark") for which in (~F.col("stays"), F.col("stays") & (F.col("count") > 1)))
+    coded = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__text": F.xxhash64(F.col("text").cast("string"))})
+
+    def among(pairs: DataFrame, how: str) -> DataFrame:
+        few = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
+        return coded.join(few, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__mark")), how)
+
+    if tied.isEmpty():
+        return among(gone, "left_anti").select(*docs.columns)
+    one = among(tied, "left_semi").groupBy("__doc", "__text").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r"))
+    return among(gone.unionByName(tied), "left_anti").select(*docs.columns).unionByName(one.select("r.*"))
