@@ -50,8 +50,12 @@ def test_exact_dedup(docs, no_docs, keep, pick):
         key = (t or "").translate(LOWER)
         ids = [x for x in groups[key] if x is not None]
         best = pick(ids) if ids else None
-        want[(i, best, len(groups[key]), i == best, hashlib.sha256(key.encode()).hexdigest())] += 1
-    assert Counter(tuple(r) for r in exact_dedup.duplicates(docs, keep).collect()) == want
+        want[(i, best, len(groups[key]), hashlib.sha256(key.encode()).hexdigest())] += 1
+    got = exact_dedup.duplicates(docs, keep).collect()
+    assert Counter((*r[:3], r[4]) for r in got) == want
+    assert Counter(r["text_sha256"] for r in got if r["kept"]) == Counter(hashlib.sha256(k.encode()).hexdigest() for k in groups)
+    assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
+    assert Counter(map(tuple, exact_dedup.duplicates(docs, keep, fan_in=3).collect())) == Counter(map(tuple, got))
     kept = exact_dedup.deduplicate(docs, keep)
     assert kept.columns == docs.columns
     assert Counter((r["text"] or "").translate(LOWER) for r in kept.collect()) == Counter(groups.keys())
@@ -130,3 +134,61 @@ def test_token_counts(docs, no_docs):
     assert {r["share"]: r["n_tokens"] for r in token_counts.quantiles(sums, shares).collect()}[1.0] == max(lengths)
     empty = token_counts.encoded_lengths(no_docs, ranks, BYTE_PATTERN)
     assert token_counts.suffix_sums(token_counts.length_histogram(empty)).collect() == []
+
+
+def test_exact_dedup_of_ties(spark):
+    rows = [(5, "Same", 1), (5, "SAME", 2), (None, "same", 3), (None, "n", 4), (None, "N", 5), (None, "n", 6), (7, "other", 7), (7, "n", 8)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, keep_row int").repartition(3)
+    got = exact_dedup.duplicates(made).collect()
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in got if r["kept"]) == Counter({(5, 5, 3): 1, (7, 7, 4): 1, (7, 7, 1): 1})
+    stay = exact_dedup.deduplicate(made.where("keep_row < 8"))
+    assert Counter((r["doc_id"], r["text"].lower()) for r in stay.collect()) == Counter([(5, "same"), (None, "n"), (7, "other")])
+    assert sorted(map(tuple, stay.collect()), key=str) == sorted(map(tuple, exact_dedup.deduplicate(made.where("keep_row < 8").repartition(5)).collect()), key=str)
+
+
+def test_merged_runs_against_a_dictionary():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    keys = [(bytes([7, 7, 7, 7, 7, 7, 7, 7]) if k % 3 else b"") + hashlib.sha256(bytes([k])).digest() for k in range(40)]
+    keys = [k[:32] for k in keys]
+    rows = [(int(rng.integers(0, 4)), keys[rng.integers(0, 40)], int(rng.integers(0, 2)), None if rng.random() < 0.3 else int(rng.integers(-5, 5)), n, 1) for n in range(600)]
+    runs = []
+    for origin in range(4):
+        own = sorted((r for r in rows if r[0] == origin), key=lambda r: (r[1], r[2]))
+        columns = list(zip(*own, strict=True))
+        runs.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([(0,) * len(own), *columns], exact_dedup._KINDS, strict=True)], names=["part", "origin", "digest", "n_bytes", "keep_id", "keep_row", "group_size"]))
+    for keep, sign in (("largest", -1), ("smallest", 1)):
+        want = {}
+        for _, digest, n, i, row, _ in rows:
+            best, size = want.get((digest, n), (None, 0))
+            mark = (i is None, sign * (i or 0), row)
+            want[digest, n] = (min(best, mark) if best else mark, size + 1)
+        got = exact_dedup.collapsed(runs, keep).to_pylist()
+        assert [(r["digest"], r["n_bytes"]) for r in got] == sorted(want)
+        assert all((r["keep_row"], r["group_size"]) == (want[r["digest"], r["n_bytes"]][0][2], want[r["digest"], r["n_bytes"]][1]) for r in got)
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "\u3000", " \t", "x", "7", "#"])
+def test_token_counts_of_very_long_runs(unit):
+    from strandloom.llm.registry import BYTE_PATTERN, VOCABULARIES
+
+    encoder = token_counts.encoding(Path(VOCABULARIES / "byte_bpe_50k.tiktoken").read_bytes(), BYTE_PATTERN)
+    for before, after in (("", ""), ("word", "word"), ("a ", " 1"), ("#\n", "\n#"), ("x", "\n"), ("", "'s")):
+        text = before + unit * 1500 + after + unit * 999 + "end" + unit * 2000
+        assert token_counts.encoded_length(encoder, text) == len(encoder.encode_ordinary(text))
+    assert token_counts.encoded_length(encoder, "a" + unit * 2_000_000 + "b") > 0
+
+
+def test_mixing_of_null_and_repeated_identifiers(spark):
+    rows = [(None, "one two three", "a") for _ in range(60)] + [(4, "w " * 5, "a") for _ in range(20)] + [(k, "x y", None) for k in range(40)] + [(None, None, None)] * 2
+    made = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    check_mix(made, rows, lambda own: max(r["size"] for r in own) / 2 + 1)
+
+
+def test_url_filters_of_very_long_hosts_and_paths(spark):
+    urls = ["http://" + "a." * 40_000 + "example.net/en/" + "x/" * 500_000, "http://" + "b" * 1_000_000 + ".org/fr/?" + "q" * 100_000, "http://" + "." * 5000 + "net/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    assert sorted(map(tuple, url_filters.judge(pages, rules).collect())) == [(k, *expected_verdict(u)) for k, u in enumerate(urls)]

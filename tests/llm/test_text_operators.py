@@ -161,6 +161,31 @@ def test_ngram_join(spark, docs, no_docs, k, percent):
     assert ngram_join.join(no_docs, k, percent).collect() == []
 
 
+def test_ngram_join_of_a_token_in_every_document(spark, monkeypatch):
+    # One shingle stands in every text, and with two words a text it is in every prefix; hot tokens are split.
+    monkeypatch.setattr(ngram_join, "SPLIT", 7)
+    texts = [(k, f"common w{k % 90}") for k in range(300)] + [(1000 + k, "common common") for k in range(20)]
+    made = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    assert Counter(tuple(r) for r in ngram_join.join(made, 1, 30).collect()) == brute_components(texts, 1, 30)
+
+
+def test_near_copies_with_null_and_shared_identifiers(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, base), (None, base + " a"), (None, base + " b"), (3, "other text of its own " + base[:40]), (3, "x " * 30 + "y"), (3, "x " * 31 + "y"), (3, "x " * 30 + "y"), (None, None), (None, "")]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = ngram_join.deduplicate(made)
+    got = Counter((r["doc_id"], (r["text"] or "")[:1]) for r in kept.collect())
+    assert got == Counter([(None, "w"), (3, "o"), (3, "x"), (None, ""), (None, "")])
+    assert sorted(map(str, kept.collect())) == sorted(map(str, ngram_join.deduplicate(made.repartition(5)).collect()))
+
+
+def test_components_of_a_hub(spark):
+    hub = spark.range(100_000).select(F.lit(-1).cast("long").alias("a"), F.col("id").alias("b"))
+    tail = spark.range(100).select((F.col("id") + 99_999).alias("a"), (F.col("id") + 100_000).alias("b"))
+    got = components(hub.unionByName(tail))
+    assert got.count() == 100_101 and got.where("root != -1").isEmpty()
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(1000, 1100)]
