@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-A text is cut where no piece can reach across (before a run of spaces, and around
-characters that occur in no longer piece), which gives words.  Words are exploded
+A text is cut between any two characters that stand side by side in no piece, as no
+piece can reach across; the parts are its words.  Words are exploded
 into substrings of at most the longest piece's length, the substrings meet the piece
 table in an equi-join, and the matches are the word's lattice edges.  Edges are
 grouped by word and folded with Spark's higher-order ``aggregate``.
@@ -12,14 +12,17 @@ takes edges from the best rank down, and an edge merges its two symbols if both
 ends and exactly one border inside still stand; that is BPE itself, because every
 piece is built from better-ranked ones.  ``viterbi`` folds unigram scores.
 
-Frequent words are folded once and broadcast (at most ``FREQUENT`` of them); the
-others travel with their text and are folded there, so no table of all words is ever
-joined.  Words beyond the fold's 62 borders, or with a piece that is not built from
+Frequent words are folded once and broadcast (at most ``FREQUENT`` of them, in at most
+``FREQUENT_BYTES``); the others travel with their text and are folded there, so no table
+of all words is ever joined.  Texts are numbered where they are read, so ``docs`` should be a
+stored table, whose rows keep their order if a task is run again.  Words beyond the fold's 62 borders, or with a piece that is not built from
 better-ranked ones (long runs of spaces), are merged by a priority queue instead.
 
 Defined cases: null and empty texts have no ids; U+2581 in a text is a space, as in
-the library; null doc_ids stay; repeated rows get equal ids; an empty table gives an
-empty result; other columns are not read; ids outside the vocabulary decode to nothing.
+the library; null doc_ids stay; repeated rows get equal ids; a very long text is one
+task's work, in time linear in its length but for the queue's logarithm; pieces of equal
+rank merge from the left; an empty table gives an empty result; other columns are not
+read; ids outside the vocabulary decode to nothing.
 """
 
 from __future__ import annotations
@@ -37,10 +40,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import shuffle_parts, slices, text_bytes
+from strandloom.llm.common import saved, shuffle_parts, slices, text_bytes
 
-#: Words that are folded ahead and broadcast, at most, and the occurrences that make one worth it.
-FREQUENT, WORTH = 1 << 20, 4
+#: Words that are folded ahead and broadcast, at most, their bytes, and the occurrences that make one worth it.
+FREQUENT, FREQUENT_BYTES, WORTH = 1 << 20, 64 << 20, 4
+#: Distinct words that a counting task holds before it sends them on, and rows of one batch.
+HELD, ROWS = 1 << 17, 1 << 16
 #: Borders that one fold can hold, and the bits of an id.
 LONGEST, NO_PIECE = 62, (1 << 20) - 1
 #: Rank of edges that merge nothing.
@@ -89,11 +94,10 @@ class Vocabulary:
         return bits
 
     @cached_property
-    def barriers(self) -> np.ndarray:
-        """ASCII bytes that no piece of two or more characters has."""
-        inside = set("".join(p for p in self.text_ids if len(p) > 1))
-        table = np.zeros(256, bool)
-        table[[c for c in range(128) if chr(c) not in inside]] = True
+    def inside(self) -> np.ndarray:
+        """By two bytes: whether some piece has two characters side by side of which the first ends and the second begins so."""
+        table = np.zeros(1 << 16, bool)
+        table[[(a.encode()[-1] << 8) + b.encode()[0] for p in self.text_ids for a, b in zip(p, p[1:], strict=False)]] = True
         return table
 
     @cached_property
@@ -174,8 +178,8 @@ def _by_rank(word: str, ranks: dict[str, int], longest: int) -> list[str]:
     return [word[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
-def cut_words(text: pa.Array, barriers: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """Words of each text with its leading space, and where each text's words begin."""
+def cut_words(text: pa.Array, inside: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Words of each text (with the space that is put before it), and where each text's words begin."""
     if text.null_count:
         text = text.fill_null("")
     if pc.any(pc.match_substring(text, MARK)).as_py():
@@ -184,10 +188,9 @@ def cut_words(text: pa.Array, barriers: np.ndarray) -> tuple[pa.Array, np.ndarra
     data, offsets = text_bytes(full)
     if not len(data):
         return pa.array([], pa.string()), np.zeros(len(offsets), np.int64)
-    space, barrier = data == 32, barriers[data]
-    begins = barrier.copy()
-    begins[1:] |= barrier[:-1]
-    begins[1:] |= space[1:] & ~space[:-1]
+    begins = np.empty(len(data), bool)
+    begins[1:] = ~inside[(data[:-1].astype(np.uint16) << 8) | data[1:]]
+    begins[1:] &= (data[1:] & 0xC0) != 0x80  # characters stay whole
     begins[offsets[:-1][offsets[:-1] < len(data)]] = True
     starts = np.flatnonzero(begins)
     words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
@@ -203,16 +206,30 @@ def _odd(words: pa.Array, vocabulary: Vocabulary) -> np.ndarray:
 
 
 def _count(shared):
+    """Words that a fold takes, and how often a task has them; a word comes again only after ``HELD`` others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
+        held: list[pa.Table] = []
+
+        def total() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
         for batch in batches:
             for piece in slices(batch):
-                words, _ = cut_words(piece.column(0), vocabulary.barriers)
-                coded = words.dictionary_encode()
-                known = coded.dictionary
-                counts = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(known)) if len(words) else np.zeros(0, np.int64)
-                plain = pa.array(~_odd(known, vocabulary)) if len(known) else pa.array([], pa.bool_())
-                yield pa.RecordBatch.from_arrays([known.filter(plain), pa.array(counts.astype(np.int64)).filter(plain)], names=["word", "n"])
+                counted = cut_words(piece.column(0), vocabulary.inside)[0].value_counts()
+                if not len(counted):
+                    continue
+                own = pa.table({"word": counted.field(0), "n": counted.field(1)})
+                held.append(own.filter(pa.array(~_odd(counted.field(0), vocabulary))))
+                if sum(map(len, held)) > 2 * HELD:
+                    held[:] = [total()]
+                    if len(held[0]) > HELD:
+                        yield from held.pop().to_batches(ROWS)
+        if held:
+            yield from total().to_batches(ROWS)
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -307,79 +324,101 @@ def word_borders(words: DataFrame, vocabulary: Vocabulary, keys: list[str], carr
     return graph.select(*keys, *carried, borders.alias("borders"))
 
 
+def _listed_ids(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [shared.value.ids_at(w, b) for w, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
+
+    return run
+
+
 def frequent_words(texts: DataFrame, vocabulary: Vocabulary, shared, limit: int) -> tuple[pa.Array, pa.Array]:
-    """The most frequent words of the corpus (from ``WORTH`` occurrences), at most ``limit``, and their ids.
+    """The most frequent words of the corpus (from ``WORTH`` occurrences) and their ids, the most frequent first.
 
-    Counts cover all texts.  The least count is found from counts by eighths of a
-    power of two, of which there are at most a few hundred."""
+    There are at most ``limit``, of at most ``FREQUENT_BYTES``.  Counts cover all texts.  The
+    least count is found from counts by eighths of a power of two, of which there are at most
+    a few hundred."""
     counted = texts.select("text").mapInArrow(_count(shared), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = counted.where(F.col("n") >= WORTH).withColumn("step", F.floor(F.log2("n") * 8).cast("int")).persist()
-    steps = sorted(((r["step"], r["words"]) for r in counted.groupBy("step").agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
-    total, least = 0, None
-    for step, words in steps:
-        total += words
-        if total > limit:
+    counted = saved(counted.where(F.col("n") >= WORTH).withColumn("step", F.floor(F.log2("n") * 8).cast("int")))
+    steps = counted.groupBy("step").agg(F.count(F.lit(1)).alias("words"), F.sum(F.octet_length("word")).alias("bytes")).orderBy(F.col("step").desc()).collect()
+    words, size, least = 0, 0, None
+    for step in steps:
+        words, size = words + step["words"], size + step["bytes"]
+        if words > limit or size > FREQUENT_BYTES:
             break
-        least = step
+        least = step["step"]
     if least is None:
-        counted.unpersist()
         return pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
-    chosen = counted.where(F.col("step") >= least).select("word").repartition("word")
-    table = word_borders(chosen, vocabulary, ["word"], []).toArrow()
-    counted.unpersist()
-    words = table.column("word").combine_chunks()
-    ids = [vocabulary.ids_at(w, b) for w, b in zip(words.to_pylist(), table.column("borders").to_pylist(), strict=True)]
-    return words, pa.array(ids, pa.list_(pa.int32()))
+    chosen = counted.where(F.col("step") >= least).select("word", "n").repartition("word")
+    table = word_borders(chosen, vocabulary, ["word"], ["n"]).select("word", "borders", "n").mapInArrow(_listed_ids(shared), "word string, n long, ids array<int>").toArrow()
+    table = table.sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
+    return table.column("word").combine_chunks(), table.column("ids").combine_chunks()
 
 
-#: Row -1 of a text holds its word codes and the ids of words that no fold takes; rows from 0 hold its rare words.
-_CODED = "row long, place int, word string, doc_id long, text_sha256 binary, codes binary, odd array<array<int>>"
-_KINDS = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.int32()))]
-_NAMES = ["row", "place", "word", "doc_id", "text_sha256", "codes", "odd"]
+#: A row for each text: its word codes, the ids of words that no fold takes, and its other rare words, each after a MARK (which no word has).
+_CODED = "row long, doc_id long, text_sha256 binary, codes binary, odd array<array<int>>, rare string"
+_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.int32())), pa.string()]
+_NAMES = ["row", "doc_id", "text_sha256", "codes", "odd", "rare"]
 
 
 def _code(shared, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, listed = shared.value, _from_ipc(frequent.value).column(0).combine_chunks()
         odd_ids: dict[str, list[int]] = {}
+
+        def merged(word: str) -> list[int]:
+            ids = odd_ids.get(word) or vocabulary.merged(word)
+            if len(word) < 1000 and len(odd_ids) < 10_000:
+                odd_ids[word] = ids
+            return ids
+
         for batch in batches:
             for piece in slices(batch):
-                words, bounds = cut_words(piece.column(2), vocabulary.barriers)
+                words, bounds = cut_words(piece.column(2), vocabulary.inside)
                 coded = words.dictionary_encode()
                 at, known = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
                 code = pc.fill_null(pc.index_in(known, value_set=listed), -1).to_numpy(zero_copy_only=False)[at] if len(words) else np.zeros(0, np.int32)
                 odd = _odd(known, vocabulary) if len(known) else np.zeros(0, bool)
-                heads: list[tuple] = []
-                rows, places, rare = [], [], []
+                rows: list[tuple] = []
                 for row, doc_id, text, a, b in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), piece.column(2), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    own = code[a:b].astype(np.int32)
+                    own = code[a:b].astype(np.int64)
                     scarce = np.flatnonzero(own < 0)
                     local, place = np.unique(at[a:b][scarce], return_inverse=True)
-                    own[scarce] = -1 - place
-                    plain = ~odd[local]
-                    merged = [None] * len(local)
-                    for k in np.flatnonzero(~plain).tolist():
-                        word = known[int(local[k])].as_py()
-                        merged[k] = odd_ids.get(word) or vocabulary.merged(word)
-                        if len(word) < 1000 and len(odd_ids) < 10_000:
-                            odd_ids[word] = merged[k]
-                    picked = np.flatnonzero(plain)
-                    rows.append(np.full(len(picked), row))
-                    places.append(picked)
-                    rare.append(local[picked])
+                    order = np.argsort(odd[local], kind="stable")  # words that a fold takes come first
+                    own[scarce] = len(listed) + np.argsort(order)[place]
+                    local = local[order]
+                    plain = len(local) - int(odd[local].sum())
+                    others = [merged(known[k].as_py()) for k in local[plain:].tolist()]
+                    rare = "".join(MARK + w for w in known.take(pa.array(local[:plain])).to_pylist()) if plain else ""
                     raw = (text.as_py() or "").replace(MARK, SPACE).encode()
-                    packed = int(b - a).to_bytes(4, "little") + (pa.compress(own.tobytes(), codec="zstd", asbytes=True) if b > a else b"")
-                    heads.append((row, -1, "", doc_id, hashlib.sha256(raw).digest(), packed, merged))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*heads, strict=True), _KINDS, strict=True)], names=_NAMES)
-                scarce = np.concatenate(rare)
-                if len(scarce):
-                    own = [pa.array(np.concatenate(rows)), pa.array(np.concatenate(places).astype(np.int32)), known.take(pa.array(scarce))]
-                    yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(scarce), k) for k in _KINDS[3:])], names=_NAMES)
+                    rows.append((row, doc_id, hashlib.sha256(raw).digest(), packed(own), others, rare))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
         pa.default_memory_pool().release_unused()
 
     return run
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """Codes as their number, their width in bytes, and one compressed plane for each byte, the lowest first."""
+    if not len(codes):
+        return bytes(5)
+    width = max(1, (int(codes.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(codes).to_bytes(4, "little") + bytes([width]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n, width = int.from_bytes(data[:4], "little"), data[4]
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(data[5:], decompressed_size=n * width, codec="zstd"), np.uint8).reshape(width, n)
+    codes = np.zeros(n, np.int64)
+    for k in range(width):
+        codes |= planes[k].astype(np.int64) << (8 * k)
+    return codes
+
+
 def _to_ipc(words: pa.Array, ids: pa.Array) -> bytes:
     sink = pa.BufferOutputStream()
     table = pa.table({"word": words, "ids": ids})
@@ -397,16 +436,19 @@ def _assemble(shared, frequent, finish):
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, listed = shared.value, _from_ipc(frequent.value).column(1).combine_chunks()
-        flat, bounds = listed.flatten().to_numpy(zero_copy_only=False), listed.offsets.to_numpy()
+        flat, bounds = listed.flatten().to_numpy(zero_copy_only=False), listed.offsets.to_numpy().astype(np.int64)
         for batch in batches:
             head = batch.column(0)
             doc_ids, digests, codes, odds = (head.field(k) for k in range(4))
             found = batch.column(1)
             places, words, borders = (found.values.field(k).to_pylist() for k in range(3))
-            folded = [vocabulary.ids_at(w, b) for w, b in zip(words, borders, strict=True)]
             starts = found.offsets.to_pylist()
-            own = (dict(zip(places[a:b], folded[a:b], strict=True)) for a, b in zip(starts, starts[1:], strict=False))
-            rows = [_ids(c.as_py(), o.as_py(), f, flat, bounds) for c, o, f in zip(codes, odds, own, strict=True)]
+            rows = []
+            for c, o, a, b in zip(codes, odds, starts, starts[1:], strict=False):
+                folded: list[list[int]] = [[]] * (b - a)
+                for place, word, border in zip(places[a:b], words[a:b], borders[a:b], strict=True):
+                    folded[place - 1] = vocabulary.ids_at(word, border)
+                rows.append(_ids(unpacked(c.as_py()), folded + o.as_py(), flat, bounds))
             ends = np.cumsum([0, *map(len, rows)])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32()))
             yield pa.RecordBatch.from_arrays([doc_ids, digests, ids], names=["doc_id", "text_sha256", "ids"])
@@ -418,28 +460,23 @@ def _assemble(shared, frequent, finish):
     return run
 
 
-def _ids(packed: bytes, odd: list, folded: dict, flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Ids of one text: frequent words from the common table, the others from its own."""
-    n = int.from_bytes(packed[:4], "little")
-    if not n:
-        return np.zeros(0, np.int32)
-    codes = np.frombuffer(pa.decompress(packed[4:], decompressed_size=4 * n, codec="zstd"), np.int32)
-    scarce = codes < 0
-    at = np.where(scarce, 0, codes)
-    begin, length = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    if len(bounds) > 1:
-        begin, length = bounds[at].astype(np.int64), (bounds[at + 1] - bounds[at]).astype(np.int64)
-    if not scarce.any():
-        return flat[np.repeat(begin, length) + _ramp(length)]
-    own = [ids if ids is not None else folded[i] for i, ids in enumerate(odd)]
-    sizes = np.array([len(x) for x in own])
-    tail = np.concatenate([np.array(x, np.int32) for x in own])
-    starts = np.cumsum(sizes) - sizes
-    length[scarce], begin[scarce] = sizes[-1 - codes[scarce]], starts[-1 - codes[scarce]]
-    picked, from_tail = np.repeat(begin, length) + _ramp(length), np.repeat(scarce, length)
-    out = np.empty(len(picked), np.int32)
-    out[from_tail], out[~from_tail] = tail[picked[from_tail]], flat[picked[~from_tail]]
-    return out
+def _ids(codes: np.ndarray, own: list[list[int]], flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Ids of one text: frequent words from the common table, the others, whose codes follow, from its ``own``."""
+    begins, lengths = bounds[:-1], np.diff(bounds)
+    if own:
+        sizes = np.array([len(x) for x in own], np.int64)
+        tail = np.concatenate([np.array(x, np.int32) for x in own])
+        scarce = codes >= len(lengths)
+        at = np.where(scarce, codes - len(lengths), 0)
+        common = np.where(scarce, 0, codes)
+        length = np.where(scarce, sizes[at], lengths[common] if len(lengths) else 0)
+        begin = np.where(scarce, (np.cumsum(sizes) - sizes)[at], begins[common] if len(lengths) else 0)
+        picked, from_tail = np.repeat(begin, length) + _ramp(length), np.repeat(scarce, length)
+        out = np.empty(len(picked), np.int32)
+        out[from_tail], out[~from_tail] = tail[picked[from_tail]], flat[picked[~from_tail]]
+        return out
+    length = lengths[codes]
+    return flat[np.repeat(begins[codes], length) + _ramp(length)]
 
 
 def _ramp(length: np.ndarray) -> np.ndarray:
@@ -456,9 +493,11 @@ def _encode(docs: DataFrame, vocabulary: Vocabulary, limit: int, finish, schema:
     # All rows of a text meet at this one exchange; folding and gathering keep its partitioning.
     coded = texts.mapInArrow(_code(shared, frequent), _CODED)
     coded = coded.repartition(4 * shuffle_parts(docs.sparkSession), "row")  # small tasks, as lattices are many times their words
-    head = F.when(F.col("place") < 0, F.struct("doc_id", "text_sha256", "codes", "odd")).alias("head")
-    folded = word_borders(coded.select("row", "place", "word", head), vocabulary, ["row", "place", "word"], ["head"])
-    pair = F.when(F.col("place") >= 0, F.struct("place", "word", "borders"))
+    # Before the first MARK stands an empty word, whose row carries the text's own columns.
+    words = coded.select("*", F.posexplode(F.split("rare", MARK)).alias("place", "word"))
+    head = F.when(F.col("place") == 0, F.struct("doc_id", "text_sha256", "codes", "odd")).alias("head")
+    folded = word_borders(words.select("row", "place", "word", head), vocabulary, ["row", "place", "word"], ["head"])
+    pair = F.when(F.col("place") > 0, F.struct("place", "word", "borders"))
     gathered = folded.groupBy("row").agg(F.first("head", ignorenulls=True).alias("head"), F.collect_list(pair).alias("found"))
     return gathered.select("head", "found").mapInArrow(_assemble(shared, frequent, finish), schema)
 
