@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,11 +32,9 @@ def letter_entropy(seq: Column) -> Column:
     return entropy([_occurrences(F.upper(seq), x).cast("double") + LETTER_PSEUDO for x in "ACGT"])
 
 
-def pair_entropy(seq: Column) -> Column:
-    """Entropy of the sixteen letter pairs of a string, overlapping ones included.
-
-    Each pair is counted by a lookahead, one pass of the string for each."""
-    return entropy([F.regexp_count(F.upper(seq), F.lit(f"{a}(?={b})")).cast("double") + LETTER_PSEUDO for a, b in product("ACGT", repeat=2)])
+def pair_entropy(pairs: Column) -> Column:
+    """Entropy of the sixteen letter pairs of a string, from their counts (``tuples.sequence_pair_counts``)."""
+    return entropy([pairs[k].cast("double") + LETTER_PSEUDO for k in range(16)])
 
 
 def log_factorial(n: Column) -> Column:
@@ -52,11 +51,45 @@ def hypergeometric(population: Column, drawn: Column, marked: Column, hits: Colu
     return F.exp(sum((log_factorial(x) for x in ways[1:]), log_factorial(ways[0])) - sum((log_factorial(x) for x in parts[1:]), log_factorial(parts[0])))
 
 
+#: Terms of a tail that are summed at a time.
+TAIL_BLOCK = 1 << 16
+
+
+def _log_factorials(n: np.ndarray) -> np.ndarray:
+    """``log_factorial`` over an array."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        large = n * np.log(n) - n + np.log(2 * ROUGH_PI * n) / 2
+    small = np.array([math.log(math.factorial(k)) for k in range(5)])
+    return np.where(n < 5, small[np.clip(n, 0, 4).astype(int)], large)
+
+
+def tail_probability(population: float, drawn: float, marked: float, hits: float, upper: bool) -> float:
+    """Sum of hypergeometric terms from ``hits`` on, away from or over the mode, until they vanish."""
+    most, least = min(drawn, marked), max(0.0, drawn + marked - population)
+    ways = _log_factorials(np.array([marked, population - marked, population - drawn, drawn, population]))
+    fixed = ways[:4].sum() - ways[4]
+    mode = math.floor((drawn + 1) * (marked + 1) / (population + 2))
+    at, total = (max(hits, least) if upper else min(hits, most)), 0.0
+    while least <= at <= most:
+        k = at + np.arange(min(TAIL_BLOCK, most - at + 1)) if upper else at - np.arange(min(TAIL_BLOCK, at - least + 1))
+        terms = np.exp(fixed - sum(_log_factorials(x) for x in (marked - k, k, population - marked - drawn + k, drawn - k)))
+        total += float(terms.sum())
+        past = k[-1] > mode if upper else k[-1] < mode
+        if past and terms[-1] * TAIL_BLOCK <= 1e-16 * total:
+            break
+        at = k[-1] + (1 if upper else -1)
+    return total
+
+
 def hypergeometric_tail(population: Column, drawn: Column, marked: Column, hits: Column, upper: bool = True) -> Column:
-    """Probability of at least (or at most) ``hits``."""
-    ks = F.sequence(hits, F.least(drawn, marked)) if upper else F.sequence(F.lit(0), hits)
-    total = F.aggregate(ks, F.lit(0.0), lambda s, k: s + hypergeometric(population, drawn, marked, k))
-    return F.when(hits > F.least(drawn, marked), 0.0).otherwise(total) if upper else total
+    """Probability of at least (or at most) ``hits``; memory is one block of terms, whatever the population."""
+
+    @F.pandas_udf("double")
+    def run(population: pd.Series, drawn: pd.Series, marked: pd.Series, hits: pd.Series) -> pd.Series:
+        rows = zip(population, drawn, marked, hits, strict=True)
+        return pd.Series([math.nan if any(pd.isna(x) for x in r) else tail_probability(*map(float, r), upper) for r in rows], dtype=float)
+
+    return run(*(c.cast("double") for c in (population, drawn, marked, hits)))
 
 
 def log10_or_floor(p: Column, floor: float = -30.0) -> Column:

@@ -5,6 +5,10 @@ their windows and send one small row for each model.  Batch EM takes a job an
 iteration.  Online EM takes seeded mini-batches of sequences with a falling step, so
 no task ever holds the whole set; a batch stands for as many single steps as it has
 windows.
+
+A model says how sites are spread: any number of them (``ANY``; the rate is a share of
+windows), none or one in a sequence (``NONE_OR_ONE``; the rate is a share of sequences),
+or exactly one (``ONE``).
 """
 
 from __future__ import annotations
@@ -19,14 +23,19 @@ from pyspark.sql import functions as F
 
 from strandloom.operators.packing import letters, pieces
 from strandloom.operators.scan import TIE, window_scores
+from strandloom.storage import saved
 
 #: Weight of the background prior that each step adds to a letter, and where a pass counts as converged.
 PRIOR, CONVERGED = 1e-4, 1e-6
+#: How sites are spread over sequences.
+ANY, NONE_OR_ONE, ONE = "any", "none or one", "one"
+#: Steps that are summed one by one; those after them are integrated.
+SUMMED = 100_000
 
 
 @dataclass(frozen=True)
 class Model:
-    """Motif rows and background over A, C, G, T, and the share of windows that are sites."""
+    """Motif rows and background over A, C, G, T, the share of windows (or sequences) that are sites, and how they are spread."""
 
     name: str
     theta: np.ndarray
@@ -34,6 +43,13 @@ class Model:
     rate: float
     bias: float = 1.0
     rested: bool = False
+    spread: str = ANY
+    density: float = 0.0
+
+    @property
+    def window_rate(self) -> float:
+        """Share of windows that are sites, however they are spread (known once the model was fitted)."""
+        return self.rate if self.spread == ANY else self.density
 
     @property
     def width(self) -> int:
@@ -42,13 +58,14 @@ class Model:
 
 @dataclass(frozen=True)
 class Expected:
-    """Sums over windows: responsibilities, motif and background letter counts, log likelihood, windows."""
+    """Sums over windows: responsibilities, motif and background letter counts, log likelihood, windows; and sequences that have windows."""
 
     z: float
     motif: np.ndarray
     other: np.ndarray
     log_likelihood: float
     windows: int
+    sequences: int = 0
 
 
 def responsibilities(code: np.ndarray, model: Model, both_strands: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,9 +79,24 @@ def responsibilities(code: np.ndarray, model: Model, both_strands: bool = True)
     return z, backward > forward + TIE, score
 
 
+def one_a_sequence(score: np.ndarray, owner: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """z of each window, and the log likelihood ratio of each sequence, where a sequence has at most one site.
+
+    ``score`` are log likelihood ratios of windows, those of one sequence (``owner``) side by side."""
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    windows = np.diff(np.append(first, len(owner)))
+    share = np.log(model.rate / windows) if model.spread == NONE_OR_ONE else -np.log(windows)
+    none = np.log1p(-model.rate) if model.spread == NONE_OR_ONE else -np.inf
+    terms = score + np.repeat(share, windows)
+    top = np.maximum(np.maximum.reduceat(terms, first), none)
+    with np.errstate(under="ignore"):
+        total = top + np.log(np.add.reduceat(np.exp(terms - np.repeat(top, windows)), first) + np.exp(none - top))
+        return np.exp(terms - np.repeat(total, windows)), total
+
+
 def _expected(models: list[Model], both_strands: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [[0.0, np.zeros((m.width, 4)), np.zeros((m.width, 4)), 0.0, 0] for m in models]
+        sums = [[0.0, np.zeros((m.width, 4)), np.zeros((m.width, 4)), 0.0, 0, 0] for m in models]
         for batch in batches:
             for piece in pieces(batch):
                 code, offsets = letters(piece.column(0))
@@ -79,30 +111,37 @@ def _expected(models: list[Model], both_strands: bool):
                     z, reverse, score = responsibilities(code, model, both_strands)
                     at = np.flatnonzero(known)
                     z, reverse, score = z[at], reverse[at], score[at]
+                    if not len(at):
+                        continue
+                    if model.spread == ANY:
+                        likelihood = np.logaddexp(np.log(model.rate) + score, np.log(1 - model.rate))
+                    else:
+                        z, likelihood = one_a_sequence(score, owner[at], model)
                     for j in range(w):
                         own = np.where(reverse, 3 - code[at + w - 1 - j], code[at + j])
                         total[1][j] += np.bincount(own, z, 4)
                         total[2][j] += np.bincount(own, 1 - z, 4)
                     total[0] += z.sum()
-                    total[3] += np.logaddexp(np.log(model.rate) + score, np.log(1 - model.rate)).sum()
+                    total[3] += likelihood.sum()
                     total[4] += len(at)
-        rows = [(i, s[0], s[1].ravel().tolist(), s[2].ravel().tolist(), s[3], s[4]) for i, s in enumerate(sums) if s[4]]
-        kinds = [pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.int64()]
+                    total[5] += np.count_nonzero(np.diff(owner[at], prepend=-1))
+        rows = [(i, s[0], s[1].ravel().tolist(), s[2].ravel().tolist(), *s[3:]) for i, s in enumerate(sums) if s[4]]
+        kinds = [pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.int64(), pa.int64()]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["model", "z", "motif", "other", "log_likelihood", "windows"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["model", "z", "motif", "other", "log_likelihood", "windows", "sequences"])
 
     return run
 
 
 def expected_counts(seqs: DataFrame, models: list[Model], both_strands: bool = True, seq: str = "seq") -> DataFrame:
-    """model (its place in ``models``), z, motif, other, log_likelihood, windows: sums over all windows of known letters."""
-    rows = seqs.select(F.col(seq)).mapInArrow(_expected(models, both_strands), "model int, z double, motif array<double>, other array<double>, log_likelihood double, windows long")
+    """model (its place in ``models``), z, motif, other, log_likelihood, windows, sequences: sums over all windows of known letters."""
+    rows = seqs.select(F.col(seq)).mapInArrow(_expected(models, both_strands), "model int, z double, motif array<double>, other array<double>, log_likelihood double, windows long, sequences long")
 
     def added(column: str, cells: int) -> F.Column:
         return F.array(*(F.sum(F.try_element_at(column, F.lit(k + 1))) for k in range(cells))).alias(column)
 
     cells = max(4 * m.width for m in models)
-    return rows.groupBy("model").agg(F.sum("z").alias("z"), added("motif", cells), added("other", cells), F.sum("log_likelihood").alias("log_likelihood"), F.sum("windows").alias("windows"))
+    return rows.groupBy("model").agg(F.sum("z").alias("z"), added("motif", cells), added("other", cells), F.sum("log_likelihood").alias("log_likelihood"), F.sum("windows").alias("windows"), F.sum("sequences").alias("sequences"))
 
 
 def collected(expected: DataFrame, models: list[Model]) -> dict[int, Expected]:
@@ -110,7 +149,7 @@ def collected(expected: DataFrame, models: list[Model]) -> dict[int, Expected]:
     out = {}
     for r in expected.collect():
         cells = 4 * models[r["model"]].width
-        out[r["model"]] = Expected(r["z"], *(np.array(r[k][:cells], float).reshape(-1, 4) for k in ("motif", "other")), r["log_likelihood"], r["windows"])
+        out[r["model"]] = Expected(r["z"], *(np.array(r[k][:cells], float).reshape(-1, 4) for k in ("motif", "other")), r["log_likelihood"], r["windows"], r["sequences"])
     return out
 
 
@@ -119,9 +158,9 @@ def maximised(model: Model, sums: Expected) -> Model:
     prior = PRIOR * model.background
     theta = sums.motif + sums.z * prior
     other = (sums.other + (sums.windows - sums.z) * prior).sum(axis=0)
-    rate = min(max(sums.z / max(sums.windows, 1), 1e-12), 1 - 1e-12)
+    rate = min(max(sums.z / max(sums.windows if model.spread == ANY else sums.sequences, 1), 1e-12), 1 - 1e-12)
     theta = np.where(theta.sum(axis=1, keepdims=True) > 0, theta, model.theta)
-    return replace(model, theta=theta / theta.sum(axis=1, keepdims=True), background=other / other.sum() if other.sum() > 0 else model.background, rate=rate)
+    return replace(model, theta=theta / theta.sum(axis=1, keepdims=True), background=other / other.sum() if other.sum() > 0 else model.background, rate=rate, density=sums.z / max(sums.windows, 1))
 
 
 def divergence(a: np.ndarray, b: np.ndarray) -> float:
@@ -131,7 +170,7 @@ def divergence(a: np.ndarray, b: np.ndarray) -> float:
 
 def batch_em(seqs: DataFrame, models: list[Model], iterations: int = 50, distance: float = 1e-3, both_strands: bool = True) -> list[Model]:
     """EM of all models together; each stops when its matrix moves less than ``distance``."""
-    seqs = seqs.persist()
+    seqs = saved(seqs.select("seq"))
     now, active = list(models), list(range(len(models)))
     for _ in range(iterations):
         found = collected(expected_counts(seqs, [now[i] for i in active], both_strands), [now[i] for i in active])
@@ -145,17 +184,40 @@ def batch_em(seqs: DataFrame, models: list[Model], iterations: int = 50, distanc
         active = moving
         if not active:
             break
-    seqs.unpersist()
     return [replace(m, rested=i not in active) for i, m in enumerate(now)]
 
 
+def log_left(step: float, slope: float, begin: int, count: int) -> float:
+    """Log of what ``count`` steps from the ``begin``-th leave of the old value: the sum of ln(1 - step * n ** slope) over n.
+
+    The first terms are summed, the others integrated (with the ends' correction), so that
+    the cost doesn't grow with the number of steps."""
+
+    def term(n: np.ndarray) -> np.ndarray:
+        return np.log1p(-np.minimum(step * n**slope, 0.999))
+
+    first, last = begin + 1, begin + count
+    summed = max(0, min(last, SUMMED) - first + 1)
+    total = float(term(np.arange(first, first + summed, dtype=float)).sum())
+    low = first + summed
+    if low > last:
+        return total
+    nodes, weights = np.polynomial.legendre.leggauss(20)
+    for a in np.arange(np.log(low), np.log(last), 1.0):
+        b = min(a + 1.0, np.log(last))
+        n = np.exp((a + b) / 2 + nodes * (b - a) / 2)
+        total += float((weights * term(n) * n).sum() * (b - a) / 2)
+    return total + float(term(np.array([low, last], float)).sum() / 2)
+
+
 def online_em(seqs: DataFrame, models: list[Model], first_step: float = 0.05, decay: float = -0.6, passes: int = 5, batches: int = 8, seed: int = 0, both_strands: bool = True, key: str = "seq_id") -> list[Model]:
     """Online EM by seeded mini-batches.
 
     The step of the n-th window is step * (n + 1) ** decay; the steps of a batch's
     windows are compounded into one step towards the batch's mean statistics.  The
-    decay steepens from pass to pass until the matrix rests."""
-    bucketed = seqs.withColumn("__batch", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(batches))).persist()
+    decay steepens from pass to pass until the matrix rests.  Sequences are written once, in
+    a folder for each batch, and a batch reads only its own."""
+    bucketed = saved(seqs.select("seq", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(batches)).alias("__batch")), by="__batch")
     now, active = list(models), set(range(len(models)))
     state = [(m.rate, m.theta.copy(), np.tile(m.background, (m.width, 1))) for m in models]
     steps, seen, slopes = [max(first_step, 10 * m.rate) for m in models], [0] * len(models), [decay] * len(models)
@@ -172,20 +234,18 @@ def online_em(seqs: DataFrame, models: list[Model], first_step: float = 0.05, de
                 if place not in found:
                     continue
                 sums = found[place]
-                n = np.arange(seen[i], seen[i] + sums.windows)
-                step = 1 - float(np.exp(np.log1p(-np.minimum(steps[i] * (n + 1.0) ** slopes[i], 0.999)).sum()))
+                step = -float(np.expm1(log_left(steps[i], slopes[i], seen[i], sums.windows)))
                 seen[i] += sums.windows
                 mean = sums.windows
                 rate, motif, other = state[i]
-                rate += step * (sums.z / mean - rate)
+                rate += step * (sums.z / (mean if models[i].spread == ANY else sums.sequences) - rate)
                 motif = motif + step * ((sums.motif + sums.z * prior[i]) / mean - motif)
                 other = other + step * ((sums.other + (mean - sums.z) * prior[i]) / mean - other)
                 state[i] = rate, motif, other
                 background = other.sum(axis=0)
-                now[i] = replace(now[i], theta=motif / motif.sum(axis=1, keepdims=True), background=background / background.sum(), rate=min(max(rate, 1e-12), 1 - 1e-12))
+                now[i] = replace(now[i], theta=motif / motif.sum(axis=1, keepdims=True), background=background / background.sum(), rate=min(max(rate, 1e-12), 1 - 1e-12), density=sums.z / mean)
         for i in sorted(active):
             if divergence(before[i], now[i].theta) < CONVERGED:
                 active.discard(i)
             slopes[i] = (slopes[i] - 1) / 2
-    bucketed.unpersist()
     return [replace(m, rested=i not in active) for i, m in enumerate(now)]

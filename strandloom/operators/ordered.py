@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.storage import saved
+
 
 def running_totals(rows: DataFrame, key: str, totals: list[str], descending: bool = False) -> DataFrame:
     """``rows`` (one for each ``key``) with ``upto_x`` (own row included) and ``all_x`` for each x of ``totals``.
 
-    Rows are range-partitioned by key; sums run within a partition and are shifted by
-    the totals of the partitions before it, of which there is one row each."""
+    Rows are range-partitioned by key once and stored with their partition's number; sums run
+    within a partition and are shifted by the totals of the partitions before it, of which
+    there is one row each."""
     order: Column = F.desc(key) if descending else F.asc(key)
-    parts = rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
+    parts = saved(rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
     ahead, everything = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     sums = parts.groupBy("__part").agg(*(F.sum(x).alias(x) for x in totals))
     shifts = sums.select("__part", *(F.coalesce(F.sum(x).over(ahead), F.lit(0)).alias(f"__before_{x}") for x in totals), *(F.sum(x).over(everything).alias(f"all_{x}") for x in totals))

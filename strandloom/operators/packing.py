@@ -15,16 +15,34 @@ for _place, _letter in enumerate(b"ACGT"):
     _CODE[_letter] = _place
 
 
-def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """0..3 for ACGT and 4 for all else, of all strings in a row, and where each begins."""
+def raw_letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all strings in a row (ordinary or large ones; nulls are empty), and where each begins."""
     if texts.null_count:
         texts = texts.fill_null("")
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    offsets = text_offsets(texts)
     data = texts.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-    return _CODE[raw], offsets - offsets[0]
+    return raw, offsets - offsets[0]
+
+
+def text_offsets(texts: pa.Array) -> np.ndarray:
+    """Where each string begins among the array's bytes, and the end of the last."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    return np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+
+
+def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """0..3 for ACGT and 4 for all else, of all strings in a row, and where each begins."""
+    raw, offsets = raw_letters(texts)
+    return _CODE[raw], offsets
+
+
+def fixed_strings(rows: np.ndarray) -> pa.Array:
+    """Strings of equal length from rows of bytes."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.StringArray.from_buffers(len(rows), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows)))
 
 
 def pieces(batch: pa.RecordBatch, column: int = 0) -> Iterator[pa.RecordBatch]:
@@ -32,7 +50,7 @@ def pieces(batch: pa.RecordBatch, column: int = 0) -> Iterator[pa.RecordBatch]:
     texts = batch.column(column)
     if not len(texts):
         return
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    offsets = text_offsets(texts)
     begin = 0
     while begin < len(texts):
         end = max(begin + 1, min(len(texts), int(np.searchsorted(offsets, offsets[begin] + PIECE, side="right")) - 1))

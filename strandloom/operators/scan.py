@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandloom.functions.sequences import revcomp
 from strandloom.operators.ordered import running_totals
-from strandloom.operators.packing import letters, pieces
+from strandloom.operators.packing import letters, pieces, raw_letters
 
 Matrix = Sequence[Sequence[float]]
 #: Scores of both strands this close are a tie, which the plus strand wins.
 TIE = 1e-9
+#: Complements of IUPAC letters by byte; other bytes stay.
+_COMPLEMENT = np.arange(256, dtype=np.uint8)
+_COMPLEMENT[list(b"ACGTURYKMBVDHSWN")] = list(b"TGCAAYRMKVBHDSWN")
 
 
 def window_scores(code: np.ndarray, matrix: np.ndarray) -> np.ndarray:
@@ -35,61 +40,125 @@ def _matrices(log_odds: Matrix) -> tuple[np.ndarray, np.ndarray]:
     return np.hstack([own, unknown]), np.hstack([own[::-1, ::-1], unknown])
 
 
-def _scan(log_odds: Matrix, threshold: float | None, both_strands: bool):
+@dataclass(frozen=True)
+class _Scored:
+    """Scores of all windows of some sequences in a row; ``known`` are the places of windows of known letters in one sequence."""
+
+    code: np.ndarray
+    offsets: np.ndarray
+    owner: np.ndarray
+    best: np.ndarray
+    reverse: np.ndarray
+    known: np.ndarray
+
+
+def _scored(texts: pa.Array, forward: np.ndarray, backward: np.ndarray, both_strands: bool) -> _Scored:
+    code, offsets = letters(texts)
+    owner, width = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), len(forward)
+    if len(code) < width:
+        none = np.zeros(0)
+        return _Scored(code, offsets, owner, none, none.astype(bool), none.astype(int))
+    one = window_scores(code, forward)
+    two = window_scores(code, backward) if both_strands else np.full(len(one), -np.inf)
+    best = np.maximum(one, two)
+    known = np.flatnonzero((owner[: len(one)] == owner[width - 1 :]) & (best > -np.inf))
+    return _Scored(code, offsets, owner, best, two > one + TIE, known)
+
+
+def owners_of_hits(texts: pa.Array, log_odds: Matrix, threshold: float) -> np.ndarray:
+    """The number of the string that holds each window above ``threshold``."""
+    found = _scored(texts, *_matrices(log_odds), True)
+    return found.owner[found.known[found.best[found.known] > threshold]]
+
+
+def greedy(at: np.ndarray, width: int) -> np.ndarray:
+    """Of rising places those that a pass from the left keeps: each at least ``width`` after the last kept one."""
+    following = np.searchsorted(at, at + width).tolist()
+    kept, k = [], 0
+    while k < len(following):
+        kept.append(k)
+        k = following[k]
+    return at[kept]
+
+
+def _texts(raw: np.ndarray, places: np.ndarray, inside: np.ndarray, turned: np.ndarray) -> pa.Array:
+    """Strings of the letters at each row's ``places`` that are ``inside``, complemented where ``turned``."""
+    taken = raw[np.where(inside, places, 0)]
+    taken = np.where(turned[:, None], _COMPLEMENT[taken], taken)[inside]
+    ends = np.concatenate([[0], np.cumsum(inside.sum(axis=1))]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(places), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(taken)))
+
+
+def _scan(log_odds: Matrix, threshold: float | None, both_strands: bool, apart: bool, words: bool, flank: int):
     forward, backward = _matrices(log_odds)
     width = len(forward)
+    names = ["seq_id", "start", "strand", "score", *(["word"] if words else []), *(["left", "right"] if flank else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, 1):
-                code, offsets = letters(piece.column(1))
-                if len(code) < width:
-                    continue
-                owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-                one = window_scores(code, forward)
-                two = window_scores(code, backward) if both_strands else np.full(len(one), -np.inf)
-                best = np.maximum(one, two)
-                whole = owner[: len(one)] == owner[width - 1 :]
-                at = np.flatnonzero(whole & (best > (-np.inf if threshold is None else threshold)))
-                ids = piece.column(0).take(pa.array(owner[at]))
-                strand = np.where(two[at] > one[at] + TIE, "-", "+")
-                yield pa.RecordBatch.from_arrays([ids, pa.array((at - offsets[owner[at]]).astype(np.int64)), pa.array(strand.astype(object), pa.string()), pa.array(best[at])], names=["seq_id", "start", "strand", "score"])
+                found = _scored(piece.column(1), forward, backward, both_strands)
+                at = found.known if threshold is None else found.known[found.best[found.known] > threshold]
+                if apart:
+                    at = greedy(at, width)
+                owner, reverse = found.owner[at], found.reverse[at]
+                begin, end = found.offsets[owner], found.offsets[owner + 1]
+                strand = pa.array(np.where(reverse, "-", "+").astype(object), pa.string())
+                columns = [piece.column(0).take(pa.array(owner)), pa.array((at - begin).astype(np.int64)), strand, pa.array(found.best[at])]
+                if words or flank:
+                    raw, j = raw_letters(piece.column(1))[0], np.arange(width)
+                if words:
+                    columns.append(_texts(raw, at[:, None] + np.where(reverse[:, None], j[::-1], j), np.ones((len(at), width), bool), reverse))
+                if flank:
+                    k = np.arange(flank)
+                    before, after = at[:, None] - flank + k, at[:, None] + width + k
+                    for one, other in ((before, after), (after, before)):
+                        places = np.where(reverse[:, None], other[:, ::-1], one)
+                        columns.append(_texts(raw, places, (places >= begin[:, None]) & (places < end[:, None]), reverse))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def hits(seqs: DataFrame, log_odds: Matrix, threshold: float | None, both_strands: bool = True, key: str = "seq_id", seq: str = "seq") -> DataFrame:
+def hits(
+    seqs: DataFrame, log_odds: Matrix, threshold: float | None, both_strands: bool = True, apart: bool = False, words: bool = False, flank: int = 0, key: str = "seq_id", seq: str = "seq"
+) -> DataFrame:
     """seq_id, start, strand, score of every window of known letters with a score above ``threshold``.
 
-    A window counts once, by its better strand.  Rows that fail never leave the task."""
+    A window counts once, by its better strand.  ``apart`` keeps the hits of a greedy pass
+    from the left that don't overlap.  ``words`` adds a hit's letters in motif orientation, and
+    ``flank`` the letters ``left`` and ``right`` of it.  All of it is found where the sequence is;
+    rows that fail never leave the task."""
     kind = seqs.schema[key].dataType.simpleString()
-    return seqs.select(F.col(key).alias("seq_id"), F.col(seq).alias("seq")).mapInArrow(_scan(log_odds, threshold, both_strands), f"seq_id {kind}, start long, strand string, score double")
+    schema = f"seq_id {kind}, start long, strand string, score double" + ", word string" * words + ", left string, right string" * (flank > 0)
+    return seqs.select(F.col(key).alias("seq_id"), F.col(seq).alias("seq")).mapInArrow(_scan(log_odds, threshold, both_strands, apart, words, flank), schema)
 
 
-def sites(seqs: DataFrame, log_odds: Matrix, rate: float, **options) -> DataFrame:
-    """Windows above the Bayes threshold ln((1 - rate) / rate); none for a rate below 1e-9."""
-    threshold = float(np.log((1 - rate) / rate)) if rate >= 1e-9 else np.inf
-    return hits(seqs, log_odds, threshold, **options)
+def bayes_threshold(rate: float) -> float:
+    """ln((1 - rate) / rate); infinite for a rate below 1e-9."""
+    return float(np.log((1 - rate) / rate)) if rate >= 1e-9 else np.inf
 
 
-def site_words(found: DataFrame, seqs: DataFrame, width: int, key: str = "seq_id", seq: str = "seq", flank: int = 0) -> DataFrame:
-    """Hits with their letters in motif orientation, and ``flank`` letters on either side.
+def sites(seqs: DataFrame, log_odds: Matrix, rate: float, **options) -> DataFrame:
+    """Windows above the Bayes threshold; none for a rate below 1e-9."""
+    return hits(seqs, log_odds, bayes_threshold(rate), **options)
 
-    Sequences travel once to their hits; a hit's start names its place."""
-    joined = found.join(seqs.select(F.col(key).alias("seq_id"), F.col(seq).alias("__seq")), "seq_id")
-    raw = F.substring("__seq", (F.col("start") + 1).cast("int"), F.lit(width))
-    turned = F.col("strand") == "-"
-    out = joined.withColumn("word", F.when(turned, revcomp(raw)).otherwise(raw))
-    if flank:
-        left = F.substring("__seq", F.greatest(F.col("start") - flank + 1, F.lit(1)).cast("int"), F.least(F.col("start"), F.lit(flank)).cast("int"))
-        right = F.substring("__seq", (F.col("start") + width + 1).cast("int"), F.lit(flank))
-        out = out.withColumns({"left": F.when(turned, revcomp(right)).otherwise(left), "right": F.when(turned, revcomp(left)).otherwise(right)})
-    return out.drop("__seq")
 
+def best_scores(seqs: DataFrame, log_odds: Matrix, both_strands: bool = True, key: str = "seq_id", seq: str = "seq") -> DataFrame:
+    """Each row's best window score; rows without a window of known letters have none."""
+    forward, backward = _matrices(log_odds)
 
-def best_scores(seqs: DataFrame, log_odds: Matrix, **options) -> DataFrame:
-    """Each sequence's best window score; sequences without a window of known letters have none."""
-    return hits(seqs, log_odds, None, **options).groupBy("seq_id").agg(F.max("score").alias("score"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, 1):
+                found = _scored(piece.column(1), forward, backward, both_strands)
+                owner = found.owner[found.known]
+                first = np.flatnonzero(np.diff(owner, prepend=-1))
+                best = np.maximum.reduceat(found.best[found.known], first) if len(first) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(owner[first])), pa.array(best)], names=["seq_id", "score"])
+
+    kind = seqs.schema[key].dataType.simpleString()
+    return seqs.select(F.col(key).alias("seq_id"), F.col(seq).alias("seq")).mapInArrow(run, f"seq_id {kind}, score double")
 
 
 def goodness(pfm: Matrix, background: Sequence[float]) -> list[list[float]]:
@@ -98,37 +167,52 @@ def goodness(pfm: Matrix, background: Sequence[float]) -> list[list[float]]:
     return (table / table.max(axis=1).sum()).tolist()
 
 
-def non_overlapping(found: DataFrame, width: int) -> DataFrame:
-    """Hits that a greedy pass from the left keeps: each at least ``width`` after the last kept one.
+def erased(seqs: DataFrame, log_odds: Matrix, rate: float, both_strands: bool = True, seq: str = "seq") -> DataFrame:
+    """``seqs`` with the sites of a greedy pass from the left written as N, and ``erased`` as their number.
 
-    Runs of hits closer than ``width`` are told apart by a window first; the fold then
-    sees one run, not a whole sequence."""
-    order = Window.partitionBy("seq_id").orderBy("start")
-    opens = F.coalesce(F.col("start") - F.lag("start").over(order) >= width, F.lit(True))
-    runs = found.withColumn("run", F.sum(opens.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    grouped = runs.groupBy("seq_id", "run").agg(F.array_sort(F.collect_list("start")).alias("starts"))
-    kept = F.aggregate(
-        "starts", F.array().cast("array<bigint>"), lambda kept, s: F.when((F.size(kept) == 0) | (s >= F.try_element_at(kept, F.lit(-1)) + width), F.array_append(kept, s)).otherwise(kept)
-    )
-    return grouped.select("seq_id", F.explode(kept).alias("start"))
-
-
-def erased(seqs: DataFrame, kept: DataFrame, width: int, key: str = "seq_id", seq: str = "seq") -> DataFrame:
-    """``seqs`` with the kept windows written as N, and ``erased`` as their number."""
-    places = kept.groupBy("seq_id").agg(F.array_sort(F.collect_list("start")).alias("starts"))
-    joined = seqs.join(places, seqs[key] == places["seq_id"], "left").drop(places["seq_id"]) if key != "seq_id" else seqs.join(places, "seq_id", "left")
-    parts = F.zip_with(F.concat(F.array(F.lit(-width).cast("long")), F.col("starts")), F.col("starts"), lambda before, s: F.when(s.isNotNull(), F.substring(F.col(seq), (before + width + 1).cast("int"), (s - before - width).cast("int"))))
-    tail = F.substring(F.col(seq), (F.element_at("starts", -1) + width + 1).cast("int"), F.length(seq))
-    masked = F.concat(F.array_join(F.filter(parts, lambda p: p.isNotNull()), "N" * width), F.lit("N" * width), tail)
-    return joined.withColumn(seq, F.when(F.col("starts").isNull(), F.col(seq)).otherwise(masked)).withColumn("erased", F.coalesce(F.size("starts"), F.lit(0))).drop("starts")
+    The scan masks a sequence where it is; nothing is shuffled."""
+    forward, backward = _matrices(log_odds)
+    width, threshold = len(forward), bayes_threshold(rate)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index(seq)
+            for piece in pieces(batch, place):
+                texts = piece.column(place)
+                found = _scored(texts, forward, backward, both_strands)
+                at = greedy(found.known[found.best[found.known] > threshold], width)
+                raw, offsets = raw_letters(texts)
+                raw = raw.copy()
+                raw[(at[:, None] + np.arange(width)).ravel()] = ord("N")
+                masked = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw))
+                masked = pc.if_else(texts.is_null(), pa.scalar(None, pa.string()), masked)
+                counts = np.bincount(found.owner[at], minlength=len(texts)).astype(np.int32)
+                yield piece.set_column(place, seq, masked).append_column("erased", pa.array(counts))
+
+    return seqs.mapInArrow(run, T.StructType([*seqs.schema.fields, T.StructField("erased", T.IntegerType())]))
+
+
+def soft_weights(seqs: DataFrame, log_odds: Matrix, rate: float, both_strands: bool = True, key: str = "seq_id", seq: str = "seq") -> DataFrame:
+    """seq_id and ``weights``: for each place of a sequence, one minus the largest posterior of the windows that cover it.
+
+    All windows of known letters count; a place that none covers weighs one."""
+    forward, backward = _matrices(log_odds)
+    width, prior = len(forward), float(np.log(rate / (1 - rate)))
 
-def soft_erased(posteriors: DataFrame, width: int) -> DataFrame:
-    """seq_id, pos, weight: one minus the largest posterior of the windows that cover a place.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, 1):
+                found = _scored(piece.column(1), forward, backward, both_strands)
+                largest = np.zeros(len(found.code))
+                with np.errstate(over="ignore"):
+                    z = 1 / (1 + np.exp(-(found.best[found.known] + prior)))
+                for j in range(width):
+                    own = found.known + j
+                    largest[own] = np.maximum(largest[own], z)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(found.offsets.astype(np.int32)), pa.array(1 - largest))], names=["seq_id", "weights"])
 
-    ``posteriors`` has seq_id, start, z; places covered by no window are left out."""
-    covered = posteriors.select("seq_id", "z", F.explode(F.sequence(F.col("start"), F.col("start") + width - 1)).alias("pos"))
-    return covered.groupBy("seq_id", "pos").agg((1 - F.max("z")).alias("weight"))
+    kind = seqs.schema[key].dataType.simpleString()
+    return seqs.select(F.col(key).alias("seq_id"), F.col(seq).alias("seq")).mapInArrow(run, f"seq_id {kind}, weights array<double>")
 
 
 def roc(scores: DataFrame) -> DataFrame:

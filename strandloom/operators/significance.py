@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.stats import log_product_p
+from strandloom.operators.ordered import running_totals
 
 #: Scaled width of the distribution, and decimals to which ratios are rounded.
 RANGE, DECIMALS = 200, 14
@@ -117,29 +118,54 @@ def column_log_p(background: dict[str, float]):
 def placements():
     """``stats.log_placements`` as a vectorised function of (starts, sites), in blocks: an array of one row can't hold any number of sites."""
 
-    def total(starts: float, sites: float) -> float:
-        out = 0.0
-        for begin in range(0, int(sites), 1 << 20):
-            i = np.arange(begin, min(begin + (1 << 20), int(sites)), dtype=float)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                out += float(np.log(np.floor((starts - i) * 2 / (i + 1))).sum())
-        return out if math.isfinite(out) else math.nan
-
     @F.pandas_udf("double")
     def run(starts: pd.Series, sites: pd.Series) -> pd.Series:
-        return pd.Series([math.nan if pd.isna(a) or pd.isna(b) else total(a, b) for a, b in zip(starts, sites, strict=True)], dtype=float)
+        return pd.Series([math.nan if pd.isna(a) or pd.isna(b) else total_placements(a, b) for a, b in zip(starts, sites, strict=True)], dtype=float)
 
     return run
 
 
-def motif_significance(columns: DataFrame, keys: list[str], background: dict[str, float], starts: Column) -> DataFrame:
+def log_ways(seqs: DataFrame, width: int, sites: int, spread: str = "any", strands: int = 2, seq: str = "seq") -> float:
+    """Log of the ways to place ``sites`` in the sequences.
+
+    Any number of sites: as ``placements`` has it, among all starts.  At most one a sequence:
+    the places of the ``sites`` longest sequences, times the choices of sequences.  Sequences
+    are counted by length; one number comes to the driver."""
+    places = F.length(seq) - width + 1
+    if spread == "any":
+        starts = seqs.agg(F.sum(F.greatest(places, F.lit(0)))).first()[0] or 0
+        return total_placements(float(starts), float(sites), strands)
+    lengths = seqs.where(places > 0).groupBy(places.alias("places")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_totals(lengths, "places", ["n"], descending=True)
+    taken = F.greatest(F.least(F.col("n"), F.lit(sites) - (F.col("upto_n") - F.col("n"))), F.lit(0))
+    row = ranked.agg(F.sum(taken * F.log(F.col("places") * strands)).alias("ways"), F.max("all_n").alias("n")).first()
+    n = row["n"] or 0
+    if sites > n:
+        return -math.inf
+    return row["ways"] + math.lgamma(n + 1) - math.lgamma(sites + 1) - math.lgamma(n - sites + 1)
+
+
+def total_placements(starts: float, sites: float, strands: int = 2) -> float:
+    out = 0.0
+    for begin in range(0, int(sites), 1 << 20):
+        i = np.arange(begin, min(begin + (1 << 20), int(sites)), dtype=float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out += float(np.log(np.floor((starts - i) * strands / (i + 1))).sum())
+    return out if math.isfinite(out) else math.nan
+
+
+def motif_significance(columns: DataFrame, keys: list[str], background: dict[str, float], starts: Column | None) -> DataFrame:
     """keys, width, llr, information and log_evalue of each motif.
 
     ``columns`` has keys, pos, A, C, G, T and nsites; ``starts`` is the number of
     possible places.  A motif's E-value multiplies the p-value of its columns'
-    product by the ways to place its sites."""
+    product by the ways to place its sites; without ``starts`` the result has ``log_p``,
+    the log of that p-value, in its place."""
     rows = relative_entropy(columns, background).withColumn("ratio", F.round(F.col("nsites") * F.col("entropy_nats"), DECIMALS))
     rows = rows.withColumn("log_p", column_log_p(background)(F.col("ratio"), F.col("nsites").cast("double")))
-    motifs = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("width"), F.first("nsites").alias("nsites"), F.sum("ratio").alias("llr"), F.round(F.sum("information"), DECIMALS).alias("information"), F.sum("log_p").alias("log_p"), F.first(starts).alias("starts"))
-    log_e = log_product_p(F.col("width").cast("int"), F.col("log_p")) + placements()(F.col("starts"), F.col("nsites").cast("long"))
-    return motifs.select(*keys, "width", "nsites", "llr", "information", log_e.alias("log_evalue"))
+    more = [] if starts is None else [F.first(starts).alias("starts")]
+    motifs = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("width"), F.first("nsites").alias("nsites"), F.sum("ratio").alias("llr"), F.round(F.sum("information"), DECIMALS).alias("information"), F.sum("log_p").alias("log_p"), *more)
+    log_p = log_product_p(F.col("width").cast("int"), F.col("log_p"))
+    if starts is None:
+        return motifs.select(*keys, "width", "nsites", "llr", "information", log_p.alias("log_p"))
+    return motifs.select(*keys, "width", "nsites", "llr", "information", (log_p + placements()(F.col("starts"), F.col("nsites").cast("long"))).alias("log_evalue"))

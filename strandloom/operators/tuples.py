@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,23 @@ def tuple_counts(seqs: DataFrame, widths: list[int], seq: str = "seq") -> DataFr
     return totals.select(F.translate(digits, "0123", "ACGT").alias("word"), "cnt")
 
 
+def sequence_pair_counts(seqs: DataFrame, key: str = "seq_id", seq: str = "seq") -> DataFrame:
+    """seq_id and ``pairs``: counts of the sixteen adjacent pairs of A, C, G, T in each row, case folded, in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, 1):
+                code, offsets = letters(pc.ascii_upper(piece.column(1)))
+                owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+                pair = code[:-1].astype(np.int64) * 4 + code[1:]
+                known = (code[:-1] < 4) & (code[1:] < 4) & (owner[:-1] == owner[1:])
+                counts = np.bincount(owner[:-1][known] * 16 + pair[known], minlength=16 * piece.num_rows)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, len(counts) + 1, 16, dtype=np.int32)), pa.array(counts))], names=["seq_id", "pairs"])
+
+    kind = seqs.schema[key].dataType.simpleString()
+    return seqs.select(F.col(key).alias("seq_id"), F.col(seq).alias("seq")).mapInArrow(run, f"seq_id {kind}, pairs array<long>")
+
+
 def log_background(seqs: DataFrame, conditionals: dict[str, float], order: int, key: str = "seq_id", seq: str = "seq") -> DataFrame:
     """seq_id, log_background, letters of each sequence with known letters.
 

@@ -1,35 +1,47 @@
-"""Refine all seed matrices together: EM tries, sites, significance, erasing."""
+"""Refine seed matrices: EM tries, sites, significance, erasing, and motif after motif."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators import em, scan
+from strandloom.operators import em, scan, significance
 from strandloom.operators.composition import letter_frequencies
+from strandloom.operators.packing import pieces
+from strandloom.storage import saved
+
+LETTERS = "ACGT"
 
 
 @dataclass(frozen=True)
 class Motif:
+    """A fitted model, its sites (overlapping ones counted), whether their number is acceptable, and the log of its E-value."""
+
     model: em.Model
     sites: int
     accepted: bool
+    log_evalue: float = math.inf
+    try_number: int = 0
+    erased: tuple[int, ...] = ()
 
 
 def background(seqs: DataFrame) -> np.ndarray:
     """Letter frequencies, four numbers on the driver."""
     found = {r["letter"]: r["freq"] for r in letter_frequencies(seqs).collect()}
-    return np.array([found[x] for x in "ACGT"])
+    return np.array([found[x] for x in LETTERS])
 
 
 def seed_models(matrices: DataFrame, other: np.ndarray, rate: float) -> list[em.Model]:
     """Models from seed matrices (cluster, pos, A, C, G, T): a few rows for each motif."""
     rows: dict[str, list] = {}
     for r in matrices.orderBy("cluster", "pos").collect():
-        rows.setdefault(str(r["cluster"]), []).append([r[x] for x in "ACGT"])
+        rows.setdefault(str(r["cluster"]), []).append([r[x] for x in LETTERS])
     return [em.Model(name, np.array(m), other, rate) for name, m in rows.items()]
 
 
@@ -37,43 +49,141 @@ def log_odds(model: em.Model) -> list[list[float]]:
     return np.log(model.theta / model.background).tolist()
 
 
-def site_count(seqs: DataFrame, model: em.Model) -> int:
-    return scan.sites(seqs, log_odds(model), model.rate).count()
+def _counter(tables: list[tuple[list[list[float]], float, bool]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [0] * len(tables)
+        for batch in batches:
+            for piece in pieces(batch):
+                for k, (table, threshold, one_each) in enumerate(tables):
+                    owner = scan.owners_of_hits(piece.column(0), table, threshold)
+                    totals[k] += len(np.unique(owner)) if one_each else len(owner)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(tables)), pa.int32()), pa.array(totals, pa.int64())], names=["model", "sites"])
+
+    return run
+
+
+def hit_counts(seqs: DataFrame, tables: list[tuple[list[list[float]], float, bool]]) -> list[int]:
+    """Windows above the threshold of each (log-odds, threshold, False), or sequences with such a window (True), all in one scan."""
+    if not tables:
+        return []
+    found = seqs.select("seq").mapInArrow(_counter(tables), "model int, sites long").groupBy("model").agg(F.sum("sites").alias("sites")).collect()
+    counts = {r["model"]: r["sites"] for r in found}
+    return [counts.get(k, 0) for k in range(len(tables))]
+
+
+def site_counts(seqs: DataFrame, models: list[em.Model]) -> list[int]:
+    """Sites of each model: windows, or sequences where one has a site at most."""
+    return hit_counts(seqs, [(log_odds(m), scan.bayes_threshold(m.window_rate), m.spread != em.ANY) for m in models])
+
 
+def log_evalues(seqs: DataFrame, models: list[em.Model], sites: list[int]) -> list[float]:
+    """Log E-values of models with so many sites, by their columns and the ways to place the sites.
 
-def refine(seqs: DataFrame, models: list[em.Model], min_sites: int = 10, max_sites: int = 0, tries: int = 3, seed: int = 0, **options) -> list[Motif]:
-    """Online EM with a bias that is bisected until the number of sites is acceptable.
+    Columns are a few rows for each motif; lengths of sequences are aggregated on Spark."""
+    spark, out = seqs.sparkSession, []
+    for model, n in zip(models, sites, strict=True):
+        if n < 1:
+            out.append(math.inf)
+            continue
+        rows = [(k, *map(float, row), n) for k, row in enumerate(model.theta)]
+        columns = spark.createDataFrame(rows, "pos int, A double, C double, G double, T double, nsites long").withColumn("motif", F.lit(model.name))
+        ways = significance.log_ways(seqs, model.width, n, model.spread)
+        found = significance.motif_significance(columns, ["motif"], dict(zip(LETTERS, map(float, model.background), strict=True)), None).first()
+        out.append(found["log_p"] + ways)
+    return out
 
-    ``max_sites`` 0 means five times the windows that fit a seed well.  All seeds
-    still searching share each try's jobs."""
+
+def refine(seqs: DataFrame, models: list[em.Model], min_sites: int = 10, max_sites: int = 0, tries: int = 3, seed: int = 0, stop_early: bool = True, **options) -> list[Motif]:
+    """Online EM with a bias that is bisected until the number of sites is acceptable; the best try by log E-value.
+
+    ``max_sites`` 0 means five times the windows that fit a seed well.  A seed's search
+    stops at its first acceptable try (or goes on for all tries if ``stop_early`` is false);
+    of acceptable tries the one of least log E-value counts, the first of equal ones.  Without any,
+    the last try stands, not accepted.  All seeds still searching share each try's jobs."""
     bounds = [(0.0, 1.0, 1.0)] * len(models)
-    most = [max_sites or 5 * max(1, scan.hits(seqs, scan.goodness(m.theta, m.background), 0.7).count()) for m in models]
-    out: list[Motif | None] = [None] * len(models)
+    fits = hit_counts(seqs, [(scan.goodness(m.theta, m.background), 0.7, False) for m in models])
+    most = [max_sites or 5 * max(1, n) for n in fits]
+    best: list[Motif | None] = [None] * len(models)
+    last: list[Motif | None] = [None] * len(models)
     for attempt in range(tries):
-        open_ = [i for i, m in enumerate(out) if m is None or not m.accepted]
+        open_ = [i for i in range(len(models)) if best[i] is None or not stop_early]
         if not open_:
             break
         fitted = em.online_em(seqs, [replace(models[i], bias=bounds[i][1]) for i in open_], seed=seed + attempt, **options)
-        for i, model in zip(open_, fitted, strict=True):
-            n = site_count(seqs, model)
+        counts = site_counts(seqs, fitted)
+        good = [k for k, i in enumerate(open_) if min_sites <= counts[k] <= most[i]]
+        values = dict(zip(good, log_evalues(seqs, [fitted[k] for k in good], [counts[k] for k in good]), strict=True))
+        for k, (i, model) in enumerate(zip(open_, fitted, strict=True)):
             a, b, c = bounds[i]
-            if n > most[i]:
+            if counts[k] > most[i]:
                 bounds[i] = (a, (a + b) / 2, b)
-            elif n < min_sites:
+            elif counts[k] < min_sites:
                 bounds[i] = (b, (b + c) / 2, c)
-            out[i] = Motif(model, n, min_sites <= n <= most[i])
-    return [m for m in out if m is not None]
+            last[i] = Motif(model, counts[k], k in values, values.get(k, math.inf), attempt)
+            if k in values and (best[i] is None or values[k] < best[i].log_evalue):
+                best[i] = last[i]
+    return [m for m in (b or x for b, x in zip(best, last, strict=True)) if m is not None]
 
 
 def erase(seqs: DataFrame, model: em.Model) -> DataFrame:
     """``seqs`` with the model's non-overlapping sites written as N."""
-    found = scan.sites(seqs, log_odds(model), model.rate)
-    return scan.erased(seqs, scan.non_overlapping(found, model.width), model.width)
+    return scan.erased(seqs, log_odds(model), model.window_rate)
+
+
+def erase_softly(seqs: DataFrame, model: em.Model) -> DataFrame:
+    """seq_id and weights: one minus the largest posterior of all windows that cover each place."""
+    return scan.soft_weights(seqs, log_odds(model), model.window_rate)
 
 
-def erase_softly(seqs: DataFrame, model: em.Model, least: float = 1e-3) -> DataFrame:
-    """seq_id, pos, weight of places that windows with a posterior of at least ``least`` cover."""
-    threshold = float(np.log(least / (1 - least)) - np.log(model.rate / (1 - model.rate)))
-    found = scan.hits(seqs, log_odds(model), threshold)
-    z = 1 / (1 + F.exp(-(F.col("score") + float(np.log(model.rate / (1 - model.rate))))))
-    return scan.soft_erased(found.select("seq_id", "start", z.alias("z")), model.width)
+@dataclass(frozen=True)
+class Discovery:
+    """Motifs in the order in which they were found, both sets with their sites masked, and why the search stopped."""
+
+    motifs: list[Motif]
+    positive: DataFrame
+    negative: DataFrame | None
+    reason: str
+
+
+def discover(
+    positive: DataFrame, seeds: list[em.Model], negative: DataFrame | None = None, most: int = 5, log_evalue_cut: float = 0.0, fit: str = "online", **options
+) -> Discovery:
+    """Motif after motif: fit a seed, test its E-value, erase its sites from both sets, and go on with the next.
+
+    The search ends with the seeds, after ``most`` motifs, or when no letters are left to scan.
+    A seed whose motif has too few or many sites, or an E-value above the cut, is passed over.
+    ``fit`` is ``online`` (tries as in ``refine``) or ``batch``.  Masked sets are stored tables."""
+    motifs: list[Motif] = []
+    now, other = saved(positive), saved(negative) if negative is not None else None
+    reason = "seeds are used up"
+    for seed in seeds:
+        if len(motifs) == most:
+            reason = "enough motifs"
+            break
+        if not hit_counts(now, [(np.zeros((seed.width, 4)).tolist(), -1.0, False)])[0]:
+            reason = "no windows left"
+            break
+        if fit == "online":
+            found = refine(now, [seed], **options)[0]
+        else:
+            model = em.batch_em(now, [seed], **{k: v for k, v in options.items() if k in ("iterations", "distance")})[0]
+            sites = site_counts(now, [model])[0]
+            value = log_evalues(now, [model], [sites])[0]
+            found = Motif(model, sites, sites >= options.get("min_sites", 1), value)
+        if not found.accepted or found.log_evalue > log_evalue_cut:
+            continue
+        masked = saved(erase(now, found.model))
+        counts = [masked.agg(F.sum("erased")).first()[0] or 0]
+        now = masked.drop("erased")
+        if other is not None:
+            masked = saved(erase(other, found.model))
+            counts.append(masked.agg(F.sum("erased")).first()[0] or 0)
+            other = masked.drop("erased")
+        motifs.append(replace(found, erased=tuple(counts)))
+    return Discovery(motifs, now, other, reason)
+
+
+def motif_table(spark, motifs: list[Motif]) -> DataFrame:
+    """Found motifs as rows for the motif file writer: motif, alt, nsites, log_evalue, pos, A, C, G, T."""
+    rows = [(f"M{k}", f"O{k}", m.erased[0] if m.erased else m.sites, float(m.log_evalue), pos, *map(float, row)) for k, m in enumerate(motifs, 1) for pos, row in enumerate(m.model.theta)]
+    return spark.createDataFrame(rows, "motif string, alt string, nsites long, log_evalue double, pos int, A double, C double, G double, T double")

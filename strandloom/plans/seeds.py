@@ -2,24 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators import clustering, composition, enrichment
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder and read back, without lineage."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-"))
-    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from strandloom.storage import saved as stored
 
 
 def numbered(words: DataFrame) -> DataFrame:

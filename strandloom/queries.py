@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequences as S
-from strandloom.functions import stats
+from strandloom.functions import stats, windows
 from strandloom.operators import composition, em, enrichment, ordered, scan, shuffling, significance, tuples
 from strandloom.plans import refinement, seeds
 from strandloom.sources import fasta, motifs
+from strandloom.storage import dealt, saved
 
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase
 DNA = "".join("ACGT"[string.ascii_lowercase.index(x.lower()) % 4] for x in ALPHABET)
@@ -35,13 +36,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq_id, lang, source, seq."""
     seq = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), ALPHABET, DNA), "[^ACGT]", "N")
-    return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), "lang", "source", seq.alias("seq"))
+    return dealt(_read(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("seq_id"), "lang", "source", seq.alias("seq"))
 
 
-def _sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    seqs = sequences(spark, sf_dir)
-    english = F.coalesce(F.col("lang") == "en", F.lit(False))
-    return seqs.where(english), seqs.where(~english)
+#: The positive set.
+ENGLISH = "lang = 'en'"
 
 
 SEQS = f"seqs AS MATERIALIZED (SELECT doc_id AS seq_id, lang, source, regexp_replace(translate(coalesce(text, ''), '{ALPHABET}', '{DNA}'), '[^ACGT]', 'N', 'g') AS seq FROM documents)"
@@ -126,7 +125,7 @@ def gapped_kmer_counts(spark, sf_dir):
 
 
 def _scored(spark, sf_dir) -> DataFrame:
-    return enrichment.zscores(*(enrichment.gapped_counts(s, HALF, 0, MAX_GAP) for s in _sets(spark, sf_dir)))
+    return enrichment.zscores(saved(enrichment.gapped_counts_of_two(sequences(spark, sf_dir), F.expr(ENGLISH), HALF, 0, MAX_GAP)))
 
 
 def _rounded_words(words: DataFrame) -> DataFrame:
@@ -142,7 +141,7 @@ def kmer_zscores(spark, sf_dir):
 
 
 def enriched(spark, sf_dir) -> DataFrame:
-    return enrichment.enrichment(*_sets(spark, sf_dir), HALF, 0, MAX_GAP, MIN_SITES, Z_CUT)
+    return enrichment.enrichment(sequences(spark, sf_dir), F.expr(ENGLISH), HALF, 0, MAX_GAP, MIN_SITES, Z_CUT)
 
 
 @_query(f"WITH {_PREFIX} SELECT {_WORD_COLUMNS} FROM marked WHERE ok")
@@ -197,7 +196,8 @@ def seq_entropy_1mer(spark, sf_dir):
 
 @_query(f"WITH {_windows(2)}, c AS (SELECT seqs.seq_id, " + ", ".join(f"count(*) FILTER (WHERE word = '{a}{b}') + 0.01::DOUBLE AS p_{a}{b}" for a in LETTERS for b in LETTERS) + f" FROM seqs LEFT JOIN wins ON seqs.seq_id = wins.seq_id GROUP BY seqs.seq_id) SELECT seq_id, round({_entropy_sql(['p_' + a + b for a in LETTERS for b in LETTERS])}, 6) AS entropy FROM c")
 def seq_entropy_2mer(spark, sf_dir):
-    return sequences(spark, sf_dir).select("seq_id", F.round(stats.pair_entropy(F.col("seq")), 6).alias("entropy"))
+    counts = tuples.sequence_pair_counts(sequences(spark, sf_dir))
+    return counts.select("seq_id", F.round(stats.pair_entropy(F.col("pairs")), 6).alias("entropy"))
 
 
 @_query(f"WITH {_windows(2)} SELECT word AS pair, count(*) AS cnt FROM wins GROUP BY word")
@@ -205,7 +205,7 @@ def dinuc_counts(spark, sf_dir):
     return composition.pair_counts(sequences(spark, sf_dir))
 
 
-@_query(f"WITH {SEQS} SELECT source, min(seq_id) AS seq_id FROM seqs WHERE source IS NOT NULL GROUP BY source")
+@_query(f"WITH {SEQS} SELECT source, min(seq_id) AS seq_id FROM seqs GROUP BY source")
 def dedupe_by_name(spark, sf_dir):
     """The first record of each name (here: source)."""
     named = sequences(spark, sf_dir).withColumn("name", F.col("source"))
@@ -226,12 +226,12 @@ def weighted_residues(spark, sf_dir):
 # --- scans and matrices ----------------------------------------------------------------------------
 
 
-def hits(spark, sf_dir) -> DataFrame:
-    return scan.sites(sequences(spark, sf_dir), motif_odds(), RATE)
+def hits(spark, sf_dir, **options) -> DataFrame:
+    return scan.sites(sequences(spark, sf_dir), motif_odds(), RATE, **options)
 
 
 def hit_words(spark, sf_dir) -> DataFrame:
-    return scan.site_words(hits(spark, sf_dir), sequences(spark, sf_dir), len(MOTIF))
+    return hits(spark, sf_dir, words=True)
 
 
 _FORWARD, _BACKWARD = (_score_sql(motif_odds())[len("greatest(") : -1].split(" END, ", 1)[k] + (" END" if k == 0 else "") for k in (0, 1))
@@ -259,19 +259,26 @@ def goodness_sites(spark, sf_dir):
     return found.groupBy("seq_id").agg(F.count(F.lit(1)).alias("sites"))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_HITS}, kept AS (SELECT seq_id, min(start) AS start FROM hits GROUP BY seq_id
+UNION ALL SELECT k.seq_id, (SELECT min(h.start) FROM hits h WHERE h.seq_id = k.seq_id AND h.start >= k.start + {len(MOTIF)}) AS start FROM kept k WHERE k.start IS NOT NULL),
+places AS (SELECT seq_id, list(start ORDER BY start) AS starts FROM kept WHERE start IS NOT NULL GROUP BY seq_id)
+SELECT s.seq_id, coalesce(len(starts), 0)::INT AS erased, CASE WHEN starts IS NULL THEN seq ELSE list_aggregate(list_transform(list_zip(list_prepend(-{len(MOTIF)}, starts), list_append(starts, length(seq))), lambda x: substr(seq, x[1] + {len(MOTIF)} + 1, x[2] - x[1] - {len(MOTIF)})), 'string_agg', '{"N" * len(MOTIF)}') END AS seq
+FROM seqs s LEFT JOIN places p ON s.seq_id = p.seq_id""")
 def erase_sites(spark, sf_dir):
-    """Whole masked sequences; a greedy pass has no SQL twin, a brute-force test stands in."""
-    seqs = sequences(spark, sf_dir)
-    kept = scan.non_overlapping(hits(spark, sf_dir), len(MOTIF))
-    return scan.erased(seqs, kept, len(MOTIF)).select("seq_id", "erased", "seq")
+    """Whole sequences with the sites of a greedy pass masked."""
+    return scan.erased(sequences(spark, sf_dir), motif_odds(), RATE).select("seq_id", "erased", "seq")
 
 
-@_query(f"""WITH {_HITS}, p AS (SELECT seq_id, start, 1 / (1 + exp(-(score + {math.log(RATE / (1 - RATE))!r}::DOUBLE))) AS z FROM scored WHERE score > {math.log(0.01 / 0.99) + THRESHOLD!r})
-SELECT seq_id, start + unnest(range({len(MOTIF)})) AS pos, z FROM p""".join(["WITH cover AS (", f") SELECT seq_id, pos, round(1 - max(z), 6) AS weight FROM cover GROUP BY seq_id, pos"]))
+@_query(f"""WITH {_HITS}, p AS (SELECT seq_id, start, 1 / (1 + exp(-(score + {math.log(RATE / (1 - RATE))!r}::DOUBLE))) AS z FROM scored),
+c AS (SELECT seq_id, start + unnest(range({len(MOTIF)})) AS pos, z FROM p), w AS (SELECT seq_id, pos, max(z) AS z FROM c GROUP BY seq_id, pos)
+SELECT s.seq_id, length(s.seq)::INT AS places, round(coalesce(sum(w.z), 0), 6) AS lost, round(1 - coalesce(max(w.z), 0), 6) AS least, coalesce(min(w.pos) FILTER (WHERE w.z > 0.5), -1)::INT AS first_half FROM seqs s LEFT JOIN w ON s.seq_id = w.seq_id GROUP BY s.seq_id, s.seq""")
 def soft_erase(spark, sf_dir):
+    """How much weight each sequence loses to the posteriors of all its windows, its least weight, and its first place of a weight under one half."""
     model = em.Model("motif", *_model_arrays(), RATE)
-    return refinement.erase_softly(sequences(spark, sf_dir), model, 0.01).select("seq_id", "pos", F.round("weight", 6).alias("weight"))
+    rows = refinement.erase_softly(sequences(spark, sf_dir), model)
+    lost = F.aggregate("weights", F.lit(0.0), lambda s, w: s + (1 - w))
+    first = F.coalesce(F.array_position(F.transform("weights", lambda w: w < 0.5), F.lit(True)) - 1, F.lit(-1)).cast("int")
+    return rows.select("seq_id", F.size("weights").alias("places"), F.round(lost, 6).alias("lost"), F.round(F.coalesce(F.array_min("weights"), F.lit(1.0)), 6).alias("least"), first.alias("first_half"))
 
 
 def _model_arrays():
@@ -338,8 +345,9 @@ _BEST = f"{_HITS}, s AS (SELECT seq_id, coalesce(lang = 'en', FALSE) AS positive
 
 def _labelled_scores(spark, sf_dir) -> DataFrame:
     seqs = sequences(spark, sf_dir)
-    best = scan.best_scores(seqs, motif_odds())
-    return best.join(seqs.select("seq_id", F.coalesce(F.col("lang") == "en", F.lit(False)).alias("positive")), "seq_id").select(F.round("score", 6).alias("score"), "positive")
+    named = seqs.select(F.struct("seq_id", F.coalesce(F.expr(ENGLISH), F.lit(False)).alias("positive")).alias("row"), "seq")
+    best = scan.best_scores(named, motif_odds(), key="row")
+    return best.select(F.round("score", 6).alias("score"), F.col("seq_id.positive").alias("positive"))
 
 
 @_query(f"""WITH {_BEST}, b AS (SELECT score, count(*) FILTER (WHERE positive) AS p, count(*) FILTER (WHERE NOT positive) AS n FROM s GROUP BY score),
@@ -398,6 +406,42 @@ def e_step(spark, sf_dir):
     return cells.groupBy(F.floor(F.col("cell") / 4).cast("int").alias("pos")).agg(*(F.round(F.sum(F.when(F.col("cell") % 4 == k, F.col("v"))), 3).alias(x) for k, x in enumerate(LETTERS)))
 
 
+_RATIOS = f"{_HITS}, r AS (SELECT seq_id, CASE WHEN ({_BACKWARD}) > ({_FORWARD}) + 1e-9 THEN {RC.format('word')} ELSE word END AS word, exp(score) AS r FROM scored)"
+#: Share of sequences that hold a site, where there is none or one.
+ONE_SHARE = 0.4
+
+
+def _m_step_sql(z: str, total: str) -> str:
+    """Matrix and rate after one M step, from ``z`` (word, z), every window once."""
+    cells = ", ".join(f"(sum(z) FILTER (WHERE x = '{x}') + {em.PRIOR} * 0.25 * any_value(zs)) AS {x}" for x in LETTERS)
+    rows = ", ".join(f"round({x} / (A + C + G + T), 6) AS {x}" for x in LETTERS)
+    return f"{z}, zt AS (SELECT sum(z) AS zs FROM z), l AS (SELECT j::INT AS pos, substr(word, j + 1, 1) AS x, z FROM z, range({len(MOTIF)}) t(j)), m AS (SELECT pos, any_value(zs) AS zs, {cells} FROM l, zt GROUP BY pos) SELECT pos, {rows}, round(zs / (SELECT {total}), 9) AS rate FROM m"
+
+
+def _one_step(spark, sf_dir, model: em.Model) -> DataFrame:
+    seqs = sequences(spark, sf_dir)
+    after = em.maximised(model, em.collected(em.expected_counts(seqs, [model]), [model])[0])
+    return _models(spark, [after]).select("pos", *(F.round(x, 6).alias(x) for x in LETTERS), F.round("rate", 9).alias("rate"))
+
+
+@_query("WITH " + _m_step_sql(_POSTERIOR, "count(*) FROM z"))
+def m_step(spark, sf_dir):
+    """The model after one step of EM, with any number of sites in a sequence."""
+    return _one_step(spark, sf_dir, em.Model("motif", *_model_arrays(), RATE))
+
+
+@_query("WITH " + _m_step_sql(f"{_RATIOS}, n AS (SELECT *, {ONE_SHARE}::DOUBLE / count(*) OVER (PARTITION BY seq_id) * r AS g FROM r), z AS (SELECT seq_id, word, g / ({1 - ONE_SHARE}::DOUBLE + sum(g) OVER (PARTITION BY seq_id)) AS z FROM n)", "count(DISTINCT seq_id) FROM z"))
+def m_step_none_or_one(spark, sf_dir):
+    """The model after one step of EM, with at most one site in a sequence."""
+    return _one_step(spark, sf_dir, em.Model("motif", *_model_arrays(), ONE_SHARE, spread=em.NONE_OR_ONE))
+
+
+@_query("WITH " + _m_step_sql(f"{_RATIOS}, z AS (SELECT seq_id, word, r / sum(r) OVER (PARTITION BY seq_id) AS z FROM r)", "count(DISTINCT seq_id) FROM z").replace("round(zs / (SELECT count(DISTINCT seq_id) FROM z), 9)", "round(least(zs / (SELECT count(DISTINCT seq_id) FROM z), 1.0), 9)"))
+def m_step_one(spark, sf_dir):
+    """The model after one step of EM, with exactly one site in a sequence."""
+    return _one_step(spark, sf_dir, em.Model("motif", *_model_arrays(), ONE_SHARE, spread=em.ONE))
+
+
 @_query()
 def batch_em(spark, sf_dir):
     """EM from the scan motif until it rests, over 50 passes at most: matrix, rate, and whether it rests."""
@@ -438,13 +482,23 @@ def pair_similarity_edges(spark, sf_dir):
     return seeds.similarity_edges(seeds.stored(seeds.numbered(enriched(spark, sf_dir))).select("id", "word"))
 
 
+@_query(f"WITH {_windows(2, known=False)}, p AS (SELECT seq_id, word, count(*) AS n FROM wins GROUP BY ALL), e AS (SELECT seq_id, coalesce(left(seq, 1), '') AS first, coalesce(right(seq, 1), '') AS last, length(seq) AS n FROM seqs) SELECT e.seq_id, e.n::INT AS letters, e.first, e.last, coalesce(string_agg(p.word || p.n, ',' ORDER BY p.word), '') AS pairs FROM e LEFT JOIN p ON e.seq_id = p.seq_id GROUP BY ALL")
+def dinuc_shuffle_pairs(spark, sf_dir):
+    """What a shuffle keeps of each sequence: its length, ends and pair counts (the SQL reads them from the sequences as they were)."""
+    mixed = shuffling.shuffled(sequences(spark, sf_dir), seed=1)
+    counted = windows.windows(mixed, 2, ["seq_id"]).groupBy("seq_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    listed = counted.groupBy("seq_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("word", "n"))), ",").alias("pairs"))
+    ends = mixed.select("seq_id", F.length("seq").alias("letters"), F.left("seq", F.lit(1)).alias("first"), F.right("seq", F.lit(1)).alias("last"))
+    return ends.join(listed, "seq_id", "left").withColumn("pairs", F.coalesce("pairs", F.lit("")))
+
+
 @_query()
 def seed_matrices(spark, sf_dir):
     """Weighted matrices of the clusters of enriched words."""
     return seeds.seed_matrices(seeds.numbered(enriched(spark, sf_dir)))
 
 
-@_query()
+@_query(rf"WITH {SEQS} SELECT '>sequence' || seq_id || chr(10) || regexp_replace(seq, '(.{{60}})(.)', '\1' || chr(10) || '\2', 'g') AS value FROM seqs".replace(r"regexp_replace(seq, '(.{60})(.)', '\1' || chr(10) || '\2', 'g')", "(SELECT coalesce(string_agg(substr(seq, i + 1, 60), chr(10) ORDER BY i), '') FROM range(0, length(seq), 60) t(i))"))
 def fasta_records(spark, sf_dir):
     """All sequences as wrapped FASTA records."""
     return fasta.fasta_text(sequences(spark, sf_dir).select("seq_id", F.concat(F.lit("sequence"), "seq_id").alias("name"), F.lit(None).cast("string").alias("info"), "seq"))

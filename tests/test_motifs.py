@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import clustering, em, scan, significance
 from strandloom.plans import refinement, seeds
+from strandloom.storage import saved
 from strandloom.streaming import words as streaming
 
 MATRIX = [[0.7, 0.1, 0.1, 0.1], [0.1, 0.1, 0.7, 0.1], [0.1, 0.1, 0.1, 0.7], [0.4, 0.1, 0.4, 0.1]]
@@ -51,8 +53,10 @@ def test_hits_and_erasing(seqs, texts):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     best = {r["seq_id"]: r["score"] for r in scan.best_scores(seqs, ODDS).collect()}
     assert best == {k: pytest.approx(max(v for *_, v in scores(t))) for k, t in enumerate(texts) if list(scores(t))}
-    kept = scan.non_overlapping(scan.hits(seqs, ODDS, 1.5), 4)
-    masked = {r["seq_id"]: (r["seq"], r["erased"]) for r in scan.erased(seqs, kept, 4).collect()}
+    rate = 1 / (1 + math.exp(1.5))  # whose threshold is 1.5
+    masked = {r["seq_id"]: (r["seq"], r["erased"]) for r in scan.erased(seqs, ODDS, rate).collect()}
+    apart = Counter((r["seq_id"], r["start"]) for r in scan.hits(seqs, ODDS, 1.5, apart=True).collect())
+    assert apart == Counter((k, s) for k in range(len(texts)) for s in greedy(i for j, i, _ in want if j == k))
     for k, t in enumerate(texts):
         starts = greedy(i for j, i, _ in want if j == k)
         for s in starts:
@@ -61,13 +65,14 @@ def test_hits_and_erasing(seqs, texts):
     assert masked[99] == (None, 0)
 
 
-def test_greedy_erase_example(spark):
-    found = spark.createDataFrame([(1, s) for s in (1, 2, 5, 6, 7)], "seq_id int, start long")
-    assert sorted(r["start"] for r in scan.non_overlapping(found, 3).collect()) == [1, 5]
+def test_greedy_erase_example():
+    assert scan.greedy(np.array([1, 2, 5, 6, 7]), 3).tolist() == [1, 5]
+    began = time.time()
+    assert len(scan.greedy(np.arange(400_000), 8)) == 50_000 and time.time() - began < 2
 
 
 def test_site_words(seqs, texts):
-    for r in scan.site_words(scan.hits(seqs, ODDS, 1.5), seqs, 4, flank=3).collect():
+    for r in scan.hits(seqs, ODDS, 1.5, words=True, flank=3).collect():
         t, i = texts[r["seq_id"]], r["start"]
         word, left, right = t[i : i + 4], t[max(0, i - 3) : i], t[i + 4 : i + 7]
         if r["strand"] == "-":
@@ -78,14 +83,13 @@ def test_site_words(seqs, texts):
 
 def test_soft_erasing(seqs, texts):
     model = em.Model("m", np.array(MATRIX), np.full(4, 0.25), 0.05)
-    want = {}
+    want = {k: [1.0] * len(t) for k, t in enumerate(texts)} | {99: []}
     for k, t in enumerate(texts):
         for i, _, v in scores(t):
             z = 1 / (1 + math.exp(-(v + math.log(0.05 / 0.95))))
-            if z > 0.01:
-                for p in range(i, i + 4):
-                    want[k, p] = min(want.get((k, p), 1.0), 1 - z)
-    got = {(r["seq_id"], r["pos"]): r["weight"] for r in refinement.erase_softly(seqs, model, 0.01).collect()}
+            for p in range(i, i + 4):
+                want[k][p] = min(want[k][p], 1 - z)
+    got = {r["seq_id"]: r["weights"] for r in refinement.erase_softly(seqs, model).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
@@ -104,6 +108,36 @@ def test_expected_counts(seqs, texts):
         assert np.allclose(found[k].motif, motif) and found[k].z == pytest.approx(z_sum) and found[k].windows == n
 
 
+@pytest.mark.parametrize("spread", [em.NONE_OR_ONE, em.ONE])
+def test_expected_counts_of_one_site_a_sequence(seqs, texts, spread):
+    model = em.Model("m", np.array(MATRIX), np.full(4, 0.25), 0.3, spread=spread)
+    motif, z_sum, n, log_likelihood = np.zeros((4, 4)), 0.0, 0, 0.0
+    for t in texts:
+        found = list(scores(t))
+        if not found:
+            continue
+        n += 1
+        ratio = [math.exp(v) / len(found) for *_, v in found]
+        total = sum(ratio) if spread == em.ONE else 0.7 + 0.3 * sum(ratio)
+        log_likelihood += math.log(total)
+        for (i, strand, _), r in zip(found, ratio, strict=True):
+            z = r / total * (1 if spread == em.ONE else 0.3)
+            word = t[i : i + 4] if strand == "+" else t[i : i + 4][::-1].translate(str.maketrans("ACGT", "TGCA"))
+            for j, x in enumerate(word):
+                motif[j, "ACGT".index(x)] += z
+            z_sum += z
+    sums = em.collected(em.expected_counts(seqs, [model]), [model])[0]
+    assert np.allclose(sums.motif, motif) and sums.z == pytest.approx(z_sum) and sums.sequences == n and sums.log_likelihood == pytest.approx(log_likelihood)
+    assert em.maximised(model, sums).rate == pytest.approx(min(z_sum / n, 1 - 1e-12))
+
+
+def test_steps_in_closed_form():
+    for step, slope, begin, count in ((0.05, -0.6, 0, 10), (0.5, -0.6, 0, 3_000_000), (20.0, -0.8, 5, 400_000), (0.05, -0.9, 250_000, 2_000_000), (0.3, -0.6, 99_990, 20)):
+        n = np.arange(begin + 1, begin + count + 1, dtype=float)
+        assert em.log_left(step, slope, begin, count) == pytest.approx(np.log1p(-np.minimum(step * n**slope, 0.999)).sum(), rel=1e-9)
+    assert math.isfinite(em.log_left(0.05, -0.6, 0, 10**15))
+
+
 def planted(spark, letters="TGACGTCA", sequences=160):
     rng = random.Random(1)
     rows = []
@@ -141,6 +175,54 @@ def test_refinement(spark):
     assert refinement.erase(seqs, found[0].model).agg(F.sum("erased")).first()[0] > 20
 
 
+def test_the_best_try_has_the_least_log_evalue(spark, monkeypatch):
+    seqs = planted(spark, sequences=60)
+    theta = np.array([[0.7 if x == y else 0.1 for x in "ACGT"] for y in "TGACGTCA"])
+    start = em.Model("m", theta, refinement.background(seqs), 0.01)
+    values = iter([5.0, -3.0, -3.0, 4.0])
+    monkeypatch.setattr(refinement, "log_evalues", lambda seqs, models, sites: [next(values) for _ in models])
+    found = refinement.refine(seqs, [start], min_sites=1, max_sites=10_000, tries=4, stop_early=False, passes=1, batches=2)
+    assert found[0].log_evalue == -3.0 and found[0].try_number == 1 and found[0].accepted
+    monkeypatch.setattr(refinement, "log_evalues", lambda *a: [])
+    none = refinement.refine(seqs, [start], min_sites=10**6, max_sites=10**7, tries=2, passes=1, batches=2)
+    assert not none[0].accepted and none[0].log_evalue == math.inf and none[0].try_number == 1
+
+
+def test_log_ways(spark, seqs, texts):
+    lengths = sorted((len(t) - 3 for t in texts if len(t) > 3), reverse=True)
+    want = sum(math.log(2 * n) for n in lengths[:3]) + math.log(math.comb(len(lengths), 3))
+    assert significance.log_ways(seqs, 4, 3, em.NONE_OR_ONE) == pytest.approx(want)
+    assert significance.log_ways(seqs, 4, 100, em.ONE) == -math.inf
+    starts = sum(lengths)
+    assert significance.log_ways(seqs, 4, 5) == pytest.approx(sum(math.log((starts - i) * 2 // (i + 1)) for i in range(5)))
+
+
+@pytest.mark.parametrize("fit", ["online", "batch"])
+def test_motifs_are_found_one_after_another(spark, fit):
+    rng = random.Random(3)
+    rows = []
+    for k in range(150):
+        text = [rng.choice("ACGT") for _ in range(100)]
+        for word, at in (("CACTTTGCAGAC", 20), ("GGGATAAGCCTA", 70)):
+            text[at : at + len(word)] = [x if rng.random() < 0.95 else rng.choice("ACGT") for x in word]
+        rows.append((k, "".join(text)))
+    positive = spark.createDataFrame(rows, "seq_id long, seq string").repartition(3)
+    negative = spark.createDataFrame([(k, "".join(rng.choice("ACGT") for _ in range(150))) for k in range(60)], "seq_id long, seq string")
+
+    def seed(word, name):
+        return em.Model(name, np.array([[0.7 if x == y else 0.1 for x in "ACGT"] for y in word]), np.full(4, 0.25), *((0.005,) if fit == "online" else (0.5, 1.0, False, em.NONE_OR_ONE)))
+
+    seeds_ = [seed("CACTTTGCAGAC", "one"), seed("GGGATAAGCCTA", "two")]
+    options = {"min_sites": 40, "max_sites": 2000, "tries": 2, "passes": 2, "batches": 2} if fit == "online" else {"min_sites": 40, "iterations": 10}
+    found = refinement.discover(positive, seeds_, negative, fit=fit, **options)
+    assert [m.model.name for m in found.motifs] == ["one", "two"] and found.reason == "seeds are used up"
+    assert all(m.accepted and m.log_evalue < 0 and m.erased[0] > 100 > m.erased[1] for m in found.motifs)
+    assert ["".join("ACGT"[k] for k in m.model.theta.argmax(axis=1)) for m in found.motifs] == ["CACTTTGCAGAC", "GGGATAAGCCTA"]
+    assert found.positive.where(F.contains("seq", F.lit("N" * 12))).count() > 100 and found.negative.count() == 60
+    table = refinement.motif_table(spark, found.motifs)
+    assert table.count() == 24 and refinement.discover(positive, seeds_[:1], most=0, fit="batch").reason == "enough motifs"
+
+
 def test_divergence():
     assert em.divergence(np.array([0.7, 0.1, 0.1, 0.1]), np.full(4, 0.25)) == pytest.approx(0.437829784)
 
@@ -267,13 +349,13 @@ def test_edges_of_all_pairs(spark, threshold):
 
 def test_clusters_and_alignment(spark):
     words = spark.createDataFrame([(0, "ACGTTGAC"), (1, "CGTTGACA"), (2, "GTCAACGT"), (3, "TTTTCCCC"), (4, "TTTTCCCA"), (5, "GGGGGGGA")], "id long, word string")
-    edges = seeds.stored(seeds.similarity_edges(words, 0.3))
-    members = seeds.stored(clustering.clusters(words, edges, seeds.stored, 0.3))
+    edges = saved(seeds.similarity_edges(words, 0.3))
+    members = saved(clustering.clusters(words, edges, saved, 0.3))
     groups = {}
     for r in members.collect():
         groups.setdefault(r["cluster"], set()).add(r["id"])
     assert groups[1] == {0, 1, 2} and {3, 4} in groups.values() and {5} in groups.values()
-    laid = {r["id"]: r for r in clustering.aligned(members, edges.withColumn("sim", 1 - F.col("dist")), words, seeds.stored).collect()}
+    laid = {r["id"]: r for r in clustering.aligned(members, edges.withColumn("sim", 1 - F.col("dist")), words, saved).collect()}
     assert len(laid) == 6
     for r in laid.values():
         assert r["aligned"].lstrip(".") in (r["word"], r["word"][::-1].translate(str.maketrans("ACGT", "TGCA")))
@@ -285,7 +367,7 @@ def test_missing_pairs_count_as_far(spark):
     words = spark.createDataFrame([(k, "A") for k in range(5)], "id long, word string")
     edges = spark.createDataFrame([(0, 1, 0.1), (1, 2, 0.15), (3, 4, 0.2)], "id_a long, id_b long, dist double")
     got = {}
-    for r in clustering.clusters(words, edges, seeds.stored, 0.3).collect():
+    for r in clustering.clusters(words, edges, saved, 0.3).collect():
         got.setdefault(r["cluster"], set()).add(r["id"])
     # 0-2 has no edge, so {0, 1} and 2 are (0.15 + 1) / 2 apart.
     assert sorted(map(sorted, got.values())) == [[0, 1], [2], [3, 4]]

@@ -56,6 +56,12 @@ def test_statistics(spark):
     n, d, k, x = (F.lit(v) for v in (10, 4, 5, 3))
     assert value(spark, stats.hypergeometric(n, d, k, x)) == pytest.approx(0.229025869, abs=1e-7)
     assert value(spark, stats.hypergeometric_tail(n, d, k, x)) == pytest.approx(0.252312862, abs=1e-7)
+    for upper in (True, False):
+        for hits in (0, 3, 7, 12):
+            ks = range(hits, 13) if upper else range(hits + 1)
+            want = sum(math.exp(sum(stats._log_factorials(np.array([12.0, 38, 30, 20]))) - sum(stats._log_factorials(np.array([50.0, 12 - i, i, 18 + i, 20 - i])))) for i in ks)
+            assert value(spark, stats.hypergeometric_tail(F.lit(50), F.lit(20), F.lit(12), F.lit(hits), upper)) == pytest.approx(want)
+    assert stats.tail_probability(1e9, 1e8, 1e8, 1e7 + 3000, True) == pytest.approx(0.5 * math.erfc(2999.5 / math.sqrt(2 * 8.1e6)), rel=1e-2)
     assert value(spark, stats.mann_whitney_z(F.lit(3), F.lit(10), F.lit(10))) == pytest.approx(1.481487494, abs=1e-8)
     assert value(spark, stats.kolmogorov_p(F.lit(0.3), F.lit(50.0))) == pytest.approx(0.000174213, abs=1e-8)
     assert value(spark, stats.log_product_p(F.lit(2), F.log(F.lit(0.01)))) == pytest.approx(-2.881480767, abs=1e-8)
@@ -98,10 +104,19 @@ def test_gapped_counts(spark, texts, half):
     assert got == dict(want)
 
 
+@pytest.mark.parametrize("half", [2, 5])
+def test_gapped_counts_of_two_sets(spark, texts, half):
+    rows = frame(spark, texts)
+    own = F.when(F.col("seq_id") % 3 == 0, F.lit(True)).when(F.col("seq_id") % 3 == 1, F.lit(False))
+    got = {(r["gap"], r["word"]): (r["pos_sites"], r["neg_sites"]) for r in enrichment.gapped_counts_of_two(rows, own, half, 0, 2).collect()}
+    one, two = ({(r["gap"], r["word"]): r["cnt"] for r in enrichment.gapped_counts(rows.where(w), half, 0, 2).collect()} for w in (F.coalesce(own, F.lit(False)), ~F.coalesce(own, F.lit(False))))
+    assert got == {k: (one.get(k), two.get(k)) for k in one | two}
+
+
 def test_enrichment_rules(spark):
-    positive = spark.createDataFrame([(0, "AAAA", 9), (0, "CCCC", 9), (0, "GGGG", 3), (0, "TTTT", 8)], "gap int, word string, cnt long")
-    negative = spark.createDataFrame([(0, "AAAA", 4), (0, "TTTT", 2)], "gap int, word string, cnt long")
-    rows = {r["word"]: r for r in enrichment.zscores(positive, negative).collect()}
+    counts = spark.createDataFrame([(0, "AAAA", 9, 4), (0, "CCCC", 9, None), (0, "GGGG", 3, None), (0, "TTTT", 8, 2), (0, "TTTA", None, 5)], "gap int, word string, pos_sites long, neg_sites long")
+    rows = {r["word"]: r for r in enrichment.zscores(counts).collect()}
+    assert len(rows) == 4
     assert (rows["AAAA"]["z"], rows["CCCC"]["z"], rows["CCCC"]["neg_sites"]) == (2.5, 8.0, 0)
     spread = np.std([2.5, 8.0, 2.0, 6 / math.sqrt(2)])
     assert rows["AAAA"]["z_corrected"] == pytest.approx(2.5 / spread)
@@ -198,12 +213,24 @@ def test_motif_files(spark, tmp_path):
 def test_sql_functions(spark):
     register(spark)
     assert spark.sql("SELECT revcomp('AACG') AS a, canonical_kmer('TTTT') AS b, letters_known('ACGN') AS c").first().asDict() == {"a": "CGTT", "b": "AAAA", "c": False}
-    rows = spark.sql("SELECT t.start, t.word FROM VALUES ('ACGTNA') AS s(seq), LATERAL gapped_kmers(s.seq, 1, 3) AS t").collect()
-    assert [tuple(r) for r in rows] == [(1, "CNNNA")] or [tuple(r) for r in rows] == [(0, "ANNNN"), (1, "CNNNA")][1:]
+    texts = ["ACGTNA", "", None, "ACG", "NACGTTTACGGGTACN"]
+    spark.createDataFrame(list(enumerate(texts)), "k int, seq string").createOrReplaceTempView("given")
+    rows = spark.sql("SELECT g.k, t.start, t.word FROM given g, LATERAL gapped_kmers(g.seq, 1, 3) AS t").collect()
+    want = {(k, i, s[i] + "NNN" + s[i + 4]) for k, s in enumerate(texts) for i in range(len(s or "") - 4) if "N" not in s[i] + s[i + 4]}
+    assert Counter(map(tuple, rows)) == Counter(want)
     rows = spark.sql("SELECT t.* FROM VALUES ('aCCgCC') AS s(seq), LATERAL regex_match(s.seq, 'c+') AS t").collect()
     assert [tuple(r) for r in rows] == [(m.start(), m.group(), 1.0) for m in re.finditer("C+", "aCCgCC")]
-    rows = spark.sql("SELECT t.word FROM VALUES ('ACGACC') AS s(seq), LATERAL pwm_match(s.seq, 'ACR', 2.0D) AS t").collect()
-    assert [r["word"] for r in rows] == ["ACG"]
+    assert spark.sql("SELECT t.start FROM VALUES ('cCCgCC') AS s(seq), LATERAL regex_match(s.seq, 'C+', true) AS t").collect() == [(1,), (4,)]
+    rows = spark.sql("SELECT g.k, t.start, t.word, t.score FROM (SELECT *, consensus_matrix('ACR') AS m FROM given) g, LATERAL pwm_match(g.seq, g.m, 2.0D) AS t").collect()
+    odds = {"A": "A", "C": "C", "R": "AG"}
+    table = [[math.log(max(1e-4, (x in odds[c]) / len(odds[c])) / 0.25) for x in "ACGT"] for c in "ACR"]
+    want = {}
+    for k, text in enumerate(texts):
+        for i in range(len(text or "") - 2):
+            word = text[i : i + 3]
+            if "N" not in word and (score := sum(row["ACGT".index(x)] for row, x in zip(table, word, strict=True))) > 2:
+                want[k, i, word] = score
+    assert {tuple(r[:3]): r[3] for r in rows} == {key: pytest.approx(v) for key, v in want.items()} and len(want) > 2
 
 
 def test_markov(spark, texts):
