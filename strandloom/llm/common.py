@@ -1,15 +1,13 @@
 """Helpers that the training-data operators share.
 
-``saved`` cuts lineage with a Parquet table in the cluster's shared folder,
-``attach`` joins a per-key table back to rows whose keys may be hot, and
+``saved`` (of the library) cuts lineage with a Parquet table in the cluster's shared
+folder, ``attach`` joins a per-key table back to rows whose keys may be hot, and
 ``split_words`` finds the words of a whole Arrow batch with a few numpy passes.
 """
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.operators.packing import raw_letters, text_offsets
+from strandloom.storage import saved, shared_dir
+
+__all__ = ["attach", "ascii_lower", "saved", "shared_dir"]
+
 #: Text bytes handled by one numpy pass; one longer text is still taken whole.
 SLICE_BYTES = 4 << 20
 #: At most this many hot keys are broadcast by ``attach``.
@@ -26,24 +29,6 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-"))
-    return context.getCheckpointDir()
-
-
-def saved(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back.
-
-    The table outlives lost executors and is read with column pruning.
-    ``parts`` coalesces small results."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    (df if parts is None else df.coalesce(parts)).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -76,8 +61,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
     """Cut a batch so that each part has about ``size`` bytes of ``column``."""
     if batch.num_rows == 0:
         return
-    text = batch.column(batch.schema.get_field_index(column))
-    offsets = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    offsets = text_offsets(batch.column(batch.schema.get_field_index(column)))
     begin = 0
     while begin < batch.num_rows:
         end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + size, side="right")) - 1)
@@ -88,14 +72,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
 
 def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string array and each text's offsets in them; null texts are empty."""
-    if text.null_count:
-        text = text.fill_null("")
-    if not len(text):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    offsets = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
-    data = text.buffers()[2]
-    data = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-    return data, offsets - offsets[0]
+    return raw_letters(text)
 
 
 def lower_bytes(data: np.ndarray) -> np.ndarray:
