@@ -16,8 +16,11 @@ from strandloom.llm.common import segment_sum, slices, split_words, text_bytes
 
 #: Words of one repeated window.
 WINDOW = 3
-#: Names of the ratios that models see, in order.
-RATIOS = ("symbols_per_word", "pipes_per_word", "bangs_per_word", "upper_share", "digit_share", "repeat_share", "dup_line_share", "word_length", "log_words", "log_words_per_line", "stops_per_word", "wide_share")
+#: Character classes of the transition shares: white space, letters (all of beyond ASCII counts as such), digits, marks of ordinary prose, other symbols.
+CLASSES = ("space", "letter", "digit", "mark", "symbol")
+TRANSITIONS = tuple(f"{a}_{b}" for a in CLASSES for b in CLASSES)
+#: Names of the ratios that models see, in order: lengths, repetition, letters, and the share of each class transition among all.
+RATIOS = ("symbols_per_word", "upper_share", "digit_share", "repeat_share", "dup_line_share", "distinct_share", "word_length", "log_words", "log_words_per_line", "stops_per_word", "wide_share", *TRANSITIONS)
 
 
 def _of(characters: bytes) -> np.ndarray:
@@ -28,6 +31,11 @@ def _of(characters: bytes) -> np.ndarray:
 
 _SYMBOLS, _UPPER, _DIGITS, _STOPS = _of(b"#*$%&|<>"), _of(bytes(range(65, 91))), _of(b"0123456789"), _of(b".,;:?")
 _LETTERS = _of(bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(0xC3, 0xC6)))
+_CLASS = np.full(256, 4, np.uint8)
+_CLASS[list(b" \t\n\v\f\r")] = 0
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_CLASS[list(b"0123456789")] = 2
+_CLASS[list(b".,;:?!'\"()-")] = 3
 
 
 def repeated_words(ids: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -81,6 +89,18 @@ def duplicate_lines(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -
     return lines_of - np.bincount(owner[worded][unique_at], minlength=count), lines_of
 
 
+def transitions(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text, how often a byte of one class is followed by one of another (a row of ``TRANSITIONS``)."""
+    count, kinds = len(offsets) - 1, len(CLASSES)
+    if len(data) < 2:
+        return np.zeros((count, kinds * kinds), np.int64)
+    own = _CLASS[data]
+    pair = own[:-1] * np.uint8(kinds) + own[1:]
+    owner = np.repeat(np.arange(count), np.diff(offsets))
+    inside = owner[:-1] == owner[1:]
+    return np.bincount(owner[:-1][inside] * kinds**2 + pair[inside], minlength=count * kinds**2).reshape(count, kinds**2)
+
+
 def statistics(text: pa.Array) -> dict[str, np.ndarray]:
     """Whole-number statistics of each text of an Arrow array; null texts are empty."""
     data, offsets = text_bytes(text)
@@ -100,8 +120,8 @@ def statistics(text: pa.Array) -> dict[str, np.ndarray]:
         "n_dup_lines": dup_lines,
         "n_repeat_words": repeated_words(ids, bounds),
         "n_lines": lines,
-        "n_pipes": count(data == 124),
-        "n_bangs": count(data == 33),
+        "n_distinct": distinct_words(ids, bounds),
+        "transitions": transitions(data, offsets),
         "n_upper": count(_UPPER[data]),
         "n_letters": count(_LETTERS[data]),
         "n_digits": count(_DIGITS[data]),
@@ -110,13 +130,21 @@ def statistics(text: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
+def distinct_words(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Distinct words of each text."""
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    key = np.unique(text.astype(np.int64) * (int(ids.max()) + 1 if len(ids) else 1) + ids)
+    return np.bincount(key // (int(ids.max()) + 1 if len(ids) else 1), minlength=len(bounds) - 1)
+
+
 def ratios(s: dict[str, np.ndarray]) -> np.ndarray:
     """Matrix of ``RATIOS``, a row for each text."""
     words, letters, chars = (np.maximum(s[k], 1).astype(float) for k in ("n_words", "n_letters", "word_chars"))
     lines = np.maximum(s["n_lines"], 1).astype(float)
+    steps = s["transitions"] / np.maximum(s["transitions"].sum(axis=1, keepdims=True), 1)
     return np.column_stack([
-        s["n_symbols"] / words, s["n_pipes"] / words, s["n_bangs"] / words, s["n_upper"] / letters, s["n_digits"] / chars,
-        s["n_repeat_words"] / words, s["n_dup_lines"] / lines, s["word_chars"] / words, np.log1p(s["n_words"]), np.log1p(s["n_words"] / lines), s["n_stops"] / words, s["n_wide"] / chars,
+        s["n_symbols"] / words, s["n_upper"] / letters, s["n_digits"] / chars, s["n_repeat_words"] / words, s["n_dup_lines"] / lines, s["n_distinct"] / words,
+        s["word_chars"] / words, np.log1p(s["n_words"]), np.log1p(s["n_words"] / lines), s["n_stops"] / words, s["n_wide"] / chars, steps,
     ])
 
 
