@@ -6,9 +6,10 @@ feature rises: a split there must order its children's values, and both subtrees
 are held on their side of the midpoint.  All trees are flattened into numpy node
 arrays, and a batch walks all of them level by level.
 
-Defined cases: a null text has no words and fails the base rules; without labels of
-both kinds the trees keep everything that the base rules keep; repeated rows get
-equal results; an empty table gives an empty result; other columns are not read.
+Defined cases: a null text has no words and fails the base rules; a very long text counts
+whole, in one task's memory; without labels of both kinds the trees keep everything that
+the base rules keep; repeated rows and ties in all features get equal results, and a
+probability at ``KEEP_AT`` is kept; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from strandloom.llm.features import RATIOS, ratios, statistics, training_sample
 #: Bound of the labelled rows that training reads.
 MAX_LABELLED = 20_000
 #: Features on which a higher value never helps a document.
-MONOTONE = ("symbols_per_word", "pipes_per_word", "bangs_per_word", "upper_share", "repeat_share", "dup_line_share")
+MONOTONE = ("symbols_per_word", "symbol_symbol", "mark_mark", "upper_share", "repeat_share", "dup_line_share")
 #: Base rules: least words, and the largest percentage of words in repeated windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Documents at or above this probability of label 1 are kept.
@@ -62,7 +63,7 @@ def fit(x: np.ndarray, label: np.ndarray, trees: int = 40, depth: int = 3, rate:
     forest = Forest(np.zeros((trees, nodes), np.int64), np.full((trees, nodes), np.inf), np.tile(own, (trees, 1)), np.tile(own, (trees, 1)), np.zeros((trees, nodes)), 40.0)
     if not ((label == 0).any() and (label == 1).any()):
         return forest
-    falls = np.array([name in monotone for name in RATIOS])
+    falls = np.array([name in monotone for name in RATIOS])[: x.shape[1]]
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.column_stack([np.searchsorted(e, x[:, f]) for f, e in enumerate(edges)])
     share = label.mean()
