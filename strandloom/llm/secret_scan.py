@@ -4,13 +4,23 @@ A candidate is a run of at least 16 key characters with a digit in it, the value
 a secret word and ``=`` or ``:`` (of any length and characters, quoted or not), or a
 key with a fixed prefix.  Its features are its length, its character transitions, the share of it that
 dictionary words of the corpus cover, hints in its path, and the words beside it.  The
-forest (Spark ML) learns from labelled findings: a frame of (before, candidate,
-after, path, label).  ``seeded_findings`` makes such a frame from known shapes of
-keys and of harmless strings where no reviewed findings are at hand.
+forest (Spark ML) learns from labelled findings, a frame of
+
+    before string     up to ``BEFORE`` characters before the candidate
+    candidate string  the candidate itself
+    after string      up to ``AFTER`` characters after it
+    path string       where it was found (may be null)
+    label double      1 for a secret, 0 for a false positive
+    kind string       what a reviewer calls it (optional; ``evaluation`` reports by it)
+
+of which at most ``MAX_FINDINGS`` are used.  ``seeded_findings`` makes such a frame from
+known shapes of keys and of harmless strings where no reviewed findings are at hand; what
+it teaches is those shapes, so a user with reviewed findings should pass them.
 
 Defined cases: null and empty texts have no candidates; null doc_ids stay; a null
-path has no hints; repeated rows give repeated findings; an empty table gives an
-empty result; other columns are not read.
+path has no hints; repeated rows give repeated findings; what two patterns find at one place
+is one candidate; a very long text is searched whole by one task; a probability at ``CUT`` is
+a secret; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +31,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import saved
+from strandloom.llm.common import attach, saved
 
 #: Key characters; a run of at least 16 of them with a digit is a candidate.
 KEY = r"[A-Za-z0-9_+/\-]"
@@ -45,6 +55,8 @@ BEFORE, AFTER = 40, 20
 FEATURES = ["length", "letter_digit", "case_change", "digit_share", "upper_share", "hex", "distinct_share", "covered", "secret_word", "harmless_word", "assigned", "quoted", "fixed", "symbols", "word_before", "word_after", "harmless_path"]
 #: A finding at or above this probability is a secret.
 CUT = 0.5
+#: Bound of the labelled findings that training reads.
+MAX_FINDINGS = 20_000
 
 
 def _findings(pattern: str) -> Column:
@@ -84,10 +96,11 @@ def dictionary(docs: DataFrame) -> DataFrame:
 
 
 def coverage(found: DataFrame, words: DataFrame) -> DataFrame:
-    """candidate and the share of its characters in letter runs that are dictionary words."""
-    distinct = found.select("candidate").distinct()
+    """candidate, the share of its characters in letter runs that are dictionary words, and its rows in ``found``."""
+    distinct = found.groupBy("candidate").agg(F.count(F.lit(1)).alias("rows"))
     runs = distinct.select("candidate", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit(f"[a-z]{{{MIN_LETTERS},}}"), F.lit(0))).alias("word"))
-    return runs.join(words, "word").groupBy("candidate").agg((F.sum(F.length("word")) / F.first(F.length("candidate"))).alias("covered"))
+    shares = runs.join(words, "word").groupBy("candidate").agg((F.sum(F.length("word")) / F.first(F.length("candidate"))).alias("covered"))
+    return saved(distinct.join(shares, "candidate", "left"))
 
 
 def featured(found: DataFrame, covered: DataFrame) -> DataFrame:
@@ -99,7 +112,8 @@ def featured(found: DataFrame, covered: DataFrame) -> DataFrame:
     def flag(test: Column) -> Column:
         return F.coalesce(test, F.lit(False)).cast("double")
 
-    out = found.join(covered, "candidate", "left").withColumns({
+    # One string may be found over and over.
+    out = attach(found, covered, "candidate", "rows").drop("rows").withColumns({
         "length": length.cast("double"),
         "letter_digit": share("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])"),
         "case_change": share("[a-z](?=[A-Z])|[A-Z](?=[a-z])"),
@@ -122,7 +136,13 @@ def featured(found: DataFrame, covered: DataFrame) -> DataFrame:
 
 
 def seeded_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
-    """Labelled findings of known shapes; the digests of row numbers serve as random strings."""
+    """Labelled findings of known shapes, by ``kind``; the digests of row numbers serve as random strings."""
+    shapes = ("hex", "hex", "hex", "upper hex", "base64", "prefixed", "digest", "number", "number", "version", "uuid", "path")
+    values_of = ("short value", "letters", "punctuated", "prefixed letters", "mixed case", "word with digit", *["placeholder"] * 4)
+
+    def kind_of(names: tuple[str, ...], at: Column) -> Column:
+        return F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int")).alias("kind")
+
     n = F.col("id")
     hexes = F.sha2(n.cast("string"), 256)
     mixed = F.translate(F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), n.cast("string")), 256))), "=", "")
@@ -145,6 +165,7 @@ def seeded_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
         F.when(pick <= 5, F.when(side % 2 == 0, F.lit('" the next')).otherwise(F.lit("' and"))).otherwise(F.lit(" of the same")).alias("after"),
         F.when(side == 3, F.lit("src/app.py")).otherwise(F.lit("conf/run")).alias("path"),
         (pick <= 5).cast("double").alias("label"),
+        kind_of(shapes, pick),
     )
     # Short, letter-only and punctuated values, keys of fixed prefixes, and plain words after the same names.
     kind = F.pmod(F.xxhash64(F.lit("value"), n), F.lit(10))
@@ -159,14 +180,34 @@ def seeded_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
     bare, loose = side == 2, (kind == 3) & (side == 1)
     leading = F.when(loose, "and then with ").when((kind > 5) | bare, F.concat(name, F.when(side % 2 == 0, "=").otherwise(": "))).otherwise(opening)
     trailing = F.when((kind > 5) | bare | loose, " of the same").otherwise(F.when(side % 2 == 0, '" the next').otherwise("' and"))
-    values = spark.range(rows // 2).select(leading.alias("before"), value.alias("candidate"), trailing.alias("after"), F.when(side == 3, "src/app.py").otherwise("conf/run").alias("path"), (kind <= 5).cast("double").alias("label"))
+    values = spark.range(rows // 2).select(leading.alias("before"), value.alias("candidate"), trailing.alias("after"), F.when(side == 3, "src/app.py").otherwise("conf/run").alias("path"), (kind <= 5).cast("double").alias("label"), kind_of(values_of, kind))
     return known.unionAll(values)
 
 
-def train(findings: DataFrame, words: DataFrame, trees: int = 24, depth: int = 6, seed: int = 5) -> RandomForestClassificationModel:
-    """Fit the forest on labelled findings (before, candidate, after, path, label)."""
-    rows = featured(findings, coverage(findings, words)).select("features", "label").coalesce(1)
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
+def train(findings: DataFrame, words: DataFrame, trees: int = 24, depth: int = 6, seed: int = 5, max_findings: int = MAX_FINDINGS) -> RandomForestClassificationModel:
+    """Fit the forest on at most ``max_findings`` labelled findings, those of the least hashes."""
+    order = F.xxhash64("candidate", "before", "after", "path")
+    chosen = saved(findings.select("before", "candidate", "after", "path", "label").orderBy(order, "candidate", "before", "after", "path", "label").limit(max_findings))
+    rows = featured(chosen, coverage(chosen, words)).select("features", "label")
+    # In one part and one order, since trees are drawn by part: the bound above bounds it.
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows.repartition(1).sortWithinPartitions(F.xxhash64(vector_to_array("features")), "label"))
+
+
+def held_out_finding() -> Column:
+    """A fifth of the findings, by their candidate."""
+    return F.pmod(F.xxhash64(F.lit("held out"), "candidate"), F.lit(5)) == 0
+
+
+def evaluation(findings: DataFrame, words: DataFrame, **options) -> DataFrame:
+    """kind, label, findings, judged_secret: how a forest trained on four fifths judges the other fifth.
+
+    For kinds of label 1, judged_secret / findings is the recall; for those of label 0 it is
+    the rate of false alarms."""
+    findings = saved(findings)
+    model = train(findings.where(~held_out_finding()), words, **options)
+    tested = findings.where(held_out_finding())
+    judged = model.transform(featured(tested, coverage(tested, words)))
+    return judged.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("findings"), F.count_if(vector_to_array("probability")[1] >= CUT).alias("judged_secret"))
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, path: str = "source") -> DataFrame:
