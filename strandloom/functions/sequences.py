@@ -125,3 +125,10 @@ def log10_of_text(evalue: Column) -> Column:
     mantissa = F.regexp_extract(evalue, r"^\s*([0-9.]+)", 1).cast("double")
     exponent = F.coalesce(F.nullif(F.regexp_extract(evalue, r"[eE]([+-]?[0-9]+)", 1), F.lit("")).cast("int"), F.lit(0))
     return F.log10(mantissa) + exponent
+
+
+def ambiguous_amino_acid(codon: Column) -> Column:
+    """Amino acid of a codon of IUPAC letters: X where its concrete codons differ, ``_`` for stop; null for other letters."""
+    legal = codon.rlike("^[" + "".join(IUPAC) + "]{3}$")
+    aminos = F.array_distinct(F.transform(concrete_words(F.when(legal, codon)), translated))
+    return F.when(legal, F.when(F.size(aminos) == 1, aminos[0]).otherwise("X"))

@@ -178,8 +178,10 @@ def clusters(words: DataFrame, edges: DataFrame, cut, threshold: float = 0.3, mi
 def aligned(members: DataFrame, sims: DataFrame, words: DataFrame, cut) -> DataFrame:
     """cluster, id, word, strand, shift, aligned: members laid over the first one of their cluster.
 
-    Strand and offset spread from the first member along the best edges, one ring of
-    neighbours a round; then every cluster is shifted to start at column 0."""
+    A member takes strand and offset from the nearest earlier member (by place in the
+    cluster) that it has an edge with; one that has no earlier neighbour, from its best edge to a
+    member that is laid already.  Every round lays all members whose neighbour is laid; then
+    every cluster is shifted to start at column 0."""
     width = words.select("id", F.length("word").alias("width"))
     flip = F.when(F.col("strand") == "+", "+").otherwise("-")
     a, b = width.select(F.col("id").alias("id_a"), F.col("width").alias("wa")), width.select(F.col("id").alias("id_b"), F.col("width").alias("wb"))
@@ -188,17 +190,22 @@ def aligned(members: DataFrame, sims: DataFrame, words: DataFrame, cut) -> DataF
     # Seen from the second word, the first lies the other way; on the reverse strand its far end comes first.
     back = base.select(F.col("id_b").alias("from"), F.col("id_a").alias("to"), "sim", flip.alias("s"), F.when(F.col("strand") == "+", -F.col("off")).otherwise(F.col("off") + F.col("wb") - F.col("wa")).alias("o"), F.col("wb").alias("wf"), F.col("wa").alias("wt"))
     arcs = forth.unionByName(back)
-    of = members.select("id", "cluster")
-    arcs = cut(arcs.join(of.select(F.col("id").alias("from"), F.col("cluster").alias("cf")), "from").join(of.select(F.col("id").alias("to"), F.col("cluster").alias("ct")), "to").where("cf = ct").drop("ct"))
+    of = members.select("id", "cluster", "place")
+    arcs = cut(arcs.join(of.select(F.col("id").alias("from"), F.col("cluster").alias("cf"), F.col("place").alias("pf")), "from").join(of.select(F.col("id").alias("to"), F.col("cluster").alias("ct"), F.col("place").alias("pt")), "to").where("cf = ct").drop("ct"))
+    nearest = arcs.where("pf < pt").groupBy("to").agg(F.max_by("from", F.struct("pf", "sim")).alias("from"))
+    chosen = cut(arcs.join(nearest, ["from", "to"]))
     done = cut(members.where("place = 1").select("id", "cluster", F.lit("+").alias("strand"), F.lit(0).alias("shift")))
+    following = [chosen, arcs]
     while True:
-        reached = arcs.join(done.select(F.col("id").alias("from"), F.col("strand").alias("fs"), F.col("shift").alias("fo")), "from").join(done.select(F.col("id").alias("to")), "to", "left_anti")
+        reached = following[0].join(done.select(F.col("id").alias("from"), F.col("strand").alias("fs"), F.col("shift").alias("fo")), "from").join(done.select(F.col("id").alias("to")), "to", "left_anti")
         strand = F.when(F.col("fs") == "+", F.col("s")).otherwise(F.when(F.col("s") == "+", "-").otherwise("+"))
         place = F.col("fo") + F.when(F.col("fs") == "+", F.col("o")).otherwise(F.col("wf") - F.col("o") - F.col("wt"))
         ring = reached.groupBy(F.col("to").alias("id"), F.col("cf").alias("cluster")).agg(F.max_by(F.struct(strand.alias("strand"), place.alias("shift")), F.struct("sim", -F.col("from"))).alias("r"))
         ring = cut(ring.select("id", "cluster", "r.strand", "r.shift"))
-        if ring.isEmpty():
+        if ring.isEmpty() and following[0] is arcs:
             break
+        # When no nearest earlier member is laid any more, one round goes by the best edges of all.
+        following = following[::-1] if ring.isEmpty() or following[0] is arcs else following
         done = cut(done.unionByName(ring))
     least = done.groupBy("cluster").agg(F.min("shift").alias("least"))
     out = done.join(least, "cluster").join(words, "id").withColumn("shift", F.col("shift") - F.col("least"))

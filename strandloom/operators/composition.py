@@ -35,7 +35,9 @@ def pair_counts(seqs: DataFrame, seq: str = "seq") -> DataFrame:
 def count_matrix(words: DataFrame, keys: list[str], width: int, word: str = "word") -> DataFrame:
     """keys, pos, A, C, G, T: letters at each place of equal-length words, as one aggregate.
 
-    Case is folded, and other letters count nowhere."""
+    Case is folded, and other letters count nowhere.  Words of another length are an error."""
+    legal = F.when(F.length(word) == width, F.col(word)).otherwise(F.raise_error(F.concat(F.lit("a word of another length than the matrix: "), F.coalesce(F.col(word), F.lit("null")))).cast("string"))
+    words = words.withColumn(word, legal)
     placed = [F.struct(F.lit(p).alias("pos"), *(F.count_if(F.upper(F.substring(word, p + 1, 1)) == x).alias(x) for x in LETTERS)) for p in range(width)]
     return words.groupBy(*keys).agg(F.array(*placed).alias("m")).select(*keys, F.inline("m"))
 
@@ -133,6 +135,25 @@ def markov_probabilities(counts: DataFrame, epsilon: float = 0.0) -> DataFrame:
     return rows.select("tuple", "cnt", (F.col("value") / F.sum("value").over(by_length)).alias("prob"), F.when(prefix_mass > 0, F.least(F.col("value") / prefix_mass, F.lit(1.0))).otherwise(0.0).alias("conditional"))
 
 
+def x_tuples(tuples: DataFrame, value: str = "prob") -> DataFrame:
+    """Tuples over A, C, G, T and X, where X stands for any letter: values are summed over what it stands for."""
+    letters = F.filter(F.split("tuple", ""), lambda c: c != "")
+    grown = F.aggregate(letters, F.array(F.lit("")), lambda words, c: F.flatten(F.transform(words, lambda w: F.array(F.concat(w, c), F.concat(w, F.lit("X"))))))
+    rows = tuples.select(F.explode(grown).alias("tuple"), value)
+    return rows.groupBy("tuple").agg(F.sum(value).alias(value))
+
+
+def checked_tuples(tuples: DataFrame, order: int, value: str = "prob", error: float = 1e-2) -> DataFrame:
+    """``tuples`` of each length from 1 to ``order`` + 1; an error where some are missing, out of (0, 1], or don't sum to one."""
+    sums = tuples.withColumn("__n", F.length("tuple")).groupBy("__n").agg(F.count(F.lit(1)).alias("__have"), F.sum(value).alias("__sum"))
+    wrong = (F.col("__have") != F.pow(F.lit(4), F.col("__n"))) | (F.abs(F.col("__sum") - 1) > error)
+    lengths = tuples.sparkSession.range(1, order + 2).withColumnRenamed("id", "__n")  # a few rows
+    bad = lengths.join(sums, "__n", "left").agg(F.count_if(F.coalesce(wrong, F.lit(True))).alias("__bad"))
+    legal = (F.col("__bad") == 0) & (F.col(value) > 0) & (F.col(value) <= 1)
+    checked = F.when(legal, F.col(value)).otherwise(F.raise_error(F.lit("tuples are missing or no probabilities")).cast("double"))
+    return tuples.join(F.broadcast(bad)).withColumn(value, checked).select(*tuples.columns)
+
+
 def averaged_strands(tuples: DataFrame, value: str = "prob") -> DataFrame:
     """Tuples with the mean of their own and their reverse complement's value."""
     other = tuples.select(revcomp(F.col("tuple")).alias("tuple"), F.col(value).alias("__other"))

@@ -476,12 +476,6 @@ def dinuc_shuffle(spark, sf_dir):
     return shuffling.shuffled(sequences(spark, sf_dir), seed=1)
 
 
-@_query()
-def pair_similarity_edges(spark, sf_dir):
-    """Edges between enriched words within the distance threshold."""
-    return seeds.similarity_edges(seeds.stored(seeds.numbered(enriched(spark, sf_dir))).select("id", "word"))
-
-
 @_query(f"WITH {_windows(2, known=False)}, p AS (SELECT seq_id, word, count(*) AS n FROM wins GROUP BY ALL), e AS (SELECT seq_id, coalesce(left(seq, 1), '') AS first, coalesce(right(seq, 1), '') AS last, length(seq) AS n FROM seqs) SELECT e.seq_id, e.n::INT AS letters, e.first, e.last, coalesce(string_agg(p.word || p.n, ',' ORDER BY p.word), '') AS pairs FROM e LEFT JOIN p ON e.seq_id = p.seq_id GROUP BY ALL")
 def dinuc_shuffle_pairs(spark, sf_dir):
     """What a shuffle keeps of each sequence: its length, ends and pair counts (the SQL reads them from the sequences as they were)."""

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandloom.functions.sequences import normalised
+from strandloom.operators.ordered import running_totals
 
 SCHEMA = "seq_id long, name string, info string, seq string"
 
@@ -30,32 +30,6 @@ def parse_records(lines: Iterator[str]) -> Iterator[tuple[int, str, str, str]]:
         yield number, name, info, "".join(body)
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(self.path)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value) as lines:
-            yield from parse_records(lines)
-
-
-class FastaSource(DataSource):
-    """``spark.read.format("fasta").load(path)``: one local file in file order, for small inputs."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "fasta"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
-
-
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """name, info, seq, file and offset-ordered records of FASTA files of any size.
 
@@ -88,15 +62,32 @@ def first_of_each_name(seqs: DataFrame) -> DataFrame:
 
 
 def weighted(seqs: DataFrame) -> DataFrame:
-    """Sequences with ``weight`` from a record named WEIGHTS (numbers in file order), one where it has none."""
+    """Sequences with ``weight`` from a record named WEIGHTS (numbers in file order), one where it has none.
+
+    Sequences are numbered in range partitions that are shifted by those before them."""
     numbers = F.split(F.trim(F.regexp_replace("info", r"^\S+", "")), r"\s+")
     rows = seqs.where("name = 'WEIGHTS'").select(F.posexplode(numbers).alias("place", "w")).select("place", F.col("w").cast("double").alias("w"))
-    rest = seqs.where("name != 'WEIGHTS'")
-    # File order is only known within a scan; the sequences of a WEIGHTS file are few.
-    placed = rest.withColumn("place", F.row_number().over(Window.orderBy("seq_id")) - 1)
+    rest = seqs.where("name is distinct from 'WEIGHTS'")
+    placed = running_totals(rest.withColumn("__one", F.lit(1)), "seq_id", ["__one"]).withColumn("place", F.col("upto___one") - 1)
     weight = F.coalesce("w", F.lit(1.0))
     legal = F.when((weight > 0) & (weight <= 1), weight).otherwise(F.raise_error(F.lit("weights lie in (0, 1]")).cast("double"))
-    return placed.join(rows, "place", "left").withColumn("weight", legal).drop("place", "w")
+    return placed.join(rows, "place", "left").withColumn("weight", legal).select(*seqs.columns, "weight")
+
+
+def sampled(seqs: DataFrame, share: float, seed: int = 0, key: str = "seq_id") -> DataFrame:
+    """Each sequence with probability ``share``, decided by a hash of (seed, key), so that runs agree."""
+    return seqs.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def load(seqs: DataFrame, letters: str | None = None, share: float = 1.0, seed: int = 0) -> DataFrame:
+    """A data set of FASTA records: weights, letters checked, the first record of each name, a sample.
+
+    An empty sequence is an error."""
+    rows = weighted(seqs)
+    rows = checked(rows, letters) if letters else rows
+    rows = first_of_each_name(rows)
+    rows = sampled(rows, share, seed) if share < 1 else rows
+    return rows.withColumn("seq", F.when(F.length("seq") > 0, F.col("seq")).otherwise(F.raise_error(F.concat(F.lit("empty sequence "), F.col("name"))).cast("string")))
 
 
 def read_swissprot(spark: SparkSession, path: str) -> DataFrame:
@@ -118,3 +109,11 @@ def fasta_text(seqs: DataFrame, width: int = 60) -> DataFrame:
 def write_fasta(seqs: DataFrame, path: str, width: int = 60) -> None:
     """A folder of FASTA parts, one for each partition."""
     fasta_text(seqs, width).write.mode("overwrite").text(path)
+
+
+def write_masked(positive: DataFrame, negative: DataFrame, folder: str, width: int = 0) -> None:
+    """Both sets as FASTA folders under ``folder``, sequences named by their number (unwrapped if ``width`` is 0)."""
+    for name, seqs in (("positive", positive), ("negative", negative)):
+        named = seqs.select(F.concat(F.lit(">sequence"), F.col("seq_id") + 1, F.lit("\n"), F.col("seq")).alias("value"))
+        rows = named if not width else fasta_text(seqs.select(F.concat(F.lit("sequence"), F.col("seq_id") + 1).alias("name"), F.lit(None).cast("string").alias("info"), "seq"), width)
+        rows.write.mode("overwrite").text(f"{folder}/{name}")

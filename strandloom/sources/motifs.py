@@ -115,7 +115,67 @@ def logo_heights(pfm: DataFrame, keys: list[str]) -> DataFrame:
 
 def read_aligned_sites(spark: SparkSession, path: str, motif: int) -> DataFrame:
     """place, site of motif number ``motif``: its rows up to the line with ``*``."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     block = F.regexp_extract("value", rf"(?s)Motif {motif}\s*\n(.*?)\n[^\n]*\*", 1)
     lines = F.filter(F.split(block, r"\n"), lambda x: F.trim(x) != "")
     return rows.select(F.posexplode(lines).alias("place", "line")).select("place", F.split(F.trim("line"), r"\s+")[0].alias("site"))
+
+
+#: Letter frequencies of a large database of sequences, in the order A, C, G, T and of the amino acids' letters.
+DATABASE_DNA = {"A": 0.281774, "C": 0.222020, "G": 0.228876, "T": 0.267330}
+DATABASE_PROTEIN = {
+    "A": 0.073164, "C": 0.018163, "D": 0.051739, "E": 0.062340, "F": 0.040283, "G": 0.069328, "H": 0.022428, "I": 0.056282, "K": 0.058493, "L": 0.091712,
+    "M": 0.023067, "N": 0.046077, "P": 0.050674, "Q": 0.040755, "R": 0.051897, "S": 0.073802, "T": 0.059411, "V": 0.064362, "W": 0.013341, "Y": 0.032682,
+}
+
+
+def built_in_background(spark: SparkSession, name: str = "uniform", letters: str = LETTERS) -> DataFrame:
+    """letter and p: ``uniform`` over ``letters``, or the ``database`` frequencies of DNA or protein letters."""
+    if name == "uniform":
+        table = dict.fromkeys(letters, 1 / len(letters))
+    else:
+        table = DATABASE_DNA if letters == LETTERS else DATABASE_PROTEIN
+    return spark.createDataFrame(list(table.items()), "letter string, p double")
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """line, place, token: the words of every line."""
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("tokens"))
+    return rows.select("line", F.posexplode("tokens").alias("place", "token"))
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """row and values (array of double) of a file of numbers; blank lines and lines of ``#`` are left out; other text is an error."""
+    rows = spark.read.text(path).where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double")).alias("values"))
+
+
+def read_log_odds(spark: SparkSession, path: str) -> DataFrame:
+    """motif, w, pos, A, C, G, T of a log-odds file: blocks of a heading with ``w=`` and rows of four scores."""
+    rows = spark.read.option("lineSep", "log-odds matrix:").text(path).where(F.contains("value", F.lit("w=")))
+    lines = F.filter(F.split("value", r"\n"), lambda x: F.trim(x) != "")
+    head = F.get(lines, F.lit(0))
+    parts = rows.select(F.monotonically_increasing_id().alias("motif"), F.regexp_extract(head, r"w=\s*(\d+)", 1).cast("int").alias("w"), F.posexplode(F.slice(lines, 2, 1 << 20)).alias("pos", "line"))
+    values = F.transform(F.split(F.trim("line"), r"\s+"), lambda x: x.cast("double"))
+    return parts.where(F.col("pos") < F.col("w")).select("motif", "w", "pos", *(values[k].alias(x) for k, x in enumerate(LETTERS)))
+
+
+def checked_background(background: DataFrame) -> DataFrame:
+    """tuple and p; an error where p is not in (0, 1]."""
+    legal = F.when((F.col("p") > 0) & (F.col("p") <= 1), F.col("p")).otherwise(F.raise_error(F.concat(F.lit("no probability: "), F.col("tuple"))).cast("double"))
+    return background.withColumn("p", legal)
+
+
+def write_motif_file(pfm: DataFrame, path: str, background: dict[str, float] | None = None) -> None:
+    """One text file: the header and a block for each motif (a motif is a few lines, so one task writes them)."""
+    given = "uniform background" if background is None else "given background"
+    q = background or dict.fromkeys(LETTERS, 0.25)
+    head = MOTIF_FILE_HEADER.split("Background")[0] + f"Background letter frequencies (from {given}):\n" + " ".join(f"{x} {q[x]:.5f}" for x in LETTERS) + "\n"
+    blocks = motif_block_text(pfm).select(F.lit(1).alias("part"), "motif", "value")
+    top = pfm.sparkSession.createDataFrame([(0, "", head)], "part int, motif string, value string")
+    top.unionByName(blocks).coalesce(1).sortWithinPartitions("part", F.length("motif"), "motif").select("value").write.mode("overwrite").text(path)
+
+
+def indexed_clusters(words: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Words (with ``id``) by clusters that name them by id (cluster, place, id)."""
+    return clusters.select("cluster", "place", "id").join(words, "id")

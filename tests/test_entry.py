@@ -18,8 +18,9 @@ def canonical_rows(rows, columns):
 
 
 def names():
-    from strandloom import queries
+    from strandloom import matrix_queries, queries
 
+    assert matrix_queries
     return sorted(queries.ORACLE_SQL)
 
 
@@ -27,7 +28,9 @@ def names():
 def test_query_matches_its_sql(spark, data_dir, name):
     import duckdb
 
-    from strandloom import queries
+    from strandloom import matrix_queries, queries
+
+    assert matrix_queries
 
     connection = duckdb.connect()
     for table in TABLES:

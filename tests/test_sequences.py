@@ -173,8 +173,6 @@ def test_fasta(spark, tmp_path):
     want = [("one", "one first  record", "ACGTACGT"), ("two", "two", "acgu"), ("one", "one again", "NNNAC")]
     seqs = fasta.read_fasta(spark, path)
     assert [(r["name"], r["info"], r["seq"]) for r in seqs.orderBy("seq_id").collect()] == want
-    spark.dataSource.register(fasta.FastaSource)
-    assert [tuple(r)[1:] for r in spark.read.format("fasta").load(path).orderBy("seq_id").collect()] == want
     assert {r["name"]: r["seq"] for r in fasta.first_of_each_name(seqs).collect()} == {"one": "ACGTACGT", "two": "acgu"}
     assert [r["seq"] for r in fasta.unambiguous(seqs).orderBy("seq_id").collect()] == ["ACGTACGT", "ACGT", "NNNAC"]
     fasta.write_fasta(seqs, str(tmp_path / "out"), 3)
