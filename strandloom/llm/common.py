@@ -21,7 +21,9 @@ from strandloom.storage import saved, shared_dir
 __all__ = ["attach", "ascii_lower", "saved", "shared_dir"]
 
 #: Text bytes handled by one numpy pass; one longer text is still taken whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Rows of one Arrow batch of texts: Spark and a Python worker both hold a batch whole.
+BATCH_ROWS = 2000
 #: At most this many hot keys are broadcast by ``attach``.
 HOT_KEYS = 1000
 
@@ -33,6 +35,14 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the rows of the session's Arrow batches by ``BATCH_ROWS`` (a lower bound stays)."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def attach(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
     """Left join ``table`` (one row per ``key``) to ``rows``, safe for hot keys.
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import attach, lower_bytes, saved, shuffle_parts, slices, text_bytes
+from strandloom.llm.common import attach, in_small_batches, lower_bytes, saved, shuffle_parts, slices, text_bytes
 
 #: Dropped rows up to which their keys are broadcast (48 bytes each).
 BROADCAST_ROWS = 200_000
@@ -57,7 +57,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, SHA-256 of the text with A-Z lower-cased, and its length in bytes."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_digest, _DIGESTED)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_digest, _DIGESTED)
 
 
 def collapsed(runs: list[pa.RecordBatch], keep: str) -> pa.RecordBatch | None:

@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import segment_sum, slices, split_words, text_bytes
+from strandloom.llm.common import in_small_batches, segment_sum, slices, split_words, text_bytes
 
+#: Text bytes of one pass; statistics take some hundred bytes of memory for each.
+PASS_BYTES = 1 << 20
 #: Words of one repeated window.
 WINDOW = 3
 #: Character classes of the transition shares: white space, letters (all of beyond ASCII counts as such), digits, marks of ordinary prose, other symbols.
@@ -96,9 +98,8 @@ def transitions(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return np.zeros((count, kinds * kinds), np.int64)
     own = _CLASS[data]
     pair = own[:-1] * np.uint8(kinds) + own[1:]
-    owner = np.repeat(np.arange(count), np.diff(offsets))
-    inside = owner[:-1] == owner[1:]
-    return np.bincount(owner[:-1][inside] * kinds**2 + pair[inside], minlength=count * kinds**2).reshape(count, kinds**2)
+    ends = np.maximum(offsets - 1, 0)  # the last byte of a text has no follower in it
+    return np.array([np.bincount(pair[a : max(a, b)], minlength=kinds**2) for a, b in zip(offsets[:-1].tolist(), ends[1:].tolist(), strict=True)], np.int64).reshape(count, kinds**2)
 
 
 def statistics(text: pa.Array) -> dict[str, np.ndarray]:
@@ -150,7 +151,7 @@ def ratios(s: dict[str, np.ndarray]) -> np.ndarray:
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for piece in slices(batch):
+        for piece in slices(batch, size=PASS_BYTES):
             x = ratios(statistics(piece.column(1)))
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
@@ -170,7 +171,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    rows = joined.mapInArrow(_labelled, "doc_id long, label int, x array<double>").dropDuplicates(["doc_id"])
+    rows = in_small_batches(joined).mapInArrow(_labelled, "doc_id long, label int, x array<double>").dropDuplicates(["doc_id"])
     table = rows.orderBy("doc_id").toArrow()
     if not table.num_rows:
         return np.zeros((0, len(RATIOS))), np.zeros(0, np.int64)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import attach, lower_bytes, mix, saved, slices, split_words, text_bytes
+from strandloom.llm.common import attach, in_small_batches, lower_bytes, mix, saved, slices, split_words, text_bytes
 from strandloom.llm.components import components
 
 #: Counters of the frequency sketch (a power of two) and of one block of it.
@@ -315,7 +315,7 @@ def class_links(texts: DataFrame, classes: DataFrame, ranks: np.ndarray, k: int,
 def _joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, mark (a hash of the text), n, component (a class key; null without a set) and component_id for every row."""
     text = F.col("text").cast("string")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    texts = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     first = saved(texts.mapInArrow(_first_pass(k, percent), _SLIM))
     slim = first.where(F.col("block").isNull()).select("doc_id", "mark", "n", "key", "label")
     classes = slim.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("label").alias("label"))

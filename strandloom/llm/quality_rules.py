@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import slices
-from strandloom.llm.features import RATIOS, ratios, statistics, training_sample
+from strandloom.llm.common import in_small_batches, slices
+from strandloom.llm.features import PASS_BYTES, RATIOS, ratios, statistics, training_sample
 
 #: Bound of the labelled rows that training reads.
 MAX_LABELLED = 20_000
@@ -117,7 +117,7 @@ def judge(docs: DataFrame, forest: Forest) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, size=PASS_BYTES):
                 s = statistics(piece.column(1))
                 failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEAT_PERCENT * s["n_words"])
                 p = forest.probability(ratios(s))
@@ -129,4 +129,4 @@ def judge(docs: DataFrame, forest: Forest) -> DataFrame:
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean")
+    return in_small_batches(rows).mapInArrow(run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean")

@@ -40,12 +40,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import saved, shuffle_parts, slices, text_bytes
+from strandloom.llm.common import in_small_batches, saved, shuffle_parts, slices, text_bytes
 
 #: Words that are folded ahead and broadcast, at most, their bytes, and the occurrences that make one worth it.
 FREQUENT, FREQUENT_BYTES, WORTH = 1 << 20, 64 << 20, 4
 #: Distinct words that a counting task holds before it sends them on, and rows of one batch.
 HELD, ROWS = 1 << 17, 1 << 16
+#: Text bytes of one pass; each looks up its words among all frequent ones.
+PASS_BYTES = 3 << 20
 #: Borders that one fold can hold, and the bits of an id.
 LONGEST, NO_PIECE = 62, (1 << 20) - 1
 #: Rank of edges that merge nothing.
@@ -216,7 +218,7 @@ def _count(shared):
             return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, size=PASS_BYTES):
                 counted = cut_words(piece.column(0), vocabulary.inside)[0].value_counts()
                 if not len(counted):
                     continue
@@ -374,7 +376,7 @@ def _code(shared, frequent):
             return ids
 
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, size=PASS_BYTES):
                 words, bounds = cut_words(piece.column(2), vocabulary.inside)
                 coded = words.dictionary_encode()
                 at, known = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
@@ -487,7 +489,7 @@ def _ramp(length: np.ndarray) -> np.ndarray:
 
 def _encode(docs: DataFrame, vocabulary: Vocabulary, limit: int, finish, schema: str) -> DataFrame:
     context = docs.sparkSession.sparkContext
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = in_small_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shared = context.broadcast(vocabulary)
     frequent = context.broadcast(_to_ipc(*frequent_words(texts, vocabulary, shared, limit)))
     # All rows of a text meet at this one exchange; folding and gathering keep its partitioning.

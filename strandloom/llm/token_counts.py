@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import saved
+from strandloom.llm.common import in_small_batches, saved
 
 #: Lengths of one block of the histogram.
 BLOCK = 256
@@ -77,7 +77,7 @@ def encoded_lengths(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64())], names=["doc_id", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long")
+    return in_small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
