@@ -102,6 +102,18 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_read(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rn, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS grams FROM d),
+c AS (SELECT grams, min(doc_id) AS rep, len(grams) AS n, row_number() OVER () AS class FROM s WHERE len(grams) > 0 GROUP BY grams),
+g AS (SELECT class, n, unnest(grams) AS gram FROM c),
+links AS (SELECT a.class AS x, b.class AS y FROM g a JOIN g b ON a.gram = b.gram AND a.class <> b.class AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT class AS x, class AS y FROM c UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+least AS (SELECT r.x AS class, min(c.rep) AS component_id FROM reach r JOIN c ON c.class = r.y GROUP BY r.x)
+SELECT s.doc_id, len(s.grams)::BIGINT AS n_shingles, coalesce(l.component_id, s.doc_id) AS component_id FROM s LEFT JOIN c ON s.grams = c.grams LEFT JOIN least l ON l.class = c.class
+"""
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_read(spark, sf_dir, "documents"))
 
@@ -138,4 +150,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_url_filters, op2_quality_classifier, op3_quality_rules, op4_token_counts, op5_exact_dedup, op6_sentencepiece, op7_mixing, op8_ngram_join, op9_license_scan, op10_secret_scan)
 }
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op7_mixing": OP7_SQL, "op9_license_scan": OP9_SQL}
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op7_mixing": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_license_scan": OP9_SQL}
