@@ -192,3 +192,29 @@ def test_url_filters_of_very_long_hosts_and_paths(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     assert sorted(map(tuple, url_filters.judge(pages, rules).collect())) == [(k, *expected_verdict(u)) for k, u in enumerate(urls)]
+
+
+def test_very_long_texts_in_dedup_and_mixing(spark):
+    texts = [(k, unit * (2_000_000 // len(unit)), "s") for k, unit in enumerate((" ", "\n", "x", "#", "word ", "WORD "))]
+    made = spark.createDataFrame(texts, "doc_id long, text string, source string").repartition(3)
+    kept = {r["doc_id"]: (r["kept"], r["group_size"]) for r in exact_dedup.duplicates(made).collect()}
+    assert kept[4] == (False, 2) and kept[5] == (True, 2) and kept[0] == (True, 1)
+    check_mix(made, texts, lambda own: max(r["size"] for r in own) + 1)
+
+
+def test_suffix_sums_against_sql(table):
+    import duckdb
+
+    from strandloom.llm.registry import BYTE_PATTERN, VOCABULARIES
+
+    docs = table("documents")
+    ranks = Path(VOCABULARIES / "byte_bpe_50k.tiktoken").read_bytes()
+    lengths = token_counts.encoded_lengths(docs, ranks, BYTE_PATTERN).toPandas()
+    assert len(lengths)
+    want = duckdb.sql("""WITH h AS (SELECT n_tokens, count(*) AS docs FROM lengths GROUP BY 1) SELECT n_tokens, docs,
+        coalesce(sum(docs) OVER later, 0)::BIGINT AS docs_over, coalesce(sum(docs * n_tokens) OVER later, 0)::BIGINT AS tokens_over, (sum(docs * n_tokens) OVER ())::BIGINT AS total_tokens,
+        (sum(docs * n_tokens) OVER () - coalesce(sum(docs * n_tokens) OVER later, 0) + coalesce(sum(docs) OVER later, 0) * n_tokens)::BIGINT AS truncated_tokens
+        FROM h WINDOW later AS (ORDER BY n_tokens DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""").fetchall()
+    spark = docs.sparkSession
+    sums = token_counts.suffix_sums(token_counts.length_histogram(spark.createDataFrame(lengths)))
+    assert sorted(tuple(r)[:6] for r in sums.collect()) == sorted(want)

@@ -368,3 +368,63 @@ def test_pipeline_stages(spark, data_dir):
     last = corpus_pipeline.run(spark, data_dir)
     assert Counter(r["doc_id"] for r in last.collect()) == mixed
     assert last.where(F.size("ids") != F.col("n_tokens")).isEmpty()
+
+
+def test_pipeline_against_brute_force(spark, data_dir):
+    import corpus_pipeline
+    import sentencepiece
+
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    rows = {r["doc_id"]: r["text"] for r in stages["quality_classifier"](spark, docs, data_dir).collect()}
+    model = quality_classifier.train(docs, spark.read.parquet(f"{data_dir}/labels.parquet"))
+    assert set(rows) == {r["doc_id"] for r in docs.collect() if model.score(features.ratios(features.statistics(pa.array([r["text"]]))))[0] >= quality_classifier.CUT}
+    groups = defaultdict(list)
+    for i, t in rows.items():
+        groups[t.translate(LOWER)].append(i)
+    rows = {max(ids): rows[max(ids)] for ids in groups.values()}
+    kept = {c for _, _, c in brute_components(list(rows.items()), 5, 80)}
+    left = docs.where(F.col("doc_id").isin(sorted(kept)))
+    mixed = Counter(r["doc_id"] for r in stages["mixing"](spark, left, data_dir).collect())
+    library = sentencepiece.SentencePieceProcessor(model_file=str(VOCABULARIES / "piece_bpe_32k.model"))
+    want = Counter((i, tuple(library.encode(rows[i]))) for i, n in mixed.items() for _ in range(n))
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, data_dir).collect()) == want
+
+
+def test_pipeline_of_odd_tables(spark, docs, no_docs, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 17)], "doc_id long, quality int, toxic int")
+    for name, frame, most in (("odd", docs, 3 * len(TEXTS)), ("none", no_docs, 0)):
+        folder = str(tmp_path / name)
+        frame.write.parquet(f"{folder}/documents.parquet")
+        labels.limit(len(TEXTS) if most else 0).write.parquet(f"{folder}/labels.parquet")
+        assert corpus_pipeline.run(spark, folder).count() <= most
+    taught = spark.createDataFrame([], labels.schema)
+    taught.write.parquet(f"{tmp_path}/bare/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/bare/documents.parquet")
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/bare").collect()} >= {None, 6, 8, 10}
+
+
+LONG = [(k, unit * (300_000 // len(unit))) for k, unit in enumerate((" ", "\n", "x", "#", "word ", "the same line\n", "password = aB3!x; ", "MIT license. "))]
+
+
+def test_very_long_texts(spark):
+    made = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in LONG], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (4, 0), (5, 1)], "doc_id long, quality int")
+    assert quality_classifier.score(made, quality_classifier.train(made, labels)).count() == len(LONG)
+    check_rules(quality_rules.judge(made, quality_rules.train(made, labels)).collect(), dict(LONG))
+    assert Counter(tuple(r) for r in ngram_join.join(made, 3, 90).collect()) == brute_components(LONG, 3, 90)
+    assert {r["doc_id"]: r["n_base"] for r in license_scan.scan(made).collect()}[7] == 300_000 // len("MIT license. ")
+    short = made.where("doc_id = 6").withColumn("text", F.left("text", F.lit(3600))).unionByName(made.where("doc_id < 5"))
+    assert secret_scan.scan(short).where("doc_id = 6").count() == 3600 // len("password = aB3!x; ")
+
+
+def test_very_long_texts_in_pieces(spark):
+    import sentencepiece
+
+    path = str(VOCABULARIES / "piece_bpe_32k.model")
+    library, vocabulary = sentencepiece.SentencePieceProcessor(model_file=path), lattice.Vocabulary.load(path)
+    texts = [(k, t[:200_000]) for k, t in LONG]
+    made = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["ids"] for r in lattice.encode(made, vocabulary).collect()} == {k: library.encode(t) for k, t in texts}
