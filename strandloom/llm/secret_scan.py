@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import attach, saved
@@ -52,6 +52,8 @@ PREFIXED = rf"(?<!{KEY}){FIXED}(?!{KEY})"
 MIN_LETTERS, MIN_COUNT = 4, 5
 #: Characters of context kept on either side.
 BEFORE, AFTER = 40, 20
+#: Neighbouring matches that context is put together from.
+NEIGHBOURS = 7
 FEATURES = ["length", "letter_digit", "case_change", "digit_share", "upper_share", "hex", "distinct_share", "covered", "secret_word", "harmless_word", "assigned", "quoted", "fixed", "symbols", "word_before", "word_after", "harmless_path"]
 #: A finding at or above this probability is a secret.
 CUT = 0.5
@@ -60,33 +62,46 @@ MAX_FINDINGS = 20_000
 
 
 def _findings(pattern: str) -> Column:
-    """An array of (start, found, before, after), one for each match of ``pattern`` in ``text``."""
-    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    between = F.transform(F.split("text", pattern, -1), lambda p: F.length(p))
-    # The i-th piece of the split stands before the i-th match.
-    sizes = F.arrays_zip(found.alias("found"), between.alias("between"))
-    placed = F.aggregate(
-        F.filter(sizes, lambda x: x["found"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,found:string>>").alias("all")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["between"] + F.length(x["found"])).alias("at"), F.concat(acc["all"], F.array(F.struct((acc["at"] + x["between"]).alias("start"), x["found"].alias("found")))).alias("all")
-        ),
-        lambda acc: acc["all"],
-    )
-    return F.when(F.col("text").rlike(NAMED if pattern == VALUE else pattern), placed).otherwise(F.array().cast("array<struct<start:int,found:string>>"))
+    """An array of (found, gap, before, after), one for each match of ``pattern`` in ``text``.
+
+    ``gap`` is the number of characters since the match before.  Context is put together from
+    the neighbouring matches and what lies between them, so that a text of many matches
+    costs no more for each; ``NEIGHBOURS`` of them are long enough, as a match stands at least
+    six characters after the one before."""
+    found, between = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.split("text", pattern, -1)  # the i-th piece stands before the i-th match
+
+    def around(zipped: Column, i: Column) -> Column:
+        def part(field: str, k: Column) -> Column:
+            return F.coalesce(F.when(k >= 0, F.get(zipped, k)[field]), F.lit(""))
+
+        back = [x for k in range(NEIGHBOURS, 0, -1) for x in (part("between", i - k), part("found", i - k))]
+        ahead = [x for k in range(1, NEIGHBOURS + 1) for x in (part("between", i + k), part("found", i + k))]
+        own = F.get(zipped, i)
+        before, after = F.concat(*back, own["between"]), F.concat(*ahead)
+        return F.struct(own["found"].alias("found"), F.length(own["between"]).alias("gap"), F.right(before, F.lit(BEFORE)).alias("before"), F.left(after, F.lit(AFTER)).alias("after"))
+
+    def placed(zipped: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(zipped) - 2), lambda i: around(zipped, i))
+
+    # One element: the arrays are made once and bound to a name for all indices.
+    both = F.array(F.arrays_zip(found.alias("found"), between.alias("between")))
+    every = F.flatten(F.transform(both, placed))
+    return F.when(F.col("text").rlike(NAMED if pattern == VALUE else pattern) & (F.size(found) > 0), every).otherwise(F.array().cast("array<struct<found:string,gap:int,before:string,after:string>>"))
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """doc_id, path, start (characters from 0), candidate, before, after: a row for each candidate."""
+    """doc_id, path, start (characters from 0), candidate, before, after: a row for each candidate.
+
+    Places are running sums over a text's matches, which meet in one task; texts don't travel."""
     text = F.col("text").cast("string")
-    texts = docs.where(text.rlike(CANDIDATE) | text.rlike(NAMED) | text.rlike(PREFIXED)).select("doc_id", F.col(path).cast("string").alias("path"), text.alias("text"))
+    texts = docs.where(text.rlike(CANDIDATE) | text.rlike(NAMED) | text.rlike(PREFIXED)).select("doc_id", F.col(path).cast("string").alias("path"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
+    lists = F.array(*map(_findings, (CANDIDATE, VALUE, PREFIXED)))
+    each = texts.select("row", "doc_id", "path", F.posexplode(lists).alias("kind", "c")).select("row", "doc_id", "path", "kind", F.posexplode("c").alias("pos", "c"))
+    upto = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.sum(F.col("c.gap").cast("long") + F.length("c.found")).over(upto) - F.length("c.found")
+    rows = each.select("row", "doc_id", "path", start.alias("start"), F.col("c.found").alias("candidate"), F.col("c.before").alias("before"), F.col("c.after").alias("after"))
     # What two patterns find at the same place is one candidate.
-    every = F.array_distinct(F.concat(*map(_findings, (CANDIDATE, VALUE, PREFIXED))))
-    start, end = F.col("c.start"), F.col("c.start") + F.length("c.found")
-    begin = F.greatest(start - BEFORE, F.lit(0))
-    return texts.withColumn("c", F.explode(every)).select(
-        "doc_id", "path", start.cast("long").alias("start"), F.col("c.found").alias("candidate"), F.substring("text", begin + 1, start - begin).alias("before"), F.substring("text", end + 1, F.lit(AFTER)).alias("after")
-    )
+    return rows.dropDuplicates(["row", "start", "candidate"]).drop("row")
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
