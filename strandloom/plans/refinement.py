@@ -187,3 +187,23 @@ def motif_table(spark, motifs: list[Motif]) -> DataFrame:
     """Found motifs as rows for the motif file writer: motif, alt, nsites, log_evalue, pos, A, C, G, T."""
     rows = [(f"M{k}", f"O{k}", m.erased[0] if m.erased else m.sites, float(m.log_evalue), pos, *map(float, row)) for k, m in enumerate(motifs, 1) for pos, row in enumerate(m.model.theta)]
     return spark.createDataFrame(rows, "motif string, alt string, nsites long, log_evalue double, pos int, A double, C double, G double, T double")
+
+
+def start_models(words: DataFrame, background_: np.ndarray, rate: float, own: float = 0.7, word: str = "word") -> list[em.Model]:
+    """A starting model for each of a few distinct ``words``: its letters have probability ``own``, an N's are the background's."""
+    out = []
+    for r in words.select(word).where(F.length(word) > 0).distinct().orderBy(word).collect():
+        rows = [[own if x == y else (1 - own) / 3 for x in LETTERS] if y in LETTERS else list(background_) for y in r[0].upper()]
+        out.append(em.Model(r[0], np.array(rows), background_, rate))
+    return out
+
+
+def best_by_width(seqs: DataFrame, models: list[em.Model], **options) -> dict[int, Motif]:
+    """Of batch-fitted models, for each width the one of least log E-value (the first of equal ones)."""
+    fitted = em.batch_em(seqs, models, **options)
+    counts = site_counts(seqs, fitted)
+    best: dict[int, Motif] = {}
+    for model, sites, value in zip(fitted, counts, log_evalues(seqs, fitted, counts), strict=True):
+        if model.width not in best or value < best[model.width].log_evalue:
+            best[model.width] = Motif(model, sites, sites > 0, value)
+    return best

@@ -408,3 +408,19 @@ def test_alignment_scores(spark, seqs, texts, free_ends):
 
     got = {r["seq_id"]: r["score"] for r in alignment.alignment_scores(seqs, ODDS, 1.3, 0.4, free_ends).collect()}
     assert got == {k: pytest.approx(gotoh(t, ODDS, 1.3, 0.4, free_ends)) for k, t in enumerate(texts)}
+
+
+def test_best_start_of_each_width(spark):
+    rng = random.Random(7)
+    rows = []
+    for k in range(100):
+        text = [rng.choice("ACGT") for _ in range(80)]
+        text[30:42] = "CACTTTGCAGAC"
+        rows.append((k, "".join(text)))
+    seqs = spark.createDataFrame(rows, "seq_id long, seq string").repartition(3)
+    words = spark.createDataFrame([("CACTTTGCAG",), ("GGGGGGGGGG",), ("CACTTTGCAGAC",), ("CACTNTGCAGAC",), ("AAAAAAAAAAAA",)], "word string")
+    models = refinement.start_models(words, np.full(4, 0.25), 0.012)
+    assert [m.width for m in models] == [12, 12, 10, 12, 10] and np.allclose(models[1].theta[4], 0.25)
+    best = refinement.best_by_width(seqs, models, iterations=6)
+    assert set(best) == {10, 12} and best[12].model.name in ("CACTTTGCAGAC", "CACTNTGCAGAC") and best[10].model.name == "CACTTTGCAG"
+    assert all(m.log_evalue < -100 and m.sites >= 90 for m in best.values())
