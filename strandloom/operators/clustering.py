@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.sequences import IUPAC, revcomp
 from strandloom.operators.composition import LETTERS
+from strandloom.operators.ordered import running_totals
 
 #: Words of a block; blocks are compared with each other.
 BLOCK = 128
@@ -170,7 +171,8 @@ def clusters(words: DataFrame, edges: DataFrame, cut, threshold: float = 0.3, mi
         mean = F.round((F.col("wd") + missing * (pairs - F.col("w"))) / pairs, 9)
         now = cut(full.select("a", "b", mean.alias("d")).where(F.col("d") <= threshold))
     sizes = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    number = sizes.withColumn("number", F.row_number().over(Window.orderBy(F.desc("size"), "cluster")))  # one row for each cluster
+    ordered = sizes.withColumns({"__order": F.struct((-F.col("size")).alias("size"), "cluster"), "__one": F.lit(1)})
+    number = running_totals(ordered, "__order", ["__one"]).select("cluster", "size", F.col("upto___one").cast("int").alias("number"))
     within = Window.partitionBy("cluster").orderBy("step", "id")
     return member.withColumn("place", F.row_number().over(within)).join(number, "cluster").select("id", F.col("number").alias("cluster"), "place", "size")
 
