@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import exact_dedup, license_scan, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, sentencepiece_lattice, token_counts, url_filters
+from strandloom.llm import conversation_trie, exact_dedup, hard_negatives, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_lattice, token_counts, url_filters
 
 #: Folder of public vocabulary files.
 VOCABULARIES = Path("/opt/tokenizers")
@@ -146,8 +146,55 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "is_secret")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.ordered_turns(_read(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(*conversation_trie.with_shared_heads(turns, family=5, heads=9))
+
+
+#: crc32 bit by bit: a byte enters with the first of its eight steps.
+OP11_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, content) AS place, content, strlen(text) AS bytes FROM (SELECT *, sha256(strlen(role) || ':' || role || text) AS content FROM t)),
+n AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base, xor(list_reduce(flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+  lambda s, b: xor(xor(s, b) >> 1, (xor(s, b) & 1) * 3988292384), 4294967295::BIGINT), 4294967295) % 9 AS h FROM p GROUP BY conv_id),
+l AS (SELECT a.*, least(a.h, coalesce(b.n, 0)) AS taken FROM n a LEFT JOIN n b ON a.base = b.conv_id),
+r AS (SELECT l.conv_id, p.place AS depth, p.content, p.bytes FROM l JOIN p ON p.conv_id = l.base AND p.place <= l.taken UNION ALL
+  SELECT l.conv_id, p.place - l.h + l.taken, p.content, p.bytes FROM l JOIN p ON p.conv_id = l.conv_id AND p.place > l.h),
+q AS (SELECT conv_id, depth, bytes, string_agg(content, ',') OVER (PARTITION BY conv_id ORDER BY depth) AS seq FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM l),
+m AS (SELECT *, min(conv_id) OVER (PARTITION BY depth, seq) AS node, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM q),
+v AS (SELECT node, depth, any_value(bytes) AS bytes, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM m GROUP BY node, depth),
+up AS (SELECT v.node, v.depth, m.node AS parent FROM v LEFT JOIN m ON m.conv_id = v.node AND m.depth = v.depth - 1),
+kids AS (SELECT parent, depth - 1 AS depth, count(*) AS n_children FROM up GROUP BY ALL),
+w AS (SELECT v.*, up.parent, coalesce(n_children, 0) AS n_children FROM v JOIN up USING (node, depth) LEFT JOIN kids ON kids.parent = v.node AND kids.depth = v.depth),
+below AS (SELECT m.node, m.depth, count(*) FILTER (WHERE w.n_children = 0) AS n_leaves, sum((w.n_convs - 1) * w.bytes) AS saved_tokens FROM w JOIN m ON m.conv_id = w.node AND m.depth <= w.depth GROUP BY m.node, m.depth)
+SELECT w.node AS conv_id, w.depth::BIGINT AS depth, w.parent AS parent_conv_id, w.n_convs, w.n_children, b.n_leaves, b.saved_tokens::BIGINT AS saved_tokens, w.ends_sha256 FROM w JOIN below b USING (node, depth)
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(_read(spark, sf_dir, "embeddings"), every=100, n_positives=5, n_negatives=5, percent=80, scale=256)
+
+
+OP12_SQL = """
+WITH e AS (SELECT row_number() OVER () AS rn, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rn, a.vec_id AS anchor_id, b.vec_id, b.rn AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.rn <> b.rn),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY rn ORDER BY score DESC, vec_id, other) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER (PARTITION BY p.rn, p.other ORDER BY n.score DESC, n.vec_id, n.other))::INTEGER AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.rn = p.rn AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score QUALIFY rank <= 5
+"""
+
+
+#: Fixed value of the query: the token after each document.
+END_TOKEN = 2
+
+
+def op13_packing(spark: SparkSession, sf_dir: str, vocabularies: Path = VOCABULARIES) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), str(vocabularies / "word_bpe_49k.json"), END_TOKEN, capacity=4096)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filters, op2_quality_classifier, op3_quality_rules, op4_token_counts, op5_exact_dedup, op6_sentencepiece, op7_mixing, op8_ngram_join, op9_license_scan, op10_secret_scan)
+    for f in (op1_url_filters, op2_quality_classifier, op3_quality_rules, op4_token_counts, op5_exact_dedup, op6_sentencepiece, op7_mixing, op8_ngram_join, op9_license_scan, op10_secret_scan, op11_conversation_trie, op12_hard_negatives, op13_packing)
 }
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op7_mixing": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_license_scan": OP9_SQL}
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op7_mixing": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_license_scan": OP9_SQL, "op11_conversation_trie": OP11_SQL, "op12_hard_negatives": OP12_SQL}
