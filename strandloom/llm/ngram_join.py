@@ -2,11 +2,12 @@
 
 Documents with equal shingle sets form a class.  Tokens (shingle hashes) are ranked
 by an estimate of their frequency, rare ones first; two sets that are similar
-enough share at least ``SHARED`` tokens of their prefixes in that order (any order is
-right, a good one is fast).  Similar classes (equal minhashes and like sizes) are
+enough share a token of their prefixes in that order (any order is
+right, a good one is fast), and the first that they share stands early enough in both to leave room for
+their overlap.  Similar classes (equal minhashes and like sizes) are
 gathered in groups of bounded size, and the matrix holds which group has which prefix
-token.  Two groups meet only if the matrix gives them enough tokens in common; then
-each member is bounded by its overlap with the other group's token union, and only
+token, with its members' sizes and the room behind the token.  Two groups meet only where sizes and room
+allow a link; then each member is bounded by its overlap with the other group's token union, and only
 groups that qualify are opened.  Verified links are reduced to a spanning forest
 before they leave a task, so no group of copies becomes all its pairs.
 
@@ -31,17 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import attach, in_small_batches, lower_bytes, mix, saved, slices, split_words, text_bytes
+from strandloom.llm.common import attach, carried, lower_bytes, mix, saved, shuffle_parts, slices, split_words, text_bytes
 from strandloom.llm.components import components
 
 #: Counters of the frequency sketch (a power of two) and of one block of it.
 COUNTERS, BLOCK = 1 << 21, 1 << 16
-#: Prefix tokens that a linked pair shares (fewer if its sets are smaller).
-SHARED = 4
 #: Classes of one group and tokens of their sets, about.
 GROUP, GROUP_TOKENS = 64, 1 << 20
 #: Groups of one token that meet in one task; more frequent tokens are split.
 SPLIT = 1000
+#: Partners of one group that are verified in a row; a group of more goes to more tasks.
+PARTNERS = 64
 #: Tasks that add frequency sketches before the last sum.
 ADDERS = 64
 #: Candidate rows up to which their identifiers are broadcast (16 bytes each).
@@ -160,20 +161,20 @@ def _prefixes(k: int, percent: int, ranks):
         seen: set[int] = set()
         for batch in batches:
             for piece in slices(batch):
-                tokens, keys = [], []
+                tokens, keys, rooms = [], [], []
                 for s in shingle_sets(piece.column(0), k):
                     key = class_key(s) if len(s) else None
                     if key is None or key in seen:
                         continue
                     seen.add(key)
-                    least = least_overlap(len(s), percent)
-                    n = min(len(s), len(s) - least + min(SHARED, least))
+                    n = len(s) - least_overlap(len(s), percent) + 1
                     r = rank[(s & _U(COUNTERS - 1)).astype(np.int64)]
                     # The order is (rank, hash); sets are sorted by hash, and a stable sort keeps that.
                     tokens.append(s[np.argsort(r, kind="stable")[:n]].view(np.int64))
                     keys.append(np.full(n, key, np.int64))
+                    rooms.append(len(s) - np.arange(n, dtype=np.int32))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(keys))], names=["token", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, keys, rooms)], names=["token", "key", "room"])
 
     return run
 
@@ -246,76 +247,99 @@ def _incidence(sets: list[np.ndarray], tokens: np.ndarray) -> np.ndarray:
 
 
 def _verify(percent: int):
+    """Links of groups that stand before their partners; a row without ``partner`` opens a group."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sets = [], []
         for batch in batches:
             a, b = [], []
-            for one, two in zip(batch.column(0), batch.column(1), strict=True):
-                one, two = one.as_py(), two.as_py()
-                left = [np.frombuffer(m["tokens"], _U) for m in one]
-                right = None if two is None else [np.frombuffer(m["tokens"], _U) for m in two]
-                for i, j in linked_pairs(left, right, percent):
-                    a.append(one[i]["key"])
-                    b.append((one if two is None else two)[j]["key"])
+            for partner, inner, members in zip(batch.column("partner").to_pylist(), batch.column("inner").to_pylist(), batch.column("members"), strict=True):
+                others = members.as_py()
+                those, found = [m["key"] for m in others], [np.frombuffer(m["tokens"], _U) for m in others]
+                if partner is None:
+                    keys, sets = those, found
+                    links = linked_pairs(sets, None, percent) if inner else []
+                else:
+                    links = linked_pairs(sets, found, percent)
+                a += [keys[i] for i, _ in links]
+                b += [those[j] for _, j in links]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _meetings(matrix: DataFrame) -> DataFrame:
-    """token, g, h for all groups g <= h of a token.
+def may_link(percent: int):
+    """Whether the sizes of two groups' members, and the room behind their token, allow a link; columns of g begin with g, those of h with h."""
+    sizes = (F.col("gl") * percent <= F.col("hm") * 100) & (F.col("hl") * percent <= F.col("gm") * 100)
+    return (F.col("g") < F.col("h")) & sizes & (F.least("gr", "hr") * (100 + percent) >= (F.col("gl") + F.col("hl")) * percent)
+
+
+def _meetings(matrix: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of groups g < h that a token lets meet.
 
     A token of many groups is dealt over tasks: its left rows by a hash, its right rows to each."""
     crowded = saved(matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") > SPLIT))
-    left, right = matrix.withColumnRenamed("group", "g"), matrix.withColumnRenamed("group", "h")
+    left, right = (matrix.select("token", F.col("group").alias(x), F.col("least").alias(f"{x}l"), F.col("most").alias(f"{x}m"), F.col("room").alias(f"{x}r")) for x in "gh")
     if crowded.isEmpty():
-        return left.join(right, "token").where("g <= h")
+        return left.join(right, "token").where(may_link(percent)).select("g", "h").distinct()
     salts = crowded.select("token", F.ceil(F.col("groups") / SPLIT).cast("int").alias("salts"), "groups")
     left = attach(left, salts, "token", "groups").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("g"), "salts"), F.lit(0).cast("long")))
     right = attach(right, salts, "token", "groups").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("salts") - 1, F.lit(0)).cast("long"))))
-    return left.select("token", "salt", "g").join(right.select("token", "salt", "h"), ["token", "salt"]).where("g <= h").select("token", "g", "h")
+    return left.drop("salts", "groups").join(right.drop("salts", "groups"), ["token", "salt"]).where(may_link(percent)).select("g", "h").distinct()
+
+
+def _beside_partners(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """group, copy, partner, inner, members: each group's sets, and behind them those of its partners.
+
+    A group of many partners has copies, and its pairs are dealt over them at both ends,
+    so that neither a group's pairs nor its sets gather in one task."""
+    ends = pairs.select(F.explode(F.array("g", "h")).alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("partners"))
+    copies = saved(ends.select("group", "partners", F.ceil(F.col("partners") / PARTNERS).cast("long").alias("copies")))
+    for x, other in (("g", "h"), ("h", "g")):
+        table = copies.select(F.col("group").alias(x), "partners", F.col("copies").alias("n"))
+        pairs = attach(pairs, table, x, "partners").withColumn(f"{x}_copy", F.pmod(F.xxhash64(other), "n")).drop("partners", "n")
+    spread = blocks.join(copies.select("group", "copies"), "group", "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("copies") - 1, F.lit(0).cast("long")))))
+    spread = spread.select("group", "copy", "members")
+    there = spread.select(F.col("group").alias("h"), F.col("copy").alias("h_copy"), "members")
+    partners = pairs.join(there, ["h", "h_copy"]).select(F.col("g").alias("group"), F.col("g_copy").alias("copy"), F.col("h").alias("partner"), F.lit(False).alias("inner"), "members")
+    opened = spread.select("group", "copy", F.lit(None).cast("long").alias("partner"), ((F.col("copy") == 0) & (F.size("members") > 1)).alias("inner"), "members")
+    parts = shuffle_parts(blocks.sparkSession)
+    return opened.unionByName(partners).repartition(parts, "group", "copy").sortWithinPartitions("group", "copy", F.col("partner").isNotNull())
 
 
 def class_links(texts: DataFrame, classes: DataFrame, ranks: np.ndarray, k: int, percent: int) -> DataFrame:
     """Links (a, b) between class keys that connect all classes that similar pairs connect."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
-    prefixes = saved(texts.select("text").mapInArrow(_prefixes(k, percent, shared), "token long, key long"))
+    prefixes = saved(texts.select("text").mapInArrow(_prefixes(k, percent, shared), "token long, key long, room int"))
     ends = prefixes.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("rows"))
     shared_tokens = saved(ends.where("lo < hi").select("token", "rows"))
-    postings = saved(attach(prefixes, shared_tokens, "token", "rows").where(F.col("rows").isNotNull()).select("token", "key").distinct())
+    postings = saved(attach(prefixes, shared_tokens, "token", "rows").where(F.col("rows").isNotNull()).select("token", "key", "room").distinct())
 
     met = classes.join(postings.select("key").distinct(), "key")
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("n") / GROUP_TOKENS))
     crowd = saved(met.groupBy("label").agg(parts.alias("parts"), F.count(F.lit(1)).alias("rows")))
     member = attach(met.select("label", "key", "n", "rep"), crowd, "label", "rows").select("key", "n", "rep", F.xxhash64("label", F.pmod(F.xxhash64("key"), "parts")).alias("group"))
     member = saved(member)
-    need = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))
-    group = member.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min(need).alias("need"), F.count(F.lit(1)).alias("members"))
-    matrix = saved(postings.join(member, "key").select("token", "group").distinct())
-    counts = _meetings(matrix).groupBy("g", "h").agg(F.count(F.lit(1)).alias("common"))
-    one = group.select(F.col("group").alias("g"), F.col("least").alias("gl"), F.col("most").alias("gm"), F.col("need").alias("gn"), F.col("members").alias("gc"))
-    two = group.select(F.col("group").alias("h"), F.col("least").alias("hl"), F.col("most").alias("hm"), F.col("need").alias("hn"))
-    near = (F.col("gl") * percent <= F.col("hm") * 100) & (F.col("hl") * percent <= F.col("gm") * 100)
-    pairs = counts.join(one, "g").join(two, "h").where(near & (F.col("common") >= F.least("gn", "hn")) & ((F.col("g") != F.col("h")) | (F.col("gc") > 1)))
-    pairs = saved(pairs.select("g", "h"))
-
-    wanted = pairs.select(F.explode(F.array("g", "h")).alias("group")).distinct()
+    bounds = (F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room"))
+    matrix = saved(postings.join(member, "key").groupBy("token", "group").agg(*bounds))
+    pairs = saved(_meetings(matrix, percent))
+
+    crowds = member.groupBy("group").count().where("count > 1").select("group")
+    wanted = pairs.select(F.explode(F.array("g", "h")).alias("group")).unionByName(crowds).distinct()
     wanted = saved(member.join(wanted, "group"))
     ids = wanted.select(F.col("rep").alias("__rep")).distinct()
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
     found = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi").select("text").mapInArrow(_sets(k), "key long, tokens binary")
     sets = found.join(wanted.select("key", "group"), "key").groupBy("key").agg(F.first("group").alias("group"), F.first("tokens").alias("tokens"))
     blocks = saved(sets.groupBy("group").agg(F.collect_list(F.struct("key", "tokens")).alias("members")))
-    sides = pairs.join(blocks.select(F.col("group").alias("g"), F.col("members").alias("one")), "g")
-    within = sides.where("g = h").select("one", F.lit(None).cast(blocks.schema["members"].dataType).alias("two"))
-    across = sides.where("g != h").join(blocks.select(F.col("group").alias("h"), F.col("members").alias("two")), "h").select("one", "two")
-    return saved(within.unionByName(across).mapInArrow(_verify(percent), "a long, b long"))
+    return saved(_beside_partners(pairs, blocks).mapInArrow(_verify(percent), "a long, b long"))
 
 
 def _joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, mark (a hash of the text), n, component (a class key; null without a set) and component_id for every row."""
     text = F.col("text").cast("string")
-    texts = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     first = saved(texts.mapInArrow(_first_pass(k, percent), _SLIM))
     slim = first.where(F.col("block").isNull()).select("doc_id", "mark", "n", "key", "label")
     classes = slim.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("label").alias("label"))
@@ -352,13 +376,13 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     stays = pair == F.col("best")
     marked = saved(marked.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), stays.alias("stays")).count())
     gone, tied = (marked.where(which).select("__id", "__mark") for which in (~F.col("stays"), F.col("stays") & (F.col("count") > 1)))
-    coded = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__text": F.xxhash64(F.col("text").cast("string"))})
+    coded = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("hash"), carried(docs))
 
     def among(pairs: DataFrame, how: str) -> DataFrame:
         few = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
-        return coded.join(few, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__mark")), how)
+        return coded.join(few, F.col("doc").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__mark")), how)
 
     if tied.isEmpty():
-        return among(gone, "left_anti").select(*docs.columns)
-    one = among(tied, "left_semi").groupBy("__doc", "__text").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r"))
-    return among(gone.unionByName(tied), "left_anti").select(*docs.columns).unionByName(one.select("r.*"))
+        return among(gone, "left_anti").select("row.*")
+    one = among(tied, "left_semi").groupBy("doc", "hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return among(gone.unionByName(tied), "left_anti").select("row.*").unionByName(one.select("row.*"))
