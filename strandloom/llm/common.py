@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom import storage
 from strandloom.operators.packing import raw_letters, text_offsets
-from strandloom.storage import saved, shared_dir
+from strandloom.storage import shared_dir
 
 __all__ = ["attach", "ascii_lower", "saved", "shared_dir"]
 
@@ -35,12 +36,27 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after bounding the rows of the session's Arrow batches by ``BATCH_ROWS`` (a lower bound stays)."""
+def saved(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``storage.saved`` in Arrow batches of at most ``BATCH_ROWS`` rows; the session's own bound holds again afterwards."""
     name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+    before = conf.get(name)
+    if not 0 < int(before) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))
-    return df
+    try:
+        return storage.saved(df, by)
+    finally:
+        conf.set(name, before)
+
+
+def carried(docs: DataFrame):
+    """All columns of ``docs`` as one struct ``row``, so that none of their names can meet an operator's own."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row")
+
+
+def with_text(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch of ``carried`` rows with their ``text`` in front."""
+    rows = batch.column(batch.schema.get_field_index("row"))
+    return pa.RecordBatch.from_arrays([rows.field("text").cast(pa.string()), *batch.columns], names=["text", *batch.schema.names])
 
 
 def attach(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import attach, in_small_batches, lower_bytes, saved, shuffle_parts, slices, text_bytes
+from strandloom.llm.common import attach, carried, lower_bytes, saved, shuffle_parts, slices, text_bytes, with_text
 
 #: Dropped rows up to which their keys are broadcast (48 bytes each).
 BROADCAST_ROWS = 200_000
@@ -57,7 +57,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, SHA-256 of the text with A-Z lower-cased, and its length in bytes."""
-    return in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_digest, _DIGESTED)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_digest, _DIGESTED)
 
 
 def collapsed(runs: list[pa.RecordBatch], keep: str) -> pa.RecordBatch | None:
@@ -65,7 +65,8 @@ def collapsed(runs: list[pa.RecordBatch], keep: str) -> pa.RecordBatch | None:
     table = pa.Table.from_batches(runs)
     if not table.num_rows:
         return None
-    digest = np.frombuffer(b"".join(table.column("digest").to_pylist()), "S32")
+    digest = table.column("digest").cast(pa.binary(32)).combine_chunks()
+    digest = np.frombuffer(digest.buffers()[1], "S32")[digest.offset : digest.offset + len(digest)]
     n_bytes, row, size = (table.column(c).to_numpy() for c in ("n_bytes", "keep_row", "group_size"))
     known = table.column("keep_id").is_valid().to_numpy()
     ids = table.column("keep_id").fill_null(0).to_numpy()
@@ -149,10 +150,10 @@ def _key():
 
 
 def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in map(with_text, batches):
         for piece in slices(batch):
-            data, offsets = text_bytes(piece.column("text"))
-            yield piece.append_column("__digest", pa.array(_sha256(data, offsets), pa.binary()))
+            hashes = pa.array(_sha256(*text_bytes(piece.column(0))), pa.binary())
+            yield pa.RecordBatch.from_arrays([piece.column(1), hashes, piece.column(2)], names=["doc", "hash", "row"])
 
 
 def deduplicate(docs: DataFrame, keep: str = "largest", fan_in: int = 2) -> DataFrame:
@@ -167,15 +168,15 @@ def deduplicate(docs: DataFrame, keep: str = "largest", fan_in: int = 2) -> Data
     marked = saved(marked.where(F.col("group_size") > 1).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), stays.alias("stays")).count())
     gone = marked.where(~F.col("stays")).select("__id", "__d")
     tied = marked.where(F.col("stays") & (F.col("count") > 1)).select("__id", "__d")
-    kinds = T.StructType([*docs.schema.fields, T.StructField("__digest", T.BinaryType())])
-    coded = docs.mapInArrow(_with_digest, kinds)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), carried(docs))
+    kinds = T.StructType([T.StructField("doc", T.LongType()), T.StructField("hash", T.BinaryType()), rows.schema["row"]])
+    coded = rows.mapInArrow(_with_digest, kinds)
 
     def among(pairs: DataFrame, how: str) -> DataFrame:
         few = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
-        return coded.join(few, coded["doc_id"].cast("long").eqNullSafe(few["__id"]) & (coded["__digest"] == few["__d"]), how)
+        return coded.join(few, F.col("doc").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__d")), how)
 
     if tied.isEmpty():
-        return among(gone, "left_anti").select(*docs.columns)
-    row = F.struct(*(F.col(c) for c in docs.columns))
-    one = among(tied, "left_semi").groupBy(F.col("doc_id").alias("__id"), "__digest").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("r"))
-    return among(gone.unionByName(tied), "left_anti").select(*docs.columns).unionByName(one.select("r.*"))
+        return among(gone, "left_anti").select("row.*")
+    one = among(tied, "left_semi").groupBy("doc", "hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return among(gone.unionByName(tied), "left_anti").select("row.*").unionByName(one.select("row.*"))

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import saved
+from strandloom.llm.common import carried, saved
 from strandloom.operators.ordered import running_totals
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -153,8 +153,8 @@ def sample(docs: DataFrame, max_epochs: float = 3, seed: int = 0, weights=cyclic
 
     The plan has a row per source; documents themselves are not shuffled while it is small."""
     plan = _plan(saved(sizes(docs, seed)), max_epochs, weights).select("__source", F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
-    placed = ranked(docs.withColumn("__key", _key())).withColumn("__position", position(seed))
-    joined = placed.join(plan, placed["source"].eqNullSafe(plan["__source"]))
+    placed = ranked(docs.select(_key().alias("__key"), F.col("source").alias("__from"), carried(docs))).withColumn("__position", position(seed))
+    joined = placed.join(plan, F.col("__from").eqNullSafe(F.col("__source")))
     times = (F.col("__whole") + F.when(F.col("__position") < F.col("__cut"), 1).otherwise(0)).cast("int")
     taken = joined.withColumn("__times", times).where(F.col("__times") > 0)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("row.*")
