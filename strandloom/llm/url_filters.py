@@ -69,8 +69,12 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     key = F.concat_ws("\u0000", "host", "path").alias("__key")
     urls = saved(seen.groupBy("host", "path").count())
     full = _digest(F.concat("suffix", "prefix"))
-    hashed = expansions(urls, labels or [1], lengths or [0]).select("host", "path", "suffix", full.alias("digest"), F.substring(full, 1, PREFIX_DIGITS).alias("short"))
-    met = hashed.join(table, "short").where((F.col("digest") == F.col("rule_digest")) & (F.col("suffix") == F.col("rule_host")))
+    hashed = saved(expansions(urls, labels or [1], lengths or [0]).select("host", "path", "suffix", full.alias("digest")))
+    # Every url of a top-level domain has one expansion in common: each meets the rules once, and is handed back by weight.
+    keys = hashed.groupBy("digest").agg(F.first("suffix").alias("suffix"), F.count(F.lit(1)).alias("urls")).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
+    same = (keys["short"] == table["short"]) & (keys["digest"] == table["rule_digest"]) & (keys["suffix"] == table["rule_host"])
+    ruled = saved(keys.join(table, same, "left").select("digest", "urls", "rule_host", "rule", "rule_verdict"))
+    met = attach(hashed.select("host", "path", "digest"), ruled, "digest", "urls").where(F.col("rule").isNotNull())
     order = F.struct(F.length("rule"), F.length("rule_host"), "rule")
     best = met.groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), order).alias("best"))
     verdicts = saved(urls.join(best, ["host", "path"], "left").select(key, "count", "best"))
