@@ -33,8 +33,9 @@ NOTICES = [
     ("lgpl", "licensed under the gnu lesser general public license"),
     ("cc-by-nc", "licensed under cc by nc"),
     ("cc-by-sa", "licensed under cc by sa"),
-    ("cc-by-nc", "the cc by nc"),
-    ("cc-by-sa", "the cc by sa"),
+    ("agpl", "licensed under the gnu affero general public license version"),
+    ("epl", "made available under the terms of the eclipse public license"),
+    ("artistic", "under the terms of the artistic license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
@@ -88,6 +89,23 @@ NOTICES = [
         "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version of the license "
         "or at your option any later version this library is distributed in the hope that it will be useful but without any warranty",
     ),
+    (
+        "agpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version of the license or at "
+        "your option any later version",
+    ),
+    (
+        "cc0",
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    ),
+    (
+        "epl",
+        "all rights reserved this program and the accompanying materials are made available under the terms of the eclipse public license which accompanies this distribution",
+    ),
+    (
+        "artistic",
+        "this program is free software you can redistribute it and or modify it under the terms of the artistic license either version of the license or under the same terms as the language itself",
+    ),
     ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
     (
         "zlib",
@@ -104,6 +122,21 @@ NOTICES = [
         "and transmit the software and to prepare derivative works of the software",
     ),
 ]
+#: Fixed values: (label, notice) that differ from one another in single words, so that each counts only as a whole.
+WHOLE_NOTICES = [
+    ("cc-by", "creative commons attribution 4 0 international"),
+    ("cc-by", "creative commons attribution 3 0"),
+    ("cc-by-sa", "creative commons attribution sharealike 4 0 international"),
+    ("cc-by-sa", "creative commons attribution sharealike 3 0"),
+    ("cc-by-nd", "creative commons attribution noderivatives 4 0 international"),
+    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international"),
+    ("cc-by-nc-sa", "creative commons attribution noncommercial sharealike 4 0 international"),
+    ("cc-by-nc-nd", "creative commons attribution noncommercial noderivatives 4 0 international"),
+    ("cc0", "cc0 1 0 universal"),
+    ("agpl", "gnu affero general public license"),
+    ("lgpl", "gnu lesser general public license"),
+    ("epl", "eclipse public license"),
+]
 #: Words of a gram in short and in long templates, and the words from which a template is long.
 SHORT, LONG, LONG_WORDS = 2, 4, 20
 #: What separates words once A-Z are lower-cased.
@@ -116,20 +149,22 @@ LONG_SHARE = 0.6
 BROADCAST_GRAMS = 50_000
 
 
-def templates(phrases=PHRASES, notices=NOTICES) -> list[tuple]:
-    """(template, label, exact, grams, k, place, words of the gram joined by spaces) of every gram."""
+def templates(phrases=PHRASES, notices=NOTICES, whole=WHOLE_NOTICES) -> list[tuple]:
+    """(template, label, exact, base, grams, k, place, words of the gram joined by spaces) of every gram.
+
+    Exact templates count only as a whole; base ones are the phrases whose places are reported."""
     rows = []
-    for number, (label, text, exact) in enumerate([(*p, True) for p in phrases] + [(*n, False) for n in notices]):
+    for number, (label, text, exact, base) in enumerate([(*p, True, True) for p in phrases] + [(*n, False, False) for n in notices] + [(*w, True, False) for w in whole]):
         words = text.split()
         k = SHORT if exact or len(words) < LONG_WORDS else LONG
         grams = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
-        rows += [(number, label, exact, len(grams), k, place, gram) for place, gram in enumerate(grams)]
+        rows += [(number, label, exact, base, len(grams), k, place, gram) for place, gram in enumerate(grams)]
     return rows
 
 
 def template_frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """Templates keyed by gram hash, and one row with hash 0 that every text's last word meets."""
-    frame = spark.createDataFrame([*rows, (-1, None, False, 0, 1, 0, None)], "template int, label string, exact boolean, grams int, k int, place int, tgram string")
+    frame = spark.createDataFrame([*rows, (-1, None, False, False, 0, 1, 0, None)], "template int, label string, exact boolean, base boolean, grams int, k int, place int, tgram string")
     return frame.withColumn("gram", F.when(F.col("template") < 0, F.lit(0)).otherwise(F.xxhash64("tgram")))
 
 
@@ -153,17 +188,17 @@ def scan(docs: DataFrame, rows: list[tuple] | None = None) -> DataFrame:
     grams = placed.select("doc_id", "row", "n_words", "pos", F.explode(F.array_compact(F.array(short, long))).alias("words"))
     grams = grams.withColumn("gram", F.when(F.col("words") == "", F.lit(0)).otherwise(F.xxhash64("words")))
     same = (F.col("words") == F.col("tgram")) | ((F.col("words") == "") & (F.col("template") < 0))
-    hits = grams.join(table, "gram").where(same).select("doc_id", "row", "n_words", "template", "label", "exact", "grams", "k", "pos", (F.col("pos") - F.col("place")).alias("diagonal"))
+    hits = grams.join(table, "gram").where(same).select("doc_id", "row", "n_words", "template", "label", "exact", "base", "grams", "k", "pos", (F.col("pos") - F.col("place")).alias("diagonal"))
     # All rows of a text meet here, so that what follows needs no further exchange.
     hits = hits.repartition("row")
-    votes = hits.groupBy("row", "doc_id", "n_words", "template", "label", "exact", "grams", "k", "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    votes = hits.groupBy("row", "doc_id", "n_words", "template", "label", "exact", "base", "grams", "k", "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     gap = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > SLACK, F.lit(False)) | F.col("exact")
     runs = votes.withColumn("run", F.sum(gap.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spans = runs.groupBy("row", "doc_id", "n_words", "template", "label", "exact", "grams", "k", "run").agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("start"), (F.max("high") - F.min("low") + F.col("k")).alias("extent"))
+    spans = runs.groupBy("row", "doc_id", "n_words", "template", "label", "exact", "base", "grams", "k", "run").agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("start"), (F.max("high") - F.min("low") + F.col("k")).alias("extent"))
     share = F.when(F.col("template") < 0, 0.0).otherwise(F.least(F.col("votes") / F.col("grams"), F.lit(1.0)))
     found = F.when(F.col("exact"), F.col("votes") == F.col("grams")).otherwise((share >= F.when(F.col("k") == LONG, LONG_SHARE).otherwise(MIN_SHARE)) & (F.col("extent") <= MAX_STRETCH * (F.col("grams") + F.col("k") - 1)))
-    place = F.when(found & F.col("exact"), F.col("start").cast("long"))
+    place = F.when(found & F.col("base"), F.col("start").cast("long"))
     listed = spans.withColumns({"share": share, "found": found & (F.col("template") >= 0), "place": place})
     return listed.groupBy("row", "doc_id", "n_words").agg(
         F.count("place").alias("n_base"),

@@ -123,18 +123,18 @@ def _values(rows: list[tuple]) -> str:
 
 
 OP9_SQL = rf"""
-WITH tpl(template, label, is_exact, grams, k, place, gram) AS (VALUES {_values(license_scan.templates())}),
+WITH tpl(template, label, is_exact, is_base, grams, k, place, gram) AS (VALUES {_values(license_scan.templates())}),
 d AS (SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
 w AS (SELECT rn, unnest(words) AS a, unnest(range(len(words))) AS pos FROM d),
 l AS (SELECT *, lead(a) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS e FROM w WINDOW o AS (PARTITION BY rn ORDER BY pos)),
 g AS (SELECT rn, pos, a || ' ' || b AS gram FROM l WHERE b IS NOT NULL UNION ALL SELECT rn, pos, a || ' ' || b || ' ' || c || ' ' || e AS gram FROM l WHERE e IS NOT NULL),
-v AS (SELECT rn, template, label, is_exact, grams, k, pos - place AS diagonal, count(*) AS votes, min(pos) AS low, max(pos) AS high FROM g JOIN tpl USING (gram) GROUP BY ALL),
+v AS (SELECT rn, template, label, is_exact, is_base, grams, k, pos - place AS diagonal, count(*) AS votes, min(pos) AS low, max(pos) AS high FROM g JOIN tpl USING (gram) GROUP BY ALL),
 r AS (SELECT *, CASE WHEN is_exact OR diagonal - lag(diagonal) OVER o > {license_scan.SLACK} THEN 1 ELSE 0 END AS opens FROM v WINDOW o AS (PARTITION BY rn, template ORDER BY diagonal)),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY rn, template ORDER BY diagonal) AS run FROM r),
-m AS (SELECT rn, template, label, is_exact, grams, k, run, sum(votes) AS votes, min(diagonal) AS start, max(high) - min(low) + any_value(k) AS extent FROM s GROUP BY ALL),
+m AS (SELECT rn, template, label, is_exact, is_base, grams, k, run, sum(votes) AS votes, min(diagonal) AS start, max(high) - min(low) + any_value(k) AS extent FROM s GROUP BY ALL),
 f AS (SELECT *, least(votes / grams, 1.0::DOUBLE) AS share, CASE WHEN is_exact THEN votes = grams ELSE least(votes / grams, 1.0::DOUBLE) >= CASE WHEN k = {license_scan.LONG} THEN {license_scan.LONG_SHARE} ELSE {license_scan.MIN_SHARE} END AND extent <= {license_scan.MAX_STRETCH} * (grams + k - 1) END AS found FROM m),
-t AS (SELECT rn, count(*) FILTER (WHERE found AND is_exact) AS n_base, min(start) FILTER (WHERE found AND is_exact) AS first_word, max(start) FILTER (WHERE found AND is_exact) AS last_word,
-  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE found AND is_exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE found) AS labels, max(share) AS score FROM f GROUP BY rn)
+t AS (SELECT rn, count(*) FILTER (WHERE found AND is_base) AS n_base, min(start) FILTER (WHERE found AND is_base) AS first_word, max(start) FILTER (WHERE found AND is_base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE found AND is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE found) AS labels, max(share) AS score FROM f GROUP BY rn)
 SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN t USING (rn)
 """
