@@ -1,8 +1,8 @@
 """Secret scans: a random forest removes false positives among candidates, all in DataFrame functions.
 
 A candidate is a run of at least 16 key characters with a digit in it, the value after
-a secret word and ``=`` or ``:`` (of any length and characters, quoted or not), or a
-key with a fixed prefix.  Its features are its length, its character transitions, the share of it that
+a secret word and ``=`` or ``:`` (of any length and characters, quoted or not), a
+key with a fixed prefix, a signed token of three parts, the password in a url, or a whole private-key block.  Its features are its length, its character transitions, the share of it that
 dictionary words of the corpus cover, hints in its path, and the words beside it.  The
 forest (Spark ML) learns from labelled findings, a frame of
 
@@ -46,8 +46,15 @@ _SIGN = r"[\"'`]?\s{0,4}(?:=>|:=|==?|:)\s{0,4}"
 _NAMED = rf"(?<=(?i:{_NAMES}){_SIGN}"
 VALUE = rf"(?<=[=:>\s\"'`])(?![=>\s\"'`])(?:{_NAMED}\")[^\"\r\n]+(?=\")|{_NAMED}')[^'\r\n]+(?=')|{_NAMED}`)[^`\r\n]+(?=`)|{_NAMED}[\"'`]?)[^\s\"'`]*[^\s\"'`,;])"
 NAMED = rf"(?i){_NAMES}{_SIGN}"
-FIXED = r"(?:(?:AKIA|ASIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9\-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,})"
-PREFIXED = rf"(?<!{KEY}){FIXED}(?!{KEY})"
+FIXED = (
+    r"(?:(?:AKIA|ASIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_\-]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}|[srp]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}"
+    r"|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})"
+)
+KEY_BLOCK = r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[A-Za-z0-9+/=\s\\:,\-]*?-----END [A-Z ]{0,32}PRIVATE KEY-----"
+URL_PASSWORD = r"(?<=://[^\s/:@]{1,64}:)[^\s/@\"'<>]{1,256}(?=@[A-Za-z0-9])"
+PREFIXED = rf"(?<!{KEY}){FIXED}(?!{KEY})|{KEY_BLOCK}|{URL_PASSWORD}"
+#: What stands before the password in a url.
+URL_BEFORE = r"://[^\s/:@]{1,64}:$"
 #: Words of this many letters or more, seen this often in the corpus, are dictionary words.
 MIN_LETTERS, MIN_COUNT = 4, 5
 #: Characters of context kept on either side.
@@ -141,7 +148,7 @@ def featured(found: DataFrame, covered: DataFrame) -> DataFrame:
         "harmless_word": flag(F.col("before").rlike(HARMLESS_WORDS)),
         "assigned": flag(F.col("before").rlike(r"[=:]\s*[\"']?$")),
         "quoted": flag(F.col("before").rlike(r"[\"'`]$") & F.col("after").rlike(r"^[\"'`]")),
-        "fixed": flag(c.rlike(f"^{FIXED}$")),
+        "fixed": flag(c.rlike(f"^({FIXED}|{KEY_BLOCK})$") | F.col("before").rlike(URL_BEFORE)),
         "symbols": share(f"(?!{KEY}|\\s).").cast("double"),
         "word_before": flag(F.col("before").rlike(r"[a-z]{2,}[.,;]?\s+$")),
         "word_after": flag(F.col("after").rlike(r"^[.,;]?\s+[a-z]{2,}")),
