@@ -192,14 +192,14 @@ _NAME = "upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g'))"
 
 @_query(f"""WITH p AS (SELECT p_partkey, p_name, p_brand, p_size, {_NAME} AS u, floor(log10(p_retailprice * 1.0007::DOUBLE)) AS ex, round(pow(10, log10(p_retailprice * 1.0007::DOUBLE) - floor(log10(p_retailprice * 1.0007::DOUBLE))), 1) AS mant FROM part), m AS (SELECT p_partkey, count(*) FILTER (WHERE substr(upper(p_name), i + 1, 1) = substr(upper(p_brand), i + 1, 1)) AS same FROM p, range(200) t(i) WHERE i < least(length(p_name), length(p_brand)) GROUP BY p_partkey)
 SELECT p.p_partkey, reverse(translate(p_name, 'ACGTacgtRYKMBDHV', 'TGCAtgcaYRMKVHDB')) AS turned, coalesce(same, 0)::INT AS same, regexp_matches(u, '^[ACGT]+$') AS dna, (-p_size - trunc(-p_size / 7.0) * 7)::INT AS remainder,
-substr(p_name, 2, 3) AS site, array_to_string(list_transform(string_split(left(u, 6), ''), lambda c: (instr('ACGT', c) - 1)::VARCHAR), ',') AS codes, printf('%.1fe%+04d', CASE WHEN mant >= 10 THEN 1.0 ELSE mant END, (ex + CASE WHEN mant >= 10 THEN 1 ELSE 0 END)::INT) AS number FROM p LEFT JOIN m USING (p_partkey)""")
+substr(p_name, 2, 3) AS site, array_to_string(list_transform(string_split(u, ''), lambda c: (instr('ACGT', c) - 1)::VARCHAR), ',') AS codes, printf('%.1fe%+04d', CASE WHEN mant >= 10 THEN 1.0 ELSE mant END, (ex + CASE WHEN mant >= 10 THEN 1 ELSE 0 END)::INT) AS number FROM p LEFT JOIN m USING (p_partkey)""")
 def string_functions(spark, sf_dir):
     """Small column functions over part names: reverse complement with case, identity, alphabet test, remainder, site, letter codes, log numbers."""
     part = _read(spark, sf_dir, "part")
     name = F.upper(F.regexp_replace("p_name", "[^A-Za-z]", ""))
     return part.select(
         "p_partkey", S.revcomp_cased(F.col("p_name")).alias("turned"), S.matches(F.col("p_name"), F.col("p_brand")).alias("same"), S.is_over(name, "ACGT").alias("dna"),
-        S.truncating_mod(-F.col("p_size"), F.lit(7)).cast("int").alias("remainder"), S.site(F.col("p_name"), F.lit(1), 3).alias("site"), F.array_join(S.codes(F.left(name, F.lit(6))).cast("array<string>"), ",").alias("codes"),
+        S.truncating_mod(-F.col("p_size"), F.lit(7)).cast("int").alias("remainder"), S.site(F.col("p_name"), F.lit(1), 3).alias("site"), F.array_join(S.codes(name).cast("array<string>"), ",").alias("codes"),
         S.log_number(F.log(F.col("p_retailprice") * 1.0007)).alias("number"),
     )
 
@@ -209,12 +209,13 @@ _ALL_MEMBERS = "MAP {" + ", ".join(f"'{c}': '{m}'" for c, m in S.IUPAC.items())
 
 
 @_query(f"""WITH t AS (SELECT unnest(string_split('{S.CODON_LETTERS}', '')) AS aa, unnest(range(64)) AS i), codons AS (SELECT aa, {" || ".join(f"substr('{S.CODON_BASES}', (i // {4 ** (2 - k)}) % 4 + 1, 1)" for k in range(3))} AS codon FROM t),
-c AS (SELECT DISTINCT substr({_CODES_OF}, 1, 3) AS codon FROM part), x AS (SELECT c.codon, d.aa FROM c JOIN codons d ON {" AND ".join(f"contains({_ALL_MEMBERS}[substr(c.codon, {k}, 1)], substr(d.codon, {k}, 1))" for k in (1, 2, 3))})
+c AS (SELECT DISTINCT substr(code, i + 1, 3) AS codon FROM (SELECT code, unnest(range(0, length(code) - 2, 3)) AS i FROM (SELECT {_CODES_OF} AS code FROM part))), x AS (SELECT c.codon, d.aa FROM c JOIN codons d ON {" AND ".join(f"contains({_ALL_MEMBERS}[substr(c.codon, {k}, 1)], substr(d.codon, {k}, 1))" for k in (1, 2, 3))})
 SELECT codon, CASE WHEN count(DISTINCT aa) = 1 THEN min(aa) ELSE 'X' END AS amino FROM x GROUP BY codon""")
 def ambiguous_codons(spark, sf_dir):
-    """Amino acids of the ambiguous codons that part names begin with."""
+    """Amino acids of all ambiguous codons of part names, in frame 0."""
     code = F.translate(F.regexp_replace(F.upper("p_name"), "[^A-Z]", ""), base.string.ascii_uppercase, base._IUPAC_LETTERS)
-    codons = _read(spark, sf_dir, "part").select(F.left(code, F.lit(3)).alias("codon")).distinct()
+    named = _read(spark, sf_dir, "part").select(code.alias("code")).where(F.length("code") >= 3)
+    codons = named.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("code") - 2, F.lit(3)), lambda i: F.substring(F.col("code"), i, F.lit(3)))).alias("codon")).distinct()
     return codons.select("codon", S.ambiguous_amino_acid(F.col("codon")).alias("amino"))
 
 

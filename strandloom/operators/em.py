@@ -58,7 +58,7 @@ class Model:
 
 @dataclass(frozen=True)
 class Expected:
-    """Sums over windows: responsibilities, motif and background letter counts, log likelihood, windows; and sequences that have windows."""
+    """Sums over windows: responsibilities, motif and background letter counts, log likelihood, windows; sequences that have windows; and windows that are rather sites than not."""
 
     z: float
     motif: np.ndarray
@@ -66,14 +66,19 @@ class Expected:
     log_likelihood: float
     windows: int
     sequences: int = 0
+    sites: int = 0
 
 
-def responsibilities(code: np.ndarray, model: Model, both_strands: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """z of each window by its better strand, whether that is the reverse one, and the log of its likelihood ratio."""
+def responsibilities(code: np.ndarray, model: Model, both_strands: bool = True, prior: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """z of each window by its better strand, whether that is the reverse one, and the log of its likelihood ratio.
+
+    ``prior`` is a log weight of each window, which scales its chance to be a site."""
     table = np.hstack([np.log(model.theta / model.background), np.full((model.width, 1), -np.inf)])
     forward = window_scores(code, table)
     backward = window_scores(code, np.hstack([table[::-1, 3::-1], table[:, 4:]])) if both_strands else np.full(len(forward), -np.inf)
     score = np.maximum(forward, backward) + np.log(model.bias)
+    if prior is not None:
+        score = score + prior
     with np.errstate(over="ignore"):
         z = 1 / (1 + np.exp(-(score + np.log(model.rate / (1 - model.rate)))))
     return z, backward > forward + TIE, score
@@ -94,21 +99,46 @@ def one_a_sequence(score: np.ndarray, owner: np.ndarray, model: Model) -> tuple[
         return np.exp(terms - np.repeat(total, windows)), total
 
 
+#: The least weight of a place, so that its logarithm stays finite.
+LEAST_WEIGHT = 1e-300
+
+
+def place_weights(weights: pa.Array, offsets: np.ndarray) -> np.ndarray:
+    """Weights of all letters in a row; those of a row whose list is null or not as long as its sequence are one."""
+    out = np.ones(offsets[-1])
+    held, lengths = weights.flatten().to_numpy(zero_copy_only=False), np.where(weights.is_valid().to_numpy(zero_copy_only=False), np.diff(weights.offsets.to_numpy()), 0)
+    fits = lengths == np.diff(offsets)
+    inside = np.repeat(fits, lengths)
+    out[np.repeat(fits, np.diff(offsets))] = held[inside]
+    return out
+
+
+def least_weight(weights: np.ndarray, width: int) -> np.ndarray:
+    """The least weight of each window's places."""
+    n = len(weights) - width + 1
+    out = weights[:n].copy()
+    for j in range(1, width):
+        np.minimum(out, weights[j : j + n], out=out)
+    return out
+
+
 def _expected(models: list[Model], both_strands: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [[0.0, np.zeros((m.width, 4)), np.zeros((m.width, 4)), 0.0, 0, 0] for m in models]
+        sums = [[0.0, np.zeros((m.width, 4)), np.zeros((m.width, 4)), 0.0, 0, 0, 0] for m in models]
         for batch in batches:
             for piece in pieces(batch):
                 code, offsets = letters(piece.column(0))
                 owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
                 bad = np.concatenate([[0], np.cumsum(code == 4)])
+                weights = place_weights(piece.column(1), offsets) if piece.num_columns > 1 else None
                 for model, total in zip(models, sums, strict=True):
                     w = model.width
                     n = len(code) - w + 1
                     if n <= 0:
                         continue
                     known = (owner[:n] == owner[w - 1 :]) & (bad[w:] == bad[:n])
-                    z, reverse, score = responsibilities(code, model, both_strands)
+                    prior = None if weights is None else np.log(np.maximum(least_weight(weights, w), LEAST_WEIGHT))
+                    z, reverse, score = responsibilities(code, model, both_strands, prior)
                     at = np.flatnonzero(known)
                     z, reverse, score = z[at], reverse[at], score[at]
                     if not len(at):
@@ -125,23 +155,28 @@ def _expected(models: list[Model], both_strands: bool):
                     total[3] += likelihood.sum()
                     total[4] += len(at)
                     total[5] += np.count_nonzero(np.diff(owner[at], prepend=-1))
+                    total[6] += np.count_nonzero(z > 0.5)
         rows = [(i, s[0], s[1].ravel().tolist(), s[2].ravel().tolist(), *s[3:]) for i, s in enumerate(sums) if s[4]]
-        kinds = [pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.int64(), pa.int64()]
+        kinds = [pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["model", "z", "motif", "other", "log_likelihood", "windows", "sequences"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["model", "z", "motif", "other", "log_likelihood", "windows", "sequences", "sites"])
 
     return run
 
 
-def expected_counts(seqs: DataFrame, models: list[Model], both_strands: bool = True, seq: str = "seq") -> DataFrame:
-    """model (its place in ``models``), z, motif, other, log_likelihood, windows, sequences: sums over all windows of known letters."""
-    rows = seqs.select(F.col(seq)).mapInArrow(_expected(models, both_strands), "model int, z double, motif array<double>, other array<double>, log_likelihood double, windows long, sequences long")
+def expected_counts(seqs: DataFrame, models: list[Model], both_strands: bool = True, seq: str = "seq", weights: str | None = None) -> DataFrame:
+    """model (its place in ``models``), z, motif, other, log_likelihood, windows, sequences, sites: sums over all windows of known letters.
+
+    ``weights`` names a column with a number from 0 to 1 for each letter; the least of a window's
+    scales its chance to be a site."""
+    used = seqs.select(F.col(seq)) if weights is None else seqs.select(F.col(seq), F.col(weights).cast("array<double>"))
+    rows = used.mapInArrow(_expected(models, both_strands), "model int, z double, motif array<double>, other array<double>, log_likelihood double, windows long, sequences long, sites long")
 
     def added(column: str, cells: int) -> F.Column:
         return F.array(*(F.sum(F.try_element_at(column, F.lit(k + 1))) for k in range(cells))).alias(column)
 
     cells = max(4 * m.width for m in models)
-    return rows.groupBy("model").agg(F.sum("z").alias("z"), added("motif", cells), added("other", cells), F.sum("log_likelihood").alias("log_likelihood"), F.sum("windows").alias("windows"), F.sum("sequences").alias("sequences"))
+    return rows.groupBy("model").agg(F.sum("z").alias("z"), added("motif", cells), added("other", cells), F.sum("log_likelihood").alias("log_likelihood"), *(F.sum(c).alias(c) for c in ("windows", "sequences", "sites")))
 
 
 def collected(expected: DataFrame, models: list[Model]) -> dict[int, Expected]:
@@ -149,7 +184,7 @@ def collected(expected: DataFrame, models: list[Model]) -> dict[int, Expected]:
     out = {}
     for r in expected.collect():
         cells = 4 * models[r["model"]].width
-        out[r["model"]] = Expected(r["z"], *(np.array(r[k][:cells], float).reshape(-1, 4) for k in ("motif", "other")), r["log_likelihood"], r["windows"], r["sequences"])
+        out[r["model"]] = Expected(r["z"], *(np.array(r[k][:cells], float).reshape(-1, 4) for k in ("motif", "other")), r["log_likelihood"], r["windows"], r["sequences"], r["sites"])
     return out
 
 
@@ -168,12 +203,12 @@ def divergence(a: np.ndarray, b: np.ndarray) -> float:
     return float(0.5 * (np.sum(a * np.log(a / b)) + np.sum(b * np.log(b / a))))
 
 
-def batch_em(seqs: DataFrame, models: list[Model], iterations: int = 50, distance: float = 1e-3, both_strands: bool = True) -> list[Model]:
-    """EM of all models together; each stops when its matrix moves less than ``distance``."""
-    seqs = saved(seqs.select("seq"))
+def batch_em(seqs: DataFrame, models: list[Model], iterations: int = 50, distance: float = 1e-3, both_strands: bool = True, weights: str | None = None) -> list[Model]:
+    """EM of all models together; each stops when its matrix moves less than ``distance``.  ``weights`` as in ``expected_counts``."""
+    seqs = saved(seqs.select("seq", *([weights] if weights else [])))
     now, active = list(models), list(range(len(models)))
     for _ in range(iterations):
-        found = collected(expected_counts(seqs, [now[i] for i in active], both_strands), [now[i] for i in active])
+        found = collected(expected_counts(seqs, [now[i] for i in active], both_strands, weights=weights), [now[i] for i in active])
         moving = []
         for place, i in enumerate(active):
             if place in found:

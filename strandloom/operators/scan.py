@@ -81,6 +81,23 @@ def greedy(at: np.ndarray, width: int) -> np.ndarray:
     return at[kept]
 
 
+def local_maxima(score: np.ndarray, at: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
+    """Of rising places ``at`` those whose score no place of the same owner within ``width`` - 1 beats; the first of equal ones.
+
+    ``score`` and ``owner`` are by place; places not in ``at`` don't compete."""
+    own = np.full(len(score), -np.inf)
+    own[at] = score[at]
+    stands = np.zeros(len(score), bool)
+    stands[at] = True
+    for d in range(1, width):
+        if d >= len(own):
+            break
+        same = owner[d : len(own)] == owner[: len(own) - d]
+        stands[d:] &= ~(same & (own[:-d] >= own[d:]))
+        stands[:-d] &= ~(same & (own[d:] > own[:-d]))
+    return np.flatnonzero(stands)
+
+
 def _texts(raw: np.ndarray, places: np.ndarray, inside: np.ndarray, turned: np.ndarray) -> pa.Array:
     """Strings of the letters at each row's ``places`` that are ``inside``, complemented where ``turned``."""
     taken = raw[np.where(inside, places, 0)]
@@ -89,7 +106,7 @@ def _texts(raw: np.ndarray, places: np.ndarray, inside: np.ndarray, turned: np.n
     return pa.StringArray.from_buffers(len(places), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(taken)))
 
 
-def _scan(log_odds: Matrix, threshold: float | None, both_strands: bool, apart: bool, words: bool, flank: int):
+def _scan(log_odds: Matrix, threshold: float | None, both_strands: bool, apart: bool, words: bool, flank: int, peaks: bool = False):
     forward, backward = _matrices(log_odds)
     width = len(forward)
     names = ["seq_id", "start", "strand", "score", *(["word"] if words else []), *(["left", "right"] if flank else [])]
@@ -98,7 +115,8 @@ def _scan(log_odds: Matrix, threshold: float | None, both_strands: bool, apart:
         for batch in batches:
             for piece in pieces(batch, 1):
                 found = _scored(piece.column(1), forward, backward, both_strands)
-                at = found.known if threshold is None else found.known[found.best[found.known] > threshold]
+                at = local_maxima(found.best, found.known, found.owner, width) if peaks else found.known
+                at = at if threshold is None else at[found.best[at] > threshold]
                 if apart:
                     at = greedy(at, width)
                 owner, reverse = found.owner[at], found.reverse[at]
@@ -121,17 +139,17 @@ def _scan(log_odds: Matrix, threshold: float | None, both_strands: bool, apart:
 
 
 def hits(
-    seqs: DataFrame, log_odds: Matrix, threshold: float | None, both_strands: bool = True, apart: bool = False, words: bool = False, flank: int = 0, key: str = "seq_id", seq: str = "seq"
+    seqs: DataFrame, log_odds: Matrix, threshold: float | None, both_strands: bool = True, apart: bool = False, words: bool = False, flank: int = 0, key: str = "seq_id", seq: str = "seq", peaks: bool = False
 ) -> DataFrame:
     """seq_id, start, strand, score of every window of known letters with a score above ``threshold``.
 
     A window counts once, by its better strand.  ``apart`` keeps the hits of a greedy pass
-    from the left that don't overlap.  ``words`` adds a hit's letters in motif orientation, and
+    from the left that don't overlap; ``peaks`` those that no window within a width beats (the first of equal ones).  ``words`` adds a hit's letters in motif orientation, and
     ``flank`` the letters ``left`` and ``right`` of it.  All of it is found where the sequence is;
     rows that fail never leave the task."""
     kind = seqs.schema[key].dataType.simpleString()
     schema = f"seq_id {kind}, start long, strand string, score double" + ", word string" * words + ", left string, right string" * (flank > 0)
-    return seqs.select(F.col(key).alias("seq_id"), F.col(seq).alias("seq")).mapInArrow(_scan(log_odds, threshold, both_strands, apart, words, flank), schema)
+    return seqs.select(F.col(key).alias("seq_id"), F.col(seq).alias("seq")).mapInArrow(_scan(log_odds, threshold, both_strands, apart, words, flank, peaks), schema)
 
 
 def bayes_threshold(rate: float) -> float:
@@ -215,6 +233,36 @@ def soft_weights(seqs: DataFrame, log_odds: Matrix, rate: float, both_strands: b
     return seqs.select(F.col(key).alias("seq_id"), F.col(seq).alias("seq")).mapInArrow(run, f"seq_id {kind}, weights array<double>")
 
 
+def softly_erased(seqs: DataFrame, model, both_strands: bool = True, seq: str = "seq", weights: str = "weights") -> DataFrame:
+    """``seqs`` with ``weights``: what a letter had (one, without such a column) times one minus the largest posterior of the windows that cover it.
+
+    Posteriors of a model (as in ``em``) take the weights so far into account."""
+    # em builds on this module.
+    from strandloom.operators.em import LEAST_WEIGHT, least_weight, place_weights, responsibilities
+
+    base = seqs if weights in seqs.columns else seqs.withColumn(weights, F.lit(None).cast("array<double>"))
+    base = base.withColumn(weights, F.col(weights).cast("array<double>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, held = batch.schema.get_field_index(seq), batch.schema.get_field_index(weights)
+            for piece in pieces(batch, place):
+                code, offsets = letters(piece.column(place))
+                owner, w = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), model.width
+                before, largest = place_weights(piece.column(held), offsets), np.zeros(len(code))
+                n = len(code) - w + 1
+                if n > 0:
+                    z = responsibilities(code, model, both_strands, np.log(np.maximum(least_weight(before, w), LEAST_WEIGHT)))[0]
+                    bad = np.concatenate([[0], np.cumsum(code == 4)])
+                    z = np.where((owner[:n] == owner[w - 1 :]) & (bad[w:] == bad[:n]), z, 0.0)
+                    for j in range(w):
+                        np.maximum(largest[j : j + n], z, out=largest[j : j + n])
+                after = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(before * (1 - largest)))
+                yield piece.set_column(held, weights, after)
+
+    return base.mapInArrow(run, base.schema)
+
+
 def roc(scores: DataFrame) -> DataFrame:
     """Threshold of least error, that error and the normalised area under the curve.
 

@@ -13,88 +13,156 @@ from pyspark.sql import functions as F
 from strandloom.functions.stats import log_product_p
 from strandloom.operators.ordered import running_totals
 
-#: Scaled width of the distribution, and decimals to which ratios are rounded.
-RANGE, DECIMALS = 200, 14
+#: Decimals to which ratios are rounded, and how far below a ratio its own value still counts.
+DECIMALS, SLACK = 14, 1e-9
+#: Sites of the largest sum over all letter counts; larger numbers continue its excess over the limit law.
+LARGEST = 2048
+#: Numbers of sites between which ``tail_table`` interpolates, and ratios per site of each.
+NODES, STEPS = (16, 24, 32, 48, 64, 96, 128, 192, 256, 512, 1024), 96
 
 
-#: Sites up to which a column's tail comes from the scaled distribution; beyond, from its limit law.
-EXACT = 2000
+def _normal(background: tuple[float, ...]) -> np.ndarray:
+    p = np.asarray(background, float)
+    return p / p.sum()
 
 
-@lru_cache(maxsize=4096)
-def ratio_tail(sites: int, background: tuple[float, ...], width: int = RANGE) -> tuple[np.ndarray, int, float]:
-    """Log of P(scaled ratio >= lowest + k) for ``sites`` letters, the lowest scaled ratio, and the scale.
+def summed_tails(ratios: np.ndarray, sites: int, background: tuple[float, ...]) -> np.ndarray:
+    """ln P(ratio or more) for ``sites`` letters, summed over all counts of the four letters.
 
-    The distributions over (letters so far, scaled ratio) of two letters each are
-    convolved in log space, at the places where their letters add up to ``sites``."""
-    p = np.asarray(background, float)
-    p = p / p.sum()
-    scale = width / max(1.0, round(-sites * math.log(p.min())))
-    count = np.arange(sites + 1)
+    For every split of the letters between the first two and the last two, the latter's counts
+    are sorted by their part of the ratio and their weights summed from above; each count of the
+    former then looks up what it still needs.  Time grows with the square of ``sites``."""
+    p, n = _normal(background), sites
+    count = np.arange(n + 1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.array([np.where(count > 0, np.rint(scale * count * np.log(count / (sites * q))), 0) for q in p]).astype(int)
+        part = np.array([np.where(count > 0, count * np.log(count / (n * q)), 0.0) for q in p])
     factorial = np.array([math.lgamma(c + 1) for c in count])
-    weight = np.array([count * math.log(q) - factorial for q in p])
-    least, most = int(ratio.min()), int(ratio.max())
-
-    def pair(one: int, two: int) -> np.ndarray:
-        table = np.full((sites + 1, 2 * (most - least) + 1), -np.inf)
-        for c in count:
-            rows, at = count[c:], ratio[one, c] + ratio[two, : sites + 1 - c] - 2 * least
-            table[rows, at] = np.logaddexp(table[rows, at], weight[one, c] + weight[two, : sites + 1 - c])
-        return table
-
-    first, second = pair(0, 1), pair(2, 3)[::-1]
-    low, last = 4 * least, np.full(4 * (most - least) + 1, -np.inf)
-    for k in np.flatnonzero((first > -np.inf).any(axis=0)):
-        rows = first[:, k] > -np.inf
-        both = first[rows, k, None] + second[rows]
-        top = both.max(axis=0)
-        met = top > -np.inf
-        span = last[k : k + len(met)]
-        span[met] = np.logaddexp(span[met], top[met] + np.log(np.exp(both[:, met] - top[met]).sum(axis=0)) + factorial[sites])
-    reached = np.flatnonzero(last > -np.inf)
-    last = last[reached[0] : reached[-1] + 1]
-    tail = np.logaddexp.accumulate(last[::-1])[::-1]
-    # Between ratios that occur, the tail is read along a line in logs.
-    occurs = np.flatnonzero(last > -np.inf)
-    return np.interp(np.arange(len(tail)), occurs, tail[occurs]), low + int(reached[0]), scale
-
-
-def limit_tail(ratio: float) -> float:
-    """ln P(ratio or more) of one column of many sites: twice the ratio is chi-squared with three degrees of freedom.
-
-    Over whole numbers of 50 to 300 letters it lies at most 0.7 below the exact tail, and
-    above it by at most 2 + ln(sites) / 2; a step of the scaled distribution is
-    sites * ln 4 / 200 at even background, 14 at ``EXACT`` sites."""
-    x = max(ratio, 0.0)
-    if x < 600:
-        return min(math.log(math.erfc(math.sqrt(x)) + 2 * math.sqrt(x / math.pi) * math.exp(-x)), 0.0)
-    return math.log((2 * x + 1) / math.sqrt(math.pi * x)) - x
+    weight = count * np.log(p)[:, None] - factorial
+    wanted, total = np.asarray(ratios, float) - SLACK, np.full(len(ratios), -np.inf)
+    for m in range(n + 1):
+        one, two = part[0, : m + 1] + part[1, m::-1], weight[0, : m + 1] + weight[1, m::-1]
+        rest = n - m
+        three, four = part[2, : rest + 1] + part[3, rest::-1], weight[2, : rest + 1] + weight[3, rest::-1]
+        order = np.argsort(three)
+        top = four.max()
+        above = np.append(np.log(np.maximum(np.cumsum(np.exp(four[order] - top)[::-1])[::-1], 1e-300)) + top, -np.inf)
+        far = above[:-1] < top - 30  # far below the largest weight: sum in logs
+        if far.any():
+            above[:-1] = np.logaddexp.accumulate(four[order][::-1])[::-1]
+        found = two + above[np.searchsorted(three[order], wanted[:, None] - one)]
+        most = found.max(axis=1)
+        some = most > -np.inf
+        with np.errstate(under="ignore"):
+            total[some] = np.logaddexp(total[some], most[some] + np.log(np.exp(found[some] - most[some, None]).sum(axis=1)))
+    return np.minimum(total + factorial[n], 0.0)
+
+
+def limit_tails(ratios: np.ndarray) -> np.ndarray:
+    """ln P(ratio or more) of one column in the limit: twice the ratio is chi-squared with three degrees of freedom."""
+    x = np.maximum(np.asarray(ratios, float), 0.0)
+    near = np.minimum(x, 600.0)
+    erfc = np.array([math.erfc(math.sqrt(v)) for v in near])
+    low = np.log(np.minimum(erfc + 2 * np.sqrt(near / math.pi) * np.exp(-near), 1.0))
+    far = np.maximum(x, 600.0)
+    return np.where(x < 600, low, np.log((2 * far + 1) / np.sqrt(math.pi * far)) - far)
 
 
-def log_tail(ratio: float, sites: float, background: tuple[float, ...]) -> float:
-    """ln P(ratio or more) of one column; between whole numbers of sites, their geometric mean by share."""
+@lru_cache(maxsize=4096)
+def _whole(ratios: tuple[float, ...], sites: int, background: tuple[float, ...]) -> tuple[float, ...]:
+    x = np.array(ratios)
+    if sites <= LARGEST:
+        return tuple(summed_tails(x, sites, background))
+    half, share = LARGEST // 2, x / sites
+    near, nearer = (summed_tails(share * n, n, background) - limit_tails(share * n) for n in (half, LARGEST))
+    # The excess over the limit law is a smooth function of the ratio per site and of 1 / sites.
+    excess = nearer + (near - nearer) * (1 / sites - 1 / LARGEST) / (1 / half - 1 / LARGEST)
+    return tuple(limit_tails(x) + excess)
+
+
+def log_tails(ratios: np.ndarray, sites: float, background: tuple[float, ...]) -> np.ndarray:
+    """ln P(ratio or more) of columns of so many sites, by one method for any number.
+
+    Up to ``LARGEST`` sites every split of the letters is summed.  Beyond, the excess of that sum over the limit law
+    is continued in 1 / sites at the same ratio per site; at ``LARGEST`` both agree, so there is no step.
+    Between whole numbers of sites the tail is their geometric mean by share."""
+    x = tuple(float(r) for r in ratios)
     if sites <= 1:
-        return 0.0
-    if sites > EXACT:
-        return limit_tail(ratio)
+        return np.zeros(len(x))
     below = math.floor(sites)
     share = sites - below
-    values = []
-    for n in (below, below + 1)[: 1 + (share > 0)]:
-        tail, low, scale = ratio_tail(n, background)
-        place = min(max(scale * ratio - low, 0.0), len(tail) - 1)
-        values.append(float(np.interp(place, np.arange(len(tail)), tail)))
+    values = [np.array(_whole(x, n, tuple(background))) for n in (below, below + 1)[: 1 + (share > 0)]]
     return values[0] if len(values) == 1 else (1 - share) * values[0] + share * values[1]
 
 
+def log_tail(ratio: float, sites: float, background: tuple[float, ...]) -> float:
+    return float(log_tails(np.array([ratio]), sites, background)[0])
+
+
+@lru_cache(maxsize=16)
+def tail_table(background: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Ratios per site, and the excess of ``summed_tails`` over the limit law there, a row for each of ``NODES``."""
+    share = np.linspace(0, 1, STEPS + 1) ** 2 * -math.log(_normal(background).min())
+    return share, np.array([np.maximum(summed_tails(share * n, n, background), -2.0 * n * share[-1] - 50) - limit_tails(share * n) for n in NODES])
+
+
+def read_tails(ratios: np.ndarray, sites: np.ndarray, background: tuple[float, ...]) -> np.ndarray:
+    """ln P(ratio or more) of many columns of many numbers of sites, read from ``tail_table``.
+
+    For comparing alignments of different large sizes at once; what is reported comes from ``log_tails``.  Near the largest
+    ratio, where the tail falls in steps of ln(3 * sites), it may be off by one of them."""
+    share, table = tail_table(tuple(background))
+    sites = np.asarray(sites, float)
+    at = np.minimum(np.asarray(ratios, float) / sites, share[-1])
+    inverse = 1 / np.array(NODES, float)
+    place = np.interp(1 / np.maximum(sites, NODES[0]), inverse[::-1], np.arange(len(NODES))[::-1])
+    low = np.minimum(place.astype(int), len(NODES) - 2)
+    cell = np.clip(np.searchsorted(share, at, side="right") - 1, 0, len(share) - 2)
+    along = (at - share[cell]) / (share[cell + 1] - share[cell])
+    excess = [(1 - along) * table[row, cell] + along * table[row, cell + 1] for row in (low, low + 1)]
+    beyond = sites > NODES[-1]
+    first, last = inverse[-2], inverse[-1]
+    slope = np.where(beyond, (1 / sites - last) / (first - last), 0.0)
+    mixed = (1 - (place - low)) * excess[0] + (place - low) * excess[1]
+    mixed = np.where(beyond, mixed + slope * (((1 - along) * table[-2, cell] + along * table[-2, cell + 1]) - mixed), mixed)
+    return np.minimum(limit_tails(np.asarray(ratios, float).ravel()).reshape(np.shape(ratios)) + mixed, 0.0)
+
+
 def mean_ratio(sites: int, background: tuple[float, ...]) -> float:
-    """Expected ratio of one column."""
-    tail, low, scale = ratio_tail(sites, background)
-    p = np.exp(tail)
-    mass = p - np.append(p[1:], 0)
-    return float((mass * (low + np.arange(len(p)))).sum() / scale)
+    """Expected ratio of one column: each letter's count is binomial."""
+    count, total = np.arange(1, sites + 1), 0.0
+    choose = math.lgamma(sites + 1) - np.array([math.lgamma(c + 1) + math.lgamma(sites - c + 1) for c in count])
+    for q in _normal(background):
+        log_p = choose + count * math.log(q) + ((sites - count) * math.log1p(-q) if q < 1 else 0.0)
+        total += float((np.exp(log_p) * count * np.log(count / (sites * q))).sum())
+    return total
+
+
+def _power(mass: np.ndarray, n: int) -> np.ndarray:
+    """Distribution of the sum of ``n`` draws, by repeated squaring."""
+    out = np.ones(1)
+    while n:
+        if n & 1:
+            out = np.convolve(out, mass)
+        n >>= 1
+        if n:
+            mass = np.convolve(mass, mass)
+    return out
+
+
+def star_tail(scores: np.ndarray, background: list[float], sites: int, columns: int = 1) -> tuple[np.ndarray, int]:
+    """P(sum or more) of star alignments of ``sites`` random sequences, and the least sum.
+
+    In a column the first sequence's letter scores with each other's, in whole numbers (rows: its own letter).  Given
+    that letter the others are independent, so a column's sum is a power of one distribution, and
+    the alignment's a power of the columns' mixture."""
+    scores, p = np.asarray(scores, int), np.asarray(background, float)
+    low, high = int(scores.min()), int(scores.max())
+    column = np.zeros((high - low) * (sites - 1) + 1)
+    for own, share in zip(scores, p, strict=True):
+        mass = np.zeros(high - low + 1)
+        np.add.at(mass, own - low, p)
+        column += share * _power(mass, sites - 1)
+    return np.cumsum(_power(column, columns)[::-1])[::-1], low * (sites - 1) * columns
 
 
 def relative_entropy(columns: DataFrame, background: dict[str, float]) -> DataFrame:
@@ -110,7 +178,10 @@ def column_log_p(background: dict[str, float]):
 
     @F.pandas_udf("double")
     def run(ratio: pd.Series, sites: pd.Series) -> pd.Series:
-        return pd.Series([log_tail(a, b, q) for a, b in zip(ratio, sites, strict=True)])
+        out = pd.Series(0.0, index=ratio.index)
+        for n, own in ratio.groupby(sites):
+            out[own.index] = log_tails(own.to_numpy(), n, q)
+        return out
 
     return run
 

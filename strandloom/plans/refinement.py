@@ -76,6 +76,12 @@ def site_counts(seqs: DataFrame, models: list[em.Model]) -> list[int]:
     return hit_counts(seqs, [(log_odds(m), scan.bayes_threshold(m.window_rate), m.spread != em.ANY) for m in models])
 
 
+def weighted_sites(seqs: DataFrame, model: em.Model) -> int:
+    """Windows (or sequences, where one has a site at most) that are rather sites than not, given the weights of their letters."""
+    found = em.collected(em.expected_counts(seqs, [model], weights="weights" if "weights" in seqs.columns else None), [model])
+    return found[0].sites if found else 0
+
+
 def log_evalues(seqs: DataFrame, models: list[em.Model], sites: list[int]) -> list[float]:
     """Log E-values of models with so many sites, by their columns and the ways to place the sites.
 
@@ -137,7 +143,7 @@ def erase_softly(seqs: DataFrame, model: em.Model) -> DataFrame:
 
 @dataclass(frozen=True)
 class Discovery:
-    """Motifs in the order in which they were found, both sets with their sites masked, and why the search stopped."""
+    """Motifs in the order in which they were found, both sets with their sites masked (or ``weights`` of their letters), and why the search stopped."""
 
     motifs: list[Motif]
     positive: DataFrame
@@ -146,13 +152,16 @@ class Discovery:
 
 
 def discover(
-    positive: DataFrame, seeds: list[em.Model], negative: DataFrame | None = None, most: int = 5, log_evalue_cut: float = 0.0, fit: str = "online", **options
+    positive: DataFrame, seeds: list[em.Model], negative: DataFrame | None = None, most: int = 5, log_evalue_cut: float = 0.0, fit: str = "online", erasing: str | None = None, **options
 ) -> Discovery:
     """Motif after motif: fit a seed, test its E-value, erase its sites from both sets, and go on with the next.
 
     The search ends with the seeds, after ``most`` motifs, or when no letters are left to scan.
     A seed whose motif has too few or many sites, or an E-value above the cut, is passed over.
-    ``fit`` is ``online`` (tries as in ``refine``) or ``batch``.  Masked sets are stored tables."""
+    ``fit`` is ``online`` (tries as in ``refine``) or ``batch``.  ``erasing`` is ``hard`` (sites become N; always with online
+    fits) or ``soft`` (with batch fits: letters keep the weight that earlier motifs leave them, and sites of later ones may
+    overlap those).  Erased sets are stored tables."""
+    soft = (erasing or ("soft" if fit == "batch" else "hard")) == "soft" and fit == "batch"
     motifs: list[Motif] = []
     now, other = saved(positive), saved(negative) if negative is not None else None
     reason = "seeds are used up"
@@ -166,12 +175,18 @@ def discover(
         if fit == "online":
             found = refine(now, [seed], **options)[0]
         else:
-            model = em.batch_em(now, [seed], **{k: v for k, v in options.items() if k in ("iterations", "distance")})[0]
-            sites = site_counts(now, [model])[0]
+            held = "weights" if soft and motifs else None
+            model = em.batch_em(now, [seed], weights=held, **{k: v for k, v in options.items() if k in ("iterations", "distance")})[0]
+            sites = weighted_sites(now, model) if held else site_counts(now, [model])[0]
             value = log_evalues(now, [model], [sites])[0]
             found = Motif(model, sites, sites >= options.get("min_sites", 1), value)
         if not found.accepted or found.log_evalue > log_evalue_cut:
             continue
+        if soft:
+            motifs.append(replace(found, erased=(found.sites,) + ((weighted_sites(other, found.model),) if other is not None else ())))
+            now = saved(scan.softly_erased(now, found.model))
+            other = saved(scan.softly_erased(other, found.model)) if other is not None else None
+            continue
         masked = saved(erase(now, found.model))
         counts = [masked.agg(F.sum("erased")).first()[0] or 0]
         now = masked.drop("erased")

@@ -18,9 +18,9 @@ def canonical_rows(rows, columns):
 
 
 def names():
-    from strandloom import matrix_queries, queries
+    from strandloom import matrix_queries, queries, search_queries
 
-    assert matrix_queries
+    assert matrix_queries and search_queries
     return sorted(queries.ORACLE_SQL)
 
 
@@ -28,9 +28,9 @@ def names():
 def test_query_matches_its_sql(spark, data_dir, name):
     import duckdb
 
-    from strandloom import matrix_queries, queries
+    from strandloom import matrix_queries, queries, search_queries
 
-    assert matrix_queries
+    assert matrix_queries and search_queries
 
     connection = duckdb.connect()
     for table in TABLES:

@@ -213,7 +213,7 @@ def test_motifs_are_found_one_after_another(spark, fit):
         return em.Model(name, np.array([[0.7 if x == y else 0.1 for x in "ACGT"] for y in word]), np.full(4, 0.25), *((0.005,) if fit == "online" else (0.5, 1.0, False, em.NONE_OR_ONE)))
 
     seeds_ = [seed("CACTTTGCAGAC", "one"), seed("GGGATAAGCCTA", "two")]
-    options = {"min_sites": 40, "max_sites": 2000, "tries": 2, "passes": 2, "batches": 2} if fit == "online" else {"min_sites": 40, "iterations": 10}
+    options = {"min_sites": 40, "max_sites": 2000, "tries": 2, "passes": 2, "batches": 2} if fit == "online" else {"min_sites": 40, "iterations": 10, "erasing": "hard"}
     found = refinement.discover(positive, seeds_, negative, fit=fit, **options)
     assert [m.model.name for m in found.motifs] == ["one", "two"] and found.reason == "seeds are used up"
     assert all(m.accepted and m.log_evalue < 0 and m.erased[0] > 100 > m.erased[1] for m in found.motifs)
@@ -227,24 +227,6 @@ def test_divergence():
     assert em.divergence(np.array([0.7, 0.1, 0.1, 0.1]), np.full(4, 0.25)) == pytest.approx(0.437829784)
 
 
-def brute_tail(n, background):
-    scale = significance.RANGE / max(1.0, round(-n * math.log(min(background))))
-    mass = Counter()
-    for counts in itertools.product(range(n + 1), repeat=4):
-        if sum(counts) == n:
-            p = math.factorial(n) * math.prod(q**c / math.factorial(c) for q, c in zip(background, counts, strict=True))
-            mass[sum(int(np.rint(scale * c * math.log(c / (n * q)))) for c, q in zip(counts, background, strict=True) if c)] += p
-    return mass
-
-
-@pytest.mark.parametrize("n,background", [(2, (0.25,) * 4), (5, (0.4, 0.3, 0.2, 0.1))])
-def test_ratio_distribution(n, background):
-    mass = brute_tail(n, background)
-    tail, low, _ = significance.ratio_tail(n, background)
-    for ratio in mass:
-        assert tail[ratio - low] == pytest.approx(math.log(sum(p for r, p in mass.items() if r >= ratio)), abs=1e-9)
-
-
 def exact_tail(n, background):
     """Ratios (falling) and log tails over all counts of n letters, without a scale."""
     c = np.stack(np.meshgrid(*[np.arange(n + 1)] * 3, indexing="ij"), -1).reshape(-1, 3)
@@ -257,15 +239,29 @@ def exact_tail(n, background):
 
 
 @pytest.mark.parametrize("background", [(0.25,) * 4, (0.4, 0.3, 0.2, 0.1)])
-def test_limit_of_many_sites(background):
-    for n in (50, 100):
-        off = np.array([significance.limit_tail(r) - t for r, t in zip(*(x[::7] for x in exact_tail(n, background)), strict=True)])
-        assert off.min() > -0.7 and off.max() < 2 + math.log(n) / 2
-    assert significance.limit_tail(600.0) == pytest.approx(significance.limit_tail(599.9999), abs=1e-3)
-    # Within a few steps of the scaled distribution, where it is known.
-    n = significance.EXACT
-    step = -n * math.log(min(background)) / significance.RANGE
-    assert all(abs(significance.limit_tail(x) - significance.log_tail(x, n, background)) < 3 * step for x in (0.1 * n, 0.4 * n, 0.9 * n))
+def test_tails_equal_sums_over_all_counts(background):
+    for n in (1, 2, 5, 40):
+        ratios, tails = exact_tail(n, background)
+        last = np.append(ratios[1:] < ratios[:-1] - 1e-7, True)  # of equal ratios all count
+        got = significance.summed_tails(ratios[last], n, background)
+        assert np.abs(got - np.minimum(tails[last], 0)).max() < 1e-9
+        mean = float((ratios * np.exp(tails)).sum() - (ratios[1:] * np.exp(tails[:-1])).sum())
+        assert significance.mean_ratio(n, background) == pytest.approx(mean)
+
+
+@pytest.mark.parametrize("background", [(0.25,) * 4, (0.4, 0.3, 0.2, 0.1)])
+def test_tails_have_no_step_at_any_number_of_sites(background):
+    share = np.array([0.001, 0.01, 0.1, 0.4, 0.9])
+    for n in (500, significance.LARGEST - 1, significance.LARGEST, significance.LARGEST + 1, 10_000, 100_000):
+        here, there = (significance.log_tails(share * k, k, background) for k in (n, n + 1))
+        assert np.abs(there - here + share).max() < 0.02  # a site of the same letters is worth its ratio
+    # Beyond the largest sum, against the sum itself: hundredths of a unit of thousands.
+    for n in (3000, 5000):
+        off = significance.log_tails(share * n, n, background) - significance.summed_tails(share * n, n, background)
+        assert np.abs(off).max() < 0.12
+    ratios, sites = np.array([5.0, 50.0, 200.0, 900.0]), np.array([100, 300, 1000, 20_000])
+    exact = [significance.log_tail(r, n, background) for r, n in zip(ratios, sites, strict=True)]
+    assert np.abs(significance.read_tails(ratios, sites, background) - exact).max() < 0.2
 
 
 def test_significance_counts_all_sites(spark):
