@@ -7,7 +7,7 @@ right, a good one is fast), and the first that they share stands early enough in
 their overlap.  Similar classes (equal minhashes and like sizes) are
 gathered in groups of bounded size, and the matrix holds which group has which prefix
 token, with its members' sizes and the room behind the token.  Two groups meet only where sizes and room
-allow a link; then each member is bounded by its overlap with the other group's token union, and only
+allow a link, and are a pair only if slightly longer prefixes share several tokens; then each member is bounded by its overlap with the other group's token union, and only
 groups that qualify are opened.  Verified links are reduced to a spanning forest
 before they leave a task, so no group of copies becomes all its pairs.
 
@@ -37,6 +37,8 @@ from strandloom.llm.components import components
 
 #: Counters of the frequency sketch (a power of two) and of one block of it.
 COUNTERS, BLOCK = 1 << 21, 1 << 16
+#: Tokens that a linked pair shares in prefixes that are longer by all but one of them (fewer if its sets are smaller).
+SHARED = 4
 #: Classes of one group and tokens of their sets, about.
 GROUP, GROUP_TOKENS = 64, 1 << 20
 #: Groups of one token that meet in one task; more frequent tokens are split.
@@ -161,20 +163,22 @@ def _prefixes(k: int, percent: int, ranks):
         seen: set[int] = set()
         for batch in batches:
             for piece in slices(batch):
-                tokens, keys, rooms = [], [], []
+                tokens, keys, rooms, plain = [], [], [], []
                 for s in shingle_sets(piece.column(0), k):
                     key = class_key(s) if len(s) else None
                     if key is None or key in seen:
                         continue
                     seen.add(key)
-                    n = len(s) - least_overlap(len(s), percent) + 1
+                    least = least_overlap(len(s), percent)
+                    n = len(s) - least + min(SHARED, least)
                     r = rank[(s & _U(COUNTERS - 1)).astype(np.int64)]
                     # The order is (rank, hash); sets are sorted by hash, and a stable sort keeps that.
                     tokens.append(s[np.argsort(r, kind="stable")[:n]].view(np.int64))
                     keys.append(np.full(n, key, np.int64))
                     rooms.append(len(s) - np.arange(n, dtype=np.int32))
+                    plain.append(np.arange(n) <= len(s) - least)
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, keys, rooms)], names=["token", "key", "room"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, keys, rooms, plain)], names=["token", "key", "room", "plain"])
 
     return run
 
@@ -246,24 +250,39 @@ def _incidence(sets: list[np.ndarray], tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-def _verify(percent: int):
-    """Links of groups that stand before their partners; a row without ``partner`` opens a group."""
+def _members(block) -> tuple[list[int], list[np.ndarray]]:
+    members = block.as_py()
+    return [m["key"] for m in members], [np.frombuffer(m["tokens"], _U) for m in members]
+
+
+def _linked(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*pairs, strict=True) if pairs else ([], []))], names=["a", "b"])
+
+
+def _within(percent: int):
+    """Links among the members of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(0):
+                keys, sets = _members(block)
+                yield _linked([(keys[i], keys[j]) for i, j in linked_pairs(sets, None, percent)])
+
+    return run
+
+
+def _across(percent: int):
+    """Links between groups and their partners, which follow them; a row without ``partner`` opens a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sets = [], []
         for batch in batches:
-            a, b = [], []
-            for partner, inner, members in zip(batch.column("partner").to_pylist(), batch.column("inner").to_pylist(), batch.column("members"), strict=True):
-                others = members.as_py()
-                those, found = [m["key"] for m in others], [np.frombuffer(m["tokens"], _U) for m in others]
+            for partner, block in zip(batch.column("partner").to_pylist(), batch.column("members"), strict=True):
                 if partner is None:
-                    keys, sets = those, found
-                    links = linked_pairs(sets, None, percent) if inner else []
-                else:
-                    links = linked_pairs(sets, found, percent)
-                a += [keys[i] for i, _ in links]
-                b += [those[j] for _, j in links]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    keys, sets = _members(block)
+                    continue
+                those, found = _members(block)
+                yield _linked([(keys[i], those[j]) for i, j in linked_pairs(sets, found, percent)])
 
     return run
 
@@ -275,34 +294,53 @@ def may_link(percent: int):
 
 
 def _meetings(matrix: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of groups g < h that a token lets meet.
+    """Pairs of groups g < h that tokens let meet, and how many do (``common``).
 
     A token of many groups is dealt over tasks: its left rows by a hash, its right rows to each."""
     crowded = saved(matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") > SPLIT))
     left, right = (matrix.select("token", F.col("group").alias(x), F.col("least").alias(f"{x}l"), F.col("most").alias(f"{x}m"), F.col("room").alias(f"{x}r")) for x in "gh")
     if crowded.isEmpty():
-        return left.join(right, "token").where(may_link(percent)).select("g", "h").distinct()
+        return left.join(right, "token").where(may_link(percent)).groupBy("g", "h").agg(F.count(F.lit(1)).alias("common"))
     salts = crowded.select("token", F.ceil(F.col("groups") / SPLIT).cast("int").alias("salts"), "groups")
     left = attach(left, salts, "token", "groups").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("g"), "salts"), F.lit(0).cast("long")))
     right = attach(right, salts, "token", "groups").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("salts") - 1, F.lit(0)).cast("long"))))
-    return left.drop("salts", "groups").join(right.drop("salts", "groups"), ["token", "salt"]).where(may_link(percent)).select("g", "h").distinct()
+    return left.drop("salts", "groups").join(right.drop("salts", "groups"), ["token", "salt"]).where(may_link(percent)).groupBy("g", "h").agg(F.count(F.lit(1)).alias("common"))
+
+
+def _confirmed(met: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """The pairs of ``met`` whose longer prefixes share as many tokens as those of a linked pair do.
+
+    Pairs that have met on so many already are sure.  For the others each group's tokens (of at most
+    ``GROUP_TOKENS`` or one class's) come as a list."""
+    need = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))
+    needs = placed.groupBy("group").agg(F.min(need).alias("need"))
+    met = met.join(needs.select(F.col("group").alias("g"), F.col("need").alias("gn")), "g").join(needs.select(F.col("group").alias("h"), F.col("need").alias("hn")), "h")
+    met = saved(met.select("g", "h", "common", F.least("gn", "hn").alias("need")))
+    doubtful = met.where("common < need").select("g", "h", "need")
+    asked = doubtful.select(F.explode(F.array("g", "h")).alias("group")).distinct()
+    lists = saved(placed.join(asked, "group").groupBy("group").agg(F.collect_set("token").alias("tokens")))
+    both = doubtful.join(lists.select(F.col("group").alias("g"), F.col("tokens").alias("gt")), "g").join(lists.select(F.col("group").alias("h"), F.col("tokens").alias("ht")), "h")
+    return met.where("common >= need").select("g", "h").unionByName(both.where(F.size(F.array_intersect("gt", "ht")) >= F.col("need")).select("g", "h"))
 
 
 def _beside_partners(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """group, copy, partner, inner, members: each group's sets, and behind them those of its partners.
+    """group, copy, partner, members: the sets of the groups on the left of ``pairs``, and behind them those of their partners.
 
     A group of many partners has copies, and its pairs are dealt over them at both ends,
     so that neither a group's pairs nor its sets gather in one task."""
-    ends = pairs.select(F.explode(F.array("g", "h")).alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("partners"))
-    copies = saved(ends.select("group", "partners", F.ceil(F.col("partners") / PARTNERS).cast("long").alias("copies")))
+    sides = {x: pairs.groupBy(F.col(x).alias("group")).agg(F.count(F.lit(1)).alias("partners")).withColumn("copies", F.ceil(F.col("partners") / PARTNERS).cast("long")) for x in "gh"}
+    spread = {}
     for x, other in (("g", "h"), ("h", "g")):
-        table = copies.select(F.col("group").alias(x), "partners", F.col("copies").alias("n"))
-        pairs = attach(pairs, table, x, "partners").withColumn(f"{x}_copy", F.pmod(F.xxhash64(other), "n")).drop("partners", "n")
-    spread = blocks.join(copies.select("group", "copies"), "group", "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("copies") - 1, F.lit(0).cast("long")))))
-    spread = spread.select("group", "copy", "members")
-    there = spread.select(F.col("group").alias("h"), F.col("copy").alias("h_copy"), "members")
-    partners = pairs.join(there, ["h", "h_copy"]).select(F.col("g").alias("group"), F.col("g_copy").alias("copy"), F.col("h").alias("partner"), F.lit(False).alias("inner"), "members")
-    opened = spread.select("group", "copy", F.lit(None).cast("long").alias("partner"), ((F.col("copy") == 0) & (F.size("members") > 1)).alias("inner"), "members")
+        many = saved(sides[x].where("copies > 1"))
+        table = many.select(F.col("group").alias(x), "partners", F.col("copies").alias("n"))
+        pairs = attach(pairs, table, x, "partners").withColumn(f"{x}_copy", F.pmod(F.xxhash64(other), F.coalesce("n", F.lit(1).cast("long")))).drop("partners", "n")
+        few = (lambda t: F.broadcast(t)) if many.count() <= BROADCAST_ROWS else (lambda t: t)
+        used = blocks.join(F.broadcast(sides[x].select("group")) if sides[x].count() <= BROADCAST_ROWS else sides[x].select("group"), "group", "left_semi")
+        held = used.join(few(many.select("group", "copies")), "group", "left")
+        spread[x] = held.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"), "members")
+    there = spread["h"].select(F.col("group").alias("h"), F.col("copy").alias("h_copy"), "members")
+    partners = pairs.join(there, ["h", "h_copy"]).select(F.col("g").alias("group"), F.col("g_copy").alias("copy"), F.col("h").alias("partner"), "members")
+    opened = spread["g"].select("group", "copy", F.lit(None).cast("long").alias("partner"), "members")
     parts = shuffle_parts(blocks.sparkSession)
     return opened.unionByName(partners).repartition(parts, "group", "copy").sortWithinPartitions("group", "copy", F.col("partner").isNotNull())
 
@@ -311,10 +349,10 @@ def class_links(texts: DataFrame, classes: DataFrame, ranks: np.ndarray, k: int,
     """Links (a, b) between class keys that connect all classes that similar pairs connect."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
-    prefixes = saved(texts.select("text").mapInArrow(_prefixes(k, percent, shared), "token long, key long, room int"))
+    prefixes = saved(texts.select("text").mapInArrow(_prefixes(k, percent, shared), "token long, key long, room int, plain boolean"))
     ends = prefixes.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("rows"))
     shared_tokens = saved(ends.where("lo < hi").select("token", "rows"))
-    postings = saved(attach(prefixes, shared_tokens, "token", "rows").where(F.col("rows").isNotNull()).select("token", "key", "room").distinct())
+    postings = saved(attach(prefixes, shared_tokens, "token", "rows").where(F.col("rows").isNotNull()).select("token", "key", "room", "plain").distinct())
 
     met = classes.join(postings.select("key").distinct(), "key")
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("n") / GROUP_TOKENS))
@@ -322,8 +360,9 @@ def class_links(texts: DataFrame, classes: DataFrame, ranks: np.ndarray, k: int,
     member = attach(met.select("label", "key", "n", "rep"), crowd, "label", "rows").select("key", "n", "rep", F.xxhash64("label", F.pmod(F.xxhash64("key"), "parts")).alias("group"))
     member = saved(member)
     bounds = (F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room"))
-    matrix = saved(postings.join(member, "key").groupBy("token", "group").agg(*bounds))
-    pairs = saved(_meetings(matrix, percent))
+    placed = saved(postings.join(member, "key"))
+    matrix = saved(placed.where("plain").groupBy("token", "group").agg(*bounds))
+    pairs = saved(_confirmed(_meetings(matrix, percent), placed, percent))
 
     crowds = member.groupBy("group").count().where("count > 1").select("group")
     wanted = pairs.select(F.explode(F.array("g", "h")).alias("group")).unionByName(crowds).distinct()
@@ -333,7 +372,9 @@ def class_links(texts: DataFrame, classes: DataFrame, ranks: np.ndarray, k: int,
     found = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi").select("text").mapInArrow(_sets(k), "key long, tokens binary")
     sets = found.join(wanted.select("key", "group"), "key").groupBy("key").agg(F.first("group").alias("group"), F.first("tokens").alias("tokens"))
     blocks = saved(sets.groupBy("group").agg(F.collect_list(F.struct("key", "tokens")).alias("members")))
-    return saved(_beside_partners(pairs, blocks).mapInArrow(_verify(percent), "a long, b long"))
+    links = "a long, b long"
+    within = blocks.where(F.size("members") > 1).select("members").mapInArrow(_within(percent), links)
+    return saved(within.unionByName(_beside_partners(pairs, blocks).mapInArrow(_across(percent), links)))
 
 
 def _joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
