@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from strandloom.functions.sequences import IUPAC, revcomp
 from strandloom.operators.composition import LETTERS
 from strandloom.operators.ordered import running_totals
+from strandloom.storage import saved
 
+#: Shapes of parts up to which words are cut into parts of all of them.
+MOST_SHAPES = 2000
 #: Words of a block; blocks are compared with each other.
 BLOCK = 128
 #: Codes and their complements.
@@ -92,33 +95,128 @@ def _compare_blocks(least: float):
             sides = ((n, np.array([i for i, _ in rows], np.int64), np.array([w for _, w in rows])) for n, rows in groups.items())
             return {n: (ids, codes, (codes != CODES.index("N")).sum(axis=1)) for n, ids, codes in sides}
 
+        def compared(ones, others) -> Iterator[pa.RecordBatch]:
+            for (na, (ids_a, a, known_a)), (nb, (ids_b, b, known_b)) in product(ones.items(), others.items()):
+                # No column scores over 1 and N scores 0, so no pair left out here can reach the least score.
+                hope = np.minimum(known_a[:, None], known_b) >= least * min(na, nb) - 1e-6
+                i, j = np.nonzero((ids_a[:, None] < ids_b) & hope)
+                if not len(i):
+                    continue
+                sim, strand, off = _both_strands(a[i], b[j], table, other)
+                near = sim >= least - 1e-6
+                columns = [pa.array(ids_a[i[near]]), pa.array(ids_b[j[near]]), pa.array(sim[near]), pa.array(strand[near], pa.string()), pa.array(off[near].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id_a", "id_b", "sim", "strand", "off"])
+
         for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                ones, others = by_width(left), by_width(right)
-                for (na, (ids_a, a, known_a)), (nb, (ids_b, b, known_b)) in product(ones.items(), others.items()):
-                    # No column scores over 1 and N scores 0, so no pair left out here can reach the least score.
-                    hope = np.minimum(known_a[:, None], known_b) >= least * min(na, nb) - 1e-6
-                    i, j = np.nonzero((ids_a[:, None] < ids_b) & hope)
-                    if not len(i):
-                        continue
-                    sim, strand, off = _both_strands(a[i], b[j], table, other)
-                    near = sim >= least - 1e-6
-                    columns = [pa.array(ids_a[i[near]]), pa.array(ids_b[j[near]]), pa.array(sim[near]), pa.array(strand[near], pa.string()), pa.array(off[near].astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["id_a", "id_b", "sim", "strand", "off"])
+            for left, right, same in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                one, two = by_width(left), by_width(right)
+                yield from compared(one, two)
+                if not same:
+                    yield from compared(two, one)
 
     return run
 
 
+def equal_letters(known: int, width: int, least: float, apart: float) -> int:
+    """Letters that a word with ``known`` letters in ``width`` columns shares at least, in place, with any wider word of similarity ``least``.
+
+    Equal columns score one, others ``apart`` at most, and N and what doesn't overlap zero."""
+    apart = max(apart, 0.0)
+    return int(np.ceil((least * width - apart * known) / (1 - apart) - 1e-6))
+
+
+def parts_of(word: str, least: float, apart: float) -> list[str] | None:
+    """Stretches of ``word`` (letters, and ``.`` for N between them) of which one at least stands in every wider word of similarity ``least``.
+
+    A word of k letters that shares m of them misses k - m, so of k - m + 1 parts one is whole.
+    None where nothing need be shared; no parts where no word comes so near."""
+    at = [i for i, x in enumerate(word) if x != "N"]
+    shared = equal_letters(len(at), len(word), least, apart)
+    if shared > len(at):
+        return []
+    if shared < 1:
+        return None
+    cuts = np.linspace(0, len(at), len(at) - shared + 2).astype(int)
+    return ["".join(word[i] if word[i] != "N" else "." for i in range(at[a], at[b - 1] + 1)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def shape_of(part: str) -> str:
+    return "".join("." if x == "." else "x" for x in part)
+
+
+def _signatures(least: float, apart: float, shapes: list[str]):
+    masks = [[i for i, x in enumerate(shape) if x == "x"] for shape in shapes]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turned = str.maketrans(CODES, COMPLEMENTS)
+        for batch in batches:
+            rows: list[tuple] = []
+            for number, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows += [(part, number, len(word), True) for part in set(parts_of(word, least, apart) or [])]
+                held = set()
+                for text in (word, word[::-1].translate(turned)):
+                    for shape, mask in zip(shapes, masks, strict=True):
+                        for start in range(len(text) - len(shape) + 1):
+                            letters = [text[start + i] for i in mask]
+                            if "N" not in letters:
+                                part = ["."] * len(shape)
+                                for i, x in zip(mask, letters, strict=True):
+                                    part[i] = x
+                                held.add("".join(part))
+                rows += [(part, number, len(word), False) for part in held]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], names=["part", "id", "width", "own"])
+
+    return run
+
+
+def _shapes(least: float, apart: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str | None] = set()
+        for batch in batches:
+            for word in batch.column(0).to_pylist():
+                parts = parts_of(word, least, apart)
+                seen |= {None} if parts is None else {shape_of(p) for p in parts}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen, key=str), pa.string())], names=["shape"])
+
+    return run
+
+
+def candidate_pairs(words: DataFrame, threshold: float = 0.3) -> DataFrame | None:
+    """id_a < id_b of every pair of ``words`` (id, word) that can be within ``threshold``, from an equi-join of parts.
+
+    None where some word need share nothing with a near one, or where parts have more than
+    ``MOST_SHAPES`` shapes."""
+    least = 1 - threshold
+    codes = {r["x"] for r in words.select(F.explode(F.split("word", "")).alias("x")).distinct().where("x NOT IN ('', 'N')").collect()}  # fifteen at most
+    table, known = _correlations(), [CODES.index(x) for x in sorted(codes)]
+    apart = max((float(table[i, j]) for i in known for j in known if i != j), default=-1 / 3)
+    found = words.select("word").mapInArrow(_shapes(least, apart), "shape string").distinct().limit(MOST_SHAPES + 1).collect()
+    if len(found) > MOST_SHAPES or any(r["shape"] is None for r in found):
+        return None
+    rows = saved(words.select(F.col("id").cast("long"), "word").mapInArrow(_signatures(least, apart, sorted(r["shape"] for r in found)), "part string, id long, width int, own boolean"))
+    short = rows.where("own").select("part", F.col("id").alias("i"), F.col("width").alias("wi"))
+    wide = rows.where("NOT own").select("part", F.col("id").alias("j"), F.col("width").alias("wj"))
+    met = short.join(wide, "part").where((F.col("i") != F.col("j")) & ((F.col("wi") < F.col("wj")) | ((F.col("wi") == F.col("wj")) & (F.col("i") < F.col("j")))))
+    return met.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()
+
+
 def near_similarities(words: DataFrame, threshold: float = 0.3) -> DataFrame:
     """``similarities`` of all pairs of ``words`` (id, word) that can be within ``threshold``.
 
-    Every word meets every other: blocks of words are paired and compared inside tasks,
-    so only near pairs leave a task.  Empty words have no columns and no pairs."""
-    words = words.where(F.length("word") > 0).select(F.col("id").cast("long").alias("id"), "word")
+    Pairs are those that share a part (``candidate_pairs``), and none is missed.  Where the threshold is so wide that near
+    words need share no letter, blocks of words are paired and compared inside tasks.  Empty words have
+    no columns and no pairs."""
+    words = saved(words.where(F.length("word") > 0).select(F.col("id").cast("long").alias("id"), "word"))
+    pairs = candidate_pairs(words, threshold)
+    if pairs is not None:
+        return similarities(words, pairs).where(F.col("sim") >= 1 - threshold - 1e-6)
     blocks = max(1, -(-words.count() // BLOCK))
-    block = words.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "word")).alias("rows")).drop("block")
-    left = block.select(F.col("rows").alias("left")).repartition(min(blocks, 2000))
-    both = left.crossJoin(block.select(F.col("rows").alias("right")))
+    block = words.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "word")).alias("rows"))
+    left = block.select(F.col("block").alias("a"), F.col("rows").alias("left"))
+    # Each two blocks meet once, in a stated pairing.
+    paired = left.withColumn("b", F.explode(F.sequence("a", F.lit(blocks - 1).cast("long"))))
+    both = paired.join(block.select(F.col("block").alias("b"), F.col("rows").alias("right")), "b").select("left", "right", (F.col("a") == F.col("b")).alias("same"))
     return both.mapInArrow(_compare_blocks(1 - threshold), "id_a long, id_b long, sim double, strand string, off int")
 
 
