@@ -245,6 +245,32 @@ def log_left(step: float, slope: float, begin: int, count: int) -> float:
     return total + float(term(np.array([low, last], float)).sum() / 2)
 
 
+@dataclass(frozen=True)
+class Averages:
+    """What online EM carries along: running means of rate and letter counts, and the windows seen."""
+
+    rate: float
+    motif: np.ndarray
+    other: np.ndarray
+    seen: int = 0
+
+    @classmethod
+    def of(cls, model: Model) -> Averages:
+        return cls(model.rate, model.theta.copy(), np.tile(model.background, (model.width, 1)))
+
+
+def online_step(start: Model, now: Model, state: Averages, sums: Expected, step: float, slope: float) -> tuple[Model, Averages]:
+    """The model and its averages after a batch: the steps of its windows, compounded towards their mean.  ``start`` is the model at first."""
+    weight = -float(np.expm1(log_left(step, slope, state.seen, sums.windows)))
+    mean, prior = sums.windows, PRIOR * start.background
+    rate = state.rate + weight * (sums.z / (mean if start.spread == ANY else sums.sequences) - state.rate)
+    motif = state.motif + weight * ((sums.motif + sums.z * prior) / mean - state.motif)
+    other = state.other + weight * ((sums.other + (mean - sums.z) * prior) / mean - state.other)
+    background = other.sum(axis=0)
+    after = replace(now, theta=motif / motif.sum(axis=1, keepdims=True), background=background / background.sum(), rate=min(max(rate, 1e-12), 1 - 1e-12), density=sums.z / mean)
+    return after, Averages(rate, motif, other, state.seen + sums.windows)
+
+
 def online_em(seqs: DataFrame, models: list[Model], first_step: float = 0.05, decay: float = -0.6, passes: int = 5, batches: int = 8, seed: int = 0, both_strands: bool = True, key: str = "seq_id") -> list[Model]:
     """Online EM by seeded mini-batches.
 
@@ -254,9 +280,8 @@ def online_em(seqs: DataFrame, models: list[Model], first_step: float = 0.05, de
     a folder for each batch, and a batch reads only its own."""
     bucketed = saved(seqs.select("seq", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(batches)).alias("__batch")), by="__batch")
     now, active = list(models), set(range(len(models)))
-    state = [(m.rate, m.theta.copy(), np.tile(m.background, (m.width, 1))) for m in models]
-    steps, seen, slopes = [max(first_step, 10 * m.rate) for m in models], [0] * len(models), [decay] * len(models)
-    prior = [PRIOR * m.background for m in models]
+    state = [Averages.of(m) for m in models]
+    steps, slopes = [max(first_step, 10 * m.rate) for m in models], [decay] * len(models)
     for _ in range(passes):
         before = [m.theta for m in now]
         for b in range(batches):
@@ -268,17 +293,7 @@ def online_em(seqs: DataFrame, models: list[Model], first_step: float = 0.05, de
             for place, i in enumerate(order):
                 if place not in found:
                     continue
-                sums = found[place]
-                step = -float(np.expm1(log_left(steps[i], slopes[i], seen[i], sums.windows)))
-                seen[i] += sums.windows
-                mean = sums.windows
-                rate, motif, other = state[i]
-                rate += step * (sums.z / (mean if models[i].spread == ANY else sums.sequences) - rate)
-                motif = motif + step * ((sums.motif + sums.z * prior[i]) / mean - motif)
-                other = other + step * ((sums.other + (mean - sums.z) * prior[i]) / mean - other)
-                state[i] = rate, motif, other
-                background = other.sum(axis=0)
-                now[i] = replace(now[i], theta=motif / motif.sum(axis=1, keepdims=True), background=background / background.sum(), rate=min(max(rate, 1e-12), 1 - 1e-12), density=sums.z / mean)
+                now[i], state[i] = online_step(models[i], now[i], state[i], found[place], steps[i], slopes[i])
         for i in sorted(active):
             if divergence(before[i], now[i].theta) < CONVERGED:
                 active.discard(i)
