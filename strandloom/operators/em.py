@@ -13,6 +13,7 @@ or exactly one (``ONE``).
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.packing import letters, pieces
+from strandloom.operators.packing import PIECE, letters, stretches
 from strandloom.operators.scan import TIE, window_scores
 from strandloom.storage import saved
 
@@ -113,6 +114,12 @@ def place_weights(weights: pa.Array, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def stretch_weights(weights: pa.Array, shift: int, size: int) -> np.ndarray:
+    """Weights of ``size`` letters of a single long sequence."""
+    held = weights.flatten().to_numpy(zero_copy_only=False)[shift : shift + size]
+    return held if len(held) == size else np.ones(size)
+
+
 def least_weight(weights: np.ndarray, width: int) -> np.ndarray:
     """The least weight of each window's places."""
     n = len(weights) - width + 1
@@ -125,12 +132,18 @@ def least_weight(weights: np.ndarray, width: int) -> np.ndarray:
 def _expected(models: list[Model], both_strands: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [[0.0, np.zeros((m.width, 4)), np.zeros((m.width, 4)), 0.0, 0, 0, 0] for m in models]
+        # Where a sequence has one site at most, its windows depend on one another and it is taken whole.
+        long = PIECE if all(m.spread == ANY for m in models) else sys.maxsize
         for batch in batches:
-            for piece in pieces(batch):
+            for part in stretches(batch, 0, max(m.width for m in models) - 1, size=long):
+                piece = part.piece
                 code, offsets = letters(piece.column(0))
                 owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
                 bad = np.concatenate([[0], np.cumsum(code == 4)])
-                weights = place_weights(piece.column(1), offsets) if piece.num_columns > 1 else None
+                weights = None
+                if piece.num_columns > 1:
+                    held = piece.column(1)
+                    weights = place_weights(held, offsets) if part.last is None else stretch_weights(held, part.shift, len(code))
                 for model, total in zip(models, sums, strict=True):
                     w = model.width
                     n = len(code) - w + 1
@@ -139,7 +152,7 @@ def _expected(models: list[Model], both_strands: bool):
                     known = (owner[:n] == owner[w - 1 :]) & (bad[w:] == bad[:n])
                     prior = None if weights is None else np.log(np.maximum(least_weight(weights, w), LEAST_WEIGHT))
                     z, reverse, score = responsibilities(code, model, both_strands, prior)
-                    at = np.flatnonzero(known)
+                    at = part.own(np.flatnonzero(known))
                     z, reverse, score = z[at], reverse[at], score[at]
                     if not len(at):
                         continue

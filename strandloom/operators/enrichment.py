@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.operators.packing import letters, pieces
+from strandloom.operators.packing import letters, stretches
 from strandloom.storage import saved
 
 #: Half-words up to which counts are kept in a dense table (4 ** (2 * half) counters a gap).
@@ -31,7 +31,8 @@ def _counter(half: int, gaps: range):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = {(i, g): np.zeros(words, np.int64) for i in (False, True) for g in gaps} if half <= DENSE_HALF else None
         for batch in batches:
-            for piece in pieces(batch):
+            for part_of in stretches(batch, 0, ahead=2 * half + max(gaps, default=0) - 1):
+                piece = part_of.piece
                 code, offsets = letters(piece.column(0))
                 owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
                 own = piece.column(1).to_numpy(zero_copy_only=False).astype(bool)
@@ -48,7 +49,7 @@ def _counter(half: int, gaps: range):
                     if m <= 0:
                         continue
                     shift = half + g
-                    at = np.flatnonzero(known[:m] & known[shift : shift + m] & (owner[:m] == owner[shift + half - 1 : shift + half - 1 + m]))
+                    at = part_of.own(np.flatnonzero(known[:m] & known[shift : shift + m] & (owner[:m] == owner[shift + half - 1 : shift + half - 1 + m])))
                     packed = part[at] * 4**half + part[at + shift]
                     mine = own[owner[at]] if both else None
                     for i in (False, True):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.operators.ordered import running_totals
-from strandloom.operators.packing import letters, pieces, raw_letters
+from strandloom.operators.packing import letters, pieces, raw_letters, stretches
 
 Matrix = Sequence[Sequence[float]]
 #: Scores of both strands this close are a tie, which the plus strand wins.
@@ -109,20 +109,24 @@ def _texts(raw: np.ndarray, places: np.ndarray, inside: np.ndarray, turned: np.n
 def _scan(log_odds: Matrix, threshold: float | None, both_strands: bool, apart: bool, words: bool, flank: int, peaks: bool = False):
     forward, backward = _matrices(log_odds)
     width = len(forward)
+    behind = max(flank, width - 1 if peaks else 0)
     names = ["seq_id", "start", "strand", "score", *(["word"] if words else []), *(["left", "right"] if flank else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free = 0  # where the next hit of a long sequence may start, if hits are to lie apart
         for batch in batches:
-            for piece in pieces(batch, 1):
+            for part in stretches(batch, 1, width - 1 + behind, behind):
+                piece, free = part.piece, 0 if part.begins else free
                 found = _scored(piece.column(1), forward, backward, both_strands)
                 at = local_maxima(found.best, found.known, found.owner, width) if peaks else found.known
-                at = at if threshold is None else at[found.best[at] > threshold]
+                at = part.own(at if threshold is None else at[found.best[at] > threshold])
                 if apart:
-                    at = greedy(at, width)
+                    at = greedy(at[at + part.shift >= free], width)
+                    free = int(at[-1]) + part.shift + width if len(at) else free
                 owner, reverse = found.owner[at], found.reverse[at]
                 begin, end = found.offsets[owner], found.offsets[owner + 1]
                 strand = pa.array(np.where(reverse, "-", "+").astype(object), pa.string())
-                columns = [piece.column(0).take(pa.array(owner)), pa.array((at - begin).astype(np.int64)), strand, pa.array(found.best[at])]
+                columns = [piece.column(0).take(pa.array(owner)), pa.array((at - begin + part.shift).astype(np.int64)), strand, pa.array(found.best[at])]
                 if words or flank:
                     raw, j = raw_letters(piece.column(1))[0], np.arange(width)
                 if words:
@@ -197,14 +201,18 @@ def erased(seqs: DataFrame, log_odds: Matrix, rate: float, both_strands: bool =
             place = batch.schema.get_field_index(seq)
             for piece in pieces(batch, place):
                 texts = piece.column(place)
-                found = _scored(texts, forward, backward, both_strands)
-                at = greedy(found.known[found.best[found.known] > threshold], width)
                 raw, offsets = raw_letters(texts)
-                raw = raw.copy()
-                raw[(at[:, None] + np.arange(width)).ravel()] = ord("N")
+                raw, owners, free = raw.copy(), [], 0
+                for part in stretches(piece, place, width - 1):
+                    found = _scored(part.piece.column(place), forward, backward, both_strands)
+                    at = part.own(found.known[found.best[found.known] > threshold])
+                    at = greedy(at[at + part.shift >= free], width)
+                    free = int(at[-1]) + part.shift + width if len(at) and part.last is not None else free
+                    raw[(at[:, None] + part.shift + np.arange(width)).ravel()] = ord("N")
+                    owners.append(found.owner[at])
                 masked = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw))
                 masked = pc.if_else(texts.is_null(), pa.scalar(None, pa.string()), masked)
-                counts = np.bincount(found.owner[at], minlength=len(texts)).astype(np.int32)
+                counts = np.bincount(np.concatenate(owners), minlength=len(texts)).astype(np.int32)
                 yield piece.set_column(place, seq, masked).append_column("erased", pa.array(counts))
 
     return seqs.mapInArrow(run, T.StructType([*seqs.schema.fields, T.StructField("erased", T.IntegerType())]))

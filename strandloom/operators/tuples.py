@@ -20,7 +20,7 @@ DENSE = 10
 def _counter(widths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = {w: np.zeros(4**w, np.int64) for w in widths if w <= DENSE}
-        for code, owner in packed_batches(batches):
+        for code, owner, own in packed_batches(batches, ahead=max(widths) - 1):
             for w in widths:
                 n = len(code) - w + 1
                 if n <= 0:
@@ -29,6 +29,8 @@ def _counter(widths: list[int]):
                 for j in range(w):
                     packed = packed * 4 + code[j : j + n]
                     known &= code[j : j + n] < 4
+                if own is not None:
+                    known[own:] = False
                 if w in dense:
                     dense[w] += np.bincount(packed[known], minlength=4**w)
                 else:
