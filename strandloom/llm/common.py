@@ -7,7 +7,9 @@ folder, ``attach`` joins a per-key table back to rows whose keys may be hot, and
 
 from __future__ import annotations
 
+import ctypes
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +25,8 @@ __all__ = ["attach", "ascii_lower", "saved", "shared_dir"]
 
 #: Text bytes handled by one numpy pass; one longer text is still taken whole.
 SLICE_BYTES = 2 << 20
-#: Rows of one Arrow batch of texts: Spark and a Python worker both hold a batch whole.
-BATCH_ROWS = 2000
+#: Rows and bytes of one Arrow batch: Spark and a Python worker both hold a batch whole.
+BATCH_ROWS, BATCH_BYTES = 2000, "8m"
 #: At most this many hot keys are broadcast by ``attach``.
 HOT_KEYS = 1000
 
@@ -37,15 +39,30 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def saved(df: DataFrame, by: str | None = None) -> DataFrame:
-    """``storage.saved`` in Arrow batches of at most ``BATCH_ROWS`` rows; the session's own bound holds again afterwards."""
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    before = conf.get(name)
-    if not 0 < int(before) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    """``storage.saved`` in Arrow batches of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES``; the session's own bounds hold again afterwards."""
+    conf = df.sparkSession.conf
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {name: conf.get(name) for name in (rows, size)}
+    if not 0 < int(before[rows]) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
+    conf.set(size, BATCH_BYTES)
     try:
         return storage.saved(df, by)
     finally:
-        conf.set(name, before)
+        for name, value in before.items():
+            conf.set(name, value)
+
+
+def releasing(kernel):
+    """``kernel``, which hands memory back to the system when a task ends: a Python worker lives on, and what it held would stay with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kernel(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
 
 
 def carried(docs: DataFrame):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import attach, carried, lower_bytes, saved, shuffle_parts, slices, text_bytes, with_text
+from strandloom.llm.common import attach, carried, lower_bytes, releasing, saved, shuffle_parts, slices, text_bytes, with_text
 
 #: Dropped rows up to which their keys are broadcast (48 bytes each).
 BROADCAST_ROWS = 200_000
@@ -57,7 +57,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, SHA-256 of the text with A-Z lower-cased, and its length in bytes."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_digest, _DIGESTED)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(_digest), _DIGESTED)
 
 
 def collapsed(runs: list[pa.RecordBatch], keep: str) -> pa.RecordBatch | None:
@@ -170,7 +170,7 @@ def deduplicate(docs: DataFrame, keep: str = "largest", fan_in: int = 2) -> Data
     tied = marked.where(F.col("stays") & (F.col("count") > 1)).select("__id", "__d")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), carried(docs))
     kinds = T.StructType([T.StructField("doc", T.LongType()), T.StructField("hash", T.BinaryType()), rows.schema["row"]])
-    coded = rows.mapInArrow(_with_digest, kinds)
+    coded = rows.mapInArrow(releasing(_with_digest), kinds)
 
     def among(pairs: DataFrame, how: str) -> DataFrame:
         few = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs

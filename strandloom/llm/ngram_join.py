@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import attach, carried, lower_bytes, mix, saved, shuffle_parts, slices, split_words, text_bytes
+from strandloom.llm.common import attach, carried, lower_bytes, mix, releasing, saved, shuffle_parts, slices, split_words, text_bytes
 from strandloom.llm.components import components
 
 #: Counters of the frequency sketch (a power of two) and of one block of it.
@@ -349,7 +349,7 @@ def class_links(texts: DataFrame, classes: DataFrame, ranks: np.ndarray, k: int,
     """Links (a, b) between class keys that connect all classes that similar pairs connect."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
-    prefixes = saved(texts.select("text").mapInArrow(_prefixes(k, percent, shared), "token long, key long, room int, plain boolean"))
+    prefixes = saved(texts.select("text").mapInArrow(releasing(_prefixes(k, percent, shared)), "token long, key long, room int, plain boolean"))
     ends = prefixes.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("rows"))
     shared_tokens = saved(ends.where("lo < hi").select("token", "rows"))
     postings = saved(attach(prefixes, shared_tokens, "token", "rows").where(F.col("rows").isNotNull()).select("token", "key", "room", "plain").distinct())
@@ -369,19 +369,19 @@ def class_links(texts: DataFrame, classes: DataFrame, ranks: np.ndarray, k: int,
     wanted = saved(member.join(wanted, "group"))
     ids = wanted.select(F.col("rep").alias("__rep")).distinct()
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
-    found = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi").select("text").mapInArrow(_sets(k), "key long, tokens binary")
+    found = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi").select("text").mapInArrow(releasing(_sets(k)), "key long, tokens binary")
     sets = found.join(wanted.select("key", "group"), "key").groupBy("key").agg(F.first("group").alias("group"), F.first("tokens").alias("tokens"))
     blocks = saved(sets.groupBy("group").agg(F.collect_list(F.struct("key", "tokens")).alias("members")))
     links = "a long, b long"
-    within = blocks.where(F.size("members") > 1).select("members").mapInArrow(_within(percent), links)
-    return saved(within.unionByName(_beside_partners(pairs, blocks).mapInArrow(_across(percent), links)))
+    within = blocks.where(F.size("members") > 1).select("members").mapInArrow(releasing(_within(percent)), links)
+    return saved(within.unionByName(_beside_partners(pairs, blocks).mapInArrow(releasing(_across(percent)), links)))
 
 
 def _joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, mark (a hash of the text), n, component (a class key; null without a set) and component_id for every row."""
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    first = saved(texts.mapInArrow(_first_pass(k, percent), _SLIM))
+    first = saved(texts.mapInArrow(releasing(_first_pass(k, percent)), _SLIM))
     slim = first.where(F.col("block").isNull()).select("doc_id", "mark", "n", "key", "label")
     classes = slim.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("label").alias("label"))
     classes = saved(classes.withColumn("component", F.col("key")))

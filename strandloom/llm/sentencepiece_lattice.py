@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import saved, shuffle_parts, slices, text_bytes
+from strandloom.llm.common import releasing, saved, shuffle_parts, slices, text_bytes
 
 #: Words that are folded ahead and broadcast, at most, their bytes, and the occurrences that make one worth it.
 FREQUENT, FREQUENT_BYTES, WORTH = 1 << 20, 64 << 20, 4
@@ -341,7 +341,7 @@ def frequent_words(texts: DataFrame, vocabulary: Vocabulary, shared, limit: int)
     There are at most ``limit``, of at most ``FREQUENT_BYTES``.  Counts cover all texts.  The
     least count is found from counts by eighths of a power of two, of which there are at most
     a few hundred."""
-    counted = texts.select("text").mapInArrow(_count(shared), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = texts.select("text").mapInArrow(releasing(_count(shared)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counted = saved(counted.where(F.col("n") >= WORTH).withColumn("step", F.floor(F.log2("n") * 8).cast("int")))
     steps = counted.groupBy("step").agg(F.count(F.lit(1)).alias("words"), F.sum(F.octet_length("word")).alias("bytes")).orderBy(F.col("step").desc()).collect()
     words, size, least = 0, 0, None
@@ -493,7 +493,7 @@ def _encode(docs: DataFrame, vocabulary: Vocabulary, limit: int, finish, schema:
     shared = context.broadcast(vocabulary)
     frequent = context.broadcast(_to_ipc(*frequent_words(texts, vocabulary, shared, limit)))
     # All rows of a text meet at this one exchange; folding and gathering keep its partitioning.
-    coded = texts.mapInArrow(_code(shared, frequent), _CODED)
+    coded = texts.mapInArrow(releasing(_code(shared, frequent)), _CODED)
     coded = coded.repartition(4 * shuffle_parts(docs.sparkSession), "row")  # small tasks, as lattices are many times their words
     # Before the first MARK stands an empty word, whose row carries the text's own columns.
     words = coded.select("*", F.posexplode(F.split("rare", MARK)).alias("place", "word"))
@@ -501,7 +501,7 @@ def _encode(docs: DataFrame, vocabulary: Vocabulary, limit: int, finish, schema:
     folded = word_borders(words.select("row", "place", "word", head), vocabulary, ["row", "place", "word"], ["head"])
     pair = F.when(F.col("place") > 0, F.struct("place", "word", "borders"))
     gathered = folded.groupBy("row").agg(F.first("head", ignorenulls=True).alias("head"), F.collect_list(pair).alias("found"))
-    return gathered.select("head", "found").mapInArrow(_assemble(shared, frequent, finish), schema)
+    return gathered.select("head", "found").mapInArrow(releasing(_assemble(shared, frequent, finish)), schema)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, limit: int = FREQUENT) -> DataFrame:
