@@ -51,7 +51,7 @@ FIXED = (
     r"|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})"
 )
 KEY_BLOCK = r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[A-Za-z0-9+/=\s\\:,\-]*?-----END [A-Z ]{0,32}PRIVATE KEY-----"
-URL_PASSWORD = r"(?<=://[^\s/:@]{1,64}:)[^\s/@\"'<>]{1,256}(?=@[A-Za-z0-9])"
+URL_PASSWORD = r"(?<=:)(?<=://[^\s/:@]{1,64}:)[^\s/@\"'<>]{1,256}(?=@[A-Za-z0-9])"
 PREFIXED = rf"(?<!{KEY}){FIXED}(?!{KEY})|{KEY_BLOCK}|{URL_PASSWORD}"
 #: What stands before the password in a url.
 URL_BEFORE = r"://[^\s/:@]{1,64}:$"
