@@ -204,11 +204,26 @@ def motif_table(spark, motifs: list[Motif]) -> DataFrame:
     return spark.createDataFrame(rows, "motif string, alt string, nsites long, log_evalue double, pos int, A double, C double, G double, T double")
 
 
-def start_models(words: DataFrame, background_: np.ndarray, rate: float, own: float = 0.7, word: str = "word") -> list[em.Model]:
-    """A starting model for each of a few distinct ``words``: its letters have probability ``own``, an N's are the background's."""
+def shared_map(own: float = 0.7) -> np.ndarray:
+    """Rows of letter probabilities by a word's letter: ``own`` for itself, the rest in equal parts."""
+    return np.full((4, 4), (1 - own) / 3) + np.eye(4) * (own - (1 - own) / 3)
+
+
+def substitution_map(power: int, stay: float = 0.99, transition: float = 0.006) -> np.ndarray:
+    """The same after ``power`` steps in each of which a letter stays, goes over to its like (A and G, C and T) or to one of the others."""
+    other = (1 - stay - transition) / 2
+    step = np.full((4, 4), other) + np.eye(4) * (stay - other)
+    for i, j in ((0, 2), (2, 0), (1, 3), (3, 1)):
+        step[i, j] = transition
+    return np.linalg.matrix_power(step, power)
+
+
+def start_models(words: DataFrame, background_: np.ndarray, rate: float, own: float = 0.7, word: str = "word", letters: np.ndarray | None = None) -> list[em.Model]:
+    """A starting model for each of a few distinct ``words``: letters become rows of a map (``shared_map(own)`` by default), an N's are the background's."""
+    letters = shared_map(own) if letters is None else letters
     out = []
     for r in words.select(word).where(F.length(word) > 0).distinct().orderBy(word).collect():
-        rows = [[own if x == y else (1 - own) / 3 for x in LETTERS] if y in LETTERS else list(background_) for y in r[0].upper()]
+        rows = [list(letters[LETTERS.index(y)]) if y in LETTERS else list(background_) for y in r[0].upper()]
         out.append(em.Model(r[0], np.array(rows), background_, rate))
     return out
 

@@ -188,6 +188,21 @@ def test_planted_word_is_the_first_start(spark):
     assert refinement.best_by_width(seqs, models, iterations=10)[8].sites >= 90
 
 
+def test_letter_maps(spark):
+    assert np.allclose(refinement.substitution_map(0), np.eye(4))
+    for power in (1, 40, 5000):
+        rows = refinement.substitution_map(power)
+        assert np.allclose(rows.sum(axis=1), 1) and np.allclose(rows, rows.T)
+        assert rows[0, 2] > rows[0, 1] or power == 5000
+    assert np.allclose(refinement.substitution_map(5000), 0.25, atol=1e-6)
+    assert np.allclose(refinement.substitution_map(7), np.linalg.matrix_power(refinement.substitution_map(1), 7))
+    words = spark.createDataFrame([("ANG",)], "word string")
+    for letters in (None, refinement.substitution_map(40)):
+        model = refinement.start_models(words, EVEN, 0.1, letters=letters)[0]
+        rows = refinement.shared_map() if letters is None else letters
+        assert np.allclose(model.theta, [rows[0], EVEN, rows[2]])
+
+
 def test_tiles_equal_a_greedy_pass(spark, odd_rows):
     motifs = [tiles.scored_motif(w, np.log(matrix_of(w) / 0.25), [0.25] * 4, 20) for w in ("TGACTCA", "ACGTA", "GGGC")]
     got = {r["seq_id"]: r for r in tiles.tiled(spark.createDataFrame(odd_rows, "seq_id long, seq string").repartition(3), motifs, 0.02).collect()}
