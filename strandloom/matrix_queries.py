@@ -5,8 +5,6 @@ Matrices are those of ``weighted_pfm``: one for each gap of the enriched words.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -244,7 +242,8 @@ def motif_alignment(spark, sf_dir):
 
 @_query()
 def motif_file_text(spark, sf_dir):
-    """The refined scan motif as the text of a motif file's block."""
+    """The matrix of the scan's hits, with its E-value, as the text of a motif file's block."""
     hits = base.hit_words(spark, sf_dir).withColumn("motif", F.lit("M1"))
     columns = composition.probability_matrix(composition.count_matrix(hits, ["motif"], len(MOTIF)).withColumn("nsites", F.col("A") + F.col("C") + F.col("G") + F.col("T")))
-    return motifs.motif_block_text(columns.withColumns({"alt": F.lit(MOTIF), "log_evalue": F.lit(math.log(1e-3))}))
+    value = base.motif_significance(spark, sf_dir).select("log_evalue")  # one row
+    return motifs.motif_block_text(columns.withColumn("alt", F.lit(MOTIF)).join(F.broadcast(value)))
