@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,18 @@ def background(seqs: DataFrame) -> np.ndarray:
     return np.array([found[x] for x in LETTERS])
 
 
+def seed_stream(matrices: DataFrame, other: np.ndarray, rate: float, keys: tuple[str, ...] = ("cluster",)) -> Iterator[em.Model]:
+    """Models from matrices (keys, pos, A, C, G, T) in the order of their keys, the last of which names them.
+
+    Rows come to the driver a partition at a time, so that however many seeds there are, only those of one are held."""
+    ordered = matrices.select(*keys, "pos", *LETTERS).orderBy(*keys, "pos")
+    for key, rows in groupby(ordered.toLocalIterator(), key=lambda r: tuple(r[k] for k in keys)):
+        yield em.Model(str(key[-1]), np.array([[r[x] for x in LETTERS] for r in rows]), other, rate)
+
+
 def seed_models(matrices: DataFrame, other: np.ndarray, rate: float) -> list[em.Model]:
-    """Models from seed matrices (cluster, pos, A, C, G, T): a few rows for each motif."""
-    rows: dict[str, list] = {}
-    for r in matrices.orderBy("cluster", "pos").collect():
-        rows.setdefault(str(r["cluster"]), []).append([r[x] for x in LETTERS])
-    return [em.Model(name, np.array(m), other, rate) for name, m in rows.items()]
+    """The same as a list, for few seeds (cluster, pos, A, C, G, T)."""
+    return list(seed_stream(matrices, other, rate))
 
 
 def log_odds(model: em.Model) -> list[list[float]]:
@@ -152,7 +159,7 @@ class Discovery:
 
 
 def discover(
-    positive: DataFrame, seeds: list[em.Model], negative: DataFrame | None = None, most: int = 5, log_evalue_cut: float = 0.0, fit: str = "online", erasing: str | None = None, **options
+    positive: DataFrame, seeds: Iterable[em.Model], negative: DataFrame | None = None, most: int = 5, log_evalue_cut: float = 0.0, fit: str = "online", erasing: str | None = None, **options
 ) -> Discovery:
     """Motif after motif: fit a seed, test its E-value, erase its sites from both sets, and go on with the next.
 

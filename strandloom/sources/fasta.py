@@ -30,20 +30,30 @@ def parse_records(lines: Iterator[str]) -> Iterator[tuple[int, str, str, str]]:
         yield number, name, info, "".join(body)
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """name, info, seq, file and offset-ordered records of FASTA files of any size.
-
-    Spark's text reader splits at ``>`` preceded by a line break, so large files are
-    read in parallel; seq_id orders records within the scan."""
-    rows = spark.read.option("lineSep", "\n>").text(path)
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.option("lineSep", "\n>").text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
     head = F.regexp_replace(F.col("value"), r"^>", "")
     lines = F.split(head, r"\r?\n")
     info = lines[0]
     body = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.array_join(F.transform(F.filter(F.split(x, r"\s+"), lambda w: w != ""), lambda w: F.btrim(w, F.lit("*"))), ""))
-    named = rows.where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("seq_id"), F.regexp_extract(info, r"^\s*(\S*)", 1).alias("name"), info.alias("info"), F.array_join(body, "").alias("seq"))
+    named = rows.where(F.trim("value") != "").select("file_path", "file_block_start", F.monotonically_increasing_id().alias("seq_id"), F.regexp_extract(info, r"^\s*(\S*)", 1).alias("name"), info.alias("info"), F.array_join(body, "").alias("seq"))
     return named
 
 
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """seq_id, name, info, seq of the records of FASTA files of any size.
+
+    Spark's text reader splits at ``>`` preceded by a line break, so large files are
+    read in parallel; seq_id orders the records of a file's split."""
+    return _records(spark, path).select("seq_id", "name", "info", "seq")
+
+
+def read_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """The same with seq_id from 0 without gaps, by file, then by place in it, however the files are split."""
+    rows = _records(spark, path).select(F.struct("file_path", "file_block_start", "seq_id").alias("at"), "name", "info", "seq", F.lit(1).alias("one"))
+    return running_totals(rows, "at", ["one"]).select((F.col("upto_one") - 1).alias("seq_id"), "name", "info", "seq")
+
+
 def checked(seqs: DataFrame, letters: str) -> DataFrame:
     """``seqs`` in upper case without ``*`` and ``.``; an error where other letters remain."""
     clean = F.translate(F.upper(F.regexp_replace("seq", r"\s", "")), "*.", "")

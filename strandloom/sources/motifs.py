@@ -47,11 +47,11 @@ def cluster_text(members: DataFrame) -> DataFrame:
 
 
 def read_seed_matrices(spark: SparkSession, path: str, pseudo: float = 0.0) -> DataFrame:
-    """motif, consensus, pos, A, C, G, T, each row raised by ``pseudo`` and normalised."""
+    """block (rising in the order of the file), motif, consensus, pos, A, C, G, T, each row raised by ``pseudo`` and normalised."""
     head, numbers = F.split("head", r"\s+"), F.transform(F.split(F.trim("line"), r"\s+"), lambda x: x.cast("double") + pseudo)
-    rows = blocks(spark, path).where(F.col("line").isNotNull()).select(head[0].alias("motif"), F.get(head, F.lit(1)).alias("consensus"), F.col("place").alias("pos"), numbers.alias("v"))
+    rows = blocks(spark, path).where(F.col("line").isNotNull()).select("block", head[0].alias("motif"), F.get(head, F.lit(1)).alias("consensus"), F.col("place").alias("pos"), numbers.alias("v"))
     total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
-    return rows.where(F.col("pos") < F.length("consensus")).select("motif", "consensus", "pos", *((F.col("v")[k] / total).alias(x) for k, x in enumerate(LETTERS)))
+    return rows.where(F.col("pos") < F.length("consensus")).select("block", "motif", "consensus", "pos", *((F.col("v")[k] / total).alias(x) for k, x in enumerate(LETTERS)))
 
 
 def seed_matrix_text(pfm: DataFrame) -> DataFrame:
