@@ -31,7 +31,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,6 +48,8 @@ FREQUENT, FREQUENT_BYTES, WORTH = 1 << 20, 64 << 20, 4
 HELD, ROWS = 1 << 17, 1 << 16
 #: Text bytes of one pass; each looks up its words among all frequent ones.
 PASS_BYTES = 3 << 20
+#: Words of one pass from codes to ids; a longer text is one pass.
+PASS_CODES = 1 << 18
 #: Borders that one fold can hold, and the bits of an id.
 LONGEST, NO_PIECE = 62, (1 << 20) - 1
 #: Rank of edges that merge nothing.
@@ -123,21 +125,35 @@ class Vocabulary:
             out += [self.text_ids[p]] if p in self.text_ids else [self.byte_ids[b] for b in p.encode()]
         return out
 
+    @cached_property
+    def known(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Pieces of text, their ids, and the id of each byte."""
+        of_bytes = np.full(256, -1, np.int32)
+        of_bytes[list(self.byte_ids)] = list(self.byte_ids.values())
+        return pa.array(list(self.text_ids), pa.string()), np.array(list(self.text_ids.values()), np.int32), of_bytes
+
+    def ids_between(self, words: pa.Array, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts between the borders that folds left standing, of all words in a row, and each word's number of ids."""
+        pieces, piece_ids, of_bytes = self.known
+        data, offsets = text_bytes(words)
+        at = np.flatnonzero((data & 0xC0) != 0x80)  # first bytes of characters
+        word = np.searchsorted(offsets, at, side="right") - 1
+        stands = (borders[word] >> (np.arange(len(at)) - np.searchsorted(at, offsets[:-1])[word])) & 1 == 1
+        begins, word = at[stands], word[stands]
+        bounds = np.append(begins, len(data)).astype(np.int32)
+        parts = pa.StringArray.from_buffers(len(begins), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data)))
+        found = pc.fill_null(pc.index_in(parts, value_set=pieces), -1).to_numpy(zero_copy_only=False)
+        spelt = found < 0
+        sizes = np.where(spelt, np.diff(bounds), 1)
+        out = np.repeat(np.where(spelt, 0, piece_ids[found]), sizes).astype(np.int32)
+        if spelt.any():
+            places = np.repeat((np.cumsum(sizes) - sizes)[spelt], sizes[spelt]) + _ramp(sizes[spelt])
+            out[places] = of_bytes[data[np.repeat(begins[spelt], sizes[spelt]) + _ramp(sizes[spelt])]]
+        return out, np.bincount(word, weights=sizes, minlength=len(words)).astype(np.int64)
+
     def ids_at(self, word: str, borders: int) -> list[int]:
-        """Ids of the parts between the borders that a fold left standing."""
-        out, a = [], 0
-        known, rest = self.text_ids, borders >> 1
-        while rest:
-            b = a + (rest & -rest).bit_length()
-            part = word[a:b]
-            i = known.get(part)
-            if i is None:
-                out += [self.byte_ids[x] for x in part.encode()]
-            else:
-                out.append(i)
-            rest >>= b - a
-            a = b
-        return out
+        """Ids of one word's parts."""
+        return self.ids_between(pa.array([word]), np.array([borders]))[0].tolist()
 
     def merged(self, word: str) -> list[int]:
         """BPE of one word by a priority queue, for any length."""
@@ -329,8 +345,9 @@ def word_borders(words: DataFrame, vocabulary: Vocabulary, keys: list[str], carr
 def _listed_ids(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [shared.value.ids_at(w, b) for w, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
+            ids, sizes = shared.value.ids_between(batch.column(0), batch.column(1).to_numpy(zero_copy_only=False))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], names=["word", "n", "ids"])
 
     return run
 
@@ -360,13 +377,61 @@ def frequent_words(texts: DataFrame, vocabulary: Vocabulary, shared, limit: int)
 
 #: A row for each text: its word codes, the ids of words that no fold takes, and its other rare words, each after a MARK (which no word has).
 _CODED = "row long, doc_id long, text_sha256 binary, codes binary, odd array<array<int>>, rare string"
-_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.int32())), pa.string()]
+_ODD = pa.list_(pa.list_(pa.int32()))
 _NAMES = ["row", "doc_id", "text_sha256", "codes", "odd", "rare"]
 
 
+class Listed:
+    """Frequent words and their ids, as broadcast; a code is a word's place among them.
+
+    Words are looked up by hash and compared.  One whose hash is also that of an earlier word
+    is not found; it then travels with its text like any rare word."""
+
+    def __init__(self, data: bytes):
+        table = _from_ipc(data)
+        self.words = table.column(0).combine_chunks()
+        ids = table.column(1).combine_chunks()
+        self.flat, bounds = ids.flatten().to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+        self.begins, self.lengths = bounds[:-1], np.diff(bounds)
+
+    @cached_property
+    def sorted(self) -> tuple[np.ndarray, np.ndarray]:
+        hashes = _hashes(self.words)
+        order = np.argsort(hashes, kind="stable")
+        return hashes[order], order.astype(np.int32)
+
+    def codes(self, words: pa.Array) -> np.ndarray:
+        """Codes of words, -1 for those that are not found."""
+        if not len(self.words) or not len(words):
+            return np.full(len(words), -1, np.int64)
+        hashes, order = self.sorted
+        place = order[np.minimum(np.searchsorted(hashes, _hashes(words)), len(order) - 1)]
+        same = pc.equal(self.words.take(pa.array(place)), words).to_numpy(zero_copy_only=False)
+        return np.where(same, place, -1).astype(np.int64)
+
+
+@lru_cache(maxsize=1)
+def _listed(data: bytes) -> Listed:
+    """Of one broadcast, once for all tasks of a Python worker."""
+    return Listed(data)
+
+
+#: Random numbers by byte and its place in a word; a word's hash is their sum.
+_SALT = np.random.default_rng(5).integers(0, 1 << 64, 1 << 16, np.uint64)
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """Of words, none of which is empty."""
+    data, offsets = text_bytes(words)
+    if not len(data):
+        return np.zeros(len(words), np.uint64)
+    place = np.minimum(_ramp(np.diff(offsets)), 255)
+    return np.add.reduceat(_SALT[(place << 8) | data], offsets[:-1])
+
+
 def _code(shared, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, listed = shared.value, _from_ipc(frequent.value).column(0).combine_chunks()
+        vocabulary, listed = shared.value, _listed(frequent.value)
         odd_ids: dict[str, list[int]] = {}
 
         def merged(word: str) -> list[int]:
@@ -377,25 +442,36 @@ def _code(shared, frequent):
 
         for batch in batches:
             for piece in slices(batch, size=PASS_BYTES):
+                rows = piece.num_rows
                 words, bounds = cut_words(piece.column(2), vocabulary.inside)
                 coded = words.dictionary_encode()
-                at, known = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
-                code = pc.fill_null(pc.index_in(known, value_set=listed), -1).to_numpy(zero_copy_only=False)[at] if len(words) else np.zeros(0, np.int32)
-                odd = _odd(known, vocabulary) if len(known) else np.zeros(0, bool)
-                rows: list[tuple] = []
-                for row, doc_id, text, a, b in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), piece.column(2), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    own = code[a:b].astype(np.int64)
-                    scarce = np.flatnonzero(own < 0)
-                    local, place = np.unique(at[a:b][scarce], return_inverse=True)
-                    order = np.argsort(odd[local], kind="stable")  # words that a fold takes come first
-                    own[scarce] = len(listed) + np.argsort(order)[place]
-                    local = local[order]
-                    plain = len(local) - int(odd[local].sum())
-                    others = [merged(known[k].as_py()) for k in local[plain:].tolist()]
-                    rare = "".join(MARK + w for w in known.take(pa.array(local[:plain])).to_pylist()) if plain else ""
-                    raw = (text.as_py() or "").replace(MARK, SPACE).encode()
-                    rows.append((row, doc_id, hashlib.sha256(raw).digest(), packed(own), others, rare))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
+                at, known = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+                n, odd = len(known), _odd(known, vocabulary)
+                code = listed.codes(known)[at]
+                # A text's own words: those that a fold takes come first.
+                scarce = np.flatnonzero(code < 0)
+                text = np.searchsorted(bounds, scarce, side="right") - 1
+                local, place = np.unique((2 * text + odd[at[scarce]]) * n + at[scarce], return_inverse=True)
+                halves = np.searchsorted(local, n * np.arange(2 * rows + 1)) if n else np.zeros(2 * rows + 1, np.int64)
+                code[scarce] = len(listed.words) + place - halves[2 * text]
+                owner, which = np.divmod(local, max(1, n))
+                names = known.take(pa.array(which))
+                plain = pc.binary_join_element_wise(MARK, names.filter(pa.array(owner % 2 == 0)), "")
+                begins = np.concatenate([[0], np.cumsum(np.diff(halves)[::2])])
+                marked, ends = text_bytes(plain)
+                rare = pa.StringArray.from_buffers(rows, pa.py_buffer(ends[begins].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(marked)))
+                others: list[list[list[int]]] = [[] for _ in range(rows)]
+                for k in np.flatnonzero(owner % 2).tolist():
+                    others[owner[k] // 2].append(merged(names[k].as_py()))
+                raw = pc.fill_null(piece.column(2), "")
+                if pc.any(pc.match_substring(raw, MARK)).as_py():
+                    raw = pc.replace_substring(raw, MARK, SPACE)
+                data, offsets = text_bytes(raw)
+                data, offsets = np.ascontiguousarray(data), offsets.tolist()
+                digests = [hashlib.sha256(data[a:b]).digest() for a, b in zip(offsets, offsets[1:], strict=False)]
+                bounds = bounds.tolist()
+                codes = [packed(code[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(digests, pa.binary()), pa.array(codes, pa.binary()), pa.array(others, _ODD), rare], names=_NAMES)
         pa.default_memory_pool().release_unused()
 
     return run
@@ -437,23 +513,18 @@ def _assemble(shared, frequent, finish):
     """From word codes and folded rare words to ids; ``finish`` maps (doc_id, text_sha256, ids) batches further."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, listed = shared.value, _from_ipc(frequent.value).column(1).combine_chunks()
-        flat, bounds = listed.flatten().to_numpy(zero_copy_only=False), listed.offsets.to_numpy().astype(np.int64)
+        vocabulary, listed = shared.value, _listed(frequent.value)
         for batch in batches:
-            head = batch.column(0)
-            doc_ids, digests, codes, odds = (head.field(k) for k in range(4))
-            found = batch.column(1)
-            places, words, borders = (found.values.field(k).to_pylist() for k in range(3))
-            starts = found.offsets.to_pylist()
-            rows = []
-            for c, o, a, b in zip(codes, odds, starts, starts[1:], strict=False):
-                folded: list[list[int]] = [[]] * (b - a)
-                for place, word, border in zip(places[a:b], words[a:b], borders[a:b], strict=True):
-                    folded[place - 1] = vocabulary.ids_at(word, border)
-                rows.append(_ids(unpacked(c.as_py()), folded + o.as_py(), flat, bounds))
-            ends = np.cumsum([0, *map(len, rows)])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([doc_ids, digests, ids], names=["doc_id", "text_sha256", "ids"])
+            counts = [int.from_bytes(c.as_py()[:4], "little") for c in batch.column(0).field(2)]
+            begin, held = 0, 0
+            for end, count in enumerate([*counts, PASS_CODES + 1]):
+                if end > begin and held + count > PASS_CODES:
+                    part = batch.slice(begin, end - begin)
+                    doc_ids, digests, codes, odd = part.column(0).flatten()
+                    ids = _ids([unpacked(c.as_py()) for c in codes], *_own(part.column(1), odd, vocabulary), listed)
+                    yield pa.RecordBatch.from_arrays([doc_ids, digests, ids], names=["doc_id", "text_sha256", "ids"])
+                    begin, held = end, 0
+                held += count
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from finish(encoded(batches))
@@ -462,23 +533,39 @@ def _assemble(shared, frequent, finish):
     return run
 
 
-def _ids(codes: np.ndarray, own: list[list[int]], flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Ids of one text: frequent words from the common table, the others, whose codes follow, from its ``own``."""
-    begins, lengths = bounds[:-1], np.diff(bounds)
-    if own:
-        sizes = np.array([len(x) for x in own], np.int64)
-        tail = np.concatenate([np.array(x, np.int32) for x in own])
-        scarce = codes >= len(lengths)
-        at = np.where(scarce, codes - len(lengths), 0)
-        common = np.where(scarce, 0, codes)
-        length = np.where(scarce, sizes[at], lengths[common] if len(lengths) else 0)
-        begin = np.where(scarce, (np.cumsum(sizes) - sizes)[at], begins[common] if len(lengths) else 0)
-        picked, from_tail = np.repeat(begin, length) + _ramp(length), np.repeat(scarce, length)
-        out = np.empty(len(picked), np.int32)
-        out[from_tail], out[~from_tail] = tail[picked[from_tail]], flat[picked[~from_tail]]
-        return out
-    length = lengths[codes]
-    return flat[np.repeat(begins[codes], length) + _ramp(length)]
+def _own(found: pa.Array, odd: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of texts' own words: all in a row, each word's number, and where each text's folded and odd words begin, folded ones first."""
+    many, more = (pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (found, odd))
+    place, words, borders = found.flatten().flatten()
+    folded = np.concatenate([[0], np.cumsum(many)])
+    order = np.empty(len(place), np.int64)
+    order[np.repeat(folded[:-1], many) + place.to_numpy(zero_copy_only=False) - 1] = np.arange(len(place))
+    ids, sizes = vocabulary.ids_between(words.take(pa.array(order)), borders.to_numpy(zero_copy_only=False)[order])
+    lists = odd.flatten()
+    ids = np.concatenate([ids, lists.flatten().to_numpy(zero_copy_only=False)])
+    sizes = np.concatenate([sizes, pc.list_value_length(lists).to_numpy(zero_copy_only=False)])
+    return ids, sizes, folded, folded[-1] + np.concatenate([[0], np.cumsum(more)])
+
+
+def _ids(codes: list[np.ndarray], own: np.ndarray, sizes: np.ndarray, folded: np.ndarray, odd: np.ndarray, listed: Listed) -> pa.Array:
+    """Ids of texts: frequent words from the common table, the others, whose codes follow, from the texts' own."""
+    bounds = np.cumsum([0, *map(len, codes)])
+    code = np.concatenate(codes)
+    scarce = np.flatnonzero(code >= len(listed.words))
+    text = np.searchsorted(bounds, scarce, side="right") - 1
+    word = folded[text] + code[scarce] - len(listed.words)
+    word = np.where(word < folded[text + 1], word, word - folded[text + 1] + odd[text])
+    if len(listed.words):
+        code[scarce] = 0
+        length, begin = listed.lengths[code].astype(np.int64), listed.begins[code]
+        length[scarce] = sizes[word]
+        out = listed.flat[np.minimum(np.repeat(begin, length) + _ramp(length), len(listed.flat) - 1)]
+    else:
+        length = sizes[word]
+        out = np.empty(length.sum(), np.int32)
+    ends = np.concatenate([[0], np.cumsum(length)])
+    out[np.repeat(ends[scarce], sizes[word]) + _ramp(sizes[word])] = own[np.repeat((np.cumsum(sizes) - sizes)[word], sizes[word]) + _ramp(sizes[word])]
+    return pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(out, pa.int32()))
 
 
 def _ramp(length: np.ndarray) -> np.ndarray:

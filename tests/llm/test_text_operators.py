@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -444,3 +445,54 @@ def test_context_of_candidates(spark):
     long = "".join(f"password = aB3!x{k}; " for k in range(50_000))
     many = secret_scan.candidates(spark.createDataFrame([(1, long, None)], "doc_id long, text string, source string"))
     assert many.count() == 50_000
+
+
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def coded_and_assembled(texts, vocabulary, words):
+    """Ids of texts by the two kernels, with ``words`` listed and all others merged here; and the seconds of the second kernel."""
+    listed = Shared(lattice._to_ipc(pa.array(words, pa.string()), pa.array([vocabulary.merged(w) for w in words], pa.list_(pa.int32()))))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["row", "doc_id", "text"])
+    rows = pa.Table.from_batches(lattice._code(Shared(vocabulary), listed)(iter([batch]))).to_pylist()
+    founds = []
+    for r in rows:
+        own = r["rare"].split(lattice.MARK)[1:]
+        # Borders by merging, as the fold gives them; the last word comes first, as rows are grouped in any order.
+        bits = [sum(1 << k for k in np.cumsum([0, *map(len, lattice._by_rank(w, vocabulary.ranks, vocabulary.longest))]).tolist()) for w in own]
+        founds.append([{"place": k, "word": w, "borders": b} for k, (w, b) in enumerate(zip(own, bits, strict=True), 1)][::-1])
+    head = pa.array([{k: r[k] for k in ("doc_id", "text_sha256", "codes", "odd")} for r in rows], pa.struct([("doc_id", pa.int64()), ("text_sha256", pa.binary()), ("codes", pa.binary()), ("odd", pa.list_(pa.list_(pa.int32())))]))
+    found = pa.array(founds, pa.list_(pa.struct([("place", pa.int32()), ("word", pa.string()), ("borders", pa.int64())])))
+    began = time.process_time()
+    out = list(lattice._assemble(Shared(vocabulary), listed, lambda batches: batches)(iter([pa.RecordBatch.from_arrays([head, found], names=["head", "found"])])))
+    took = time.process_time() - began
+    return [(i, ids) for b in out for i, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)], took
+
+
+@pytest.mark.parametrize("passed", [1, 50, 1 << 18])
+def test_sentencepiece_kernels_in_passes(monkeypatch, passed):
+    import sentencepiece
+
+    path = str(VOCABULARIES / "piece_bpe_32k.model")
+    library, vocabulary = sentencepiece.SentencePieceProcessor(model_file=path), lattice.Vocabulary.load(path)
+    monkeypatch.setattr(lattice, "PASS_CODES", passed)
+    texts = [t for _, t in TEXTS] + ["", None, "x" * 70 + " rare " + "y" * 90 + " rare é日😀", None]
+    got, _ = coded_and_assembled(texts, vocabulary, [" the", " cat", " word", " mat"])
+    assert got == [(k, library.encode(t or "")) for k, t in enumerate(texts)]
+    # Of words with one hash only the first is found, and no word for another.
+    monkeypatch.setattr(lattice, "_hashes", lambda words: np.full(len(words), 7, np.uint64))
+    got, _ = coded_and_assembled(texts, vocabulary, [" the", " cat", " word", " of"])
+    assert got == [(k, library.encode(t or "")) for k, t in enumerate(texts)]
+
+
+def test_a_text_costs_no_pass_over_all_frequent_words():
+    vocabulary = lattice.Vocabulary([f"<{b}>" for b in range(256)] + [" ", "a"], [0.0] * 258, {b: b for b in range(256)}, {" ": 256, "a": 257})
+    vocabulary.merged = lambda word: [256]
+    words = [" a"] + [f"w{k}" for k in range(lattice.FREQUENT)]
+    texts = ["a"] * 4000
+    got, few = coded_and_assembled(texts, vocabulary, words[:2])
+    again, many = coded_and_assembled(texts, vocabulary, words)
+    assert again == got
+    assert many < few + 1.5  # 3 seconds when each text went through all words
