@@ -34,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import saved, slices, text_bytes
+from strandloom.llm.common import releasing, saved, slices, text_bytes
 
 #: Remainders of one group, about.
 GROUP = 512
 #: Text bytes encoded in one pass.
-SLICE = 8 << 20
+SLICE = 4 << 20
+#: Words encoded in one call: the library's results are a few hundred bytes a word until they are copied.
+CALL = 1 << 13
 #: Words whose tokens a Python worker remembers.
 REMEMBERED = 1 << 19
 #: Cut pieces up to which their row numbers are broadcast (8 bytes each).
@@ -73,9 +75,12 @@ class Words:
         new = np.flatnonzero(codes < 0)
         codes[new] = known + np.arange(len(new))
         fresh = [words[i] for i in new.tolist()]
-        ids = [e.ids for e in self.coder.encode_batch_fast(fresh, add_special_tokens=False)]
-        sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
-        flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
+        all_sizes, all_ids = [self.sizes], [self.flat]
+        for begin in range(0, len(fresh), CALL):
+            ids = [e.ids for e in self.coder.encode_batch_fast(fresh[begin : begin + CALL], add_special_tokens=False)]
+            all_sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            all_ids.append(np.fromiter(chain.from_iterable(ids), np.uint32))
+        sizes, flat = np.concatenate(all_sizes), np.concatenate(all_ids)
         if known + len(new) <= REMEMBERED:
             self.code.update(zip(fresh, codes[new].tolist(), strict=True))
             self.flat, self.sizes = flat, sizes
@@ -174,7 +179,7 @@ _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(
 
 def encoded(docs: DataFrame, path: str, end: int, capacity: int) -> DataFrame:
     """A stored row per document: its number, tokens, whole windows (checksums) and remainder."""
-    return saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encoded(path, end, capacity), _DOCUMENTS))
+    return saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(_encoded(path, end, capacity)), _DOCUMENTS))
 
 
 def differencing(sizes: list[int], ways: int) -> list[list[int]]:
@@ -304,7 +309,7 @@ def pack(docs: DataFrame, path: str, end: int, capacity: int = 4096) -> DataFram
     cut = F.broadcast(cut) if cut.count() <= BROADCAST_ROWS else cut
     tokens = stored.where("rest > 0").select("row", "rest_ids", (F.col("n") - F.col("rest")).alias("before"))
     joined = tokens.join(cut, "row").select(*pieces.columns, "rest_ids", (F.col("start") - F.col("before")).alias("at"))
-    again = joined.mapInArrow(_checked, pieces.schema)
+    again = joined.mapInArrow(releasing(_checked), pieces.schema)
     rest = pieces.where(F.col("ids_crc32").isNotNull()).unionByName(again).drop("row")
     return whole.unionByName(rest)
 

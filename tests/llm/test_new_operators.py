@@ -214,6 +214,25 @@ def test_words_encode_as_whole_texts():
             assert tokens[bounds[k] : bounds[k + 1]].tolist() == coder.coder.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_encoded_in_bounded_calls():
+    coder = packing.Words(VOCABULARY)
+    whole, calls = coder.coder, []
+
+    class Watched:
+        def encode_batch_fast(self, words, **options):
+            calls.append(len(words))
+            return whole.encode_batch_fast(words, **options)
+
+    coder.coder = Watched()
+    texts = [" ".join(f"w{k}x" for k in range(a, a + 15_000)) for a in (0, 15_000, 20_000)]
+    tokens, bounds = coder.encode(*text_bytes(pa.array(texts)))
+    again, _ = coder.encode(*text_bytes(pa.array(texts)))
+    assert again.tolist() == tokens.tolist()
+    for k, text in enumerate(texts):
+        assert tokens[bounds[k] : bounds[k + 1]].tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert max(calls) <= 1 << 13 and sum(calls) == 35_000
+
+
 def test_a_text_longer_than_a_slice(spark, monkeypatch):
     monkeypatch.setattr(packing, "SLICE", 500)
     rng = random.Random(2)
