@@ -34,7 +34,6 @@ from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,8 +45,12 @@ from strandloom.llm.common import releasing, saved, shuffle_parts, slices, text_
 FREQUENT, FREQUENT_BYTES, WORTH = 1 << 20, 64 << 20, 4
 #: Distinct words that a counting task holds before it sends them on, and rows of one batch.
 HELD, ROWS = 1 << 17, 1 << 16
+#: Frequent words that one task folds, about; lattices are many times their words, and a heap that they have grown stays large.
+FOLDED = 1 << 13
 #: Text bytes of one pass; each looks up its words among all frequent ones.
-PASS_BYTES = 3 << 20
+PASS_BYTES = 1 << 20
+#: Bytes of words that are hashed at once; numbers of eight bytes stand beside each.
+HASHED = 1 << 18
 #: Words of one pass from codes to ids; a longer text is one pass.
 PASS_CODES = 1 << 18
 #: Borders that one fold can hold, and the bits of an id.
@@ -253,8 +256,11 @@ def _count(shared):
 
 
 def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
-    rows = pd.DataFrame([(p, vocabulary.ranks[p] if len(p) > 1 else LAST, i, vocabulary.scores[i]) for p, i in vocabulary.text_ids.items()], columns=["piece", "rank", "id", "score"])
-    return spark.createDataFrame(rows, "piece string, rank int, id int, score double")
+    """From Arrow, as rows of Python would start workers on the executors that stay there beside those of the kernels."""
+    pieces, ids = list(vocabulary.text_ids), list(vocabulary.text_ids.values())
+    ranks = [vocabulary.ranks[p] if len(p) > 1 else LAST for p in pieces]
+    columns = {"piece": pa.array(pieces, pa.string()), "rank": pa.array(ranks, pa.int32()), "id": pa.array(ids, pa.int32()), "score": pa.array([vocabulary.scores[i] for i in ids], pa.float64())}
+    return spark.createDataFrame(pa.table(columns))
 
 
 def lattice(words: DataFrame, vocabulary: Vocabulary, keys: list[str], carried: list[str]) -> DataFrame:
@@ -363,13 +369,12 @@ def frequent_words(texts: DataFrame, vocabulary: Vocabulary, shared, limit: int)
     steps = counted.groupBy("step").agg(F.count(F.lit(1)).alias("words"), F.sum(F.octet_length("word")).alias("bytes")).orderBy(F.col("step").desc()).collect()
     words, size, least = 0, 0, None
     for step in steps:
-        words, size = words + step["words"], size + step["bytes"]
-        if words > limit or size > FREQUENT_BYTES:
+        if words + step["words"] > limit or size + step["bytes"] > FREQUENT_BYTES:
             break
-        least = step["step"]
+        words, size, least = words + step["words"], size + step["bytes"], step["step"]
     if least is None:
         return pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
-    chosen = counted.where(F.col("step") >= least).select("word", "n").repartition("word")
+    chosen = counted.where(F.col("step") >= least).select("word", "n").repartition(-(-words // FOLDED), "word")
     table = word_borders(chosen, vocabulary, ["word"], ["n"]).select("word", "borders", "n").mapInArrow(_listed_ids(shared), "word string, n long, ids array<int>").toArrow()
     table = table.sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
     return table.column("word").combine_chunks(), table.column("ids").combine_chunks()
@@ -425,8 +430,14 @@ def _hashes(words: pa.Array) -> np.ndarray:
     data, offsets = text_bytes(words)
     if not len(data):
         return np.zeros(len(words), np.uint64)
-    place = np.minimum(_ramp(np.diff(offsets)), 255)
-    return np.add.reduceat(_SALT[(place << 8) | data], offsets[:-1])
+    out, begin = np.empty(len(words), np.uint64), 0
+    while begin < len(words):
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + HASHED, side="right")) - 1)
+        own = offsets[begin : end + 1]
+        place = np.minimum(_ramp(np.diff(own)), 255)
+        out[begin:end] = np.add.reduceat(_SALT[(place << 8) | data[own[0] : own[-1]]], own[:-1] - own[0])
+        begin = end
+    return out
 
 
 def _code(shared, frequent):
