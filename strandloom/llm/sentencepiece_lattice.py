@@ -31,7 +31,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -415,10 +415,11 @@ class Listed:
         return np.where(same, place, -1).astype(np.int64)
 
 
-@lru_cache(maxsize=1)
-def _listed(data: bytes) -> Listed:
-    """Of one broadcast, once for all tasks of a Python worker."""
-    return Listed(data)
+def _listed(frequent) -> Listed:
+    """Of one broadcast, once for all tasks of a Python worker; it goes when the worker, in a later stage, gives the broadcast up."""
+    if not hasattr(frequent, "listed"):
+        frequent.listed = Listed(frequent.value)
+    return frequent.listed
 
 
 #: Random numbers by byte and its place in a word; a word's hash is their sum.
@@ -442,7 +443,7 @@ def _hashes(words: pa.Array) -> np.ndarray:
 
 def _code(shared, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, listed = shared.value, _listed(frequent.value)
+        vocabulary, listed = shared.value, _listed(frequent)
         odd_ids: dict[str, list[int]] = {}
 
         def merged(word: str) -> list[int]:
@@ -524,7 +525,7 @@ def _assemble(shared, frequent, finish):
     """From word codes and folded rare words to ids; ``finish`` maps (doc_id, text_sha256, ids) batches further."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, listed = shared.value, _listed(frequent.value)
+        vocabulary, listed = shared.value, _listed(frequent)
         for batch in batches:
             counts = [int.from_bytes(c.as_py()[:4], "little") for c in batch.column(0).field(2)]
             begin, held = 0, 0

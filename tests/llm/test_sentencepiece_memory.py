@@ -54,3 +54,18 @@ def test_pieces_need_no_python_on_executors(spark):
 def test_workers_import_no_pandas():
     code = "import sys, strandloom.llm.sentencepiece_lattice; sys.exit('pandas' in sys.modules)"
     assert subprocess.run([sys.executable, "-c", code]).returncode == 0
+
+
+def test_listed_words_go_with_their_broadcast():
+    import gc
+    import weakref
+
+    class Shared:
+        value = lattice._to_ipc(pa.array([" a"]), pa.array([[1]], pa.list_(pa.int32())))
+
+    shared = Shared()
+    assert lattice._listed(shared) is lattice._listed(shared)
+    listed = weakref.ref(lattice._listed(shared))
+    del shared
+    gc.collect()
+    assert listed() is None  # a cache of the module kept the last one in workers for good
