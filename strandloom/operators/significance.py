@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.stats import log_product_p
@@ -17,6 +17,8 @@ from strandloom.operators.ordered import running_totals
 DECIMALS, SLACK = 14, 1e-9
 #: Sites of the largest sum over all letter counts; larger numbers continue its excess over the limit law.
 LARGEST = 2048
+#: Factors of placements that ``placements_table`` sums in one.
+BLOCK = 1 << 16
 #: Numbers of sites between which ``tail_table`` interpolates, and ratios per site of each.
 NODES, STEPS = (16, 24, 32, 48, 64, 96, 128, 192, 256, 512, 1024), 96
 
@@ -60,11 +62,12 @@ def summed_tails(ratios: np.ndarray, sites: int, background: tuple[float, ...])
 def limit_tails(ratios: np.ndarray) -> np.ndarray:
     """ln P(ratio or more) of one column in the limit: twice the ratio is chi-squared with three degrees of freedom."""
     x = np.maximum(np.asarray(ratios, float), 0.0)
-    near = np.minimum(x, 600.0)
-    erfc = np.array([math.erfc(math.sqrt(v)) for v in near])
-    low = np.log(np.minimum(erfc + 2 * np.sqrt(near / math.pi) * np.exp(-near), 1.0))
-    far = np.maximum(x, 600.0)
-    return np.where(x < 600, low, np.log((2 * far + 1) / np.sqrt(math.pi * far)) - far)
+    out, low = np.empty(x.shape), x < 600
+    near, far = x[low], x[~low]
+    erfc = np.array([math.erfc(math.sqrt(v)) for v in near.tolist()])
+    out[low] = np.log(np.minimum(erfc + 2 * np.sqrt(near / math.pi) * np.exp(-near), 1.0))
+    out[~low] = np.log((2 * far + 1) / np.sqrt(math.pi * far)) - far
+    return out
 
 
 @lru_cache(maxsize=4096)
@@ -105,12 +108,12 @@ def tail_table(background: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
     return share, np.array([np.maximum(summed_tails(share * n, n, background), -2.0 * n * share[-1] - 50) - limit_tails(share * n) for n in NODES])
 
 
-def read_tails(ratios: np.ndarray, sites: np.ndarray, background: tuple[float, ...]) -> np.ndarray:
-    """ln P(ratio or more) of many columns of many numbers of sites, read from ``tail_table``.
+def read_tails(ratios: np.ndarray, sites: np.ndarray, background: tuple[float, ...], tables: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """ln P(ratio or more) of many columns of many numbers of sites, read from ``tail_table`` (or ``tables``, the same made before).
 
     For comparing alignments of different large sizes at once; what is reported comes from ``log_tails``.  Near the largest
     ratio, where the tail falls in steps of ln(3 * sites), it may be off by one of them."""
-    share, table = tail_table(tuple(background))
+    share, table = tables or tail_table(tuple(background))
     sites = np.asarray(sites, float)
     at = np.minimum(np.asarray(ratios, float) / sites, share[-1])
     inverse = 1 / np.array(NODES, float)
@@ -127,6 +130,14 @@ def read_tails(ratios: np.ndarray, sites: np.ndarray, background: tuple[float, .
     return np.minimum(limit_tails(np.asarray(ratios, float).ravel()).reshape(np.shape(ratios)) + mixed, 0.0)
 
 
+def log_chances(counts: np.ndarray, background: tuple[float, ...]) -> np.ndarray:
+    """ln P(exactly these counts) of columns of four letters (the last axis), in any order of letters: never above the tail of their ratio."""
+    p, counts = _normal(background), np.asarray(counts, int)
+    sites = counts.sum(axis=-1)
+    factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, sites.max(initial=0) + 1)))])
+    return np.minimum(factorial[sites] + (counts * np.log(p) - factorial[counts]).sum(axis=-1), 0.0)
+
+
 def mean_ratio(sites: int, background: tuple[float, ...]) -> float:
     """Expected ratio of one column: each letter's count is binomial."""
     count, total = np.arange(1, sites + 1), 0.0
@@ -216,15 +227,43 @@ def log_ways(seqs: DataFrame, width: int, sites: int, spread: str = "any", stran
     return row["ways"] + math.lgamma(n + 1) - math.lgamma(sites + 1) - math.lgamma(n - sites + 1)
 
 
+def _log_factors(starts: float, begin: int, end: int, strands: int) -> np.ndarray:
+    """Logs of the factors of ``total_placements`` from the ``begin``-th site on."""
+    i = np.arange(begin, end, dtype=float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.log(np.floor((starts - i) * strands / (i + 1)))
+
+
 def total_placements(starts: float, sites: float, strands: int = 2) -> float:
     out = 0.0
     for begin in range(0, int(sites), 1 << 20):
-        i = np.arange(begin, min(begin + (1 << 20), int(sites)), dtype=float)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out += float(np.log(np.floor((starts - i) * strands / (i + 1))).sum())
+        out += float(_log_factors(starts, begin, min(begin + (1 << 20), int(sites)), strands).sum())
     return out if math.isfinite(out) else math.nan
 
 
+def placements_table(spark: SparkSession, starts: float, most: int, strands: int = 2) -> np.ndarray:
+    """``total_placements`` of every multiple of ``BLOCK`` sites up to ``most``; blocks are summed in tasks, and one number of each comes to the driver."""
+
+    @F.pandas_udf("double")
+    def run(block: pd.Series) -> pd.Series:
+        return pd.Series([float(_log_factors(starts, b * BLOCK, (b + 1) * BLOCK, strands).sum()) for b in block], dtype=float)
+
+    rows = spark.range(most // BLOCK).select("id", run("id").alias("total")).collect() if most >= BLOCK else []
+    return np.cumsum([0.0, *(r["total"] for r in sorted(rows))])
+
+
+def read_placements(table: np.ndarray, starts: float, sites: np.ndarray, strands: int = 2) -> np.ndarray:
+    """``total_placements`` of many numbers of sites at once, from ``placements_table``.
+
+    Each block that they lie in is summed once, so numbers that come in order cost a step each."""
+    out, block = np.empty(len(sites)), sites // BLOCK
+    for b in np.unique(block):
+        own = np.flatnonzero(block == b)
+        into = sites[own] - b * BLOCK
+        out[own] = table[b] + np.cumsum(np.append(0.0, _log_factors(starts, b * BLOCK, b * BLOCK + int(into.max()), strands)))[into]
+    return np.where(np.isfinite(out), out, np.nan)
+
+
 def motif_significance(columns: DataFrame, keys: list[str], background: dict[str, float], starts: Column | None) -> DataFrame:
     """keys, width, llr, information and log_evalue of each motif.
 

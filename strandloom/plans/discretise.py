@@ -9,16 +9,19 @@ few numbers, comes to the driver.
 from __future__ import annotations
 
 import math
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandloom.functions.stats import log_product_p
 from strandloom.operators import em, scan, significance
-from strandloom.operators.ordered import running_totals
+from strandloom.operators.packing import letters
 from strandloom.operators.transforms import LETTERS
 from strandloom.storage import saved
 
@@ -52,13 +55,51 @@ def maxima(seqs: DataFrame, model: em.Model) -> DataFrame:
     return best.select("seq_id", "w.*")
 
 
+def _counted(width: int, before: dict[int, np.ndarray]):
+    """Rank and cumulative letter counts of rows that come part by part and in order; ``before`` has what lies ahead of each part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, upto = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.column("__part").to_numpy()
+            code = letters(batch.column("word"))[0].reshape(-1, width)
+            run = np.ones((len(part), 1 + 4 * width), np.int64)
+            run[:, 1:] = (code[:, :, None] == np.arange(4)).reshape(len(part), -1)
+            begins = np.flatnonzero(np.diff(part, prepend=-1))
+            for first, last in zip(begins, [*begins[1:], len(part)], strict=True):
+                if part[first] != now:
+                    now, upto = part[first], before[part[first]]
+                run[first:last] = np.cumsum(run[first:last], axis=0) + upto
+                upto = run[last - 1].copy()
+            counts = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * 4 * width), pa.array(run[:, 1:].ravel()))
+            columns = [*batch.columns[:-1], pa.array(run[:, 0]), counts]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "rank", "counts"])
+
+    return run
+
+
+def _ranked(sites: DataFrame, width: int) -> tuple[DataFrame, int]:
+    """``ranked_counts``, and the number of its rows.
+
+    Rows are range-partitioned once and stored with their partition's number; each partition is then walked in
+    order from the counts of those before it, of which one row each comes to the driver."""
+    order = F.struct((-F.round("score", SAME)).alias("s"), "seq_id", "start")
+    parts = saved(sites.withColumn("order", order).repartitionByRange("order").withColumn("__part", F.spark_partition_id()))
+    cells = [F.count_if(F.substring("word", j + 1, 1) == x) for j in range(width) for x in LETTERS]
+    before, upto = {}, np.zeros(1 + 4 * width, np.int64)
+    for r in parts.groupBy("__part").agg(F.array(F.count(F.lit(1)), *cells).alias("total")).orderBy("__part").collect():
+        before[r["__part"]] = upto
+        upto = upto + np.array(r["total"], np.int64)
+    walked = parts.repartition("__part").sortWithinPartitions("__part", "order").select(*sites.columns, "__part")
+    schema = T.StructType([*sites.schema.fields, T.StructField("rank", T.LongType()), T.StructField("counts", T.ArrayType(T.LongType()))])
+    return walked.mapInArrow(_counted(width, before), schema), int(upto[0])
+
+
 def ranked_counts(sites: DataFrame, width: int) -> DataFrame:
     """``sites`` with ``rank`` (from 1, by falling score, then seq_id and start) and ``counts``: letter counts by column over all sites up to the own one."""
-    cells = [f"{x}{j}" for j in range(width) for x in LETTERS]
-    letters = {f"{x}{j}": (F.substring("word", j + 1, 1) == x).cast("long") for j in range(width) for x in LETTERS}
-    keyed = sites.withColumns(letters | {"one": F.lit(1).cast("long"), "order": F.struct((-F.round("score", SAME)).alias("s"), "seq_id", "start")})
-    run = running_totals(keyed, "order", ["one", *cells])
-    return run.select(*sites.columns, F.col("upto_one").alias("rank"), F.array(*(f"upto_{c}" for c in cells)).alias("counts"))
+    return _ranked(sites, width)[0]
 
 
 def column_ratios(counts: np.ndarray, background: np.ndarray) -> np.ndarray:
@@ -68,34 +109,77 @@ def column_ratios(counts: np.ndarray, background: np.ndarray) -> np.ndarray:
         return np.where(counts > 0, counts * np.log(counts / (np.maximum(n, 1) * background)), 0.0).sum(axis=2)
 
 
-def log_column_ps(width: int, background: np.ndarray):
-    """A function of (counts, rank) to the log p-values of the columns."""
-    q = tuple(map(float, background))
+def log_products(width: int, log_product: np.ndarray) -> np.ndarray:
+    """``stats.log_product_p`` of an array: log p-values of products of ``width`` uniform variables."""
+    k = np.arange(width)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        terms = np.where(k == 0, 0.0, k * np.log(-log_product)[:, None]) - np.array([math.lgamma(x + 1) for x in k])
+    return log_product + np.logaddexp.reduce(terms, axis=1)
 
-    @F.pandas_udf("array<double>")
-    def run(counts: pd.Series, rank: pd.Series) -> pd.Series:
-        if not len(counts):
-            return pd.Series([], dtype=object)
-        ratios, sites = column_ratios(np.array(counts.tolist(), float).reshape(-1, width, 4), np.array(q)), rank.to_numpy()
-        out, many = np.empty(ratios.shape), sites > EACH
-        if many.any():
-            out[many] = significance.read_tails(ratios[many], sites[many, None], q)
-        for k in np.flatnonzero(~many):
-            out[k] = significance.log_tails(ratios[k], int(sites[k]), q)
-        return pd.Series(list(out))
+
+def _valued(width: int, background: np.ndarray, starts: float, table: np.ndarray, exact: bool):
+    """Log E-values of (rank, counts): one row a task, the best of more than ``EACH`` sites, and all of fewer.
+
+    Those of fewer are exact, or lower bounds: the chance of the counts themselves is never above the tail of their ratio."""
+    q = tuple(map(float, background))
+    tables = None if exact else significance.tail_table(q)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            rank = batch.column(0).to_numpy()
+            if not len(rank):
+                continue
+            cells = batch.column(1).flatten().to_numpy().reshape(-1, width, 4)
+            ratios, many = column_ratios(cells, np.array(q)), rank > EACH
+            logs = np.empty(ratios.shape)
+            if many.any():
+                logs[many] = significance.read_tails(ratios[many], rank[many, None], q, tables)
+            if exact:
+                for k in np.flatnonzero(~many):
+                    logs[k] = significance.log_tails(ratios[k], int(rank[k]), q)
+            elif not many.all():
+                logs[~many] = significance.log_chances(cells[~many], q)
+            value = np.round(log_products(width, logs.sum(axis=1)) + significance.read_placements(table, starts, rank), SAME)
+            known = np.flatnonzero(~np.isnan(value))
+            few = known[rank[known] <= EACH]
+            if len(few):
+                yield pa.RecordBatch.from_arrays([pa.array(rank[few]), pa.array(value[few]), batch.column(1).take(pa.array(few))], names=["rank", "value", "counts"])
+            rest = known[rank[known] > EACH]
+            if len(rest):
+                k = rest[np.lexsort((rank[rest], value[rest]))[0]]
+                best = min(best or (math.inf, sys.maxsize, None), (value[k], rank[k], batch.column(1).take(pa.array([k]))), key=lambda x: x[:2])
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array([best[1]]), pa.array([best[0]]), best[2]], names=["rank", "value", "counts"])
 
     return run
 
 
 def best_number(ranked: DataFrame, width: int, background: np.ndarray, starts: int, least: int, most: int | None) -> tuple[int, float, np.ndarray] | None:
-    """The number of sites of the least log E-value (the smaller of equal ones), that value and the sites' counts."""
-    rows = ranked.where(F.col("rank") >= least) if most is None else ranked.where(F.col("rank").between(least, most))
-    rows = rows.select("rank", "counts").repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "rank")  # sums of larger numbers take longer: deal them out
-    logs = rows.select("rank", "counts", log_column_ps(width, background)("counts", "rank").alias("logs"))
-    product = F.aggregate("logs", F.lit(0.0), lambda a, x: a + x)
-    value = log_product_p(F.lit(width), product) + significance.placements()(F.lit(float(starts)), F.col("rank"))
-    found = logs.select("rank", "counts", F.round(value, SAME).alias("value")).where(~F.isnan("value"))
-    best = found.agg(F.min_by(F.struct("rank", "value", "counts"), F.struct("value", "rank")).alias("b")).first()["b"]
+    """The number of sites of the least log E-value (the smaller of equal ones), that value and the sites' counts.
+
+    All numbers are compared in one pass over ``ranked``, whose rows should lie together by rank.  Exact sums take up to half a second
+    each, so numbers up to ``EACH`` first get a lower bound, and only those whose bound does not exceed the best value found are summed."""
+    spark = ranked.sparkSession
+    if most is None:
+        most = ranked.agg(F.max("rank")).first()[0] or 0
+    table = significance.placements_table(spark, float(starts), most)
+
+    def valued(rows: DataFrame, exact: bool) -> list:
+        return rows.mapInArrow(_valued(width, background, float(starts), table, exact), "rank long, value double, counts array<long>").collect()
+
+    def summed(few: list) -> list:
+        made = spark.createDataFrame([(r["rank"], r["counts"]) for r in few], "rank long, counts array<long>")
+        return valued(made.repartition(max(1, min(len(few), 4 * cores)), "rank"), True)
+
+    cores, found = spark.sparkContext.defaultParallelism, valued(ranked.where(F.col("rank").between(least, most)).select("rank", "counts"), False)
+    done = [r for r in found if r["rank"] > EACH]
+    few = sorted((r for r in found if r["rank"] <= EACH), key=lambda r: (r["value"], r["rank"]))
+    done += summed(few[:cores]) if few else []
+    top = min((r["value"] for r in done), default=math.inf)
+    left = [r for r in few[cores:] if r["value"] <= top + 1e-6 + 1e-9 * abs(top)]
+    done += summed(left) if left else []
+    best = min(done, key=lambda r: (r["value"], r["rank"]), default=None)
     return best and (best["rank"], best["value"], np.array(best["counts"], float).reshape(width, 4))
 
 
@@ -135,9 +219,9 @@ def discretise(seqs: DataFrame, model: em.Model, min_sites: int = 2, max_sites:
     at that width, of at most as many sites."""
     background = model.background / model.background.sum()
     width = model.width
-    ranked = saved(ranked_counts(maxima(seqs, model), width))
+    ranked, found = _ranked(saved(maxima(seqs, model)), width)
     room = seqs.agg(F.sum(F.greatest(F.length("seq") - width + 1, F.lit(0))).alias("starts"), F.count_if(F.length("seq") >= width).alias("n")).first()
-    first = best_number(ranked, width, background, room["starts"] or 0, min_sites, max_sites)
+    first = best_number(ranked, width, background, room["starts"] or 0, min_sites, found if max_sites is None else min(found, max_sites))
     if first is None:
         return None
     number, value, counts = first

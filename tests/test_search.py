@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 from itertools import product
 
@@ -105,6 +106,43 @@ def test_best_number_and_range_equal_direct_loops(spark):
     assert discretise.discretise(seqs.limit(0), model) is None
 
 
+def test_best_number_takes_a_step_a_site(spark):
+    # 5,000 perfect sites of eight columns, then random ones: 300,000 numbers of sites, each compared.
+    width, most, starts = 8, 300_000, 1_000_000
+    rank = np.arange(1, most + 1)
+    random_ones = np.maximum(rank - 5000, 0)
+    column = np.stack([np.minimum(rank, 5000) + random_ones - 3 * (random_ones // 4), *[random_ones // 4] * 3], axis=1)
+    cells = F.array(*(c for _ in range(width) for c in (F.expr("least(id, 5000) + greatest(id - 5000, 0) - 3 * (greatest(id - 5000, 0) div 4)"), *[F.expr("greatest(id - 5000, 0) div 4")] * 3)))
+    ranked = saved(spark.range(1, most + 1).select(F.col("id").alias("rank"), cells.alias("counts")))
+    began = time.monotonic()
+    number, value, counts = discretise.best_number(ranked, width, EVEN, starts, 2, None)
+    assert time.monotonic() - began < 60
+    ways = np.cumsum(np.log(np.floor((starts - (rank - 1.0)) * 2 / rank)))
+    ratios = discretise.column_ratios(column[:, None].astype(float), EVEN)[:, 0]
+    logs = np.array([significance.log_tail(ratios[k], k + 1, (0.25,) * 4) if k < 1024 and k % 93 == 0 else math.nan for k in range(1024)])
+    logs = width * np.append(logs, significance.read_tails(ratios[1024:], rank[1024:], (0.25,) * 4))
+    values = logs + np.log(sum((-logs) ** k / math.factorial(k) for k in range(width))) + ways
+    assert number == 1 + np.nanargmin(values) and value == pytest.approx(np.nanmin(values)) and counts.tolist() == [column[number - 1].tolist()] * width
+    # Few sites: the best is among those that are summed exactly.
+    small = [values[k] for k in range(93, 1024, 93)]
+    number, value, _ = discretise.best_number(ranked, width, EVEN, starts, 94, 1024)
+    assert value <= min(small) + 1e-6 and value == pytest.approx(width * (x := significance.log_tail(ratios[number - 1], number, (0.25,) * 4)) + math.log(sum((-width * x) ** k / math.factorial(k) for k in range(width))) + ways[number - 1])
+
+
+def test_placements_and_bounds():
+    for starts in (10.0, 500.0, 200_000.0):
+        sites = np.array([0, 1, 2, 5, 300, 65_535, 65_536, 65_537, 131_072, 140_000])
+        table = np.cumsum([0.0, *(significance._log_factors(starts, b, b + significance.BLOCK, 2).sum() for b in (0, significance.BLOCK))])
+        want = [significance.total_placements(starts, int(n)) for n in sites]
+        assert significance.read_placements(table, starts, sites) == pytest.approx(want, nan_ok=True)
+    rng, q = np.random.default_rng(3), (0.1, 0.4, 0.3, 0.2)
+    counts = np.array([rng.multinomial(n, rng.dirichlet(np.full(4, 0.5))) for n in rng.integers(2, 300, 60)])
+    chances, ratios = significance.log_chances(counts, q), discretise.column_ratios(counts[:, None].astype(float), np.array(q))[:, 0]
+    for c, chance, ratio in zip(counts, chances, ratios, strict=True):
+        direct = math.lgamma(c.sum() + 1) + sum(n * math.log(p) - math.lgamma(n + 1) for n, p in zip(c, q, strict=True))
+        assert chance == pytest.approx(direct) and chance <= significance.log_tail(ratio, int(c.sum()), q) + 1e-9
+
+
 def test_best_ranges_equal_all_ranges(spark):
     rng, rows, want = random.Random(6), [], {}
     for m in range(12):
