@@ -2,7 +2,7 @@
 
 One job computes the expected counts of all models over all sequences: tasks score
 their windows and send one small row for each model.  Batch EM takes a job an
-iteration.  Online EM takes seeded mini-batches of sequences with a falling step, so
+iteration, or fits models of few columns to counts of words.  Online EM takes seeded mini-batches of sequences with a falling step, so
 no task ever holds the whole set; a batch stands for as many single steps as it has
 windows.
 
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators.packing import PIECE, letters, stretches
 from strandloom.operators.scan import TIE, window_scores
+from strandloom.operators.tuples import DENSE, packed_counts
 from strandloom.storage import saved
 
 #: Weight of the background prior that each step adds to a letter, and where a pass counts as converged.
@@ -77,6 +78,11 @@ def responsibilities(code: np.ndarray, model: Model, both_strands: bool = True,
     table = np.hstack([np.log(model.theta / model.background), np.full((model.width, 1), -np.inf)])
     forward = window_scores(code, table)
     backward = window_scores(code, np.hstack([table[::-1, 3::-1], table[:, 4:]])) if both_strands else np.full(len(forward), -np.inf)
+    return _posteriors(forward, backward, model, prior)
+
+
+def _posteriors(forward: np.ndarray, backward: np.ndarray, model: Model, prior: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``responsibilities`` from the scores of both strands."""
     score = np.maximum(forward, backward) + np.log(model.bias)
     if prior is not None:
         score = score + prior
@@ -216,10 +222,74 @@ def divergence(a: np.ndarray, b: np.ndarray) -> float:
     return float(0.5 * (np.sum(a * np.log(a / b)) + np.sum(b * np.log(b / a))))
 
 
+def words_expected(letters_of: np.ndarray, count: np.ndarray, model: Model, both_strands: bool = True) -> Expected:
+    """What ``expected_counts`` sums, from each word of known letters (columns of ``letters_of``) and how many windows it fills.
+
+    With any number of sites a window's posterior depends on its word alone."""
+    table, w = np.log(model.theta / model.background), model.width
+    forward = sum(table[j][letters_of[j]] for j in range(w))
+    backward = sum(table[w - 1 - j][3 - letters_of[j]] for j in range(w)) if both_strands else np.full(len(count), -np.inf)
+    z, reverse, score = _posteriors(forward, backward, model)
+    likelihood = np.logaddexp(np.log(model.rate) + score, np.log(1 - model.rate))
+    motif, other = np.zeros((w, 4)), np.zeros((w, 4))
+    for j in range(w):
+        own = np.where(reverse, 3 - letters_of[w - 1 - j], letters_of[j])
+        motif[j], other[j] = np.bincount(own, z * count, 4), np.bincount(own, (1 - z) * count, 4)
+    return Expected(float((z * count).sum()), motif, other, float((likelihood * count).sum()), int(count.sum()), sites=int(count[z > 0.5].sum()))
+
+
+def _fitted_to_words(models: list[Model], words: dict[int, tuple[np.ndarray, np.ndarray]], iterations: int, distance: float, both_strands: bool):
+    """EM of the models that a task gets by number, each until it rests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                now, moves = models[i], iterations > 0
+                packed, count = words[now.width]
+                letters_of = np.stack([(packed >> 2 * (now.width - 1 - j) & 3).astype(np.uint8) for j in range(now.width)])
+                for _ in range(iterations if len(count) else 0):
+                    after = maximised(now, words_expected(letters_of, count, now, both_strands))
+                    moves, now = np.linalg.norm(after.theta - now.theta) >= distance, after
+                    if not moves:
+                        break
+                rested = iterations > 0 and not (moves and len(count))
+                values = [[i], [now.theta.ravel().tolist()], [now.background.tolist()], [now.rate], [now.density], [bool(rested)]]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["model", "theta", "background", "rate", "density", "rested"])
+
+    return run
+
+
+def _em_of_words(seqs: DataFrame, models: list[Model], iterations: int, distance: float, both_strands: bool) -> list[Model]:
+    """``batch_em`` of models of at most ``DENSE`` columns with any number of sites.
+
+    The sequences are read once, to count their words, of which there are at most 4 ** DENSE whatever the data; the
+    counts go to the tasks, each of which fits models."""
+    spark, widths = seqs.sparkSession, sorted({m.width for m in models})
+    counts = packed_counts(seqs, widths).toArrow().sort_by("packed")
+    width, packed, count = (counts.column(c).to_numpy() for c in ("width", "packed", "cnt"))
+    words = {w: (packed[width == w], count[width == w]) for w in widths}
+    rows = spark.range(0, len(models), numPartitions=min(len(models), 4 * spark.sparkContext.defaultParallelism))
+    fitted = rows.mapInArrow(_fitted_to_words(models, words, iterations, distance, both_strands), "model long, theta array<double>, background array<double>, rate double, density double, rested boolean")
+    out = list(models)
+    for r in fitted.collect():
+        theta, background = np.array(r["theta"]).reshape(-1, 4), np.array(r["background"])
+        out[r["model"]] = replace(models[r["model"]], theta=theta, background=background, rate=r["rate"], density=r["density"], rested=r["rested"])
+    return out
+
+
 def batch_em(seqs: DataFrame, models: list[Model], iterations: int = 50, distance: float = 1e-3, both_strands: bool = True, weights: str | None = None) -> list[Model]:
-    """EM of all models together; each stops when its matrix moves less than ``distance``.  ``weights`` as in ``expected_counts``."""
+    """EM of all models together; each stops when its matrix moves less than ``distance``.  ``weights`` as in ``expected_counts``.
+
+    Models of few columns with any number of sites are fitted to counts of words, which takes one pass over the sequences; others take a
+    pass an iteration."""
+    short = [i for i, m in enumerate(models) if weights is None and m.spread == ANY and m.width <= DENSE]
+    now, active = list(models), [i for i in range(len(models)) if i not in set(short)]
+    if short:
+        for i, m in zip(short, _em_of_words(seqs, [models[i] for i in short], iterations, distance, both_strands), strict=True):
+            now[i] = m
+    if not active:
+        return now
     seqs = saved(seqs.select("seq", *([weights] if weights else [])))
-    now, active = list(models), list(range(len(models)))
     for _ in range(iterations):
         found = collected(expected_counts(seqs, [now[i] for i in active], both_strands, weights=weights), [now[i] for i in active])
         moving = []
@@ -232,7 +302,7 @@ def batch_em(seqs: DataFrame, models: list[Model], iterations: int = 50, distanc
         active = moving
         if not active:
             break
-    return [replace(m, rested=i not in active) for i, m in enumerate(now)]
+    return [m if i in short else replace(m, rested=i not in active) for i, m in enumerate(now)]
 
 
 def log_left(step: float, slope: float, begin: int, count: int) -> float:

@@ -46,10 +46,15 @@ def _rows(width: int, packed: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(packed), width, np.int32)), pa.array(packed), pa.array(count.astype(np.int64))], names=["width", "packed", "cnt"])
 
 
-def tuple_counts(seqs: DataFrame, widths: list[int], seq: str = "seq") -> DataFrame:
-    """word, cnt of all windows of known letters of each width; tasks count ahead of the shuffle."""
+def packed_counts(seqs: DataFrame, widths: list[int], seq: str = "seq") -> DataFrame:
+    """width, packed (two bits a letter, the first one highest), cnt of all windows of known letters of each width; tasks count ahead of the shuffle."""
     per_task = seqs.select(F.col(seq).alias("seq")).mapInArrow(_counter(sorted(widths)), "width int, packed long, cnt long")
-    totals = per_task.groupBy("width", "packed").agg(F.sum("cnt").alias("cnt"))
+    return per_task.groupBy("width", "packed").agg(F.sum("cnt").alias("cnt"))
+
+
+def tuple_counts(seqs: DataFrame, widths: list[int], seq: str = "seq") -> DataFrame:
+    """word, cnt of all windows of known letters of each width."""
+    totals = packed_counts(seqs, widths, seq)
     digits = F.lpad(F.conv(F.col("packed").cast("string"), 10, 4), F.col("width"), F.lit("0"))
     return totals.select(F.translate(digits, "0123", "ACGT").alias("word"), "cnt")
 

@@ -159,6 +159,47 @@ def test_em_recovers_a_planted_motif(spark, fit):
     assert done.theta.max(axis=1).min() > 0.7 and np.allclose(done.theta.sum(axis=1), 1) and np.isclose(done.background.sum(), 1)
 
 
+def test_batch_em_takes_one_pass(spark):
+    seqs, reads = planted(spark, sequences=60), spark.sparkContext.accumulator(0)
+    texts = ["", "ACG", "N" * 20, "ACGTN" * 9, "TGACGTCA" * 6, None]
+    seqs = seqs.unionByName(spark.createDataFrame([(900 + k, x) for k, x in enumerate(texts)], "seq_id long, seq string"))
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    theta = np.array([[0.7 if x == y else 0.1 for x in "ACGT"] for y in "TGACGTCA"])
+    skewed = np.array([0.3, 0.2, 0.1, 0.4])
+    models = [em.Model("m", theta, np.full(4, 0.25), 0.01), em.Model("short", theta[2:6], skewed, 0.05, bias=1.5), em.Model("one", theta, skewed, 0.4, spread=em.NONE_OR_ONE), em.Model("long", np.vstack([theta, theta[:4]]), skewed, 0.01)]
+    for both in (True, False):
+        # A pass an iteration, by hand.
+        want = []
+        for now in models:
+            rested = False
+            for _ in range(4):
+                after = em.maximised(now, em.collected(em.expected_counts(seqs, [now], both), [now])[0])
+                moved, now = np.linalg.norm(after.theta - now.theta) >= 1e-3, after
+                if not moved:
+                    rested = True
+                    break
+            want.append((now, rested))
+        for got, (model, rested) in zip(em.batch_em(seqs, models, iterations=4, both_strands=both), want, strict=True):
+            assert (got.name, got.spread, got.bias, got.rested) == (model.name, model.spread, model.bias, rested)
+            assert np.allclose(got.theta, model.theta, atol=1e-9) and np.allclose(got.background, model.background, atol=1e-9)
+            assert got.rate == pytest.approx(model.rate) and got.density == pytest.approx(model.density)
+    for model in models[:2]:
+        counts = em.packed_counts(seqs, [model.width]).collect()
+        packed, count = (np.array([r[c] for r in counts]) for c in ("packed", "cnt"))
+        sums = em.words_expected(np.stack([packed >> 2 * (model.width - 1 - j) & 3 for j in range(model.width)]), count, model)
+        direct = em.collected(em.expected_counts(seqs, [model]), [model])[0]
+        assert (sums.windows, sums.sites) == (direct.windows, direct.sites) and sums.log_likelihood == pytest.approx(direct.log_likelihood) and np.allclose(sums.other, direct.other)
+    em.batch_em(seqs.mapInArrow(counted, seqs.schema), models[:2])
+    assert reads.value == 66
+    none = em.batch_em(seqs.limit(0), models[:1])[0]
+    assert none.rested and np.array_equal(none.theta, theta)
+
+
 def test_em_says_whether_it_rests(spark):
     seqs = planted(spark, sequences=40)
     theta = np.array([[0.7 if x == y else 0.1 for x in "ACGT"] for y in "TGACGTCA"])
