@@ -3,6 +3,7 @@
 import hashlib
 import re
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -85,6 +86,56 @@ def test_pair_loss_and_fit():
     assert (model.score(x) >= quality_classifier.CUT).sum() == 100
 
 
+def test_fit_takes_all_pairs_of_all_rows(spark):
+    rng = np.random.default_rng(8)
+    x, label = np.vstack([rng.normal(1, 2, (90, 3)), rng.normal(0, 1, (70, 3))]), np.repeat([1, 0], [90, 70])
+    model = quality_classifier.Ranking(np.zeros(3), np.ones(3), np.zeros(6), 0.0)
+    basis = model.basis(x)
+    pairs = quality_classifier.preference_pairs(label)
+    assert len(set(zip(*map(np.ndarray.tolist, pairs), strict=True))) == 90 * 70
+    halves = [np.arange(len(x)) % 2 == k for k in (0, 1)]
+
+    def in_two(kernel):
+        total = {}
+        for half in halves:
+            for key, values in kernel(x[half], label[half]).items():
+                total[key] = total.get(key, 0) + values
+        return total
+
+    for scale in (0, 0.3, 2, 40):
+        weights = scale * rng.normal(size=6)
+        want = quality_classifier.pair_loss(weights, basis, *pairs, 0.01)
+        for sums in (lambda kernel: kernel(x, label), in_two):
+            got = quality_classifier.all_pairs(weights, sums, model.basis, 0.01)
+            for a, b in zip(got, want, strict=True):
+                assert np.allclose(a, b, rtol=1e-11, atol=1e-11 * max(1, scale))
+    values = np.concatenate([rng.normal(size=40), [0.0, -0.0, 5, 5, 5, -1e300, 1e-310]])[:, None] * [1, -3]
+    found = quality_classifier.order_statistics(lambda kernel: kernel(values, None), lambda v: v, [(c, r) for c in (0, 1) for r in range(len(values))])
+    assert found == np.sort(values, axis=0).T.ravel().tolist()
+
+    # More rows and pairs than were read once: every row moves the fit, and a table gives the fit of its rows in memory.
+    many = 30_000
+    x, label = rng.normal(size=(many, 2)), (np.arange(many) % 3 == 0).astype(int)
+    x[:, 0] += label
+    whole = quality_classifier.fit(x, label)
+    _, gradient, _ = quality_classifier.all_pairs(whole.weights, lambda kernel: kernel(x, label), whole.basis, 1e-3)
+    assert np.abs(gradient).max() < 1e-9 and (whole.raw(x) > whole.at).sum() == label.sum()
+    assert np.array_equal(whole.centre, np.median(x, axis=0)) and np.allclose(whole.spread, x.std(axis=0))
+    rows = spark.createDataFrame([(int(k), v) for k, v in zip(label, x.tolist(), strict=True)], "label int, x array<double>").repartition(5)
+    table = quality_classifier.fitted(lambda kernel: quality_classifier.added(rows, kernel))
+    assert np.allclose(table.weights, whole.weights, atol=1e-9) and table.at == pytest.approx(whole.at) and np.array_equal(table.centre, whole.centre)
+
+
+def test_training_reads_all_labelled_rows(spark):
+    n = 26_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "repeat('a b ', 1 + CAST(id % 3 AS int)) AS text")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS int) AS quality").unionByName(docs.limit(5).selectExpr("doc_id", "1 AS quality"))
+    kept = [k for k in range(n) if zlib.crc32(str(k).encode()) % 5]
+    rows = features.training_rows(docs.unionByName(docs.limit(9)), labels, "quality").toArrow()
+    assert len(kept) > 20_000 and sorted(rows.column("doc_id").to_pylist()) == kept
+    assert all(q == (1 if k < 5 else k % 2) for k, q in zip(rows.column("doc_id").to_pylist(), rows.column("label").to_pylist(), strict=True))
+
+
 def test_statistics_of_classes():
     texts = ["ab 12!!", "", "é#\n.", "a a b"]
     found = features.statistics(pa.array(texts))
